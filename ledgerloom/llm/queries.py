@@ -2,18 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rest(col: str, n: int) -> Column:
+    """The fold of a row: crc32 of its id as text, modulo n. A null id is in fold 0."""
+    return F.coalesce(F.crc32(F.col(col).cast("string")) % n, F.lit(0))
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.quality import judged
+
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.toxicity import scored, trained
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = trained(docs, table(spark, sf_dir, "labels").where(rest("doc_id", 5) != 0))
+    out = scored(docs, model).select("doc_id", (rest("doc_id", 5) == 0).alias("held_out"), "score")
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.language import identified, prototypes
+
+    docs = table(spark, sf_dir, "documents")
+    learned = prototypes(docs.where(rest("doc_id", 3) != 1))
+    out = identified(docs.select("doc_id", "text"), learned)
+    return out.select("doc_id", (rest("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.decontaminate import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op5_toxicity, op7_language_id, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, DoubleType, LongType, StringType, StructField, StructType
 
 
 def folder(spark: SparkSession) -> str:
@@ -18,6 +19,15 @@ def folder(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/ledgerloom-{sc.applicationId}"
 
 
+def with_columns(df: DataFrame, **kinds: str) -> StructType:
+    """df's schema and more columns."""
+    return StructType([*df.schema.fields, *(StructField(k, _parse(v)) for k, v in kinds.items())])
+
+
+def _parse(kind: str) -> DataType:
+    return {"double": DoubleType(), "string": StringType(), "long": LongType()}[kind]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df below the checkpoint folder once, and reads it back from there."""
     spark = df.sparkSession
