@@ -45,11 +45,26 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (rest("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.lm import scored, trained
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, words = trained(docs.where(rest("doc_id", 10) != 0))
+    out = scored(docs, model, words).withColumn("held_out", rest("doc_id", 10) == 0)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.packing import packed, pieces
+
+    return packed(pieces(table(spark, sf_dir, "documents"), with_ids=False))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.decontaminate import contained_items
 
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op5_toxicity, op7_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op5_toxicity, op7_language_id, op8_lm_scoring, op9_packing, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
