@@ -27,6 +27,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.urls import judged, labelled, trained
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judged(pages, trained(labelled(spark))).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.pii import KINDS, found, listed, trained
+
+    out = found(table(spark, sf_dir, "documents").select("doc_id", "text"), trained(spark))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.toxicity import scored, trained
 
@@ -36,6 +51,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.html import extracted
+
+    out = extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.language import identified, prototypes
 
@@ -66,5 +88,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op5_toxicity, op7_language_id, op8_lm_scoring, op9_packing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_url_filter, op4_pii, op5_toxicity, op6_html_extraction, op7_language_id, op8_lm_scoring, op9_packing, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
