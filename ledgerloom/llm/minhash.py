@@ -24,8 +24,9 @@ SHINGLE = 5
 BANDS, ROWS = 36, 5  # a pair at 0.75 shares no band with a chance of 6e-5
 PER_CENT = 75
 HUB_TURNS = 3  # then the pairs that are left are compared one by one
+FEW = 8  # a shingle that so many open texts have at most names its pairs itself
 
-OPEN = ("cls", "n", "shared", "root")
+OPEN = ("cls", "n", "shared", "often", "root")
 
 
 def sketches(doc: np.ndarray, h: np.ndarray, n: int, t: int) -> np.ndarray:
@@ -154,13 +155,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(spread.join(hubs, "bucket").where("id is not null"), "members")
 
     wanted = members.select("id").distinct()
-    sets = docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(shingle), "cls binary, hashes array<long>")
+    sets = docs.join(wanted.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(_sets(shingle), "cls binary, hashes array<long>")
     sets = written(sets.dropDuplicates(["cls"]), "sets")
 
     links = docs.sparkSession.createDataFrame([], "u binary, v binary")
     labels = docs.sparkSession.createDataFrame([], "node binary, root binary")
     degree = members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket").groupBy("cls").agg(F.sum("size").cast("double").alias("centre"))
-    rows_ = written(members.join(degree, "cls").select("bucket", "cls", "n", F.col("n").alias("shared"), "centre", F.col("cls").alias("root")), "open")
+    rows_ = written(members.join(degree, "cls").select("bucket", "cls", "n", F.col("n").alias("shared"), F.col("n").alias("often"), "centre", F.col("cls").alias("root")), "open")
     for turn in range(HUB_TURNS + 1):
         split = rows_.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
         rows_ = written(rows_.join(split.select("bucket", "size"), "bucket"), "split")
@@ -168,6 +169,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not todo[0]:
             break
         last = turn == HUB_TURNS or todo[1] <= 2 * todo[0]
+        if turn:
+            each = common_shingles(sets.join(rows_.select("cls", "root").distinct(), "cls"))
+            rows_ = rows_.drop("shared", "often").join(counted(each), "cls").where(100 * F.col("shared") >= per_cent * F.col("n")).withColumn("centre", F.col("shared") / F.col("n"))
+            rows_ = written(rows_, "counted")
         if last:
             a, b = (rows_.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in OPEN]) for x in "uv")
             pairs = a.join(b, "bucket").where("cls_u < cls_v")
@@ -175,17 +180,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             hub = rows_.groupBy("bucket").agg(F.max(F.struct("centre", *OPEN)).alias("hub")).select("bucket", *[F.col(f"hub.{c}").alias(f"{c}_u") for c in OPEN])
             rows_ = written(rows_.join(hub, "bucket").where("cls <> cls_u"), "rest")
             pairs = rows_.withColumnsRenamed({c: f"{c}_v" for c in OPEN})
-        may = (F.col("root_u") != F.col("root_v")) & (per_cent * (F.col("n_u") + F.col("n_v")) <= (100 + per_cent) * F.least("shared_u", "shared_v"))
-        pairs = written(pairs.where(may).select(F.least("cls_u", "cls_v").alias("u"), F.greatest("cls_u", "cls_v").alias("v")).distinct(), "pairs")
+        # pairs that share a rare shingle are found by it; the others must be close in the frequent ones alone
+        bound = "often" if last and turn else "shared"
+        may = (F.col("root_u") != F.col("root_v")) & (per_cent * (F.col("n_u") + F.col("n_v")) <= (100 + per_cent) * F.least(f"{bound}_u", f"{bound}_v"))
+        pairs = pairs.where(may).select(F.least("cls_u", "cls_v").alias("u"), F.greatest("cls_u", "cls_v").alias("v"))
+        if last and turn:
+            pairs = pairs.union(sharing(each, rows_))
+        pairs = written(pairs.distinct(), "pairs")
         links = written(links.union(verified(pairs, sets, per_cent)), "links")
         labels = written(components(links), "labels")
         if last:
             break
         rows_ = rows_.drop("root").join(labels.withColumnsRenamed({"node": "cls", "root": "seen"}), "cls", "left").withColumn("root", F.coalesce("seen", "cls"))
         split = rows_.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        rows_ = written(rows_.join(split.select("bucket"), "bucket").select("bucket", "cls", "n", "root"), "open")
-        rows_ = rows_.join(in_common(sets.join(rows_.select("cls").distinct(), "cls", "left_semi")), "cls")
-        rows_ = written(rows_.where(100 * F.col("shared") >= per_cent * F.col("n")).withColumn("centre", F.col("shared") / F.col("n")), "open")
+        rows_ = written(rows_.join(split.select("bucket"), "bucket").select("bucket", "cls", "n", "shared", "often", "centre", "root"), "open")
 
     grouped = classes.select("cls", "id").join(labels, F.col("cls") == F.col("node"), "left").select("cls", "id", F.coalesce("root", "cls").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -195,11 +203,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def in_common(sets: DataFrame) -> DataFrame:
-    """(cls, shared): how many shingles of each set are in some other set too. No two sets share more than either has so."""
-    each = sets.select("cls", F.explode("hashes").alias("h"))
-    often = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    return each.join(often, "h", "left_semi").groupBy("cls").agg(F.count("*").alias("shared"))
+def common_shingles(sets: DataFrame) -> DataFrame:
+    """(h, cls, root, c) of the shingles that c > 1 of the sets have."""
+    each = sets.select("cls", "root", F.explode("hashes").alias("h"))
+    return written(each.join(each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h"), "common")
+
+
+def counted(each: DataFrame) -> DataFrame:
+    """(cls, shared, often): how many shingles of a set are in another set too, and in more than FEW. Two sets share no more than shared; sets that have none of the rarer ones in common, no more than often."""
+    return each.groupBy("cls").agg(F.count("*").alias("shared"), F.count_if(F.col("c") > FEW).alias("often"))
+
+
+def sharing(each: DataFrame, rows_: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components that have a shingle of at most FEW sets in common. Shingles of the same sets count once."""
+    kept = each.where(F.col("c") <= FEW).join(rows_.select("cls").distinct(), "cls", "left_semi")
+    lists = kept.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("cls", "root"))).alias("l")).select("l").distinct()
+    pair = F.expr("flatten(transform(l, (a, i) -> transform(slice(l, i + 2, size(l)), b -> struct(a.cls as u, b.cls as v, a.root as ru, b.root as rv))))")
+    return lists.select(F.explode(F.filter(pair, lambda p: p["ru"] != p["rv"])).alias("p")).select("p.u", "p.v")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:

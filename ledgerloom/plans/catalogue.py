@@ -1,4 +1,495 @@
-"""Registered queries and their SQL."""
+"""Registered queries: every operator on the given tables, beside the same result in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import compat, ledger
+from ledgerloom.operators import core, graph, stats
+from ledgerloom.plans import dsl
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+AS_OF = "2024-01-31"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its own name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """The event log: cents keep sums exact, day and hour come from the time without zones."""
+    e = table(spark, sf, "events")
+    return e.select("event_id", "user_id", "event_type", "props", F.floor(F.col("value") * 100).cast("long").alias("cents"), F.col("ts").cast("date").alias("day"), F.substring(F.col("ts").cast("string"), 1, 13).alias("hour"))
+
+
+EVENTS = "(SELECT event_id, user_id, event_type, props, CAST(floor(value * 100) AS BIGINT) AS cents, CAST(ts AS DATE) AS day, substr(CAST(ts AS VARCHAR), 1, 13) AS hour FROM events)"
+
+
+def transfers(spark: SparkSession, sf: str) -> DataFrame:
+    """Supplier to customer, token = part: suppliers are the negative accounts."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("value"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("tx"), (-F.col("l_suppkey")).alias("sender"), F.col("o_custkey").alias("receiver"), F.col("l_partkey").alias("token"), "value")
+
+
+TRANSFERS = "(SELECT l_orderkey AS tx, -l_suppkey AS sender, o_custkey AS receiver, l_partkey AS token, CAST(l_quantity AS BIGINT) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def trust(spark: SparkSession, sf: str) -> DataFrame:
+    """A directed graph on customers: who ordered a part trusts the customer whose number is the part's, modulo the customers."""
+    t = transfers(spark, sf).select(F.col("receiver").alias("src"), (F.col("token") % 997 + 1).alias("dst"))
+    return t.where("src <> dst and src <= 997").distinct()
+
+
+TRUST = f"(SELECT DISTINCT receiver AS src, token % 997 + 1 AS dst FROM {TRANSFERS} WHERE receiver <> token % 997 + 1 AND receiver <= 997)"
+
+
+# state views
+
+
+@query(f"SELECT account, token, CAST(SUM(d) AS BIGINT) AS balance FROM (SELECT sender AS account, token, -value AS d FROM {TRANSFERS} UNION ALL SELECT receiver, token, value FROM {TRANSFERS}) GROUP BY account, token HAVING SUM(d) > 0")
+def v_balances_by_account_and_token(spark, sf):
+    legs = core.double_entry(transfers(spark, sf), "sender", "receiver", "value", ["token"])
+    return core.balances(legs, ["token"]).where("balance > 0").select("account", "token", "balance")
+
+
+@query(f"SELECT account, CAST(SUM(d) AS BIGINT) AS balance, COUNT(*) AS legs FROM (SELECT sender AS account, -value AS d FROM {TRANSFERS} UNION ALL SELECT receiver, value FROM {TRANSFERS}) GROUP BY account")
+def q_total_balance(spark, sf):
+    legs = core.double_entry(transfers(spark, sf), "sender", "receiver", "value")
+    return legs.groupBy("account").agg(F.sum("delta").alias("balance"), F.count("*").alias("legs"))
+
+
+@query(f"SELECT user_id, event_type, event_id, cents FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM {EVENTS}) WHERE r = 1")
+def v_latest_relation(spark, sf):
+    return core.latest_by(events(spark, sf).select("user_id", "event_type", "event_id", "cents"), ["user_id", "event_type"], ["event_id"])
+
+
+@query(f"SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM {EVENTS}) WHERE r = 1 AND event_type <> 'error'")
+def v_latest_then_filter(spark, sf):
+    """The condition applies after the latest row is chosen."""
+    return core.latest_by(events(spark, sf).select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"]).where("event_type <> 'error'")
+
+
+@query(f"SELECT user_id, CAST(SUM(CASE WHEN event_type = 'purchase' THEN cents ELSE 0 END) - SUM(CASE WHEN event_type = 'error' THEN cents ELSE 0 END) AS BIGINT) AS supply FROM {EVENTS} GROUP BY user_id")
+def v_total_supply(spark, sf):
+    return core.signed_flow(events(spark, sf), ["user_id"], "cents", F.col("event_type") == "purchase", F.col("event_type") == "error")
+
+
+@query(
+    f"SELECT account, token, balance, CASE WHEN s = 0 THEN NULL ELSE round(CAST(balance AS DOUBLE) / s, 9) END AS fraction FROM (SELECT *, SUM(balance) OVER (PARTITION BY token) AS s FROM (SELECT receiver AS account, token, CAST(SUM(value) AS BIGINT) AS balance FROM {TRANSFERS} GROUP BY 1, 2))"
+)
+def v_holder_fractions(spark, sf):
+    held = transfers(spark, sf).groupBy(F.col("receiver").alias("account"), "token").agg(F.sum("value").alias("balance"))
+    return core.share_of_partition(held, ["token"], "balance").withColumn("fraction", F.round("fraction", 9))
+
+
+@query(
+    f"WITH e AS (SELECT user_id, event_id, event_type, cents % 7 AS grp FROM {EVENTS}), r AS (SELECT user_id, max(event_id) AS at FROM e WHERE event_type = 'signup' GROUP BY user_id), live AS (SELECT e.* FROM e LEFT JOIN r USING (user_id) WHERE r.at IS NULL OR e.event_id >= r.at), last AS (SELECT *, row_number() OVER (PARTITION BY user_id, grp ORDER BY event_id DESC) AS n FROM live) SELECT user_id, grp, event_id FROM last WHERE n = 1 AND event_type <> 'error'"
+)
+def v_membership_with_reset(spark, sf):
+    e = events(spark, sf).select("user_id", "event_id", (F.col("cents") % 7).alias("grp"), (F.col("event_type") != "error").alias("is_add"), (F.col("event_type") == "signup").alias("is_reset"))
+    return core.membership_with_reset(e, "user_id", "grp", "event_id", "is_add", "is_reset").select("user_id", "grp", "event_id")
+
+
+@query(f"WITH e AS (SELECT user_id, event_id, event_type FROM {EVENTS}), r AS (SELECT user_id, max(event_id) AS at FROM e WHERE event_type = 'signup' GROUP BY user_id) SELECT e.user_id, COUNT(*) AS conflicts FROM e JOIN r ON e.user_id = r.user_id AND e.event_id < r.at GROUP BY e.user_id")
+def v_seed_conflicts(spark, sf):
+    e = events(spark, sf).select("user_id", "event_id", "event_type")
+    resets = e.where("event_type = 'signup'").groupBy("user_id").agg(F.max("event_id").alias("at"))
+    return e.join(resets, "user_id").where("event_id < at").groupBy("user_id").agg(F.count("*").alias("conflicts"))
+
+
+@query(f"SELECT user_id, event_type, CAST(SUM(d) AS BIGINT) AS count, MAX(event_id) AS last_change FROM (SELECT user_id, event_type, event_id, CASE WHEN cents % 2 = 0 THEN 1 ELSE -1 END AS d FROM {EVENTS}) GROUP BY 1, 2 HAVING SUM(d) > 0")
+def v_owner_set_by_count(spark, sf):
+    e = events(spark, sf).withColumn("delta", F.when(F.col("cents") % 2 == 0, 1).otherwise(-1))
+    return core.set_by_count(e, ["user_id", "event_type"], "delta", "event_id")
+
+
+@query(f"SELECT 'events' AS label, COUNT(*) AS n FROM events UNION ALL SELECT 'users', COUNT(DISTINCT user_id) FROM events UNION ALL SELECT 'transfers', COUNT(*) FROM {TRANSFERS} UNION ALL SELECT 'tokens', COUNT(DISTINCT l_partkey) FROM lineitem")
+def v_stats(spark, sf):
+    e, t = table(spark, sf, "events"), transfers(spark, sf)
+    parts = [("events", e.agg(F.count("*"))), ("users", e.agg(F.count_distinct("user_id"))), ("transfers", t.agg(F.count("*"))), ("tokens", table(spark, sf, "lineitem").agg(F.count_distinct("l_partkey")))]
+    rows = [df.toDF("n").select(F.lit(k).alias("label"), "n") for k, df in parts]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+@query(
+    f"WITH t AS {TRUST}, d AS (SELECT node, CAST(SUM(o) AS BIGINT) AS out_degree, CAST(SUM(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM t UNION ALL SELECT dst, 0, 1 FROM t) GROUP BY node), m AS (SELECT a.src AS node, COUNT(*) AS m FROM t a JOIN t b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src), s AS (SELECT d.node, in_degree, least(40, in_degree * 2) + least(35, 7 * coalesce(m, 0)) + least(25, out_degree) AS raw FROM d LEFT JOIN m USING (node)) SELECT node, CAST(least(100, raw) AS BIGINT) AS score, CASE WHEN raw >= 60 THEN 'high' WHEN raw >= 30 THEN 'medium' ELSE 'low' END AS level FROM s"
+)
+def v_trust_scores(spark, sf):
+    t = trust(spark, sf)
+    both = graph.mutual(t).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("m"))
+    s = graph.degrees(t).join(both, "node", "left")
+    raw = F.least(F.lit(40), F.col("in_degree") * 2) + F.least(F.lit(35), 7 * F.coalesce("m", F.lit(0))) + F.least(F.lit(25), F.col("out_degree"))
+    return s.select("node", F.least(F.lit(100), raw).cast("long").alias("score"), F.when(raw >= 60, "high").when(raw >= 30, "medium").otherwise("low").alias("level"))
+
+
+@query("SELECT 'customer' AS kind, c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name, NULL FROM supplier")
+def v_avatars_union(spark, sf):
+    c = table(spark, sf, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return c.unionByName(table(spark, sf, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), allowMissingColumns=True)
+
+
+# time series
+
+
+@query(
+    f"WITH d AS (SELECT user_id, day, CAST(SUM(cents) AS BIGINT) AS delta FROM {EVENTS} GROUP BY 1, 2), k AS (SELECT user_id, MIN(day) AS f FROM d GROUP BY 1), c AS (SELECT user_id, CAST(unnest(generate_series(f, DATE '{AS_OF}', INTERVAL 1 DAY)) AS DATE) AS day FROM k), j AS (SELECT c.user_id, c.day, coalesce(delta, 0) AS delta FROM c LEFT JOIN d USING (user_id, day)) SELECT user_id, CAST(day AS VARCHAR) AS day, delta, CAST(SUM(delta) OVER (PARTITION BY user_id ORDER BY day) AS BIGINT) AS total FROM j"
+)
+def t_dense_daily(spark, sf):
+    out = core.dense_series(events(spark, sf), ["user_id"], "day", "cents", F.lit(AS_OF).cast("date"), "1 day")
+    return out.select("user_id", F.col("day").cast("string").alias("day"), "delta", "total")
+
+
+@query(
+    f"WITH d AS (SELECT event_type, strptime(hour, '%Y-%m-%d %H') AS h, CAST(SUM(cents) AS BIGINT) AS delta FROM {EVENTS} GROUP BY 1, 2), k AS (SELECT event_type, MIN(h) AS f FROM d GROUP BY 1), c AS (SELECT event_type, unnest(generate_series(f, TIMESTAMP '{AS_OF} 00:00:00', INTERVAL 1 HOUR)) AS h FROM k), j AS (SELECT c.event_type, c.h, coalesce(delta, 0) AS delta FROM c LEFT JOIN d USING (event_type, h)) SELECT event_type, strftime(h, '%Y-%m-%d %H') AS hour, delta, CAST(SUM(delta) OVER (PARTITION BY event_type ORDER BY h) AS BIGINT) AS total FROM j"
+)
+def t_dense_hourly(spark, sf):
+    e = events(spark, sf).withColumn("h", F.expr("cast(concat(hour, ':00:00') as timestamp_ntz)"))
+    out = core.dense_series(e, ["event_type"], "h", "cents", F.expr(f"timestamp_ntz'{AS_OF} 00:00:00'"), "1 hour")
+    return out.select("event_type", F.substring(F.col("h").cast("string"), 1, 13).alias("hour"), "delta", "total")
+
+
+@query(f"SELECT user_id, event_id, event_type, until - event_id AS length FROM (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt, LEAST(lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id), event_id + 500) AS until FROM {EVENTS}) WHERE until IS NULL OR until > event_id")
+def t_intervals(spark, sf):
+    e = events(spark, sf).select("user_id", "event_id", "event_type", (F.col("event_id") + 500).alias("expiry"))
+    return core.intervals(e, ["user_id"], "event_id", ["event_id"], "expiry").select("user_id", "event_id", "event_type", (F.col("until") - F.col("event_id")).alias("length"))
+
+
+@query(f"SELECT user_id, event_id, cents, CAST(SUM(cents) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS total FROM {EVENTS}")
+def w_running_total(spark, sf):
+    return core.running_total(events(spark, sf).select("user_id", "event_id", "cents"), ["user_id"], ["event_id"], "cents")
+
+
+@query(f"SELECT user_id, event_id, lag(cents) OVER w AS before, lead(cents) OVER w AS after FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def w_lead_lag(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return events(spark, sf).select("user_id", "event_id", F.lag("cents").over(w).alias("before"), F.lead("cents").over(w).alias("after"))
+
+
+# joins
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def j_semi(spark, sf):
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, sf, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_nationkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def j_anti_chain(spark, sf):
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").select("c_custkey")
+    on = F.col("c_custkey") == F.col("o_custkey")
+    return c.join(o.where("o_orderstatus = 'P'"), on, "left_anti").join(o.where("o_totalprice > 300000"), on, "left_anti")
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, a.n AS orders, b.n AS events FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT user_id AS k, COUNT(*) AS n FROM events GROUP BY 1) b ON a.k = b.k")
+def j_full_merge(spark, sf):
+    a = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"))
+    b = table(spark, sf, "events").groupBy(F.col("user_id").alias("k")).agg(F.count("*").alias("events"))
+    return a.join(b, "k", "full")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderkey DESC LIMIT 1) ON true")
+def j_lateral_top1(spark, sf):
+    top = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
+    return table(spark, sf, "customer").join(top, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+@query(f"SELECT account, COUNT(*) AS n, COUNT(DISTINCT other) AS others FROM (SELECT sender AS account, receiver AS other FROM {TRANSFERS} UNION ALL SELECT receiver, sender FROM {TRANSFERS}) GROUP BY account")
+def j_counterparties(spark, sf):
+    legs = transfers(spark, sf).select(F.explode(F.array(F.struct(F.col("sender").alias("account"), F.col("receiver").alias("other")), F.struct(F.col("receiver").alias("account"), F.col("sender").alias("other")))).alias("l"))
+    return legs.groupBy("l.account").agg(F.count("*").alias("n"), F.count_distinct("l.other").alias("others"))
+
+
+@query("SELECT n_name, r_name, CAST(COUNT(*) AS BIGINT) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def j_inner_star(spark, sf):
+    c, n, r = (table(spark, sf, x) for x in ("customer", "nation", "region"))
+    per = c.groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+    return per.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", "customers")
+
+
+@query(f"SELECT tx, sender, receiver, token, value FROM {TRANSFERS} WHERE sender = -7 OR receiver = 7")
+def j_or_membership(spark, sf):
+    return transfers(spark, sf).where("sender = -7 or receiver = 7")
+
+
+# set operations and unions
+
+
+@query("SELECT o_custkey AS id FROM orders INTERSECT SELECT user_id FROM events")
+def u_intersect(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("id")).intersect(table(spark, sf, "events").select("user_id"))
+
+
+@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+def u_except(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).distinct().join(table(spark, sf, "orders"), F.col("id") == F.col("o_custkey"), "left_anti")
+
+
+@query("SELECT c_nationkey AS id FROM customer UNION SELECT s_nationkey FROM supplier")
+def u_distinct(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("id")).union(table(spark, sf, "supplier").select("s_nationkey")).distinct()
+
+
+@query(
+    f"SELECT event_id AS at, 'event' AS event, '{{\"user_id\":' || user_id || ',\"cents\":' || cents || '}}' AS payload FROM {EVENTS} UNION ALL SELECT o_orderkey, 'order', '{{\"o_custkey\":' || o_custkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}}' FROM orders"
+)
+def u_event_union(spark, sf):
+    e = events(spark, sf).select(F.col("event_id").alias("at"), "user_id", "cents")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("at"), "o_custkey", "o_orderstatus")
+    return core.event_union({"event": e, "order": o}, ["at"])
+
+
+# aggregates and statistics
+
+
+@query(f"SELECT event_type, CAST(SUM(cents) AS BIGINT) AS s, MIN(cents) AS low, MAX(cents) AS high, round(AVG(cents), 6) AS mean, COUNT(*) AS n, COUNT(DISTINCT user_id) AS users, round(stddev_samp(cents), 4) AS deviation FROM {EVENTS} GROUP BY event_type")
+def a_group_by(spark, sf):
+    return events(spark, sf).groupBy("event_type").agg(F.sum("cents").alias("s"), F.min("cents").alias("low"), F.max("cents").alias("high"), F.round(F.avg("cents"), 6).alias("mean"), F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.stddev_samp("cents"), 4).alias("deviation"))
+
+
+@query(f"SELECT COUNT(*) AS pairs FROM (SELECT DISTINCT user_id, CASE WHEN cents % 3 = 0 THEN NULL ELSE cents % 3 END AS m FROM {EVENTS})")
+def a_distinct_tuples(spark, sf):
+    e = events(spark, sf).select("user_id", F.when(F.col("cents") % 3 != 0, F.col("cents") % 3).alias("m"))
+    return e.agg(compat.count_distinct_tuples("user_id", "m").alias("pairs"))
+
+
+@query(f"SELECT user_id, COUNT(*) FILTER (WHERE event_type = 'click') AS clicks, COUNT(*) FILTER (WHERE cents > 5000) AS large FROM {EVENTS} GROUP BY user_id HAVING COUNT(*) > 10")
+def a_filter_having(spark, sf):
+    return events(spark, sf).groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("cents") > 5000).alias("large"), F.count("*").alias("n")).where("n > 10").drop("n")
+
+
+@query(f"SELECT event_type, round(quantile_cont(cents, 0.5), 4) AS p50, round(quantile_cont(cents, 0.9), 4) AS p90, round(quantile_cont(cents, 0.99), 4) AS p99 FROM {EVENTS} GROUP BY event_type")
+def a_percentiles(spark, sf):
+    return events(spark, sf).groupBy("event_type").agg(*[F.round(F.percentile("cents", p), 4).alias(f"p{round(p * 100)}") for p in (0.5, 0.9, 0.99)])
+
+
+@query("SELECT CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT) AS bucket, COUNT(*) AS n FROM customer GROUP BY 1")
+def a_histogram(spark, sf):
+    return table(spark, sf, "customer").groupBy((F.floor(F.col("c_acctbal") / 1000) * 1000).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("WITH b AS (SELECT CAST(floor(c_acctbal * 100) AS BIGINT) AS v FROM customer WHERE c_acctbal > 0), r AS (SELECT v, row_number() OVER (ORDER BY v) AS i, COUNT(*) OVER () AS n FROM b WHERE v > 0) SELECT round(2 * SUM(CAST(i AS DOUBLE) * v) / (MAX(n) * SUM(CAST(v AS DOUBLE))) - (MAX(n) + 1) / CAST(MAX(n) AS DOUBLE), 9) AS gini, MAX(n) AS n FROM r")
+def k_gini(spark, sf):
+    b = table(spark, sf, "customer").select(F.floor(F.col("c_acctbal") * 100).cast("long").alias("v"))
+    return stats.gini(b, "v").select(F.round("gini", 9).alias("gini"), "n")
+
+
+@query("WITH b AS (SELECT CAST(floor(c_acctbal * 100) AS BIGINT) AS v FROM customer WHERE c_acctbal > 0) SELECT round((SELECT SUM(v) FROM (SELECT v FROM b ORDER BY v DESC LIMIT 10)) / CAST(SUM(v) AS DOUBLE), 9) AS share FROM b")
+def k_top_share(spark, sf):
+    b = table(spark, sf, "customer").where("c_acctbal > 0").select(F.floor(F.col("c_acctbal") * 100).cast("long").alias("v"))
+    return stats.top_share(b, "v", 10).select(F.round("share", 9).alias("share"))
+
+
+@query(f"SELECT COUNT(*) FILTER (WHERE day > DATE '{AS_OF}' - INTERVAL 1 DAY) AS d1, COUNT(*) FILTER (WHERE day > DATE '{AS_OF}' - INTERVAL 7 DAY) AS d7, COUNT(*) FILTER (WHERE day > DATE '{AS_OF}' - INTERVAL 14 DAY) AS d14, COUNT(*) FILTER (WHERE day > DATE '{AS_OF}' - INTERVAL 30 DAY) AS d30 FROM {EVENTS} WHERE day <= DATE '{AS_OF}'")
+def k_trailing_windows(spark, sf):
+    return stats.windowed_counts(events(spark, sf), "day", F.lit(AS_OF).cast("date"), {f"d{n}": f"{n} days" for n in (1, 7, 14, 30)})
+
+
+@query(f"SELECT COUNT(DISTINCT user_id) FILTER (WHERE day > DATE '{AS_OF}' - INTERVAL 7 DAY) AS w1, COUNT(DISTINCT user_id) FILTER (WHERE day > DATE '{AS_OF}' - INTERVAL 30 DAY) AS m1 FROM {EVENTS} WHERE day <= DATE '{AS_OF}'")
+def k_active_users(spark, sf):
+    return stats.windowed_counts(events(spark, sf), "day", F.lit(AS_OF).cast("date"), {"w1": "7 days", "m1": "30 days"}, "user_id")
+
+
+@query(f"WITH f AS (SELECT user_id, MIN(day) AS cohort FROM {EVENTS} GROUP BY 1), b AS (SELECT DISTINCT e.user_id FROM {EVENTS} e JOIN f USING (user_id) WHERE day > cohort AND date_diff('day', cohort, day) <= 7) SELECT CAST(cohort AS VARCHAR) AS cohort, COUNT(*) AS users, COUNT(b.user_id) AS returned FROM f LEFT JOIN b USING (user_id) GROUP BY cohort")
+def k_retention(spark, sf):
+    return stats.retention(events(spark, sf), "user_id", "day", 7).select(F.col("cohort").cast("string").alias("cohort"), "users", "returned")
+
+
+@query(f"WITH d AS (SELECT event_type, day, CAST(SUM(cents) AS BIGINT) AS v FROM {EVENTS} GROUP BY 1, 2), l AS (SELECT event_type, MAX(day) AS m FROM d GROUP BY 1) SELECT d.event_type, MAX(CASE WHEN day = m THEN v END) AS latest, round((MAX(CASE WHEN day = m THEN v END) - AVG(CASE WHEN day < m THEN v END)) / stddev_samp(CASE WHEN day < m THEN v END), 6) AS z FROM d JOIN l ON d.event_type = l.event_type GROUP BY d.event_type")
+def k_zscore(spark, sf):
+    d = events(spark, sf).groupBy("event_type", "day").agg(F.sum("cents").alias("v"))
+    return stats.zscore_latest(d, ["event_type"], "day", "v").select("event_type", "latest", F.round("z", 6).alias("z"))
+
+
+@query(f"SELECT user_id, CAST(SUM(n) AS BIGINT) AS n, string_agg(event_type, ' & ' ORDER BY event_type) AS kinds FROM (SELECT user_id, event_type, COUNT(*) AS n FROM {EVENTS} GROUP BY 1, 2) GROUP BY user_id")
+def a_string_agg(spark, sf):
+    per = events(spark, sf).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return per.groupBy("user_id").agg(F.sum("n").alias("n"), F.concat_ws(" & ", F.array_sort(F.collect_list("event_type"))).alias("kinds"))
+
+
+# scalars
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(trunc((user_id - 75) / 4.0) AS BIGINT) AS q, greatest(user_id, 10) AS g, nullif(user_id, 3) AS u FROM events")
+def f_json_and_integers(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), compat.int_div(F.col("user_id") - 75, F.lit(4)).alias("q"), F.greatest("user_id", F.lit(10)).alias("g"), F.nullif("user_id", F.lit(3)).alias("u"))
+
+
+@query(f"SELECT event_id, day_ AS d, round(cents * power(power(0.93, 1 / 365.25), day_), 6) AS decayed FROM (SELECT event_id, cents, CAST(greatest(0, (epoch(CAST(day AS TIMESTAMP)) - 1602720000) // 86400) AS BIGINT) AS day_ FROM {EVENTS})")
+def f_decay(spark, sf):
+    e = events(spark, sf).withColumn("d", ledger.day_index(F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long") * 86400))
+    return e.select("event_id", "d", F.round(ledger.decayed(F.col("cents"), F.col("d")), 6).alias("decayed"))
+
+
+@query("SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '' AND starts_with(x, 'that'))) > 0 AND len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '' AND starts_with(x, 'sh'))) > 0")
+def f_prefix_search(spark, sf):
+    return table(spark, sf, "documents").where(ledger.prefix_match(F.col("text"), "that sh")).select("doc_id")
+
+
+@query("SELECT p_partkey, upper(p_brand) AS brand FROM part WHERE p_type LIKE '%STEEL%' OR p_name ILIKE 'A%'")
+def f_like(spark, sf):
+    return table(spark, sf, "part").where(F.col("p_type").like("%STEEL%") | F.col("p_name").ilike("A%")).select("p_partkey", F.upper("p_brand").alias("brand"))
+
+
+# graph
+
+
+@query(f"SELECT node, CAST(SUM(o) AS BIGINT) AS out_degree, CAST(SUM(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM {TRUST} UNION ALL SELECT dst, 0, 1 FROM {TRUST}) GROUP BY node")
+def g_degrees(spark, sf):
+    return graph.degrees(trust(spark, sf))
+
+
+@query(f"WITH t AS {TRUST} SELECT COUNT(*) AS edges, COUNT(b.src) AS mutual, round(COUNT(b.src) / CAST(COUNT(*) AS DOUBLE), 9) AS reciprocity FROM t a LEFT JOIN t b ON a.src = b.dst AND a.dst = b.src")
+def g_reciprocity(spark, sf):
+    return graph.reciprocity(trust(spark, sf)).withColumn("reciprocity", F.round("reciprocity", 9))
+
+
+@query(f"WITH t AS {TRUST}, n AS (SELECT COUNT(*) AS nodes FROM (SELECT src FROM t UNION SELECT dst FROM t)) SELECT COUNT(*) AS edges, MAX(nodes) AS nodes, round(COUNT(*) / CAST(MAX(nodes) * (MAX(nodes) - 1) AS DOUBLE), 9) AS density FROM t, n")
+def g_density(spark, sf):
+    return graph.density(trust(spark, sf)).withColumn("density", F.round("density", 9))
+
+
+@query(f"WITH t AS {TRUST} SELECT b.dst, COUNT(*) AS ways FROM t a JOIN t b ON a.dst = b.src WHERE a.src = 1 AND b.dst <> 1 AND b.dst NOT IN (SELECT dst FROM t WHERE src = 1) GROUP BY b.dst")
+def g_two_hop(spark, sf):
+    return graph.two_hop(trust(spark, sf), 1)
+
+
+@query(f"WITH t AS {TRUST} SELECT dst FROM t WHERE src = 1 INTERSECT SELECT dst FROM t WHERE src = 2")
+def g_common_trust(spark, sf):
+    return graph.common_targets(trust(spark, sf), 1, 2)
+
+
+@query(f"WITH t AS {TRUST}, h AS (SELECT receiver AS account, token % 997 + 1 AS token, CAST(SUM(value) AS BIGINT) AS balance FROM {TRANSFERS} WHERE receiver <= 997 GROUP BY 1, 2) SELECT h.account AS src, t.src AS dst, h.token, h.balance AS capacity FROM h JOIN t ON h.token = t.dst WHERE h.account <> t.src AND h.account % 10 = 1")
+def g_capacity_edges(spark, sf):
+    return graph.capacity_edges(holdings(spark, sf).where("account % 10 = 1"), trust(spark, sf))
+
+
+def holdings(spark, sf):
+    return transfers(spark, sf).where("receiver <= 997").groupBy(F.col("receiver").alias("account"), (F.col("token") % 997 + 1).alias("token")).agg(F.sum("value").alias("balance"))
+
+
+@query()
+def g_max_flow(spark, sf):
+    """Transfers of a largest flow between two accounts; checked by value and conservation in tests."""
+    return graph.route(holdings(spark, sf), trust(spark, sf), 1, 2, hops=2)
+
+
+@query(f"SELECT tx, low, high, CAST(SUM(v) AS BIGINT) AS net, COUNT(*) AS transfers FROM (SELECT tx, least(sender, receiver) AS low, greatest(sender, receiver) AS high, CASE WHEN sender <= receiver THEN value ELSE -value END AS v FROM {TRANSFERS} WHERE sender <> receiver) GROUP BY 1, 2, 3 HAVING SUM(v) <> 0")
+def g_net_by_pair(spark, sf):
+    return core.net_by_pair(transfers(spark, sf), ["tx"], "sender", "receiver", "value")
+
+
+# incremental state
+
+
+@query(f"SELECT user_id, CAST(SUM(cents) AS BIGINT) AS total FROM {EVENTS} GROUP BY user_id")
+def i_watermark_merge(spark, sf):
+    """A snapshot up to a watermark, merged with what came later, equals the full sum."""
+    e = events(spark, sf)
+    mark = e.agg(F.expr("cast(max(event_id) * 0.7 as bigint)")).first()[0] or 0
+    old, new = (e.where(c).groupBy("user_id").agg(F.sum("cents").alias("total")) for c in (F.col("event_id") <= mark, F.col("event_id") > mark))
+    return core.merge_delta(old, new, ["user_id"], "total")
+
+
+@query(f"SELECT user_id, event_id, cents FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM {EVENTS}) WHERE r = 1")
+def i_affected_recompute(spark, sf):
+    """Keys with newer events are recomputed, the others come from the snapshot."""
+    e = events(spark, sf).select("user_id", "event_id", "cents")
+    mark = e.agg(F.expr("cast(max(event_id) * 0.9 as bigint)")).first()[0] or 0
+    snapshot = core.latest_by(e.where(F.col("event_id") <= mark), ["user_id"], ["event_id"])
+    changed = e.where(F.col("event_id") > mark).select("user_id").distinct()
+    return core.affected_recompute(snapshot, core.latest_by(e.join(changed, "user_id", "left_semi"), ["user_id"], ["event_id"]), changed, ["user_id"])
+
+
+@query(f"SELECT user_id, COUNT(*) AS n, MAX(event_id) AS last FROM {EVENTS} WHERE event_id <= 500 GROUP BY user_id")
+def i_pinned_at(spark, sf):
+    return events(spark, sf).where("event_id <= 500").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+@query("SELECT first_missing, last_missing FROM (SELECT o_custkey + 1 AS first_missing, lead(o_custkey) OVER (ORDER BY o_custkey) - 1 AS last_missing FROM (SELECT DISTINCT o_custkey FROM orders)) WHERE last_missing >= first_missing")
+def i_gaps(spark, sf):
+    return core.gaps(table(spark, sf, "orders").select("o_custkey"), "o_custkey")
+
+
+# the query language
+
+
+def _tables(spark, sf):
+    return {("Ledger", "Events"): events(spark, sf), ("Ledger", "Orders"): table(spark, sf, "orders"), ("Ledger", "Customers"): table(spark, sf, "customer")}
+
+
+@query(f"SELECT event_id, user_id, cents FROM {EVENTS} WHERE event_type IN ('click', 'view') AND (cents >= 2500 OR user_id = 3) ORDER BY event_id DESC LIMIT 51")
+def d_filter_order_limit(spark, sf):
+    q = {"namespace": "Ledger", "table": "Events", "columns": ["user_id", "cents"], "limit": 50, "order": [{"column": "event_id", "sortOrder": "DESC"}]}
+    q["filter"] = [{"type": "FilterPredicate", "filterType": "In", "column": "event_type", "value": ["click", "view"]}]
+    q["filter"].append({"type": "Conjunction", "conjunctionType": "Or", "predicates": [{"type": "FilterPredicate", "filterType": "GreaterThanOrEquals", "column": "cents", "value": "2500"}, {"type": "FilterPredicate", "filterType": "Equals", "column": "user_id", "value": 3}]})
+    return dsl.compile_query(_tables(spark, sf), q, ["event_id"])[0].select("event_id", "user_id", "cents")
+
+
+@query(f"SELECT event_id, user_id FROM {EVENTS} WHERE event_id > 120 AND event_type NOT LIKE 'e%' ORDER BY event_id LIMIT 26")
+def d_keyset_page(spark, sf):
+    q = {"Namespace": "Ledger", "Table": "Events", "Columns": ["user_id"], "Limit": 25, "Filter": [{"Type": "FilterPredicate", "FilterType": "NotLike", "Column": "event_type", "Value": "e%"}]}
+    return dsl.compile_query(_tables(spark, sf), q, ["event_id"], dsl.cursor_of([120]))[0].select("event_id", "user_id")
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority IS NOT NULL")
+def d_distinct(spark, sf):
+    q = {"namespace": "Ledger", "table": "Orders", "columns": ["o_orderstatus", "o_orderpriority"], "distinct": True, "filter": [{"type": "FilterPredicate", "filterType": "NotEquals", "column": "o_orderstatus", "value": "P"}, {"type": "FilterPredicate", "filterType": "IsNotNull", "column": "o_orderpriority"}]}
+    return dsl.compile_query(_tables(spark, sf), q, ["o_orderkey"])[0]
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 0 AND c_custkey <= 900 ORDER BY c_custkey LIMIT 101")
+def d_default_limit(spark, sf):
+    q = {"namespace": "Ledger", "table": "Customers", "columns": ["c_custkey", "c_name"], "filter": [{"type": "FilterPredicate", "filterType": "LessThan", "column": "c_acctbal", "value": 0}, {"type": "FilterPredicate", "filterType": "LessThanOrEquals", "column": "c_custkey", "value": "900"}, {"type": "Conjunction", "conjunctionType": "And", "predicates": []}]}
+    return dsl.compile_query(_tables(spark, sf), q, ["c_custkey"])[0]
+
+
+# named queries and pages
+
+
+@query(f"SELECT receiver AS account, CAST(SUM(value) AS BIGINT) AS balance FROM {TRANSFERS} WHERE token = 10 GROUP BY 1 HAVING SUM(value) > 0 AND receiver > 100 ORDER BY account LIMIT 21")
+def q_token_holders(spark, sf):
+    held = transfers(spark, sf).where("token = 10").groupBy(F.col("receiver").alias("account")).agg(F.sum("value").alias("balance")).where("balance > 0")
+    return core.keyset_page(held, ["account"], 20, [100])
+
+
+@query(f"SELECT token, CAST(SUM(CASE WHEN receiver = 7 THEN value ELSE 0 END) AS BIGINT) AS received, COUNT(*) AS n FROM {TRANSFERS} WHERE receiver = 7 GROUP BY token")
+def q_token_balances(spark, sf):
+    return transfers(spark, sf).where("receiver = 7").groupBy("token").agg(F.sum("value").alias("received"), F.count("*").alias("n"))
+
+
+@query(f"WITH t AS {TRUST} SELECT other, CASE WHEN COUNT(DISTINCT d) = 2 THEN 'mutual' WHEN MIN(d) = 'out' THEN 'trusts' ELSE 'trusted by' END AS relation FROM (SELECT dst AS other, 'out' AS d FROM t WHERE src = 5 UNION ALL SELECT src, 'in' FROM t WHERE dst = 5) GROUP BY other")
+def q_aggregated_trust(spark, sf):
+    t = trust(spark, sf).where("src = 5 or dst = 5")
+    legs = t.select(F.when(F.col("src") == 5, F.col("dst")).otherwise(F.col("src")).alias("other"), (F.col("src") == 5).alias("out"))
+    both = legs.groupBy("other").agg(F.bool_or("out").alias("o"), F.bool_or(~F.col("out")).alias("i"))
+    return both.select("other", F.when(F.col("o") & F.col("i"), "mutual").when(F.col("o"), "trusts").otherwise("trusted by").alias("relation"))
+
+
+@query(f"SELECT tx, sender, receiver, token, CAST(SUM(value) AS BIGINT) AS value, COUNT(*) AS parts FROM {TRANSFERS} WHERE receiver = 11 GROUP BY 1, 2, 3, 4")
+def q_transfer_history(spark, sf):
+    return transfers(spark, sf).where("receiver = 11").groupBy("tx", "sender", "receiver", "token").agg(F.sum("value").alias("value"), F.count("*").alias("parts"))
+
+
+@query("SELECT s_suppkey, s_name, CAST(coalesce(n, 0) AS BIGINT) AS lines FROM supplier LEFT JOIN (SELECT l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey ORDER BY lines DESC, s_suppkey LIMIT 10 OFFSET 5")
+def q_ranked_page(spark, sf):
+    n = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    out = table(spark, sf, "supplier").join(n, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("lines"))
+    return out.orderBy(F.desc("lines"), "s_suppkey").offset(5).limit(10)
