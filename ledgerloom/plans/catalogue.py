@@ -338,7 +338,7 @@ def f_decay(spark, sf):
     return e.select("event_id", "d", F.round(ledger.decayed(F.col("cents"), F.col("d")), 6).alias("decayed"))
 
 
-@query("SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '' AND starts_with(x, 'that'))) > 0 AND len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '' AND starts_with(x, 'sh'))) > 0")
+@query("SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '' AND starts_with(x, 'that'))) > 0 AND len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '' AND starts_with(x, 'sh'))) > 0")
 def f_prefix_search(spark, sf):
     return table(spark, sf, "documents").where(ledger.prefix_match(F.col("text"), "that sh")).select("doc_id")
 
