@@ -67,14 +67,19 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 4.0, steps: int =
     q = np.bincount(idx[toxic[owner] == 0], minlength=size) + 1.0
     df = p + q - 2
     ratio = np.where(df >= 3, np.log(p / (pos + 2)) - np.log(q / (n - pos + 2)), 0.0)
+    # features of no weight drop out; the scaling is applied to weights and gradients, not to each occurrence
+    used = ratio[idx] != 0
+    sizes, idx = np.bincount(owner[used], minlength=n), idx[used]
+    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1][sizes > 0]
     w, b = np.zeros(size), float(np.log(pos / (n - pos)))
     m = (np.zeros(size), 0.0)
     v = (np.zeros(size), 0.0)
-    scale = ratio[idx]
     for k in range(1, steps + 1):
-        z = np.bincount(owner, weights=w[idx] * scale, minlength=n) + b
+        z = np.full(n, b)
+        if len(idx):
+            z[sizes > 0] += np.add.reduceat((w * ratio)[idx], starts)
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        grad = (np.bincount(idx, weights=err[owner] * scale, minlength=size) + l2 * w / n, err.sum())
+        grad = (ratio * np.bincount(idx, weights=np.repeat(err, sizes), minlength=size) + l2 * w / n, err.sum())
         m = tuple(0.9 * x + 0.1 * g for x, g in zip(m, grad, strict=True))
         v = tuple(0.99 * x + 0.01 * g * g for x, g in zip(v, grad, strict=True))
         step = [0.02 * (x / (1 - 0.9**k)) / (np.sqrt(t / (1 - 0.99**k)) + 1e-8) for x, t in zip(m, v, strict=True)]
