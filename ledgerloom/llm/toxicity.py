@@ -67,24 +67,34 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 4.0, steps: int =
     q = np.bincount(idx[toxic[owner] == 0], minlength=size) + 1.0
     df = p + q - 2
     ratio = np.where(df >= 3, np.log(p / (pos + 2)) - np.log(q / (n - pos + 2)), 0.0)
-    # features of no weight drop out; the scaling is applied to weights and gradients, not to each occurrence
-    used = ratio[idx] != 0
-    sizes, idx = np.bincount(owner[used], minlength=n), idx[used]
-    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1][sizes > 0]
-    w, b = np.zeros(size), float(np.log(pos / (n - pos)))
-    m = (np.zeros(size), 0.0)
-    v = (np.zeros(size), 0.0)
+    # features of no weight drop out, the frequent ones come first, and weights and gradients are scaled rather than occurrences
+    common = np.argsort(-df, kind="stable")
+    common = common[ratio[common] != 0]
+    place = np.full(size, -1, np.int32)
+    place[common] = np.arange(len(common))
+    at = place[idx]
+    owner, at = owner[at >= 0], at[at >= 0].astype(np.int64)
+    rows_at, starts = np.unique(owner, return_index=True)
+    by_feature = owner[np.argsort(at, kind="stable")].astype(np.int32)
+    firsts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(common)))))[:-1]
+    r = ratio[common]
+    w, b = np.zeros(len(common)), float(np.log(pos / (n - pos)))
+    m = (np.zeros(len(common)), 0.0)
+    v = (np.zeros(len(common)), 0.0)
     for k in range(1, steps + 1):
         z = np.full(n, b)
-        if len(idx):
-            z[sizes > 0] += np.add.reduceat((w * ratio)[idx], starts)
+        if len(at):
+            z[rows_at] += np.add.reduceat((w * r)[at], starts)
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        grad = (ratio * np.bincount(idx, weights=np.repeat(err, sizes), minlength=size) + l2 * w / n, err.sum())
+        sums = np.add.reduceat(err[by_feature], firsts) if len(at) else np.zeros(0)
+        grad = (r * sums + l2 * w / n, err.sum())
         m = tuple(0.9 * x + 0.1 * g for x, g in zip(m, grad, strict=True))
         v = tuple(0.99 * x + 0.01 * g * g for x, g in zip(v, grad, strict=True))
         step = [0.02 * (x / (1 - 0.9**k)) / (np.sqrt(t / (1 - 0.99**k)) + 1e-8) for x, t in zip(m, v, strict=True)]
-        w, b = w - step[0] * (ratio != 0), b - 5 * float(step[1])
-    return (w * ratio).astype(np.float32), b
+        w, b = w - step[0], b - 5 * float(step[1])
+    weights = np.zeros(size, np.float32)
+    weights[common] = w * r
+    return weights, b
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
