@@ -1,6 +1,7 @@
 import pytest
 from oracle import actual, expected
 
+from ledgerloom.plans import kpis  # noqa: F401  adds its queries
 from ledgerloom.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
