@@ -252,6 +252,15 @@ def test_tokens_round_trip_and_packing(spark, odd, docs):
     assert {r.sequence_id: list(r.ids) for r in packing.sequences(placed).collect()} == {s: sum((list(x) for x in g.sort_values("offset").ids), []) for s, g in rows.groupby("sequence_id")}
 
 
+def test_ids_around_white_space_are_the_tokenizers_own():
+    encoder, rng = packing.Encoder(None), np.random.default_rng(3)
+    encoder.chunks.most = encoder.words.most = 5  # both generations turn over
+    parts = ["a", "b", "don't", "'s", "'ll", " ", " ", "  ", "   ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x0b", "\x85", "½", "Ⅷ", "9", "..", "é", "日本", "_", "x" * 80]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts, rng.integers(0, 12)))
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_bin_completion_is_optimal_on_small_cases():
     def fewest(items, cap):
         best = [len(items)]
