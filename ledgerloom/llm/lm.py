@@ -1,17 +1,18 @@
 """Language-model scoring with a log-frequency Bloom filter (Talbot and Osborne 2007).
 
 An n-gram of count c enters the filter once for each level 1 .. 1 + floor(log2 c).
-A count is read back by probing levels until one misses. The filter is split
-into segments by hash, each built where its n-grams meet after one shuffle, and
-broadcast to the workers; it takes ``BITS_A_TOKEN`` bits for each training
-token, ``MOST_BITS`` at most. Beyond that a segment keeps its most frequent
-n-grams and the others back off, as in a pruned model.
+A count is read back by probing levels until one misses. The filter takes
+``BITS_A_TOKEN`` bits for each training token at every size and no n-gram is
+left out. It is split into segments by hash, each built where its n-grams meet
+after one shuffle. Up to ``MOST_BITS`` it is broadcast; a larger one stays a
+table of segments, and each chunk of texts sends its distinct n-grams to their
+segments and gets the levels back. Scores are the same either way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from ledgerloom.llm.textops import Slice, mix, slices, u64
 
 SEGMENTS = 4096
 BITS_A_TOKEN = 8
-MOST_BITS = 1 << 29  # 64 MB
+MOST_BITS = 1 << 29  # of a filter that is broadcast: 64 MB
+CHUNK = 1 << 20  # tokens of texts that are probed together in a filter that isn't
 KNOWN = 1 << 20  # words of exact count that are broadcast at most: 16 MB
 LEVELS = 40
 WEIGHT = 0.7  # of the bigram estimate, where its context was seen
@@ -99,13 +101,6 @@ def build(h: np.ndarray, c: np.ndarray, words: int) -> tuple[np.ndarray, np.ndar
     segment = (h >> np.uint64(52)).astype(np.int64)
     level = np.floor(np.log2(c)).astype(np.int64) + 1
     have, at = np.unique(segment, return_inverse=True)
-    # over 11 bits a level a segment is full: its smallest counts go, a level at a time
-    load = np.zeros((len(have), LEVELS + 2), np.int64)
-    np.add.at(load, (at, np.minimum(level, LEVELS)), np.minimum(level, LEVELS))
-    above = load[:, ::-1].cumsum(axis=1)[:, ::-1]
-    cut = (above * 6 > words * 64).sum(axis=1)
-    keep = level >= cut[at]
-    h, level, at = h[keep], level[keep], at[keep]
     table = np.zeros(len(have) * words, np.uint64)
     for j in range(1, LEVELS + 1):
         more = level >= j
@@ -117,41 +112,67 @@ def build(h: np.ndarray, c: np.ndarray, words: int) -> tuple[np.ndarray, np.ndar
     return have, table.reshape(len(have), words)
 
 
-def probe(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Counts read back: 0, or the middle of the highest level found in a row."""
-    words = len(table) // SEGMENTS
+def levels(table: np.ndarray, h: np.ndarray, first: int = 0, segments: int = SEGMENTS) -> np.ndarray:
+    """The highest level found in a row; table holds ``segments`` segments from the ``first``."""
+    words = len(table) // segments
     level = np.zeros(len(h), np.int64)
     active = np.arange(len(h))
     for j in range(1, LEVELS + 1):
         own = h[active]
         word, bits = _places(own & u64(0x000FFFFFFFFFFFFF), j, words)
-        word += (own >> np.uint64(52)).astype(np.int64) * words
+        word += ((own >> np.uint64(52)).astype(np.int64) - first) * words
         active = active[(table[word] & bits) == bits]
         if not len(active):
             break
         level[active] = j
+    return level
+
+
+def middle(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for."""
     return np.where(level < 2, level, 1.5 * 2.0 ** (level - 1))
 
 
+def probe(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Counts read back: 0, or the middle of the highest level found in a row."""
+    return middle(levels(table, h))
+
+
 @dataclass
 class Model:
-    table: np.ndarray  # the filter, all segments
+    table: np.ndarray | None  # the filter, all segments; None if it isn't broadcast
     known: np.ndarray  # sorted hashes of frequent words
     counts: np.ndarray  # their exact counts
     tokens: int  # N
     distinct: int  # V
+    size: int  # 64-bit words of a segment
+    segments: DataFrame | None = None  # (segment, bits), if it isn't broadcast
 
     def log10(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
-    def chances(self, before: np.ndarray, h: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """log10 of each token's smoothed probability, from probes alone."""
-        one = (probe(self.table, h) + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
-        context = probe(self.table, before)
-        ratio = np.minimum(probe(self.table, two) / np.maximum(context, 1), 1)
+    def chances(self, context: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 of each token's smoothed probability, from counts read back: of the word before, the word and both."""
+        one = (one + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
+        ratio = np.minimum(two / np.maximum(context, 1), 1)
         weight = np.where(context > 0, WEIGHT, 0.0)
         return np.log10(np.minimum(weight * ratio + (1 - weight) * one, 1.0))
 
+    def rows(self, row: int, ids: pa.Array, doc: np.ndarray, h: np.ndarray, context: np.ndarray, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+        """ROWS of some texts; words that aren't known are listed."""
+        n = len(ids)
+        score = np.bincount(doc, self.chances(context, one, two), n)
+        place = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
+        hit = self.known[place] == h if len(self.known) else np.zeros(len(h), bool)
+        base = np.bincount(doc[hit], self.log10(self.counts[place[hit]]), n)
+        rare, sizes = h[~hit], np.bincount(doc[~hit], minlength=n)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(rare.view(np.int64)))
+        cols = [pa.array(row + np.arange(n)), ids, pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[hit], minlength=n)), pa.array(base), pa.array(score), lists]
+        return pa.RecordBatch.from_arrays(cols, ["row", "id", "n_tokens", "known", "base", "score", "rare"])
+
+
+ROWS = "row long, id long, n_tokens long, known long, base double, score double, rare array<long>"
+
 
 def trained(docs: DataFrame, text_col: str = "text", most_bits: int = MOST_BITS, known: int = KNOWN) -> tuple[Model, DataFrame]:
     """The model, and the table (h, c) of all words' exact counts, from every text of docs."""
@@ -174,7 +195,7 @@ def trained(docs: DataFrame, text_col: str = "text", most_bits: int = MOST_BITS,
     hashes, counts = np.asarray(often["h"]).view(np.uint64), np.asarray(often["c"])
     order = np.argsort(hashes)
 
-    bits = min(most_bits, max(1 << 21, 1 << (int(BITS_A_TOKEN * n) - 1).bit_length() if n else 0))
+    bits = max(1 << 21, 1 << (int(BITS_A_TOKEN * n) - 1).bit_length() if n else 0)
     size = bits // 64 // SEGMENTS
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2_000_000)
     both = texts.mapInArrow(_counted(2), "h long, c long").union(words)
@@ -189,22 +210,114 @@ def trained(docs: DataFrame, text_col: str = "text", most_bits: int = MOST_BITS,
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row.tobytes()], pa.binary())], ["segment", "bits"])
 
     built = both.repartition(tasks, F.expr("shiftrightunsigned(h, 52)")).mapInArrow(run, "segment int, bits binary")
+    if bits > most_bits:
+        return Model(None, hashes[order], counts[order], int(n), int(v), size, written(built, "segments")), own
     table = np.zeros((SEGMENTS, size), np.uint64)
     for r in built.toLocalIterator(prefetchPartitions=True):
         table[r.segment] = np.frombuffer(bytes(r.bits), np.uint64)
-    return Model(table.ravel(), hashes[order], counts[order], int(n), int(v)), own
+    return Model(table.ravel(), hashes[order], counts[order], int(n), int(v), size), own
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in chunks of about CHUNK tokens: ids, tokens of each, distinct words in order, and each token's place among them."""
+    row = TaskContext.get().partitionId() << 40
+    ids: list = []
+    sizes: list[np.ndarray] = []
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        own, at = np.unique(np.concatenate([[START], *held]), return_inverse=True)
+        kept = pa.concat_arrays(ids)
+        cols = [pa.array([row], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)]
+        cols += [pa.array([x.tobytes()], pa.binary()) for x in (np.concatenate(sizes).astype(np.int32), own, at[1:].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(cols, ["chunk", "ids", "sizes", "words", "at"])
+
+    for b in batches:
+        at = 0
+        for s in slices(b.column(1)):
+            doc, h = tokens(s)
+            ids.append(b.column(0).slice(at, len(s)))
+            sizes.append(np.bincount(doc, minlength=len(s)))
+            held.append(h)
+            at += len(s)
+            size += len(h)
+            if size >= CHUNK:
+                yield from flush()
+                row += sum(map(len, ids))
+                size = 0
+                for x in (ids, sizes, held):
+                    x.clear()
+    if ids:
+        yield from flush()
 
 
-def scored(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_tokens, n_known, train_tokens, base_score, score.
+def _read(sizes: bytes, words: bytes, at: bytes) -> tuple[np.ndarray, ...]:
+    """Of a chunk: text of each token, distinct words, each token's place among them, all distinct n-grams and the place of each bigram."""
+    sizes, words, at = np.frombuffer(sizes, np.int32), np.frombuffer(words, np.uint64), np.frombuffer(at, np.int32)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    both, place = np.unique(np.concatenate([words, bigrams(doc, words[at])[1]]), return_inverse=True)
+    return doc, words, at, both, place
 
-    base_score sums the add-0.1 unigram estimate with exact counts: frequent
-    words from the broadcast table, the others by a join on their hash. score
-    sums the filter's smoothed bigram estimate. Null and empty texts are one end
-    token. Repeated rows, null ids and very long texts are scored like others.
-    Without training texts every count is 0.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+def _by_segment(texts: DataFrame, model: Model) -> DataFrame:
+    """ROWS of (id, text) with a filter that is a table: n-grams go to their segments once a chunk, and the levels come back."""
+    spark = texts.sparkSession
+    size = model.size
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.tokens // 2_000_000)
+    shift = max(0, 12 - (4 * tasks - 1).bit_length())  # segments that are probed together: 2 ** shift
+    chunks = written(texts.mapInArrow(_chunks, "chunk long, ids array<long>, sizes binary, words binary, at binary"), "chunks")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                h = _read(*(b.column(c)[k].as_py() for c in (1, 2, 3)))[3]
+                groups, first = np.unique(h >> np.uint64(52 + shift), return_index=True)
+                blobs = [x.tobytes() for x in np.split(h, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(groups.astype(np.int32)), pa.array(np.full(len(groups), b.column(0)[k].as_py())), pa.array(np.zeros(len(groups), np.int32)), pa.array(blobs, pa.binary())], ["part", "chunk", "segment", "data"])
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, table = None, None
+        for b in batches:
+            out: list[tuple] = []
+            for p, chunk, segment, data in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
+                if p != part:
+                    part, table = p, np.zeros((1 << shift, size), np.uint64)
+                data = np.frombuffer(data.as_buffer(), np.uint64)
+                if chunk is None:
+                    table[segment - (p << shift)] = data
+                else:
+                    out.append((chunk, p, levels(table.ravel(), data, p << shift, 1 << shift).astype(np.uint8).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk", "part", "levels"])
+
+    own = model.segments.select(F.shiftright("segment", shift).alias("part"), F.lit(None).cast("long").alias("chunk"), "segment", F.col("bits").alias("data"))
+    asked = chunks.select("chunk", "sizes", "words", "at").mapInArrow(parts, "part int, chunk long, segment int, data binary")
+    met = own.union(asked).repartition(tasks, "part").sortWithinPartitions("part", F.asc_nulls_first("chunk"))
+    back = met.mapInArrow(probed, "chunk long, part int, levels binary").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "levels"))).alias("back"))
+
+    sent = spark.sparkContext.broadcast(replace(model, segments=None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in batches:
+            for k in range(b.num_rows):
+                doc, words, at, _, place = _read(*(b.column(c)[k].as_py() for c in (2, 3, 4)))
+                c = middle(np.frombuffer(b"".join(x["levels"] for x in b.column(5)[k].as_py()), np.uint8).astype(np.int64))[place]
+                one = c[at]
+                context = np.empty_like(one)
+                context[1:] = one[:-1]
+                first = np.ones(len(doc), bool)
+                first[1:] = doc[1:] != doc[:-1]
+                context[first] = c[np.searchsorted(words, START)]
+                yield m.rows(b.column(0)[k].as_py(), b.column(1)[k].values, doc, words[at], context, one, c[len(words) :])
+
+    return chunks.join(back, "chunk").select(*chunks.columns, "back").mapInArrow(run, ROWS)
+
+
+def _by_broadcast(texts: DataFrame, model: Model) -> DataFrame:
+    """ROWS of (id, text) with a filter that every worker holds."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -212,22 +325,26 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_i
         for b in batches:
             at = 0
             for s in slices(b.column(1)):
-                n = len(s)
                 doc, h = tokens(s)
                 before, two = bigrams(doc, h)
-                score = np.bincount(doc, m.chances(before, h, two), n)
-                place = np.minimum(np.searchsorted(m.known, h), max(len(m.known) - 1, 0))
-                hit = m.known[place] == h if len(m.known) else np.zeros(len(h), bool)
-                base = np.bincount(doc[hit], m.log10(m.counts[place[hit]]), n)
-                rare, sizes = h[~hit], np.bincount(doc[~hit], minlength=n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(rare.view(np.int64)))
-                cols = [pa.array(row + np.arange(n)), b.column(0).slice(at, n), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[hit], minlength=n)), pa.array(base), pa.array(score), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "n_tokens", "known", "base", "score", "rare"])
-                row += n
-                at += n
+                yield m.rows(row, b.column(0).slice(at, len(s)), doc, h, *(probe(m.table, x) for x in (before, h, two)))
+                row += len(s)
+                at += len(s)
+
+    return texts.mapInArrow(run, ROWS)
 
+
+def scored(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: id, n_tokens, n_known, train_tokens, base_score, score.
+
+    base_score sums the add-0.1 unigram estimate with exact counts: frequent
+    words from the broadcast table, the others by a join on their hash. score
+    sums the filter's smoothed bigram estimate. Null and empty texts are one end
+    token. Repeated rows, null ids and very long texts are scored like others.
+    Without training texts every count is 0.
+    """
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    rows = written(texts.mapInArrow(run, "row long, id long, n_tokens long, known long, base double, score double, rare array<long>"), "scored")
+    rows = written(_by_segment(texts, model) if model.table is None else _by_broadcast(texts, model), "scored")
     rare = rows.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("m"))
     c = F.coalesce("c", F.lit(0))
     rare = rare.join(words, "h", "left").groupBy("row").agg(F.sum(F.col("m") * F.log10((c + 0.1) / F.lit(model.tokens + 0.1 * (model.distinct + 1)))).alias("more"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("seen"))

@@ -232,6 +232,28 @@ def test_filter_never_forgets():
     assert (lm.probe(table.ravel(), rng.integers(0, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.02
 
 
+def test_language_model_keeps_every_count(spark, docs, odd, monkeypatch):
+    """A filter too large to broadcast gives the same scores as one that is broadcast."""
+    monkeypatch.setattr(lm, "CHUNK", 5000)
+    for df in (docs, odd):
+        got = []
+        for most in (1 << 29, 1 << 18):
+            model, table = lm.trained(df, most_bits=most)
+            assert (model.table is None) == (most == 1 << 18)
+            rows = [tuple(r) for r in lm.scored(df, model, table).collect()]
+            got.append(sorted(rows, key=lambda r: (r[0] is not None, r)))
+        assert got[0] == got[1] and len(got[0]) == df.count()
+
+
+def test_filter_drops_no_level():
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(0, 2**63, 100_000).astype(np.uint64) * np.uint64(2))
+    have, built = lm.build(h, np.ones(len(h), np.int64), 1)
+    table = np.zeros((lm.SEGMENTS, 1), np.uint64)
+    table[have] = built
+    assert (lm.probe(table.ravel(), h) >= 1).all()
+
+
 def test_tokens_round_trip_and_packing(spark, odd, docs):
     from tokenizers import Tokenizer
 
