@@ -59,6 +59,19 @@ def trust(spark: SparkSession, sf: str) -> DataFrame:
 TRUST = f"(SELECT DISTINCT receiver AS src, token % 997 + 1 AS dst FROM {TRANSFERS} WHERE receiver <> token % 997 + 1 AND receiver <= 997)"
 
 
+def whole_trust(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph of trust() on all customers: no id is left out, and parts are numbered modulo the customers."""
+    t = transfers(spark, sf).crossJoin(F.broadcast(customers(spark, sf))).select(F.col("receiver").alias("src"), (F.col("token") % F.col("n")).alias("dst"))
+    return t.where("src <> dst").distinct()
+
+
+def customers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").agg(F.nullif(F.count("*"), F.lit(0)).alias("n"))
+
+
+WHOLE_TRUST = f"(SELECT DISTINCT receiver AS src, token % (SELECT COUNT(*) FROM customer) AS dst FROM {TRANSFERS} WHERE receiver <> token % (SELECT COUNT(*) FROM customer))"
+
+
 # state views
 
 
@@ -130,7 +143,7 @@ def v_stats(spark, sf):
 @query(
     f"WITH t AS {TRUST}, d AS (SELECT node, CAST(SUM(o) AS BIGINT) AS out_degree, CAST(SUM(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM t UNION ALL SELECT dst, 0, 1 FROM t) GROUP BY node), m AS (SELECT a.src AS node, COUNT(*) AS m FROM t a JOIN t b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src), s AS (SELECT d.node, in_degree, least(40, in_degree * 2) + least(35, 7 * coalesce(m, 0)) + least(25, out_degree) AS raw FROM d LEFT JOIN m USING (node)) SELECT node, CAST(least(100, raw) AS BIGINT) AS score, CASE WHEN raw >= 60 THEN 'high' WHEN raw >= 30 THEN 'medium' ELSE 'low' END AS level FROM s"
 )
-def v_trust_scores(spark, sf):
+def v_trust_scores(spark, sf, trust=trust):
     t = trust(spark, sf)
     both = graph.mutual(t).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("m"))
     s = graph.degrees(t).join(both, "node", "left")
@@ -352,27 +365,27 @@ def f_like(spark, sf):
 
 
 @query(f"SELECT node, CAST(SUM(o) AS BIGINT) AS out_degree, CAST(SUM(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM {TRUST} UNION ALL SELECT dst, 0, 1 FROM {TRUST}) GROUP BY node")
-def g_degrees(spark, sf):
+def g_degrees(spark, sf, trust=trust):
     return graph.degrees(trust(spark, sf))
 
 
 @query(f"WITH t AS {TRUST} SELECT COUNT(*) AS edges, COUNT(b.src) AS mutual, round(COUNT(b.src) / CAST(COUNT(*) AS DOUBLE), 9) AS reciprocity FROM t a LEFT JOIN t b ON a.src = b.dst AND a.dst = b.src")
-def g_reciprocity(spark, sf):
+def g_reciprocity(spark, sf, trust=trust):
     return graph.reciprocity(trust(spark, sf)).withColumn("reciprocity", F.round("reciprocity", 9))
 
 
 @query(f"WITH t AS {TRUST}, n AS (SELECT COUNT(*) AS nodes FROM (SELECT src FROM t UNION SELECT dst FROM t)) SELECT COUNT(*) AS edges, MAX(nodes) AS nodes, round(COUNT(*) / CAST(MAX(nodes) * (MAX(nodes) - 1) AS DOUBLE), 9) AS density FROM t, n")
-def g_density(spark, sf):
+def g_density(spark, sf, trust=trust):
     return graph.density(trust(spark, sf)).withColumn("density", F.round("density", 9))
 
 
 @query(f"WITH t AS {TRUST} SELECT b.dst, COUNT(*) AS ways FROM t a JOIN t b ON a.dst = b.src WHERE a.src = 1 AND b.dst <> 1 AND b.dst NOT IN (SELECT dst FROM t WHERE src = 1) GROUP BY b.dst")
-def g_two_hop(spark, sf):
+def g_two_hop(spark, sf, trust=trust):
     return graph.two_hop(trust(spark, sf), 1)
 
 
 @query(f"WITH t AS {TRUST} SELECT dst FROM t WHERE src = 1 INTERSECT SELECT dst FROM t WHERE src = 2")
-def g_common_trust(spark, sf):
+def g_common_trust(spark, sf, trust=trust):
     return graph.common_targets(trust(spark, sf), 1, 2)
 
 
@@ -476,7 +489,7 @@ def q_token_balances(spark, sf):
 
 
 @query(f"WITH t AS {TRUST} SELECT other, CASE WHEN COUNT(DISTINCT d) = 2 THEN 'mutual' WHEN MIN(d) = 'out' THEN 'trusts' ELSE 'trusted by' END AS relation FROM (SELECT dst AS other, 'out' AS d FROM t WHERE src = 5 UNION ALL SELECT src, 'in' FROM t WHERE dst = 5) GROUP BY other")
-def q_aggregated_trust(spark, sf):
+def q_aggregated_trust(spark, sf, trust=trust):
     t = trust(spark, sf).where("src = 5 or dst = 5")
     legs = t.select(F.when(F.col("src") == 5, F.col("dst")).otherwise(F.col("src")).alias("other"), (F.col("src") == 5).alias("out"))
     both = legs.groupBy("other").agg(F.bool_or("out").alias("o"), F.bool_or(~F.col("out")).alias("i"))

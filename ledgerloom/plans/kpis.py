@@ -83,13 +83,13 @@ def k_accounts_without_activity(spark, sf):
 
 
 @query(f"WITH t AS {TRUST} SELECT DISTINCT src FROM t WHERE src NOT IN (SELECT dst FROM t)")
-def k_no_incoming_trust(spark, sf):
+def k_no_incoming_trust(spark, sf, trust=trust):
     t = trust(spark, sf)
     return t.select("src").distinct().join(t.select(F.col("dst").alias("src")), "src", "left_anti")
 
 
 @query(f"WITH t AS {TRUST} SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM t WHERE src = c_custkey) AND NOT EXISTS (SELECT 1 FROM t WHERE dst = c_custkey)")
-def k_isolated(spark, sf):
+def k_isolated(spark, sf, trust=trust):
     t = trust(spark, sf)
     seen = t.select(F.col("src").alias("c_custkey")).union(t.select("dst")).distinct()
     return table(spark, sf, "customer").select("c_custkey").join(seen, "c_custkey", "left_anti")
@@ -109,12 +109,12 @@ def k_gain_and_drain(spark, sf):
 
 
 @query(f"SELECT src, COUNT(*) AS invited FROM {TRUST} GROUP BY src HAVING COUNT(*) > 20")
-def k_high_volume_inviters(spark, sf):
+def k_high_volume_inviters(spark, sf, trust=trust):
     return trust(spark, sf).groupBy("src").agg(F.count("*").alias("invited")).where("invited > 20")
 
 
 @query(f"WITH d AS (SELECT dst AS node, COUNT(*) AS n FROM {TRUST} GROUP BY 1) SELECT CAST(least(n // 5, 10) AS BIGINT) AS bucket, COUNT(*) AS nodes FROM d GROUP BY 1")
-def k_trust_buckets(spark, sf):
+def k_trust_buckets(spark, sf, trust=trust):
     d = graph.degrees(trust(spark, sf)).where("in_degree > 0")
     return d.groupBy(F.least(F.floor(F.col("in_degree") / 5), F.lit(10)).cast("long").alias("bucket")).agg(F.count("*").alias("nodes"))
 

@@ -1,0 +1,31 @@
+"""The graph queries on all customers.
+
+Under their own names these queries and their SQL keep ids up to 997. Here each
+runs again, as NAME_whole, on the graph without that bound, beside its SQL on the
+same graph.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from ledgerloom.plans import kpis  # noqa: F401  adds its queries
+from ledgerloom.plans.catalogue import ORACLE_SQL, QUERIES, TRUST, WHOLE_TRUST, whole_trust
+
+NAMES = (
+    "v_trust_scores",
+    "g_degrees",
+    "g_reciprocity",
+    "g_density",
+    "g_two_hop",
+    "g_common_trust",
+    "q_aggregated_trust",
+    "k_no_incoming_trust",
+    "k_isolated",
+    "k_high_volume_inviters",
+    "k_trust_buckets",
+)
+
+for name in NAMES:
+    QUERIES[f"{name}_whole"] = partial(QUERIES[name], trust=whole_trust)
+    ORACLE_SQL[f"{name}_whole"] = ORACLE_SQL[name].replace(TRUST, WHOLE_TRUST)
