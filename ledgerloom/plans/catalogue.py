@@ -394,10 +394,25 @@ def g_capacity_edges(spark, sf):
     return graph.capacity_edges(holdings(spark, sf).where("account % 10 = 1"), trust(spark, sf))
 
 
+def whole_holdings(spark, sf):
+    """What each customer got of each customer's parts, no id left out; summed before it is joined."""
+    t = transfers(spark, sf).crossJoin(F.broadcast(customers(spark, sf)))
+    return t.groupBy(F.col("receiver").alias("account"), (F.col("token") % F.col("n")).alias("token")).agg(F.sum("value").alias("balance"))
+
+
+WHOLE_HOLDINGS = f"(SELECT receiver AS account, token % (SELECT COUNT(*) FROM customer) AS token, CAST(SUM(value) AS BIGINT) AS balance FROM {TRANSFERS} GROUP BY 1, 2)"
+
+
 def holdings(spark, sf):
     return transfers(spark, sf).where("receiver <= 997").groupBy(F.col("receiver").alias("account"), (F.col("token") % 997 + 1).alias("token")).agg(F.sum("value").alias("balance"))
 
 
+@query(f"WITH t AS {WHOLE_TRUST}, h AS {WHOLE_HOLDINGS} SELECT h.account AS src, t.src AS dst, h.token, h.balance AS capacity FROM h JOIN t ON h.token = t.dst WHERE h.account <> t.src")
+def g_capacity_edges_whole(spark, sf):
+    """g_capacity_edges on all customers and all holders."""
+    return graph.capacity_edges(whole_holdings(spark, sf), whole_trust(spark, sf))
+
+
 @query()
 def g_max_flow(spark, sf):
     """Transfers of a largest flow between two accounts; checked by value and conservation in tests."""
