@@ -1,10 +1,11 @@
-"""Trust-graph metrics and bounded flow routing on edge tables (src, dst)."""
+"""Trust-graph metrics and flow routing on edge tables (src, dst)."""
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -131,3 +132,71 @@ def route(balances: DataFrame, trust: DataFrame, source, sink, target: int | Non
     _, flow = max_flow(split, source, sink, target)
     kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
     return spark.createDataFrame([(e[0][0], e[1], e[2], v) for e, v in flow.items() if isinstance(e[0], tuple)], f"src {kinds['src']}, dst {kinds['dst']}, token {kinds['token']}, amount long")
+
+
+def largest_flow(balances: DataFrame, trust: DataFrame, source: int, sink: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Transfers (src, dst, token, amount) of a largest flow over any number of hops, found in Spark; ids are long.
+
+    Holders and tokens are nodes: a holder sends a token up to its balance to the
+    token's node, and that passes all of it on to whoever trusts the token. So a
+    balance is shared by all who trust it and capacity edges are never made. Each
+    round finds the nodes' distances to the sink by frontier joins, with what each
+    can pass on at most, pushes along shortest paths from the source, and takes
+    back what got stuck. A round that doesn't reach the source ends the search; each
+    other one adds to the flow. ``keep`` writes a table and reads it back.
+    """
+    spark = balances.sparkSession
+    held = balances.where("balance > 0").groupBy(F.col("account").cast("long").alias("a"), F.col("token").cast("long").alias("t")).agg(F.sum("balance").cast("long").alias("cap"))
+    most = held.where(F.col("a") == source).agg(F.sum("cap")).first()[0] or 0
+    if source == sink or not most:
+        return spark.createDataFrame([], "src long, dst long, token long, amount long")
+    takes = trust.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("t")).distinct().withColumn("back", F.lit(most).cast("long"))
+    # net: what goes from a to t less what comes back; accounts are the even nodes
+    pairs = keep(held.join(takes, ["a", "t"], "full").na.fill(0, ["cap", "back"]).withColumn("net", F.lit(0).cast("long")), "pairs")
+    start, end = source * 2, sink * 2
+    while True:
+        p = pairs.select(F.shiftleft("a", 1).alias("a"), (F.shiftleft("t", 1) + 1).alias("t"), "cap", "back", "net")
+        arcs = p.select(F.col("a").alias("u"), F.col("t").alias("v"), (F.col("cap") - F.col("net")).alias("room")).union(p.select("t", "a", F.col("back") + F.col("net"))).where("room > 0")
+
+        # levels by distance to the sink, with the most that a node can pass on
+        levels = [spark.createDataFrame([(end, most)], "v long, most long")]
+        seen = levels[0].select("v")
+        while True:
+            grown = arcs.join(levels[-1], "v").groupBy("u").agg(F.least(F.sum(F.least("room", "most")), F.lit(most)).alias("most")).withColumnRenamed("u", "v").join(seen, "v", "left_anti")
+            levels.append(keep(grown, "level"))
+            if levels[-1].isEmpty() or not levels[-1].where(F.col("v") == start).isEmpty():
+                break
+            seen = seen.union(levels[-1].select("v"))
+        if levels[-1].isEmpty():
+            break
+
+        # away from the source, a level at a time
+        has, pushed = levels[-1].where(F.col("v") == start).select(F.col("v").alias("u"), F.col("most").alias("has")), []
+        for level in levels[-2::-1]:
+            out = arcs.join(has, "u").join(level, "v").select("u", "v", "has", F.least("room", "most").alias("x"))
+            before = F.sum("x").over(Window.partitionBy("u").orderBy("v")) - F.col("x")
+            out = out.withColumn("x", F.least(F.col("x"), F.col("has") - before)).where("x > 0").select("u", "v", "x")
+            pushed.append(keep(out, "pushed"))
+            has = pushed[-1].groupBy(F.col("v").alias("u")).agg(F.sum("x").alias("has"))
+
+        # back from the sink: a node takes no more than it passed on
+        kept = [pushed[-1]]
+        for step in pushed[-2::-1]:
+            passed = kept[-1].groupBy(F.col("u").alias("v")).agg(F.sum("x").alias("passed"))
+            into = step.join(passed, "v")
+            before = F.sum("x").over(Window.partitionBy("v").orderBy("u")) - F.col("x")
+            kept.append(keep(into.withColumn("x", F.least(F.col("x"), F.col("passed") - before)).where("x > 0").select("u", "v", "x"), "kept"))
+        moved = kept[0]
+        for step in kept[1:]:
+            moved = moved.union(step)
+        sends = F.col("u") % 2 == 0
+        moved = moved.groupBy(F.shiftright(F.when(sends, F.col("u")).otherwise(F.col("v")), 1).alias("a"), F.shiftright(F.when(sends, F.col("v")).otherwise(F.col("u")), 1).alias("t")).agg(F.sum(F.when(sends, F.col("x")).otherwise(-F.col("x"))).alias("d"))
+        pairs = keep(pairs.join(moved, ["a", "t"], "left").select("a", "t", "cap", "back", (F.col("net") + F.coalesce("d", F.lit(0))).alias("net")), "pairs")
+
+    # what a token's holders send is dealt to its takers in order
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        return rows.withColumn("hi", F.sum("x").over(Window.partitionBy("t").orderBy("a"))).select("t", F.col("a").alias(name), F.col("hi").alias(f"{name}_hi"), (F.col("hi") - F.col("x")).alias(f"{name}_lo"))
+
+    sent = dealt(pairs.where("net > 0").select("a", "t", F.col("net").alias("x")), "src")
+    got = dealt(pairs.where("net < 0").select("a", "t", (-F.col("net")).alias("x")), "dst")
+    return sent.join(got, "t").where("src_lo < dst_hi and dst_lo < src_hi").select("src", "dst", F.col("t").alias("token"), (F.least("src_hi", "dst_hi") - F.greatest("src_lo", "dst_lo")).alias("amount"))
