@@ -36,7 +36,8 @@ WIDE = (
 BEFORE = 32  # characters of context that features look at
 _GOOD = {"email": r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b", "ip": r"(?i)\b(?:ip|host|server|address|login|from)\b", "card": r"(?i)\b(?:card|visa|credit|debit|payment|pay)\b", "phone": r"(?i)\b(?:call|tel|telephone|phone|mobile|fax|dial)\b"}
 _BAD = r"(?i)\b(?:order|id|isbn|version|invoice|token|ref|build|serial|no|number|sku|part)\b"
-FEATURES = ("kind", "size", "digits", "marks", "groups", "luhn", "good", "bad", "glued", "plus", "paren")
+_DOMAIN = r"(?i)[^a-z0-9](?:com|org|net|edu|gov|info|io|eu|at|be|ch|de|es|fr|it|mx|nl|pl|pt|uk|us)$"
+FEATURES = ("kind", "size", "digits", "marks", "groups", "luhn", "good", "bad", "glued", "plus", "paren", "domain")
 
 SPAN = "array<struct<start:long,kind:int,end:long,found:string>>"
 
@@ -92,24 +93,51 @@ def described(text: Column, s: Column) -> Column:
     after = F.substr(text, (s["end"] + 1).cast("int"), F.lit(1))
     good = reduce(lambda a, k: F.when(s["kind"] == KINDS.index(k), before.rlike(_GOOD[k])).otherwise(a), KINDS, F.lit(False))
     number = digits(value)
-    values = (s["kind"], F.char_length(value), F.char_length(number), F.char_length(F.regexp_replace(value, "[A-Za-z0-9]", "")), F.size(F.split(value, "[^A-Za-z0-9]+")), F.call_function("luhn_check", number), good, before.rlike(_BAD), before.rlike("[A-Za-z0-9]$") | after.rlike("^[A-Za-z0-9]"), F.startswith(value, F.lit("+")), F.contains(value, F.lit("(")))
+    values = (s["kind"], F.char_length(value), F.char_length(number), F.char_length(F.regexp_replace(value, "[A-Za-z0-9]", "")), F.size(F.split(value, "[^A-Za-z0-9]+")), F.call_function("luhn_check", number), good, before.rlike(_BAD), before.rlike("[A-Za-z0-9]$") | after.rlike("^[A-Za-z0-9]"), F.startswith(value, F.lit("+")), F.contains(value, F.lit("(")), value.rlike(_DOMAIN))
     return F.array(*[F.coalesce(v.cast("double"), F.lit(0.0)) for v in values])
 
 
 def made_texts(spark: SparkSession, variants: int = 12) -> DataFrame:
-    """The training texts, by rule: text and label; each has one candidate. Numbers come from a hash of the row."""
-    good = {"phone": ("call me on", "phone:", "tel.", "mobile", "fax", "dial"), "email": ("mail", "contact", "write to", "reach me:"), "card": ("card", "visa", "pay by credit card"), "ip": ("host", "server", "login from ip")}
-    forms = {"phone": ("{a}{b}{c}-{d}{e}{f}-{g}{h}{i}{j}", "({a}{b}{c}) {d}{e}{f}-{g}{h}{i}{j}", "0049 {a}{b}{c} {d}{e}{f} {g}{h}{i}", "{a}{b}{c}.{d}{e}{f}.{g}{h}{i}{j}"), "email": ("anna{a}{b} at mail{c} dot com", "li.{a} [at] host{b} [dot] org", "jo{a}(at)site{c}(dot)net"), "card": ("4{a}{b}{c}.{d}{e}{f}{g}.{h}{i}{j}{a}.{b}{c}{d}{e}", "5{a}{b}{c}/{d}{e}{f}{g}/{h}{i}{j}{a}/{b}{c}{d}{e}"), "ip": ("2{a}{b}1:db{c}:{d}{e}:{f}:{g}a:{h}:{i}:{j}f",)}
+    """The training texts, by rule: text and label; each has one candidate. Numbers come from a hash of the row.
+
+    No lead decides alone: good forms stand after words of four languages or none,
+    and each kind has forms that are wrong after any lead. {z} is the digit that
+    makes a card's number right, {y} another one.
+    """
+    leads = {
+        "phone": ("call me on", "phone:", "tel.", "mobile", "fax", "dial", "rufen Sie mich an", "Durchwahl", "appelez-moi au", "joignable au", "llámame al", "mi teléfono es"),
+        "email": ("mail", "contact", "write to", "reach me:", "schreiben Sie an", "Anschrift:", "écrivez à", "courriel", "escribe a", "correo"),
+        "card": ("card", "visa", "pay by credit card", "Karte", "bezahlt mit", "carte bancaire", "réglé par", "tarjeta", "pagado con"),
+        "ip": ("host", "server", "login from ip", "Rechner", "Adresse", "serveur", "adresse", "servidor", "desde"),
+    }
+    bare = ("", "Anna Roth,", "| 7 |", "--", "et", "y", "und")
+    forms = {
+        "phone": ("{a}{b}{c}-{d}{e}{f}-{g}{h}{i}{j}", "({a}{b}{c}) {d}{e}{f}-{g}{h}{i}{j}", "{a}{b}{c} {d}{e}{f} {g}{h}{i}{j}", "0049 {a}{b}{c} {d}{e}{f} {g}{h}{i}", "0033 {a}{b} {c}{d} {e}{f} {g}{h}", "{a}{b}{c}.{d}{e}{f}.{g}{h}{i}{j}"),
+        "email": ("anna{a}{b} [at] mail{c} [dot] com", "li.{a} [at] host{b} [dot] org", "jo{a}(at)site{c}(dot)net", "jo.roth(at)site(dot)blog", "roth[at]casa[dot]shop", "anna{a} at mail{b} dot com", "li{a}{b} at host{c} dot org", "roth at example dot de", "jo.roth at mail dot example dot fr"),
+        "card": ("4{a}{b}{c}.{d}{e}{f}{g}.{h}{i}{j}{a}.{b}{c}{d}{z}", "5{a}{b}{c}/{d}{e}{f}{g}/{h}{i}{j}{a}/{b}{c}{d}{z}"),
+        "ip": ("2{a}{b}1:db{c}:{d}{e}:{f}:{g}a:{h}:{i}:{j}f", "2{a}{b}1:0db{c}:{d}{e}a3:{f}{g}{h}{i}:00{j}f:{a}c2e:0{b}70:7{c}{d}4"),
+    }
+    wrong = {
+        "phone": ("00{b}1 {a}{b}{c}{d} {e}{f}{g}{h} {i}{j}{a}{b} {c}{d}{e}{f} {g}{h}{i}{j}", "{a}{b}{c}- {d}{e}{f}-{g}{h}{i}{j}", "{a}{b}{c}.-{d}{e}{f} {g}{h}{i}{j}"),
+        "email": ("now at home dot com{a}", "still at work dot and so", "often at sea dot sky{c}"),
+        "card": ("4{a}{b}{c}.{d}{e}{f}{g}.{h}{i}{j}{a}.{b}{c}{d}{y}", "5{a}{b}{c}/{d}{e}{f}{g}/{h}{i}{j}{a}/{b}{c}{d}{y}", "{a}{b}{c}{d}/{e}{f}{g}{h}/{i}{j}{a}{b}/{c}{d}{e}{y}"),
+        "ip": ("{a}:{b}:{c}:{d}:{e}:{f}:{g}:{h}",),
+    }
     bad = ("order no", "part number", "isbn", "version", "invoice id", "serial", "ref", "sku")
-    rows = [(f"{lead} {form}", 1) for kind, own in forms.items() for form in own for lead in good[kind]]
+    rows = [(f"{lead} {form}", 1) for kind, own in forms.items() for form in own for lead in (*leads[kind], *bare)]
     rows += [(f"{lead} {form}", 0) for kind in ("phone", "card", "ip") for form in forms[kind] for lead in bad]
+    rows += [(f"{lead} {form}", 0) for kind, own in wrong.items() for form in own for lead in (*leads[kind], *bare)]
     rows += [(f"{lead} {word} at home dot {tail}", 0) for lead in ("we stay", "look", "they are") for word in ("now", "still", "often") for tail in ("com{a}", "and{b}", "sky{c}")]
     shapes = spark.createDataFrame(rows, "shape string, label int")
     out = shapes.withColumn("v", F.explode(F.sequence(F.lit(1), F.lit(variants))))
     text = F.concat(F.lit("the same "), F.col("shape"), F.lit(" and so on"))
     for k, c in enumerate("abcdefghij"):
         text = F.replace(text, F.lit("{" + c + "}"), F.pmod(F.xxhash64("shape", "v", F.lit(k)), F.lit(10)).cast("string"))
-    return out.select(text.alias("text"), "label", (F.pmod(F.xxhash64("shape", "v"), F.lit(3)) == 0).alias("held"))
+    out = out.select(text.alias("text"), "label", (F.pmod(F.xxhash64("shape", "v"), F.lit(3)) == 0).alias("held"))
+    number = digits(F.regexp_extract("text", r"[0-9]{4}(?:[./][0-9]{4}){2}[./][0-9]{3}(?=\{)", 0))
+    right = reduce(lambda a, z: F.when(F.call_function("luhn_check", F.concat(number, F.lit(str(z)))), F.lit(z)).otherwise(a), range(10), F.lit(0))
+    last = F.replace(F.col("text"), F.lit("{z}"), right.cast("string"))
+    return out.withColumn("text", F.replace(last, F.lit("{y}"), F.pmod(right + 1 + F.pmod(F.crc32("text"), F.lit(9)), F.lit(10)).cast("string")))
 
 
 def flattened(model) -> Column:

@@ -378,6 +378,21 @@ def test_personal_data(spark, detector):
     assert out[4] == "😀 é mail [EMAIL] [PHONE] and [IP]" and out[8] is None and out[9] == "" and out[12] == rows[12]
 
 
+def test_personal_data_by_format(spark, detector):
+    """Format decides too: without a lead, in other languages, and against one."""
+    score, cuts = detector
+    used = {pii.FEATURES[int(k)] for k in re.findall(r"features\[(\d+)\]", score)}
+    assert "luhn" in used and len(used & {"size", "digits", "marks", "groups", "paren"}) >= 2 and max(cuts.values()) <= 1
+    rows = [
+        ("Rufen Sie mich an (212) 555-0188", "phone"), ("Appelez-moi au 0033 14 20 55 61 demain", "phone"), ("A. Meyer\n212-555-0187", "phone"), ("| Roth | 212.555.0187 |", "phone"),
+        ("tarjeta 4111.1111.1111.1111", "card"), ("4111/1111/1111/1111", "card"), ("escribe a li.roth [at] casa [dot] org", "email"), ("mail john at example dot com", "email"), ("jo(at)casa(dot)zone", "email"), ("2001:0db8:85a3:1234:001f:8c2e:0370:7334", "ip"),
+        ("card 4111.1111.1111.1112", ""), ("visa 4111/1111/1111/1117", ""), ("write often at home dot sky", ""), ("phone: 0031 1234 5678 9012 3456 7890", ""), ("order no 212-555-0187", ""), ("isbn 4111.1111.1111.1111", ""), ("host 1:2:3:4:5:6:7:8", ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: ",".join(pii.KINDS[x.kind] for x in r.spans) for r in pii.found(df, detector).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(rows)] == rows
+
+
 def test_personal_data_of_documents(docs, detector):
     got = pii.found(docs, detector).select("text", pii.listed(pii.F.col("base")).alias("b")).collect()
     assert all(r.b == ",".join(base_list(r.text)) for r in got)
