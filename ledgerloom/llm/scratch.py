@@ -10,10 +10,12 @@ from pyspark.sql.types import DataType, DoubleType, LongType, StringType, Struct
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one, set from then on."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on one machine (tests) a temporary one, set from then on."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
         at = sc.getCheckpointDir()
     return f"{at.rstrip('/')}/ledgerloom-{sc.applicationId}"
@@ -28,6 +30,14 @@ def _parse(kind: str) -> DataType:
     return {"double": DoubleType(), "string": StringType(), "long": LongType()}[kind]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the first of name_, name__ ... that no column of df has, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df below the checkpoint folder once, and reads it back from there."""
     spark = df.sparkSession

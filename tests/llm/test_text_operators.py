@@ -221,37 +221,69 @@ def test_language_model_counts(docs, odd, monkeypatch):
 
 def test_filter_never_forgets():
     rng = np.random.default_rng(2)
-    h = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64) * np.uint64(2))
-    c = rng.geometric(0.3, len(h))
-    have, built = lm.build(h, c, 64)
-    table = np.zeros((lm.SEGMENTS, 64), np.uint64)
-    table[have] = built
-    back = lm.probe(table.ravel(), h)
+    key = np.unique(rng.integers(0, 2**40, 20_000).astype(np.uint64))
+    c = rng.geometric(0.3, len(key))
+    table = lm.build(key, c, 64 * 4096)
+    back = lm.middle(lm.levels(table, key))
     level = np.floor(np.log2(c)) + 1
     assert (back >= np.where(level < 2, level, 1.5 * 2 ** (level - 1))).all()
-    assert (lm.probe(table.ravel(), rng.integers(0, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.02
+    assert (lm.levels(table, rng.integers(0, 2**40, 20_000).astype(np.uint64)) > 0).mean() < 0.02
+
+
+def test_language_model_score(docs):
+    """The score against smoothed counts, quantised as the filter has them, from plain counting."""
+    train = docs.where("crc32(cast(doc_id as string)) % 10 <> 0")
+    model, table = lm.trained(train)
+    got = {r.doc_id: r.score for r in lm.scored(docs, model, table).collect()}
+    toks = {r.doc_id: ["^", *words(r.text), "$"] for r in docs.collect()}
+    one, two = Counter(), Counter()
+    for r in train.collect():
+        one.update(toks[r.doc_id])
+        two.update(zip(toks[r.doc_id], toks[r.doc_id][1:], strict=False))
+    n, v = sum(c for w, c in one.items() if w != "^"), len(one) - 1
+
+    def stored(c):
+        return c if c < 2 else 1.5 * 2 ** math.floor(math.log2(c))
+
+    def plain(t):
+        total = 0.0
+        for a, b in zip(t, t[1:], strict=False):
+            p = (stored(one[b]) + 0.1) / (n + 0.1 * (v + 1))
+            if one[a]:
+                p = lm.WEIGHT * min(stored(two[a, b]) / stored(one[a]), 1) + (1 - lm.WEIGHT) * p
+            total += math.log10(min(p, 1))
+        return total
+
+    far = [abs(got[i] - plain(t)) / len(t) for i, t in toks.items()]
+    assert np.mean(far) < 0.03 and np.median(far) < 0.02  # the filter's few false hits only
 
 
 def test_language_model_keeps_every_count(spark, docs, odd, monkeypatch):
     """A filter too large to broadcast gives the same scores as one that is broadcast."""
     monkeypatch.setattr(lm, "CHUNK", 5000)
+    monkeypatch.setattr(lm, "PART", 20_000)
     for df in (docs, odd):
         got = []
-        for most in (1 << 29, 1 << 18):
+        for most in (1 << 29, 0):
             model, table = lm.trained(df, most_bits=most)
-            assert (model.table is None) == (most == 1 << 18)
+            assert (model.table is None) == (most == 0)
             rows = [tuple(r) for r in lm.scored(df, model, table).collect()]
             got.append(sorted(rows, key=lambda r: (r[0] is not None, r)))
         assert got[0] == got[1] and len(got[0]) == df.count()
 
 
 def test_filter_drops_no_level():
-    rng = np.random.default_rng(3)
-    h = np.unique(rng.integers(0, 2**63, 100_000).astype(np.uint64) * np.uint64(2))
-    have, built = lm.build(h, np.ones(len(h), np.int64), 1)
-    table = np.zeros((lm.SEGMENTS, 1), np.uint64)
-    table[have] = built
-    assert (lm.probe(table.ravel(), h) >= 1).all()
+    key = np.unique(np.random.default_rng(3).integers(0, 2**40, 100_000).astype(np.uint64))
+    assert (lm.levels(lm.build(key, np.ones(len(key), np.int64), 4096), key) >= 1).all()
+
+
+def ids_of(encoder, texts):
+    """The ids of each text, from whole slices."""
+    out = []
+    for s in slices(pa.array(texts, pa.string()), 3000):
+        ids, counts = encoder.ids(s)
+        out += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    return out
 
 
 def test_tokens_round_trip_and_packing(spark, odd, docs):
@@ -259,13 +291,12 @@ def test_tokens_round_trip_and_packing(spark, odd, docs):
 
     encoder = packing.Encoder(None)
     texts = [t for _, t in TEXTS if t] + ["½ x² Ⅷ\x1cq", "don't  stop\n\n it's 12_3 <|endoftext|> naïve 汉字", *[r.text for r in docs.limit(60).collect()]]
-    for t in texts:
-        assert np.frombuffer(encoder.ids(t), "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert ids_of(encoder, texts) == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert isinstance(encoder.tokenizer, Tokenizer)
     parts = packing.pieces(odd)
     placed = packing.packed(parts)
     rows = placed.toPandas()
-    whole = sorted(np.frombuffer(encoder.ids(t or ""), "<u4").tolist() + [2] for _, t in TEXTS)
+    whole = sorted([*ids, 2] for ids in ids_of(encoder, [t for _, t in TEXTS]))
     back = sorted(sum((list(x) for x in g.sort_values("start").ids), []) for _, g in rows.dropna(subset=["doc_id"]).groupby("doc_id") if not g.duplicated("piece").any())
     assert all(b in whole for b in back) and rows.length.sum() == sum(map(len, whole))
     for _, g in rows.sort_values("offset").groupby("sequence_id"):
@@ -276,11 +307,37 @@ def test_tokens_round_trip_and_packing(spark, odd, docs):
 
 def test_ids_around_white_space_are_the_tokenizers_own():
     encoder, rng = packing.Encoder(None), np.random.default_rng(3)
-    encoder.chunks.most = encoder.words.most = 5  # both generations turn over
-    parts = ["a", "b", "don't", "'s", "'ll", " ", " ", "  ", "   ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x0b", "\x85", "½", "Ⅷ", "9", "..", "é", "日本", "_", "x" * 80]
-    for _ in range(5000):
-        text = "".join(rng.choice(parts, rng.integers(0, 12)))
-        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    parts = ["a", "b", "don't", "'s", "'ll", " ", " ", "  ", "   ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "\u2003", "\u1680", "\u200b", "\x1c", "\x0b", "\x85", "½", "Ⅷ", "9", "..", "é", "日本", "_", "<|endoftext|>", "x" * 80]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(5000)]
+    assert ids_of(encoder, texts) == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_keeps_a_callers_columns(spark):
+    rows = spark.createDataFrame([(k, 1 + k % 700, f"s{k}") for k in range(500)], "offset long, length long, shard string")
+    out = packing.packed(rows, shard=100)
+    assert out.columns == ["length", "shard", "sequence_id", "offset"]
+    assert sorted((r.length, r.shard) for r in out.collect()) == sorted((1 + k % 700, f"s{k}") for k in range(500))
+    with pytest.raises(ValueError):
+        packing.pieces(rows, id_col="length", text_col="shard")
+
+
+def test_bin_completion_saves_sequences_that_best_fit_uses():
+    """Mixes of 200 to 600 and 100 to 500 tokens leave best fit above the bound; the search closes most of it."""
+    rng = np.random.default_rng(1)
+    for low, high, share in ((200, 600, 0.3), (100, 500, 0.8)):
+        counts = np.bincount(rng.integers(low, high + 1, 6000), minlength=1025).tolist()
+        bins = packing.pack(counts)
+        assert np.bincount(sum(bins, []), minlength=1025).tolist() == counts and max(map(sum, bins)) <= 1024
+        bound, plain = packing.lower_bound(counts, 1024), len(packing.best_fit(counts, 1024))
+        assert bound <= len(bins) <= plain - share * (plain - bound)
+
+
+def test_fillings_are_undominated():
+    left = packing.Left(np.bincount([500, 300, 300, 200, 150, 150, 60, 10], minlength=1025).tolist(), 1024)
+    found = left.fillings(520)
+    assert all(sum(f) <= 520 for f in found) and sum(found[0]) == 520
+    assert not any(packing.dominated(f, g) for f in found for g in found if f is not g)
+    assert packing.dominated((300, 200), (500,)) and not packing.dominated((300, 220), (500,)) and not packing.dominated((500,), (300, 200))
 
 
 def test_bin_completion_is_optimal_on_small_cases():
