@@ -3,10 +3,11 @@
 An n-gram of count c enters the filter once for each level 1 .. 1 + floor(log2 c).
 A count is read back by probing levels until one misses. The filter takes
 ``BITS_A_TOKEN`` bits for each training token at every size and no n-gram is
-left out. It is split into segments by hash, each built where its n-grams meet
-after one shuffle. Up to ``MOST_BITS`` it is broadcast; a larger one stays a
-table of segments, and each chunk of texts sends its distinct n-grams to their
-segments and gets the levels back. Scores are the same either way.
+left out. It is split by hash into parts, each built where its n-grams meet.
+Up to ``MOST_BITS`` it is broadcast; a larger one stays a table of parts, and
+each chunk of texts sends its distinct n-grams to their parts and gets the
+levels back. Scores are the same either way. N-grams travel in sorted blobs of
+48-bit keys, one for each chunk and part, some four bytes for each n-gram.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.scratch import written
 from ledgerloom.llm.textops import Slice, mix, slices, u64
 
-SEGMENTS = 4096
+KEY = 48  # bits of an n-gram's key; the first of them name its part
 BITS_A_TOKEN = 8
 MOST_BITS = 1 << 29  # of a filter that is broadcast: 64 MB
-CHUNK = 1 << 20  # tokens of texts that are probed together in a filter that isn't
+PART = 500_000  # training tokens for each part of the filter
+CHUNK = 1 << 21  # tokens of texts that are probed together in a filter that isn't broadcast
 KNOWN = 1 << 20  # words of exact count that are broadcast at most: 16 MB
 LEVELS = 40
 WEIGHT = 0.7  # of the bigram estimate, where its context was seen
@@ -59,94 +61,120 @@ def bigrams(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, mix(before * u64(0xC2B2AE3D27D4EB4F) + h + u64(2))
 
 
-def _counted(order: int):
-    """(h, c) of the n-grams of one order, counted within a task before they are shuffled."""
+def keys(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - KEY)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                h, c = np.unique(np.concatenate(held), return_counts=True)
-                held.clear()
-                for k in range(0, len(h), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 200_000].view(np.int64)), pa.array(c[k : k + 200_000])], ["h", "c"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, c) of words and the start, counted within a task before they are shuffled."""
+    for held, starts in _held(batches):
+        h, c = np.unique(np.concatenate([h for _, h in held] + [np.full(starts, START)]), return_counts=True)
+        for k in range(0, len(h), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 200_000].view(np.int64)), pa.array(c[k : k + 200_000])], ["h", "c"])
 
-        size = 0
-        for b in batches:
-            for s in slices(b.column(0)):
-                doc, h = tokens(s)
-                held += [h, np.full(len(s), START)] if order == 1 else [bigrams(doc, h)[1]]
-                size += len(h)
-                if size > FLUSH:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[np.ndarray, np.ndarray]], int]]:
+    """The tokens of some slices of texts, and the number of their texts."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    texts = size = 0
+    for b in batches:
+        for s in slices(b.column(0)):
+            held.append(tokens(s))
+            texts, size = texts + len(s), size + len(held[-1][1])
+            if size > FLUSH:
+                yield held, texts
+                held, texts, size = [], 0, 0
+    if held:
+        yield held, texts
+
+
+def _blobs(key: np.ndarray, bits: int) -> tuple[np.ndarray, list[bytes], list[bytes], np.ndarray]:
+    """Sorted keys cut by part: parts, low and high bytes of the keys within each, and where each part begins."""
+    parts, first = np.unique(key >> np.uint64(KEY - bits), return_index=True)
+    low, high = (key & u64(0xFFFFFFFF)).astype(np.uint32), ((key & u64((1 << (KEY - bits)) - 1)) >> np.uint64(32)).astype(np.uint16)
+    return parts.astype(np.int32), [x.tobytes() for x in np.split(low, first[1:])], [x.tobytes() for x in np.split(high, first[1:])], first
+
+
+def _unblob(low: bytes, high: bytes) -> np.ndarray:
+    """The keys within a part."""
+    return np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32))
+
+
+def _counted_keys(bits: int):
+    """Blobs of the keys and counts of all n-grams, counted within a task before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, starts in _held(batches):
+            every = [x for doc, h in held for x in (h, bigrams(doc, h)[1])]
+            key, c = np.unique(keys(np.concatenate([*every, np.full(starts, START)])), return_counts=True)
+            parts, low, high, first = _blobs(key, bits)
+            counts = [x.tobytes() for x in np.split(c.astype(np.uint32), first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(counts, pa.binary())], ["part", "low", "high", "counts"])
 
     return run
 
 
-def _places(h: np.ndarray, level: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The filter's 64-bit word for (n-gram, level), and the four bits in it."""
-    g = mix(h + u64(level * 0x9E3779B97F4A7C15))
-    word = (h >> np.uint64(52)) * np.uint64(words) + ((g >> np.uint64(32)) * np.uint64(words) >> np.uint64(32))
+def _places(key: np.ndarray, level: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part's 64-bit word for (key within the part, level), and the four bits in it."""
+    g = mix(key + u64(level * 0x9E3779B97F4A7C15))
+    word = (g >> np.uint64(32)) * np.uint64(words) >> np.uint64(32)
     bits = np.zeros_like(g)
     for k in range(4):
         bits |= np.uint64(1) << ((g >> np.uint64(6 * k)) & np.uint64(63))
     return word.astype(np.int64), bits
 
 
-def build(h: np.ndarray, c: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, its words) for all n-grams of some segments: h hashes, c counts, each n-gram once."""
-    segment = (h >> np.uint64(52)).astype(np.int64)
+def build(key: np.ndarray, c: np.ndarray, words: int) -> np.ndarray:
+    """One part of the filter, from the keys within it, each once, and their counts."""
     level = np.floor(np.log2(c)).astype(np.int64) + 1
-    have, at = np.unique(segment, return_inverse=True)
-    table = np.zeros(len(have) * words, np.uint64)
+    table = np.zeros(words, np.uint64)
     for j in range(1, LEVELS + 1):
         more = level >= j
-        h, level, at = h[more], level[more], at[more]
-        if not len(h):
+        key, level = key[more], level[more]
+        if not len(key):
             break
-        word, bits = _places(h & u64(0x000FFFFFFFFFFFFF), j, words)
-        np.bitwise_or.at(table, at * words + word, bits)
-    return have, table.reshape(len(have), words)
+        word, bits = _places(key, j, words)
+        np.bitwise_or.at(table, word, bits)
+    return table
 
 
-def levels(table: np.ndarray, h: np.ndarray, first: int = 0, segments: int = SEGMENTS) -> np.ndarray:
-    """The highest level found in a row; table holds ``segments`` segments from the ``first``."""
-    words = len(table) // segments
-    level = np.zeros(len(h), np.int64)
-    active = np.arange(len(h))
+def levels(table: np.ndarray, key: np.ndarray, first: np.ndarray | int = 0, words: int | None = None) -> np.ndarray:
+    """The highest level found in a row, of keys within parts that begin at the words ``first`` of the table."""
+    words = words or len(table)
+    level = np.zeros(len(key), np.uint8)
+    active, own = np.arange(len(key)), key
+    base = np.broadcast_to(np.asarray(first, np.int64), len(key))
     for j in range(1, LEVELS + 1):
-        own = h[active]
-        word, bits = _places(own & u64(0x000FFFFFFFFFFFFF), j, words)
-        word += ((own >> np.uint64(52)).astype(np.int64) - first) * words
-        active = active[(table[word] & bits) == bits]
-        if not len(active):
+        word, bits = _places(own, j, words)
+        hit = np.flatnonzero((table[word + base] & bits) == bits)
+        if not len(hit):
             break
+        active, own, base = active[hit], own[hit], base[hit]
         level[active] = j
     return level
 
 
 def middle(level: np.ndarray) -> np.ndarray:
     """The count that a level stands for."""
-    return np.where(level < 2, level, 1.5 * 2.0 ** (level - 1))
-
-
-def probe(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Counts read back: 0, or the middle of the highest level found in a row."""
-    return middle(levels(table, h))
+    return np.where(level < 2, level, 1.5 * 2.0 ** (level.astype(float) - 1))
 
 
 @dataclass
 class Model:
-    table: np.ndarray | None  # the filter, all segments; None if it isn't broadcast
+    table: np.ndarray | None  # the filter, all parts; None if it isn't broadcast
     known: np.ndarray  # sorted hashes of frequent words
     counts: np.ndarray  # their exact counts
     tokens: int  # N
     distinct: int  # V
-    size: int  # 64-bit words of a segment
-    segments: DataFrame | None = None  # (segment, bits), if it isn't broadcast
+    bits: int  # of a key, that name its part
+    size: int  # 64-bit words of a part
+    parts: DataFrame | None = None  # (part, bits), if it isn't broadcast
+
+    def probe(self, h: np.ndarray) -> np.ndarray:
+        """Counts read back from the whole filter: 0, or the middle of the highest level found in a row."""
+        key = keys(h)
+        part, own = (key >> np.uint64(KEY - self.bits)).astype(np.int64), key & u64((1 << (KEY - self.bits)) - 1)
+        return middle(levels(self.table, own, part * self.size, self.size))
 
     def log10(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
@@ -179,7 +207,7 @@ def trained(docs: DataFrame, text_col: str = "text", most_bits: int = MOST_BITS,
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     start = int(START.view(np.int64))
-    words = written(texts.mapInArrow(_counted(1), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    words = written(texts.mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
     own = words.where(F.col("h") != start)
     n, v = own.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
@@ -195,27 +223,35 @@ def trained(docs: DataFrame, text_col: str = "text", most_bits: int = MOST_BITS,
     hashes, counts = np.asarray(often["h"]).view(np.uint64), np.asarray(often["c"])
     order = np.argsort(hashes)
 
-    bits = max(1 << 21, 1 << (int(BITS_A_TOKEN * n) - 1).bit_length() if n else 0)
-    size = bits // 64 // SEGMENTS
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2_000_000)
-    both = texts.mapInArrow(_counted(2), "h long, c long").union(words)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (4 * PART))
+    bits = max(4 * tasks - 1, n // PART).bit_length()
+    size = max(1, -(-int(BITS_A_TOKEN * n) // (64 << bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1))) for b in batches if b.num_rows]
-        if got:
-            h, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-            c = np.bincount(at, weights=np.concatenate([g[1] for g in got])).astype(np.int64)
-            have, table = build(h, c, size)
-            for k, row in zip(have.tolist(), table, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row.tobytes()], pa.binary())], ["segment", "bits"])
-
-    built = both.repartition(tasks, F.expr("shiftrightunsigned(h, 52)")).mapInArrow(run, "segment int, bits binary")
-    if bits > most_bits:
-        return Model(None, hashes[order], counts[order], int(n), int(v), size, written(built, "segments")), own
-    table = np.zeros((SEGMENTS, size), np.uint64)
+        part, got = None, []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            if got:
+                key, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+                c = np.bincount(at, weights=np.concatenate([g[1] for g in got])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([build(key, c, size).tobytes()], pa.binary())], ["part", "bits"])
+
+        for b in batches:
+            for p, low, high, c in zip(b.column(0).to_pylist(), *(b.column(k) for k in (1, 2, 3)), strict=True):
+                if p != part:
+                    yield from made()
+                    part, got = p, []
+                got.append((_unblob(low.as_buffer(), high.as_buffer()), np.frombuffer(c.as_buffer(), np.uint32)))
+        yield from made()
+
+    counted = texts.mapInArrow(_counted_keys(bits), "part int, low binary, high binary, counts binary")
+    built = counted.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(run, "part int, bits binary")
+    if size * 64 << bits > most_bits:
+        return Model(None, hashes[order], counts[order], int(n), int(v), bits, size, written(built, "filter")), own
+    table = np.zeros((1 << bits, size), np.uint64)
     for r in built.toLocalIterator(prefetchPartitions=True):
-        table[r.segment] = np.frombuffer(bytes(r.bits), np.uint64)
-    return Model(table.ravel(), hashes[order], counts[order], int(n), int(v), size), own
+        table[r.part] = np.frombuffer(bytes(r.bits), np.uint64)
+    return Model(table.ravel(), hashes[order], counts[order], int(n), int(v), bits, size), own
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +266,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at = np.unique(np.concatenate([[START], *held]), return_inverse=True)
         kept = pa.concat_arrays(ids)
         cols = [pa.array([row], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)]
-        cols += [pa.array([x.tobytes()], pa.binary()) for x in (np.concatenate(sizes).astype(np.int32), own, at[1:].astype(np.int32))]
+        cols += [pa.array([_small(x)], pa.binary()) for x in (np.concatenate(sizes).astype(np.int32), own, at[1:].astype(np.int32))]
         yield pa.RecordBatch.from_arrays(cols, ["chunk", "ids", "sizes", "words", "at"])
 
     for b in batches:
@@ -252,58 +288,64 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+def _small(x: np.ndarray) -> bytes:
+    """The array compressed, after its size: chunks are written once and shuffled once."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _large(x: bytes, kind) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    return np.frombuffer(pa.decompress(x[8:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+
+
 def _read(sizes: bytes, words: bytes, at: bytes) -> tuple[np.ndarray, ...]:
-    """Of a chunk: text of each token, distinct words, each token's place among them, all distinct n-grams and the place of each bigram."""
-    sizes, words, at = np.frombuffer(sizes, np.int32), np.frombuffer(words, np.uint64), np.frombuffer(at, np.int32)
+    """Of a chunk: text of each token, distinct words, each token's place among them, the keys of all distinct n-grams, and the place among these of each distinct word and each bigram."""
+    sizes, words, at = _large(sizes, np.int32), _large(words, np.uint64), _large(at, np.int32)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    both, place = np.unique(np.concatenate([words, bigrams(doc, words[at])[1]]), return_inverse=True)
+    both, place = np.unique(keys(np.concatenate([words, bigrams(doc, words[at])[1]])), return_inverse=True)
     return doc, words, at, both, place
 
 
-def _by_segment(texts: DataFrame, model: Model) -> DataFrame:
-    """ROWS of (id, text) with a filter that is a table: n-grams go to their segments once a chunk, and the levels come back."""
+def _by_part(texts: DataFrame, model: Model) -> DataFrame:
+    """ROWS of (id, text) with a filter that is a table: n-grams go to their parts once a chunk, and the levels come back."""
     spark = texts.sparkSession
-    size = model.size
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.tokens // 2_000_000)
-    shift = max(0, 12 - (4 * tasks - 1).bit_length())  # segments that are probed together: 2 ** shift
+    size, bits = model.size, model.bits
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.tokens // (4 * PART))
     chunks = written(texts.mapInArrow(_chunks, "chunk long, ids array<long>, sizes binary, words binary, at binary"), "chunks")
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                h = _read(*(b.column(c)[k].as_py() for c in (1, 2, 3)))[3]
-                groups, first = np.unique(h >> np.uint64(52 + shift), return_index=True)
-                blobs = [x.tobytes() for x in np.split(h, first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(groups.astype(np.int32)), pa.array(np.full(len(groups), b.column(0)[k].as_py())), pa.array(np.zeros(len(groups), np.int32)), pa.array(blobs, pa.binary())], ["part", "chunk", "segment", "data"])
+                parts, low, high, _ = _blobs(_read(*(b.column(c)[k].as_py() for c in (1, 2, 3)))[3], bits)
+                yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.full(len(parts), b.column(0)[k].as_py())), pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["part", "chunk", "low", "high"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, table = None, None
+        part, table = None, np.zeros(size, np.uint64)
         for b in batches:
             out: list[tuple] = []
-            for p, chunk, segment, data in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
-                if p != part:
-                    part, table = p, np.zeros((1 << shift, size), np.uint64)
-                data = np.frombuffer(data.as_buffer(), np.uint64)
+            for p, chunk, low, high in zip(*(b.column(k).to_pylist() for k in range(2)), b.column(2), b.column(3), strict=True):
+                if p != part:  # a part without training n-grams has no row of its own
+                    part, table = p, np.zeros(size, np.uint64)
                 if chunk is None:
-                    table[segment - (p << shift)] = data
+                    table = np.frombuffer(low.as_py(), np.uint64)
                 else:
-                    out.append((chunk, p, levels(table.ravel(), data, p << shift, 1 << shift).astype(np.uint8).tobytes()))
+                    out.append((chunk, p, levels(table, _unblob(low.as_buffer(), high.as_buffer())).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk", "part", "levels"])
 
-    own = model.segments.select(F.shiftright("segment", shift).alias("part"), F.lit(None).cast("long").alias("chunk"), "segment", F.col("bits").alias("data"))
-    asked = chunks.select("chunk", "sizes", "words", "at").mapInArrow(parts, "part int, chunk long, segment int, data binary")
-    met = own.union(asked).repartition(tasks, "part").sortWithinPartitions("part", F.asc_nulls_first("chunk"))
+    own = model.parts.select("part", F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("low"), F.lit(None).cast("binary").alias("high"))
+    met = own.union(chunks.select("chunk", "sizes", "words", "at").mapInArrow(asked, "part int, chunk long, low binary, high binary"))
+    met = met.repartition(tasks, "part").sortWithinPartitions("part", F.asc_nulls_first("chunk"))
     back = met.mapInArrow(probed, "chunk long, part int, levels binary").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "levels"))).alias("back"))
 
-    sent = spark.sparkContext.broadcast(replace(model, segments=None))
+    sent = spark.sparkContext.broadcast(replace(model, parts=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
             for k in range(b.num_rows):
                 doc, words, at, _, place = _read(*(b.column(c)[k].as_py() for c in (2, 3, 4)))
-                c = middle(np.frombuffer(b"".join(x["levels"] for x in b.column(5)[k].as_py()), np.uint8).astype(np.int64))[place]
+                c = middle(np.frombuffer(b"".join(x["levels"] for x in b.column(5)[k].as_py()), np.uint8))[place]
                 one = c[at]
                 context = np.empty_like(one)
                 context[1:] = one[:-1]
@@ -327,7 +369,7 @@ def _by_broadcast(texts: DataFrame, model: Model) -> DataFrame:
             for s in slices(b.column(1)):
                 doc, h = tokens(s)
                 before, two = bigrams(doc, h)
-                yield m.rows(row, b.column(0).slice(at, len(s)), doc, h, *(probe(m.table, x) for x in (before, h, two)))
+                yield m.rows(row, b.column(0).slice(at, len(s)), doc, h, *(m.probe(x) for x in (before, h, two)))
                 row += len(s)
                 at += len(s)
 
@@ -344,7 +386,7 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_i
     Without training texts every count is 0.
     """
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    rows = written(_by_segment(texts, model) if model.table is None else _by_broadcast(texts, model), "scored")
+    rows = written(_by_part(texts, model) if model.table is None else _by_broadcast(texts, model), "scored")
     rare = rows.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("m"))
     c = F.coalesce("c", F.lit(0))
     rare = rare.join(words, "h", "left").groupBy("row").agg(F.sum(F.col("m") * F.log10((c + 0.1) / F.lit(model.tokens + 0.1 * (model.distinct + 1)))).alias("more"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("seen"))
