@@ -6,8 +6,10 @@ A count is read back by probing levels until one misses. The filter takes
 left out. It is split by hash into parts, each built where its n-grams meet.
 Up to ``MOST_BITS`` it is broadcast; a larger one stays a table of parts, and
 each chunk of texts sends its distinct n-grams to their parts and gets the
-levels back. Scores are the same either way. N-grams travel in sorted blobs of
-48-bit keys, one for each chunk and part, some four bytes for each n-gram.
+levels back. Scores are the same either way. N-grams travel in blobs of sorted
+keys, one for each chunk and part, some four bytes for each n-gram. A key has 16
+bits more than the number of training tokens, so one n-gram in 65,536 at most
+shares another's.
 """
 
 from __future__ import annotations
@@ -24,15 +26,14 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.scratch import written
 from ledgerloom.llm.textops import Slice, mix, slices, u64
 
-KEY = 48  # bits of an n-gram's key; the first of them name its part
 BITS_A_TOKEN = 8
 MOST_BITS = 1 << 29  # of a filter that is broadcast: 64 MB
 PART = 500_000  # training tokens for each part of the filter
-CHUNK = 1 << 21  # tokens of texts that are probed together in a filter that isn't broadcast
+CHUNK = 6 << 20  # bytes of texts that are probed together in a filter that isn't broadcast
 KNOWN = 1 << 20  # words of exact count that are broadcast at most: 16 MB
 LEVELS = 40
 WEIGHT = 0.7  # of the bigram estimate, where its context was seen
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 
 END = u64(0x1F83D9ABFB41BD6B)
 START = u64(0x5BE0CD19137E2179)
@@ -61,14 +62,10 @@ def bigrams(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, mix(before * u64(0xC2B2AE3D27D4EB4F) + h + u64(2))
 
 
-def keys(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(64 - KEY)
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, c) of words and the start, counted within a task before they are shuffled."""
     for held, starts in _held(batches):
-        h, c = np.unique(np.concatenate([h for _, h in held] + [np.full(starts, START)]), return_counts=True)
+        h, c = np.unique(np.concatenate([*(h for _, h in held), np.full(starts, START)]), return_counts=True)
         for k in range(0, len(h), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 200_000].view(np.int64)), pa.array(c[k : k + 200_000])], ["h", "c"])
 
@@ -88,32 +85,71 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[np.nda
         yield held, texts
 
 
-def _blobs(key: np.ndarray, bits: int) -> tuple[np.ndarray, list[bytes], list[bytes], np.ndarray]:
-    """Sorted keys cut by part: parts, low and high bytes of the keys within each, and where each part begins."""
-    parts, first = np.unique(key >> np.uint64(KEY - bits), return_index=True)
-    low, high = (key & u64(0xFFFFFFFF)).astype(np.uint32), ((key & u64((1 << (KEY - bits)) - 1)) >> np.uint64(32)).astype(np.uint16)
-    return parts.astype(np.int32), [x.tobytes() for x in np.split(low, first[1:])], [x.tobytes() for x in np.split(high, first[1:])], first
+@dataclass(frozen=True)
+class Keys:
+    """Keys of n-grams: ``size`` bits of their hashes, the first ``part`` of which name the part."""
+
+    size: int
+    part: int
+
+    @property
+    def high(self) -> int:
+        """Bits of a key within its part that stand before its last three bytes."""
+        return max(self.size - self.part - 24, 0)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return h >> np.uint64(64 - self.size)
+
+    def parts(self, key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(self.size - self.part)).astype(np.int64)
+
+    def within(self, key: np.ndarray) -> np.ndarray:
+        return key & u64((1 << (self.size - self.part)) - 1)
 
+    def packed(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Distinct sorted keys cut by part: parts, where each begins, and its blob: three bytes for each key, then the bits before them, as one count for each value or, of few keys, one by one."""
+        parts, first = np.unique(self.parts(key), return_index=True)
+        own = self.within(key)
+        low = own.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+        high = (own >> np.uint64(24)).astype(np.int64)
+        blobs = []
+        for a, b in zip(first, np.append(first[1:], len(key)), strict=True):
+            more = np.bincount(high[a:b], minlength=1 << self.high) if 4 << self.high <= 2 * (b - a) else None
+            blobs.append(low[a:b].tobytes() + (high[a:b].astype("<u2") if more is None else more.astype("<u4")).tobytes())
+        return parts.astype(np.int32), first, blobs
 
-def _unblob(low: bytes, high: bytes) -> np.ndarray:
-    """The keys within a part."""
-    return np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32))
+    def unpacked(self, blob: memoryview, n: int) -> np.ndarray:
+        """The n keys within a part."""
+        low = np.zeros((n, 4), np.uint8)
+        low[:, :3] = np.frombuffer(blob, np.uint8, 3 * n).reshape(-1, 3)
+        if 4 << self.high <= 2 * n:
+            high = np.repeat(np.arange(1 << self.high), np.frombuffer(blob, "<u4", 1 << self.high, 3 * n))
+        else:
+            high = np.frombuffer(blob, "<u2", n, 3 * n)
+        return low.view("<u4").ravel().astype(np.uint64) | (high.astype(np.uint64) << np.uint64(24))
 
 
-def _counted_keys(bits: int):
-    """Blobs of the keys and counts of all n-grams, counted within a task before they are shuffled."""
+def _counted_keys(k: Keys):
+    """Blobs of the keys and counts of all n-grams, counted within a task before they are shuffled. Counts are a byte each, 0 for those that don't fit and follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, starts in _held(batches):
             every = [x for doc, h in held for x in (h, bigrams(doc, h)[1])]
-            key, c = np.unique(keys(np.concatenate([*every, np.full(starts, START)])), return_counts=True)
-            parts, low, high, first = _blobs(key, bits)
-            counts = [x.tobytes() for x in np.split(c.astype(np.uint32), first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(counts, pa.binary())], ["part", "low", "high", "counts"])
+            key, c = np.unique(k.of(np.concatenate([*every, np.full(starts, START)])), return_counts=True)
+            parts, first, blobs = k.packed(key)
+            counts = [np.where(x < 256, x, 0).astype(np.uint8).tobytes() + x[x > 255].astype("<u4").tobytes() for x in np.split(c, first[1:])]
+            sizes = np.diff(np.append(first, len(key)))
+            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(sizes), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary())], ["part", "n", "keys", "counts"])
 
     return run
 
 
+def _counts(raw: memoryview, n: int) -> np.ndarray:
+    c = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    c[c == 0] = np.frombuffer(raw, "<u4", -1, n)
+    return c
+
+
 def _places(key: np.ndarray, level: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The part's 64-bit word for (key within the part, level), and the four bits in it."""
     g = mix(key + u64(level * 0x9E3779B97F4A7C15))
@@ -166,15 +202,14 @@ class Model:
     counts: np.ndarray  # their exact counts
     tokens: int  # N
     distinct: int  # V
-    bits: int  # of a key, that name its part
+    keys: Keys
     size: int  # 64-bit words of a part
     parts: DataFrame | None = None  # (part, bits), if it isn't broadcast
 
     def probe(self, h: np.ndarray) -> np.ndarray:
         """Counts read back from the whole filter: 0, or the middle of the highest level found in a row."""
-        key = keys(h)
-        part, own = (key >> np.uint64(KEY - self.bits)).astype(np.int64), key & u64((1 << (KEY - self.bits)) - 1)
-        return middle(levels(self.table, own, part * self.size, self.size))
+        key = self.keys.of(h)
+        return middle(levels(self.table, self.keys.within(key), self.keys.parts(key) * self.size, self.size))
 
     def log10(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
@@ -225,6 +260,7 @@ def trained(docs: DataFrame, text_col: str = "text", most_bits: int = MOST_BITS,
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (4 * PART))
     bits = max(4 * tasks - 1, n // PART).bit_length()
+    kinds = Keys(min(64, max(n.bit_length() + 16, bits + 24)), bits)
     size = max(1, -(-int(BITS_A_TOKEN * n) // (64 << bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,104 +273,78 @@ def trained(docs: DataFrame, text_col: str = "text", most_bits: int = MOST_BITS,
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([build(key, c, size).tobytes()], pa.binary())], ["part", "bits"])
 
         for b in batches:
-            for p, low, high, c in zip(b.column(0).to_pylist(), *(b.column(k) for k in (1, 2, 3)), strict=True):
+            for p, many, key, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 if p != part:
                     yield from made()
                     part, got = p, []
-                got.append((_unblob(low.as_buffer(), high.as_buffer()), np.frombuffer(c.as_buffer(), np.uint32)))
+                got.append((kinds.unpacked(key.as_buffer(), many), _counts(c.as_buffer(), many)))
         yield from made()
 
-    counted = texts.mapInArrow(_counted_keys(bits), "part int, low binary, high binary, counts binary")
+    counted = texts.mapInArrow(_counted_keys(kinds), "part int, n long, keys binary, counts binary")
     built = counted.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(run, "part int, bits binary")
     if size * 64 << bits > most_bits:
-        return Model(None, hashes[order], counts[order], int(n), int(v), bits, size, written(built, "filter")), own
+        return Model(None, hashes[order], counts[order], int(n), int(v), kinds, size, written(built, "filter")), own
     table = np.zeros((1 << bits, size), np.uint64)
     for r in built.toLocalIterator(prefetchPartitions=True):
         table[r.part] = np.frombuffer(bytes(r.bits), np.uint64)
-    return Model(table.ravel(), hashes[order], counts[order], int(n), int(v), bits, size), own
+    return Model(table.ravel(), hashes[order], counts[order], int(n), int(v), kinds, size), own
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts in chunks of about CHUNK tokens: ids, tokens of each, distinct words in order, and each token's place among them."""
+    """Texts in chunks of about CHUNK bytes, compressed: they are written once and shuffled once."""
     row = TaskContext.get().partitionId() << 40
-    ids: list = []
-    sizes: list[np.ndarray] = []
-    held: list[np.ndarray] = []
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        own, at = np.unique(np.concatenate([[START], *held]), return_inverse=True)
-        kept = pa.concat_arrays(ids)
-        cols = [pa.array([row], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)]
-        cols += [pa.array([_small(x)], pa.binary()) for x in (np.concatenate(sizes).astype(np.int32), own, at[1:].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(cols, ["chunk", "ids", "sizes", "words", "at"])
-
     for b in batches:
         at = 0
-        for s in slices(b.column(1)):
-            doc, h = tokens(s)
-            ids.append(b.column(0).slice(at, len(s)))
-            sizes.append(np.bincount(doc, minlength=len(s)))
-            held.append(h)
+        for s in slices(b.column(1), CHUNK):
+            ids = b.column(0).slice(at, len(s))
+            sizes = np.diff(s.offsets)
+            data = pa.compress(s.data.tobytes(), "zstd", asbytes=True)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), x) for x in (pa.concat_arrays([ids]), pa.array(sizes))]
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *lists, pa.array([data], pa.binary())], ["chunk", "ids", "sizes", "data"])
+            row += len(s)
             at += len(s)
-            size += len(h)
-            if size >= CHUNK:
-                yield from flush()
-                row += sum(map(len, ids))
-                size = 0
-                for x in (ids, sizes, held):
-                    x.clear()
-    if ids:
-        yield from flush()
-
-
-def _small(x: np.ndarray) -> bytes:
-    """The array compressed, after its size: chunks are written once and shuffled once."""
-    return len(x).to_bytes(8, "little") + pa.compress(x.tobytes(), "zstd", asbytes=True)
-
-
-def _large(x: bytes, kind) -> np.ndarray:
-    n = int.from_bytes(x[:8], "little")
-    return np.frombuffer(pa.decompress(x[8:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
-def _read(sizes: bytes, words: bytes, at: bytes) -> tuple[np.ndarray, ...]:
-    """Of a chunk: text of each token, distinct words, each token's place among them, the keys of all distinct n-grams, and the place among these of each distinct word and each bigram."""
-    sizes, words, at = _large(sizes, np.int32), _large(words, np.uint64), _large(at, np.int32)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    both, place = np.unique(keys(np.concatenate([words, bigrams(doc, words[at])[1]])), return_inverse=True)
-    return doc, words, at, both, place
+def _read(sizes: pa.Scalar, data: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: text and hash of each token, and each bigram's hash."""
+    offsets = np.concatenate(([0], np.cumsum(np.asarray(sizes.values))))
+    raw = pa.decompress(data.as_py(), int(offsets[-1]), "zstd") if offsets[-1] else b""
+    doc, h = tokens(Slice(np.frombuffer(raw, np.uint8), offsets, 0))
+    return doc, h, bigrams(doc, h)[1]
 
 
 def _by_part(texts: DataFrame, model: Model) -> DataFrame:
     """ROWS of (id, text) with a filter that is a table: n-grams go to their parts once a chunk, and the levels come back."""
     spark = texts.sparkSession
-    size, bits = model.size, model.bits
+    size, kinds = model.size, model.keys
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.tokens // (4 * PART))
-    chunks = written(texts.mapInArrow(_chunks, "chunk long, ids array<long>, sizes binary, words binary, at binary"), "chunks")
+    chunks = written(texts.mapInArrow(_chunks, "chunk long, ids array<long>, sizes array<long>, data binary"), "chunks")
+    start = np.array([START])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                parts, low, high, _ = _blobs(_read(*(b.column(c)[k].as_py() for c in (1, 2, 3)))[3], bits)
-                yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.full(len(parts), b.column(0)[k].as_py())), pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["part", "chunk", "low", "high"])
+                _, h, two = _read(b.column(1)[k], b.column(2)[k])
+                key = np.unique(kinds.of(np.concatenate([start, h, two])))
+                parts, first, blobs = kinds.packed(key)
+                yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.full(len(parts), b.column(0)[k].as_py())), pa.array(np.diff(np.append(first, len(key)))), pa.array(blobs, pa.binary())], ["part", "chunk", "n", "keys"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, table = None, np.zeros(size, np.uint64)
         for b in batches:
             out: list[tuple] = []
-            for p, chunk, low, high in zip(*(b.column(k).to_pylist() for k in range(2)), b.column(2), b.column(3), strict=True):
+            for p, chunk, n, key in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
                 if p != part:  # a part without training n-grams has no row of its own
                     part, table = p, np.zeros(size, np.uint64)
                 if chunk is None:
-                    table = np.frombuffer(low.as_py(), np.uint64)
+                    table = np.frombuffer(key.as_py(), np.uint64)
                 else:
-                    out.append((chunk, p, levels(table, _unblob(low.as_buffer(), high.as_buffer())).tobytes()))
+                    out.append((chunk, p, levels(table, kinds.unpacked(key.as_buffer(), n)).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk", "part", "levels"])
 
-    own = model.parts.select("part", F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("low"), F.lit(None).cast("binary").alias("high"))
-    met = own.union(chunks.select("chunk", "sizes", "words", "at").mapInArrow(asked, "part int, chunk long, low binary, high binary"))
+    own = model.parts.select("part", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("long").alias("n"), F.col("bits").alias("keys"))
+    met = own.union(chunks.select("chunk", "sizes", "data").mapInArrow(asked, "part int, chunk long, n long, keys binary"))
     met = met.repartition(tasks, "part").sortWithinPartitions("part", F.asc_nulls_first("chunk"))
     back = met.mapInArrow(probed, "chunk long, part int, levels binary").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "levels"))).alias("back"))
 
@@ -344,15 +354,17 @@ def _by_part(texts: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         for b in batches:
             for k in range(b.num_rows):
-                doc, words, at, _, place = _read(*(b.column(c)[k].as_py() for c in (2, 3, 4)))
-                c = middle(np.frombuffer(b"".join(x["levels"] for x in b.column(5)[k].as_py()), np.uint8))[place]
-                one = c[at]
+                doc, h, two = _read(b.column(2)[k], b.column(3)[k])
+                key, place = np.unique(kinds.of(np.concatenate([start, h, two])), return_inverse=True)
+                got = np.frombuffer(b"".join(x["levels"] for x in b.column(4)[k].as_py()), np.uint8)
+                c = middle(got)[place]
+                one = c[1 : 1 + len(h)]
                 context = np.empty_like(one)
                 context[1:] = one[:-1]
                 first = np.ones(len(doc), bool)
                 first[1:] = doc[1:] != doc[:-1]
-                context[first] = c[np.searchsorted(words, START)]
-                yield m.rows(b.column(0)[k].as_py(), b.column(1)[k].values, doc, words[at], context, one, c[len(words) :])
+                context[first] = c[0]
+                yield m.rows(b.column(0)[k].as_py(), b.column(1)[k].values, doc, h, context, one, c[1 + len(h) :])
 
     return chunks.join(back, "chunk").select(*chunks.columns, "back").mapInArrow(run, ROWS)
 

@@ -260,7 +260,7 @@ def test_language_model_score(docs):
 
 def test_language_model_keeps_every_count(spark, docs, odd, monkeypatch):
     """A filter too large to broadcast gives the same scores as one that is broadcast."""
-    monkeypatch.setattr(lm, "CHUNK", 5000)
+    monkeypatch.setattr(lm, "CHUNK", 30_000)
     monkeypatch.setattr(lm, "PART", 20_000)
     for df in (docs, odd):
         got = []
