@@ -28,7 +28,8 @@ CAPACITY = 1024
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
 SHARD = 20_000  # pieces packed together; a shard wastes at most its last sequences
-NODES = 3  # search nodes for each sequence of a shard
+NODES = 1  # search nodes for each sequence of a shard, and EXTRA more: a dive, and returns at its end
+EXTRA = 500
 SETS, SET_PIECES, SET_NODES = 16, 200, 800  # sets of wasteful sequences searched again, their pieces and nodes
 WIDTH = 12  # lengths that a filling, and its end of three pieces, is tried with as the largest
 BRANCHES = 4  # fillings that a node branches on, the fullest
@@ -396,7 +397,7 @@ def pack(counts: list[int], capacity: int = CAPACITY, nodes: int = NODES, sets:
     """
     bound = lower_bound(counts, capacity)
     bins = best_fit(counts, capacity)
-    bins = completed(counts, capacity, bins, bound, nodes * len(bins))
+    bins = completed(counts, capacity, bins, bound, nodes * len(bins) + EXTRA)
     for turn in range(sets):
         if len(bins) <= bound:
             break
