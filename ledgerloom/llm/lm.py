@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import written
+from ledgerloom.llm.scratch import bucketed, written
 from ledgerloom.llm.textops import Slice, mix, slices, u64
 
 BITS_A_TOKEN = 8
 MOST_BITS = 1 << 29  # of a filter that is broadcast: 64 MB
 PART = 500_000  # training tokens for each part of the filter
-CHUNK = 6 << 20  # bytes of texts that are probed together in a filter that isn't broadcast
+CHUNK = 10 << 20  # bytes of texts that are probed together in a filter that isn't broadcast
 KNOWN = 1 << 20  # words of exact count that are broadcast at most: 16 MB
 LEVELS = 40
 WEIGHT = 0.7  # of the bigram estimate, where its context was seen
@@ -107,25 +107,28 @@ class Keys:
         return key & u64((1 << (self.size - self.part)) - 1)
 
     def packed(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Distinct sorted keys cut by part: parts, where each begins, and its blob: three bytes for each key, then the bits before them, as one count for each value or, of few keys, one by one."""
+        """Distinct sorted keys cut by part: parts, where each begins, and its blob: three bytes for each key, then the bits before them, as a one-byte count for each value or, of few keys, one by one."""
         parts, first = np.unique(self.parts(key), return_index=True)
         own = self.within(key)
         low = own.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
         high = (own >> np.uint64(24)).astype(np.int64)
         blobs = []
         for a, b in zip(first, np.append(first[1:], len(key)), strict=True):
-            more = np.bincount(high[a:b], minlength=1 << self.high) if 4 << self.high <= 2 * (b - a) else None
-            blobs.append(low[a:b].tobytes() + (high[a:b].astype("<u2") if more is None else more.astype("<u4")).tobytes())
+            more = np.bincount(high[a:b], minlength=1 << self.high) if 1 << self.high < 2 * (b - a) else None
+            if more is not None and more.max() < 256:
+                blobs.append(low[a:b].tobytes() + more.astype(np.uint8).tobytes())
+            else:
+                blobs.append(low[a:b].tobytes() + high[a:b].astype("<u2").tobytes())
         return parts.astype(np.int32), first, blobs
 
     def unpacked(self, blob: memoryview, n: int) -> np.ndarray:
         """The n keys within a part."""
         low = np.zeros((n, 4), np.uint8)
         low[:, :3] = np.frombuffer(blob, np.uint8, 3 * n).reshape(-1, 3)
-        if 4 << self.high <= 2 * n:
-            high = np.repeat(np.arange(1 << self.high), np.frombuffer(blob, "<u4", 1 << self.high, 3 * n))
-        else:
+        if len(blob) == 5 * n:
             high = np.frombuffer(blob, "<u2", n, 3 * n)
+        else:
+            high = np.repeat(np.arange(1 << self.high), np.frombuffer(blob, np.uint8, 1 << self.high, 3 * n))
         return low.view("<u4").ravel().astype(np.uint64) | (high.astype(np.uint64) << np.uint64(24))
 
 
@@ -291,7 +294,7 @@ def trained(docs: DataFrame, text_col: str = "text", most_bits: int = MOST_BITS,
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts in chunks of about CHUNK bytes, compressed: they are written once and shuffled once."""
+    """Texts in chunks of about CHUNK bytes, compressed: they are written once, in buckets, and never shuffled."""
     row = TaskContext.get().partitionId() << 40
     for b in batches:
         at = 0
@@ -308,8 +311,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _read(sizes: pa.Scalar, data: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk: text and hash of each token, and each bigram's hash."""
     offsets = np.concatenate(([0], np.cumsum(np.asarray(sizes.values))))
-    raw = pa.decompress(data.as_py(), int(offsets[-1]), "zstd") if offsets[-1] else b""
-    doc, h = tokens(Slice(np.frombuffer(raw, np.uint8), offsets, 0))
+    raw = pa.decompress(data.as_py(), int(offsets[-1]), "zstd") if offsets[-1] else pa.py_buffer(b"")
+    texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), raw])
+    found = [(s.first + doc, h) for s in slices(texts, 2 << 20) for doc, h in [tokens(s)]]
+    doc, h = (np.concatenate(x) for x in zip(*found, strict=True))
     return doc, h, bigrams(doc, h)[1]
 
 
@@ -318,7 +323,7 @@ def _by_part(texts: DataFrame, model: Model) -> DataFrame:
     spark = texts.sparkSession
     size, kinds = model.size, model.keys
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.tokens // (4 * PART))
-    chunks = written(texts.mapInArrow(_chunks, "chunk long, ids array<long>, sizes array<long>, data binary"), "chunks")
+    chunks = bucketed(texts.mapInArrow(_chunks, "chunk long, ids array<long>, sizes array<long>, data binary"), "chunks", "chunk", tasks)
     start = np.array([START])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

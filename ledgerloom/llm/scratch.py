@@ -46,6 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
+    """As written, in n buckets by a column: a join on it moves only the other side. The table's name is in the session's catalog."""
+    spark = df.sparkSession
+    own = f"{name}_{uuid.uuid4().hex[:12]}"
+    df.write.bucketBy(n, column).sortBy(column).option("path", f"{folder(spark)}/{own}").saveAsTable(own)
+    return spark.table(own)
+
+
 def cleared(spark: SparkSession) -> None:
     """Deletes every table that this application wrote; results that still read them are lost."""
     jvm = spark._jvm
