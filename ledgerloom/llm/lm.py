@@ -27,7 +27,7 @@ from ledgerloom.llm.scratch import bucketed, written
 from ledgerloom.llm.textops import Slice, mix, slices, u64
 
 BITS_A_TOKEN = 8
-MOST_BITS = 1 << 29  # of a filter that is broadcast: 64 MB
+MOST_BITS = 1 << 27  # of a filter that is broadcast: 16 MB
 PART = 500_000  # training tokens for each part of the filter
 CHUNK = 4 << 20  # bytes of texts that are probed together in a filter that isn't broadcast
 KNOWN = 1 << 20  # words of exact count that are broadcast at most: 16 MB
