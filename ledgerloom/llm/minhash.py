@@ -24,6 +24,7 @@ SHINGLE = 5
 BANDS, ROWS = 36, 5  # a pair at 0.75 shares no band with a chance of 6e-5
 PER_CENT = 75
 HUB_TURNS = 3  # then the pairs that are left are compared one by one
+SIDE = 256  # members of a bucket that are compared with as many others in one group
 FEW = 8  # a shingle that so many open texts have at most names its pairs itself
 
 OPEN = ("cls", "n", "shared", "often", "root")
@@ -127,55 +128,60 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, per_cent: int = PER_CENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, per_cent: int = PER_CENT, turns: int = HUB_TURNS) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept.
 
-    Texts with equal shingle sets form a class. One text of each class enters
-    the bands. Each bucket compares its members with one hub, and buckets that
-    end in one component are done. In the others only shingles that two open
-    texts have count: a text of n shingles, s of them so shared, can be linked
-    to one of m only if per_cent * (n + m) <= (100 + per_cent) * s, which rules
-    out most members of large groups without meeting in pairs. The rest meet
-    further hubs, the least edited first, then each other. No candidate pair is
-    lost. Every link is confirmed on full shingle sets:
+    Texts with equal shingle sets form a class, which has a number. One text of
+    each class enters the bands. Each bucket compares its members with one hub,
+    and buckets that end in one component are done. In the others only shingles
+    that two open texts have count: a text of n shingles, s of them so shared,
+    can be linked to one of m only if per_cent * (n + m) <= (100 + per_cent) * s,
+    which rules out most members of large groups without meeting in pairs. The
+    rest meet further hubs, the least edited first, then each other, large
+    buckets in blocks of SIDE members by SIDE. No candidate pair is lost. Every
+    link is confirmed on full shingle sets:
     100 * |intersection| >= per_cent * |union|.
 
     Null and empty texts, and texts without words: no shingles, linked with
-    nothing. Repeated rows: each keeps its row, all in one class. Null ids never
-    name a component while another id is there, and such texts are linked by
-    equal sets only; alone, their component_id is null and they are kept. Very
-    long texts are taken whole. An empty table gives no rows.
+    nothing. Repeated rows: each keeps its row, all in one class. Texts with a
+    null id are linked like others but never name a component while it has an
+    id; a component without any has a null component_id, and all of it is kept.
+    Very long texts are taken whole. An empty table gives no rows. Other columns
+    are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = written(docs.mapInArrow(_sketched(shingle, bands, rows), "id long, n long, cls binary, bands array<long>"), "sketches")
-    classes = sig.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.expr("id is null"), "id", "n", "bands")).alias("s"))
-    classes = classes.select("cls", "s.id", "s.n", "s.bands")
-    spread = classes.select("cls", "id", "n", F.explode("bands").alias("bucket"))
+    sig = written(docs.mapInArrow(_sketched(shingle, bands, rows), "id long, n long, cls binary, bands array<long>").withColumnRenamed("cls", "digest"), "sketches")
+    classes = sig.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.expr("id is null"), "id", "n", "bands")).alias("s"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), "digest", "s.id", "s.n", "s.bands"), "classes")
+    spread = classes.select("cls", "n", F.explode("bands").alias("bucket"))
     hubs = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = written(spread.join(hubs, "bucket").where("id is not null"), "members")
-
-    wanted = members.select("id").distinct()
-    sets = docs.join(wanted.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(_sets(shingle), "cls binary, hashes array<long>")
+    members = written(spread.join(hubs, "bucket"), "members")
+
+    wanted = classes.select("cls", "digest", "id").join(members.select("cls").distinct(), "cls", "left_semi")
+    named = wanted.where("id is not null").select("id").distinct()
+    texts = docs.where("id is not null").join(named.hint("merge"), "id", "left_semi")
+    if wanted.where("id is null").limit(1).count():
+        texts = texts.union(docs.where("id is null"))
+    sets = texts.select("id", "text").mapInArrow(_sets(shingle), "digest binary, hashes array<long>").join(wanted.select("cls", "digest"), "digest").drop("digest")
     sets = written(sets.dropDuplicates(["cls"]), "sets")
 
-    links = docs.sparkSession.createDataFrame([], "u binary, v binary")
-    labels = docs.sparkSession.createDataFrame([], "node binary, root binary")
+    links = docs.sparkSession.createDataFrame([], "u long, v long")
+    labels = docs.sparkSession.createDataFrame([], "node long, root long")
     degree = members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket").groupBy("cls").agg(F.sum("size").cast("double").alias("centre"))
     rows_ = written(members.join(degree, "cls").select("bucket", "cls", "n", F.col("n").alias("shared"), F.col("n").alias("often"), "centre", F.col("cls").alias("root")), "open")
-    for turn in range(HUB_TURNS + 1):
+    for turn in range(turns + 1):
         split = rows_.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
         rows_ = written(rows_.join(split.select("bucket", "size"), "bucket"), "split")
         todo = rows_.agg(F.count("*"), F.sum(F.expr("(size - 1) / 2.0"))).first()
         if not todo[0]:
             break
-        last = turn == HUB_TURNS or todo[1] <= 2 * todo[0]
+        last = turn == turns or todo[1] <= 2 * todo[0]
         if turn:
             each = common_shingles(sets.join(rows_.select("cls", "root").distinct(), "cls"))
             rows_ = rows_.drop("shared", "often").join(counted(each), "cls").where(100 * F.col("shared") >= per_cent * F.col("n")).withColumn("centre", F.col("shared") / F.col("n"))
             rows_ = written(rows_, "counted")
         if last:
-            a, b = (rows_.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in OPEN]) for x in "uv")
-            pairs = a.join(b, "bucket").where("cls_u < cls_v")
+            pairs = all_pairs(rows_)
         else:
             hub = rows_.groupBy("bucket").agg(F.max(F.struct("centre", *OPEN)).alias("hub")).select("bucket", *[F.col(f"hub.{c}").alias(f"{c}_u") for c in OPEN])
             rows_ = written(rows_.join(hub, "bucket").where("cls <> cls_u"), "rest")
@@ -195,14 +201,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         split = rows_.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         rows_ = written(rows_.join(split.select("bucket"), "bucket").select("bucket", "cls", "n", "shared", "often", "centre", "root"), "open")
 
-    grouped = classes.select("cls", "id").join(labels, F.col("cls") == F.col("node"), "left").select("cls", "id", F.coalesce("root", "cls").alias("root"))
+    grouped = classes.select("cls", "digest", "id").join(labels, F.col("cls") == F.col("node"), "left").select("digest", "id", F.coalesce("root", "cls").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = written(grouped.join(smallest, "root").select("cls", "component_id"), "named")
-    full = sig.where("n > 0").select("id", "n", "cls").join(named, "cls", "left").select("id", "n", "component_id")
+    named = written(grouped.join(smallest, "root").select("digest", "component_id"), "named")
+    full = sig.where("n > 0").select("id", "n", "digest").join(named, "digest", "left").select("id", "n", "component_id")
     out = full.union(sig.where("n = 0").select("id", "n", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def all_pairs(rows_: DataFrame) -> DataFrame:
+    """Every pair of members of a bucket, once, with the columns OPEN of both. A bucket is dealt into blocks of about SIDE members, and two blocks meet in a group of their own, so no task has a whole large bucket."""
+    blocks = F.greatest(F.ceil(F.col("size") / SIDE), F.lit(1)).cast("int")
+    dealt = rows_.withColumns({"_own": F.pmod(F.xxhash64("cls", "bucket"), blocks).cast("int"), "_other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    dealt = dealt.select("bucket", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"), "_own", *OPEN)
+    sides = [dealt.where(f"_own = {side}").select("bucket", "_low", "_high", *[F.col(c).alias(f"{c}_{x}") for c in OPEN]) for side, x in (("_low", "u"), ("_high", "v"))]
+    return sides[0].join(sides[1], ["bucket", "_low", "_high"]).where("_low < _high or cls_u < cls_v")
+
+
 def common_shingles(sets: DataFrame) -> DataFrame:
     """(h, cls, root, c) of the shingles that c > 1 of the sets have."""
     each = sets.select("cls", "root", F.explode("hashes").alias("h"))
