@@ -7,7 +7,8 @@ shingles gets n / load bins, rounded up to a power of two; each bin keeps its
 smallest hash. A shared shingle stays a bin's minimum with a chance of at least
 (1 - exp(-load)) / load, and ``load`` is what lets an item at the threshold
 escape with a chance of ``MISS``. Items too small for that have a coordinate
-for every shingle. A hit is verified on all shingles of both.
+for every shingle; for items of some dozen words the load is about 1, so most
+shingles stay. A hit is verified on all shingles of both.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.minhash import _lists
+from ledgerloom.llm.minhash import _digests, _lists
+from ledgerloom.llm.scratch import written
 from ledgerloom.llm.textops import Slice, distinct, mix, slices, u64, windows
 
 SHINGLE = 5
@@ -42,13 +44,14 @@ def _load(size: int, per_cent: int) -> float:
 
 
 class Items:
-    """The items of one block: ids, their sorted shingle hashes, and for each class a sorted hash column with the items that have it."""
+    """The items of one block: numbers, widths, their sorted shingle hashes, and for each class a sorted hash column with the items that have it."""
 
-    def __init__(self, ids: list, sets: list[np.ndarray], words: list[int], shingle: int, per_cent: int):
+    def __init__(self, ids: list[int], sets: list[np.ndarray], widths: list[int], shingle: int, per_cent: int):
         self.ids, self.sets, self.shingle, self.per_cent = ids, [np.sort(s) for s in sets], shingle, per_cent
+        self.widths = widths
         groups: dict[tuple[int, float], list[int]] = {}
-        for i, (s, n) in enumerate(zip(sets, words, strict=True)):
-            groups.setdefault((min(n, shingle), _load(1 << (len(s).bit_length() - 1), per_cent)), []).append(i)
+        for i, (s, width) in enumerate(zip(sets, widths, strict=True)):
+            groups.setdefault((width, _load(1 << (len(s).bit_length() - 1), per_cent)), []).append(i)
         self.classes = []
         for (width, load), members in sorted(groups.items()):
             h = np.concatenate([self.sets[i] for i in members])
@@ -74,7 +77,7 @@ class Items:
                 pairs.update((d, int(i)) for i in owner[np.searchsorted(hashes, u64(x)) : np.searchsorted(hashes, u64(x), "right")])
         texts: dict[tuple[int, int], np.ndarray] = {}
         for d, i in sorted(pairs):
-            width = next(c[0] for c in self.classes if i in c[3])
+            width = self.widths[i]
             if (d, width) not in texts:
                 doc, h = made[width]
                 texts[d, width] = h[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
@@ -104,23 +107,32 @@ def _item_sets(shingle: int):
             for s in slices(b.column(1)):
                 w = s.words()
                 _, h, n = distinct(*windows(w, shingle, short=True), len(s))
-                out = pa.RecordBatch.from_arrays([b.column(0).slice(at, len(s)), pa.array(w.counts), pa.array(n), _lists(h, n)], ["item", "words", "size", "hashes"])
+                width = np.minimum(w.counts, shingle)
+                out = pa.RecordBatch.from_arrays([b.column(0).slice(at, len(s)), pa.array(width), pa.array(n), pa.array(_digests(h, n), pa.binary()), _lists(h, n)], ["item", "width", "size", "digest", "hashes"])
                 at += len(s)
                 yield out.filter(pa.array(n > 0))
 
     return run
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, shingle: int, per_cent: int, block: int) -> Iterator[Items]:
-    """The items in as many blocks as keep each below ``block`` shingles on average."""
-    sets = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
-    sets = sets.mapInArrow(_item_sets(shingle), "item long, words long, size long, hashes array<long>")
-    total = sets.agg(F.sum("size")).first()[0] or 0
-    n = -(-total // block)
-    for k in range(n):
-        got = sets.where(F.pmod(F.xxhash64("hashes"), F.lit(n)) == k).toArrow()
-        if got.num_rows:
-            yield Items(got["item"].to_pylist(), [np.array(x, np.int64).view(np.uint64) for x in got["hashes"].to_pylist()], got["words"].to_pylist(), shingle, per_cent)
+def distinct_items(items: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(k, width, size, hashes) of the distinct items, and (item, k) of all: an item that repeats is searched once."""
+    each = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(_item_sets(shingle), "item long, width long, size long, digest binary, hashes array<long>")
+    own = written(each.drop("item").dropDuplicates(["digest", "width"]).withColumn("k", F.monotonically_increasing_id()), "items")
+    return own, each.select("item", "digest", "width").join(own.select("digest", "width", "k"), ["digest", "width"]).select("item", "k")
+
+
+def blocks(own: DataFrame, shingle: int, per_cent: int, block: int) -> Iterator[Items]:
+    """Distinct items in blocks of at most ``block`` shingles, or of one larger item: their numbers are cut by running sums of sizes."""
+    cuts, total = [], 0
+    for r in own.select("k", "size").orderBy("k").toLocalIterator():
+        if not cuts or total + r.size > block:
+            cuts.append(r.k)
+            total = 0
+        total += r.size
+    for low, high in zip(cuts, [*cuts[1:], 1 << 62], strict=False):
+        got = own.where(F.col("k").between(low, high - 1)).toArrow()
+        yield Items(got["k"].to_pylist(), [np.array(x, np.int64).view(np.uint64) for x in got["hashes"].to_pylist()], got["width"].to_pylist(), shingle, per_cent)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, per_cent: int = PER_CENT, block: int = BLOCK) -> DataFrame:
@@ -130,33 +142,37 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     one window of its own length, looked for anywhere in a text. Null or empty
     texts on either side match nothing. Repeated rows give a row each. Null ids
     come out as null. Texts of any length are searched whole. Empty tables give
-    no rows. Other columns are ignored.
+    no rows. Other columns are ignored; item_id may be named as doc_id is, then
+    the item's column gets the prefix item_.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    schema = f"`{doc_id}` long, `{item_id}` long, n_shared long, n_item long"
+    names = [doc_id, item_id if item_id != doc_id else f"item_{item_id}", "n_shared", "n_item"]
+    own, every = distinct_items(items, item_id, item_text, shingle)
+    schema = "doc long, k long, n_shared long, n_item long"
     out = None
-    for part in blocks(items, item_id, item_text, shingle, per_cent, block):
+    for part in blocks(own, shingle, per_cent, block):
         sent = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
+            held = sent.value
             for b in batches:
                 at, rows = 0, []
                 for s in slices(b.column(1)):
-                    rows += [(b.column(0)[at + d].as_py(), own.ids[i], shared, len(own.sets[i])) for d, i, shared in own.found(s)]
+                    rows += [(b.column(0)[at + d].as_py(), held.ids[i], shared, len(held.sets[i])) for d, i, shared in held.found(s)]
                     at += len(s)
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], [doc_id, item_id, "n_shared", "n_item"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc", "k", "n_shared", "n_item"])
 
         found = texts.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    out = spark.createDataFrame([], schema) if out is None else out
+    return out.join(every, "k").select("doc", "item", "n_shared", "n_item").toDF(*names)
 
 
 def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, per_cent: int = PER_CENT, block: int = BLOCK) -> DataFrame:
     """The rows of docs, all columns as they are, whose text contains no item (see contained_items). No row is moved between tasks."""
     spark = docs.sparkSession
-    for part in blocks(items, item_id, item_text, shingle, per_cent, block):
+    for part in blocks(distinct_items(items, item_id, item_text, shingle)[0], shingle, per_cent, block):
         sent, at_text = spark.sparkContext.broadcast(part), docs.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, at_text=at_text) -> Iterator[pa.RecordBatch]:
