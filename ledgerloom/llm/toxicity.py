@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios (Wang and Manning 2012).
 
-Features are the distinct 3- to 5-grams of bytes of a text, A-Z lower-cased and
-white space runs made one space, hashed into ``BITS`` bits. Each is scaled by
+Features are the distinct 3- to 5-grams of characters (code points) of a text,
+A-Z lower-cased and white space runs made one space, hashed into ``BITS`` bits. Each is scaled by
 its log ratio of class frequencies; a logistic regression with an L2 penalty is
 fitted on the scaled features.
 """
@@ -12,35 +12,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import with_columns
-from ledgerloom.llm.textops import Slice, lower_table, slices, space_table, u64
+from ledgerloom.llm.scratch import with_columns, written
+from ledgerloom.llm.textops import Slice, lower_table, mix, slices, space_table, u64
 
 BITS = 18
 ORDERS = (3, 4, 5)
 SAMPLE = 6_000  # labelled texts that are fitted at most, the first by a hash of their id
+MOST = 24_000_000  # features of all fitted texts together at most, which bounds the fitting task's memory (about 1 GB)
 
 
 def features(s: Slice) -> Iterator[np.ndarray]:
     """The distinct hashed n-grams of each text of the slice."""
-    data = lower_table()[s.data]
-    space = space_table()[data]
-    data = np.where(space, np.uint8(32), data)
+    data = np.frombuffer(s.data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4")
+    offsets = np.concatenate(([0], np.cumsum((s.data & 0xC0) != 0x80)))[s.offsets]
+    small = data < 128
+    data = np.where(small, lower_table()[data & 127], data)
+    space = small & space_table()[data & 127]
+    data = np.where(space, 32, data)
     keep = np.ones(len(data), bool)
     keep[1:] = ~(space[1:] & space[:-1])
-    edge = s.offsets[:-1][s.offsets[:-1] < len(data)]
-    keep[edge] = True
-    ends = np.concatenate(([0], np.cumsum(keep)))[s.offsets]
+    keep[offsets[:-1][offsets[:-1] < len(data)]] = True
+    ends = np.concatenate(([0], np.cumsum(keep)))[offsets]
     data = data[keep].astype(np.uint64)
-    hashed, packed = [], data
+    hashed, rolled = [], data
     for n in range(2, max(ORDERS) + 1):
         if len(data) < n:
             break
-        packed = packed[:-1] | (data[n - 1 :] << np.uint64(8 * (n - 1)))
+        rolled = rolled[:-1] * u64(0x9E3779B97F4A7C15) + data[n - 1 :]
         if n in ORDERS:
-            hashed.append((n, ((packed * u64(0x9E3779B97F4A7C15) + u64(n * 0xBF58476D1CE4E5B9)) * u64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int32)))
+            hashed.append((n, (mix(rolled + u64(n)) >> np.uint64(64 - BITS)).astype(np.int32)))
     last = np.empty(1 << BITS, np.int64)
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         own = [h[a : b - n + 1] for n, h in hashed if b - a >= n]
@@ -62,7 +65,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 4.0, steps: int =
     sizes = np.array([len(r) for r in rows])
     idx = np.concatenate(rows)
     y = toxic.astype(float)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     p = np.bincount(idx[toxic[owner] == 1], minlength=size) + 1.0
     q = np.bincount(idx[toxic[owner] == 0], minlength=size) + 1.0
     df = p + q - 2
@@ -73,7 +76,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 4.0, steps: int =
     place = np.full(size, -1, np.int32)
     place[common] = np.arange(len(common))
     at = place[idx]
-    owner, at = owner[at >= 0], at[at >= 0].astype(np.int64)
+    owner, at = owner[at >= 0], at[at >= 0]
     rows_at, starts = np.unique(owner, return_index=True)
     by_feature = owner[np.argsort(at, kind="stable")].astype(np.int32)
     firsts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(common)))))[:-1]
@@ -103,16 +106,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(b.column(1)):
             rows = list(features(s))
             sizes = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(s)), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(rows)))], ["label", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(s)), b.column(2).slice(at, len(s)), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(rows)))], ["label", "at", "found"])
             at += len(s)
 
 
-def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Fits on at most ``sample`` labelled rows, in one task; only the weights (1 MB) reach the driver."""
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most: int = MOST) -> tuple[np.ndarray, float]:
+    """Fits on at most ``sample`` labelled rows of at most ``most`` features together, in one task; only the weights (1 MB) reach the driver.
+
+    Rows without a label or an id are no examples; of several labels of an id the
+    highest counts, and every text of the id is an example.
+    """
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "id").select("label", "text").mapInArrow(_features, "label int, found array<int>")
+    texts = texts.join(F.broadcast(picked), "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(sample)
+    rows = written(texts.select("label", "text", F.xxhash64("id").alias("at")).mapInArrow(_features, "label int, at long, found array<int>"), "examples")
+    # the sample bounds the rows of this window
+    sizes = rows.groupBy("at").agg(F.sum(F.size("found")).alias("size")).withColumn("total", F.sum("size").over(Window.orderBy("at")))
+    rows = rows.join(F.broadcast(sizes.where(F.col("total") <= most).select("at")), "at")
 
     def run(table: pa.Table) -> pa.Table:
         found = table["found"].combine_chunks()
@@ -129,7 +140,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
     Null and empty texts get the chance of a text without features. Whole texts
     of any length count; equal texts get equal scores; other columns, nulls and
     repeated rows stay as they are. A column named ``score_col`` is replaced.
-    Without labelled rows, or with label 0 alone, all scores are next to 0.
+    Without labelled rows, or with label 0 alone, all scores are next to 0. No
+    rows: none come out.
     """
     docs = docs.drop(score_col)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
