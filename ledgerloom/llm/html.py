@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,12 @@ JUNK = frozenset("nav header footer aside form script style noscript iframe temp
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
 
-_TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
+_COMMENT = re.compile(r"--!?>")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = frozenset("blockquote dl figure ol pre section table ul".split())
+
 _ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
@@ -61,53 +67,99 @@ def _is_junk(name: str, attrs: str) -> bool:
     return False
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of each tag; comments and declarations have no name.
+
+    Every character is scanned a bounded number of times. A quote that is never
+    closed is a plain character. If quotes swallow all that is left, the tag and
+    those after it end at the next >. What starts a tag without any > is text.
+    A caller may send a position to go on from.
+    """
+    at, last, quoted = 0, page.rfind(">"), True
+    ends = {q: page.rfind(q) for q in "\"'"}
+    while (start := page.find("<", at)) >= 0 and (start < last or page.startswith("<!--", start)):
+        at = start + 1
+        if page.startswith("!--", at):
+            m = _COMMENT.search(page, start + 4)
+            at = m.end() if m else len(page)
+            at = (yield start, at, "", "", "") or at
+            continue
+        if page[at : at + 1] in ("!", "?"):
+            at = page.find(">", at) + 1
+            at = (yield start, at, "", "", "") or at
+            continue
+        m = _NAME.match(page, at)
+        if not m:
+            continue
+        to = _PLAIN.match(page, m.end()).end() if quoted else page.find(">", m.end())
+        while quoted and to < len(page) and page[to] != ">":
+            q = page[to]
+            to = _PLAIN.match(page, page.find(q, to + 1) + 1 if to < ends[q] else to + 1).end()
+        if to >= len(page):
+            quoted = False
+            to = page.find(">", m.end())
+        at = to + 1
+        at = (yield start, at, m[1], m[2].lower(), page[m.end() : to]) or at
+
+
 def tree(page: str) -> Node:
     """The element tree; unclosed and stray tags are mended as browsers mostly do."""
     root = at = Node("#root", None, False)
-    end = 0
-    n = len(page)
-    while end < n:
-        m = _TAG.search(page, end)
-        stop = m.start() if m else n
-        if stop > end:
-            at.children.append(html.unescape(page[end:stop]))
-        if not m:
+    opened: Counter[str] = Counter()
+    end, found = 0, tags(page)
+    go_on = None
+
+    def upto(node: Node) -> None:
+        nonlocal at
+        while at is not node:
+            opened[at.name] -= 1
+            at = at.parent
+
+    while True:
+        try:
+            start, stop, slash, name, attrs = found.send(go_on)
+        except StopIteration:
             break
-        end = m.end()
-        name = (m[3] or "").lower()
+        go_on = None
+        if start > end:
+            at.children.append(html.unescape(page[end:start]))
+        end = stop
         if not name:
             continue
-        if m[2]:
+        if slash:
             up = at
-            while up.parent is not None and up.name != name:
+            while opened[name] and up.name != name:
                 if up.name in FENCE and name not in FENCE:
                     up = root
                     break
                 up = up.parent
-            if up.parent is not None:
-                at = up.parent
+            if opened[name] and up is not root:
+                upto(up.parent)
             elif name == "p":
                 at.children.append(Node("p", at, False))
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened["p"]:
             up = at
             while up.parent is not None and up.name != "p" and up.name not in FENCE:
                 up = up.parent
             if up.name == "p":
-                at = up.parent
-        if name in SAME:
+                upto(up.parent)
+        if name in SAME and any(opened[x] for x in SAME[name]):
             up = at
             while up.parent is not None and up.name not in SAME[name] and up.name not in FENCE:
                 up = up.parent
             if up.name in SAME[name]:
-                at = up.parent
-        node = Node(name, at, at.junk or _is_junk(name, m[4] or ""))
+                upto(up.parent)
+        node = Node(name, at, at.junk or _is_junk(name, attrs))
         at.children.append(node)
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, end)
-            end = close.end() if close else n
-        elif name not in VOID and not (m[4] or "").endswith("/"):
+            end = go_on = close.end() if close else len(page)
+        elif name not in VOID and not attrs.endswith("/"):
             at = node
+            opened[name] += 1
+    if end < len(page):
+        at.children.append(html.unescape(page[end:]))
     return root
 
 
@@ -206,20 +258,21 @@ def extract(page: str | None) -> str:
     best = max((n for n in nodes if n.points > 0), key=lambda n: n.points * (1 - _density(n)), default=None)
     if best is None:
         return "\n".join(_blocks([root]))
-    whole = next((n for n in _above(best) if n.name in ("article", "main")), None)
-    if whole is not None:
-        return "\n".join(_blocks([whole]))
     kept = [best]
     if best.parent is not None and best.name not in ("body", "html"):
         least = max(6.0, 0.2 * best.points)
-        kept = [c for c in best.parent.children if c is best or isinstance(c, Node) and not c.junk and (c.points * (1 - _density(c)) >= least or c.name == "p" and (c.own > 80 and _density(c) < 0.25 or c.own and _density(c) == 0 and _text(c)[-1:] in ".!?") or c.name in ("h1", "h2", "h3"))]
+        kept = [c for c in best.parent.children if c is best or isinstance(c, Node) and not c.junk and _belongs(c, least)]
     return "\n".join(_blocks(kept))
 
 
-def _above(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
+def _belongs(node: Node, least: float) -> bool:
+    """Whether a sibling of the best container is a part of the text: by its points, or as a heading, paragraph, section, list or table with few links."""
+    links = _density(node)
+    if node.points * (1 - links) >= least or node.name in HEADINGS:
+        return True
+    if node.name == "p":
+        return node.own > 80 and links < 0.25 or node.own > 0 and links == 0 and _text(node)[-1:] in ".!?"
+    return node.name in PARTS and node.size > 0 and links < 0.25
 
 
 def extracted(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
