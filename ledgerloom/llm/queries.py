@@ -31,15 +31,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.urls import judged, labelled, trained
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judged(pages, trained(labelled(spark))).select("page_id", "host", "path", "rule", "verdict", "score")
+    return judged(pages, trained(labelled(spark).where("not held"))).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ledgerloom.llm.pii import KINDS, found, listed, trained
+    from ledgerloom.llm.pii import KINDS, counted, found, listed, trained
 
     out = found(table(spark, sf_dir, "documents").select("doc_id", "text"), trained(spark))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counted(*KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +87,47 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_url_filter, op4_pii, op5_toxicity, op6_html_extraction, op7_language_id, op8_lm_scoring, op9_packing, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+# What SQL can express of the operators: columns that a rule defines.
+
+
+def llm_quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op2."""
+    from ledgerloom.llm.quality import BASE, measured
+
+    return measured(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), *BASE)
+
+
+def llm_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of op3, without a model."""
+    from ledgerloom.llm.urls import SIZE, judged
+
+    return judged(table(spark, sf_dir, "pages").select("page_id", "url"), ([0.0] * SIZE, 0.0)).select("page_id", "host", "path", "rule")
+
+
+def llm_personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op4 whose checks SQL has: addresses, ip numbers and phone numbers."""
+    from ledgerloom.llm.pii import base_spans, counted
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", base_spans(F.coalesce("text", F.lit(""))).alias("base"))
+    return docs.select("doc_id", *counted("email", "ip", "phone"))
+
+
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_url_filter, op4_pii, op5_toxicity, op6_html_extraction, op7_language_id, op8_lm_scoring, op9_packing, op10_decontamination, llm_quality_base, llm_url_rules, llm_personal_data_counts)}
+ORACLE_SQL: dict[str, str] = {
+    "llm_quality_base": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d),
+        h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM g),
+        r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE c > 1) GROUP BY doc_id),
+        l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d)
+        SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)""",
+    "llm_url_rules": """WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        q AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+        r(h, x) AS (VALUES ('org', '/'), ('example.org', '/es/'), ('example.org', '/en/1'), ('com', '/fr/'), ('com', '/de/'))
+        SELECT page_id, host, path, max_by(h || x, length(h || x)) AS rule FROM q LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, x) GROUP BY 1, 2, 3""",
+    "llm_personal_data_counts": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+        len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: list_max(list_transform(string_split(x, '.'), lambda y: CAST(y AS HUGEINT))) <= 255)) AS n_ip,
+        len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) AS n_phone FROM d""",
+}
