@@ -7,6 +7,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.scratch import fresh
+
 SIZE = 4096
 ORDERS = (3, 4, 5)
 MOST_RULES = 10_000  # rules become one literal map
@@ -14,12 +16,27 @@ MOST_RULES = 10_000  # rules become one literal map
 #: (verdict, host, path prefix)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-# The labelled URL table is every stem with every form: unwanted topics, and names of ordinary sites.
-UNWANTED = "cheap-pills casino-win free-bets spam-farm ads-track adult-dates win-prize payday-loans pills-online poker-bonus track-clicks click-farm fake-watches hot-singles crack-keys slots-jackpot".split()
-WANTED = "city-library news-daily green-garden history-notes open-science river-school math-forum home-cooking travel-diary music-archive bird-watch town-council weather-map book-club code-journal museum-tour".split()
-SYLLABLES = "ba ce di fo gu la me ni po ru sta tre wil xon".split()
-WANTED += [SYLLABLES[i % 14] + SYLLABLES[i * 5 % 13] + SYLLABLES[i * 3 % 11] for i in range(48)]  # plain invented names
-FORMS = ("www.{}.test/en/12", "{}.test/articles/{}.html", "blog.{}.test/fr/7/", "m.{}.test/2021/05/post", "{}.test")
+# The labelled URL table is pairs of words of a topic with forms of urls. Every fourth pair is held out, to measure the error on names that weren't learned.
+UNWANTED = ("casino poker bets slots jackpot roulette", "pills viagra pharmacy meds diet loss", "adult dating singles escort cams hookup", "loans payday credit cash rich earn", "ads tracker clicks popup spam promo", "crack keygen warez torrent fake replica")
+WANTED = ("library museum archive history notes letters", "school science physics math lab campus", "news daily herald gazette times report", "garden cooking recipes kitchen bakery farm", "city council county bridge harbor station", "music choir theatre cinema gallery books", "hiking travel cycling birds weather maps", "software code docs kernel compiler wiki")
+WORDS = "north blue old green little open river stone".split()
+FORMS = ("www.{}.test/en/12", "{}.test/articles/{}.html", "blog.{}.test/fr/7/", "m.{}.test/2021/05/post", "{}.test", "pages.test/{}/index", "{}.test/de/3?id=9")
+
+
+def _names(topics: tuple[str, ...]) -> list[str]:
+    """Pairs of a topic's words, words with a general one, and each word alone."""
+    out = []
+    for k, topic in enumerate(topics):
+        own = topic.split()
+        out += [f"{a}-{b}" if (i + j) % 2 else a + b for i, a in enumerate(own) for j, b in enumerate(own) if i != j]
+        out += [f"{WORDS[(i + k) % len(WORDS)]}{a}" for i, a in enumerate(own)] + own
+    return out
+
+
+def invented(n: int) -> list[str]:
+    """Names of no topic, ordinary ones: syllables dealt by multiplication."""
+    made = [c + v for c in "bdfgklmnprstvz" for v in ("a", "e", "i", "o", "u", "an", "er", "is")]
+    return ["".join(made[(i * m + o) % len(made)] for m, o in ((37, 0), (53, 11), (71, 29))[: 2 + i % 2]) for i in range(1, n + 1)]
 
 
 def located(url: Column) -> tuple[Column, Column]:
@@ -61,9 +78,11 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    """The small training table: url, label (1: unwanted)."""
-    rows = [("http://" + f.replace("{}", s), y) for y, stems in ((1.0, UNWANTED), (0.0, WANTED)) for s in stems for f in FORMS]
-    return spark.createDataFrame(rows, "url string, label double")
+    """The small training table: url, label (1: unwanted) and whether its name is held out."""
+    rows = []
+    for label, names in ((1.0, _names(UNWANTED)), (0.0, _names(WANTED) + invented(120))):
+        rows += [("http://" + FORMS[f].replace("{}", s), label, k % 4 == 3) for k, s in enumerate(names) for f in {k % len(FORMS), (k * 3 + 1) % len(FORMS)}]
+    return spark.createDataFrame(rows, "url string, label double, held boolean")
 
 
 def trained(table: DataFrame) -> tuple[list[float], float]:
@@ -82,16 +101,20 @@ def judged(pages: DataFrame, model: tuple[list[float], float], url_col: str = "u
 
     The longest fitting rule decides; else the model blocks from ``threshold``
     on. A null url, or one without ://, has an empty host and path, no rule, and
-    the model's verdict on empty text. Rows are independent: repeated rows,
-    other columns and nulls in them stay.
+    the model's verdict on empty text. Urls of any length are read whole. Rows
+    are independent: repeated rows, other columns, of whatever name, and nulls in
+    them stay. No rows: none come out.
     """
     weights, bias = model
-    pages = pages.drop("host", "path", "rule", "verdict", "score")
+    names = ("host", "path", "rule", "verdict", "score")
+    kept = [c for c in pages.columns if c.lower() not in names]
+    fits, found, at = (fresh(pages, n) for n in ("fitting", "grams", "located"))
     w = F.split(F.lit(",".join(f"{x:.9g}" for x in weights)), ",").cast("array<double>")
     host, path = located(F.col(url_col).cast("string"))
-    out = pages.withColumns({"host": host, "path": path})
-    found = out.withColumns({"_fits": fitting_rule(F.col("host"), F.col("path"), rules), "_grams": grams(F.col("host"), F.col("path"))})
-    z = F.aggregate("_grams", F.lit(bias), lambda a, i: a + F.get(w, i))
-    out = found.withColumn("score", 1 / (1 + F.exp(-z)))
-    verdict = F.coalesce(F.col("_fits.verdict"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
-    return out.select(*pages.columns, "host", "path", F.col("_fits.rule").alias("rule"), verdict.alias("verdict"), "score")
+    out = pages.withColumn(at, F.struct(host.alias("host"), path.alias("path")))
+    host, path = F.col(at)["host"], F.col(at)["path"]
+    out = out.withColumns({fits: fitting_rule(host, path, rules), found: grams(host, path)})
+    z = F.aggregate(found, F.lit(bias), lambda a, i: a + F.get(w, i))
+    score = 1 / (1 + F.exp(-z))
+    verdict = F.coalesce(F.col(fits)["verdict"], F.when(score >= threshold, "block").otherwise("allow"))
+    return out.select(*kept, host.alias("host"), path.alias("path"), F.col(fits)["rule"].alias("rule"), verdict.alias("verdict"), score.alias("score"))
