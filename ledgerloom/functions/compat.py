@@ -31,8 +31,9 @@ def count_distinct_tuples(*cols: str) -> Column:
 
 
 def floor_exact(x: Column) -> Column:
-    """floor() of large amounts without saturating at the long range."""
-    return F.floor(x.cast("decimal(38,4)")).cast("decimal(38,0)")
+    """floor() of amounts of up to 38 digits, without saturating at the long range; null beyond."""
+    out = F.floor(x).try_cast("decimal(38,0)")  # exact for decimals; for doubles a long, which stops at its ends
+    return F.when(out.isin(INT64_MAX, -INT64_MAX - 1), x.try_cast("decimal(38,0)")).otherwise(out)
 
 
 def clamp_long(x: Column) -> Column:

@@ -18,6 +18,10 @@ DAYS_A_YEAR = 365.25
 GROWTH = 107
 ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
+# A day's decay and growth as 64.64 fixed-point numbers.
+DECAY_64 = 18_443_079_296_116_538_654
+GROWTH_64 = 18_450_409_579_521_241_655
+
 GAMMA = DECAY_A_YEAR ** (1 / DAYS_A_YEAR)
 
 
@@ -32,19 +36,15 @@ def decayed(value: Column, days: Column) -> Column:
 
 
 def _factor(days: int, inverse: bool) -> int:
-    """gamma ** days, or its inverse, as a 64.64 fixed-point number, by squaring with truncation."""
-    from decimal import Decimal, getcontext
-
-    getcontext().prec = 60
-    root = Decimal("0.93") ** (Decimal(1) / Decimal("365.25"))
-    base = int((1 / root if inverse else root) * (1 << 64))
-    out = 1 << 64
+    """A day's decay, or growth, to the power of days as a 64.64 fixed-point number: squared with 127 bits behind the point, each product rounded half up."""
+    half, one = 1 << 126, 1 << 127
+    base, out = (GROWTH_64 if inverse else DECAY_64) << 63, one
     while days:
         if days & 1:
-            out = out * base >> 64
-        base = base * base >> 64
+            out = (out * base + half) >> 127
+        base = (base * base + half) >> 127
         days >>= 1
-    return out
+    return out >> 63
 
 
 def exact_decay(inverse: bool = False):
@@ -74,7 +74,16 @@ def truncated(atto: Column) -> Column:
 
 
 def whole_units(atto: Column) -> Column:
-    return atto.cast("double") / F.lit(1e18)
+    """Atto units as whole ones, exact: a decimal(38,18), null beyond 20 digits before the point."""
+    digits = F.lpad(F.abs(atto.cast("decimal(38,0)")).cast("string"), 38, "0")
+    text = F.concat(F.left(digits, F.lit(20)), F.lit("."), F.right(digits, F.lit(18)))
+    out = text.try_cast("decimal(38,18)")
+    return F.when(atto.cast("decimal(38,0)") < 0, -out).otherwise(out)
+
+
+def atto_units(whole: Column) -> Column:
+    """Whole units as atto ones, what is beyond 18 decimals cut off."""
+    return F.replace(whole.cast("decimal(38,18)").cast("string"), F.lit("."), F.lit("")).cast("decimal(38,0)")
 
 
 def address(text: Column) -> Column:

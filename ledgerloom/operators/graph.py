@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -42,96 +41,12 @@ def common_targets(edges: DataFrame, a, b) -> DataFrame:
 
 
 def capacity_edges(balances: DataFrame, trust: DataFrame) -> DataFrame:
-    """(src, dst, token, capacity): a holder can send a token, up to its balance, to whoever trusts it."""
+    """(kind, account, token, capacity): each holder sends a token to its pool up to the balance, and the pool sends it on, without a bound of its own, to whoever trusts the token. H holders and T trusters are H + T edges."""
     held = balances.where("balance > 0")
-    return held.join(trust, held.token == trust.dst).where(F.col("account") != F.col("src")).select(F.col("account").alias("from_"), F.col("src").alias("to_"), "token", F.col("balance").alias("capacity")).withColumnsRenamed({"from_": "src", "to_": "dst"})
-
-
-def between(edges: DataFrame, source, sink, hops: int, most: int) -> DataFrame:
-    """Edges on walks of at most ``hops`` edges from source to sink. More than ``most`` of them raise: the solver's input stays bounded."""
-    forward, backward = [(source,)], [(sink,)]
-    spark = edges.sparkSession
-    kind = edges.schema["src"].dataType.simpleString()
-
-    def reach(start: list[tuple], a: str, b: str) -> DataFrame:
-        seen = spark.createDataFrame(start, f"node {kind}").withColumn("hop", F.lit(0))
-        for k in range(1, hops + 1):
-            grown = seen.where(F.col("hop") == k - 1).join(edges, F.col("node") == F.col(a)).select(F.col(b).alias("node"), F.lit(k).alias("hop"))
-            seen = seen.union(grown).groupBy("node").agg(F.min("hop").alias("hop"))
-        return seen
-
-    f, b = reach(forward, "src", "dst"), reach(backward, "dst", "src")
-    out = edges.join(f.select(F.col("node").alias("src"), F.col("hop").alias("_f")), "src").join(b.select(F.col("node").alias("dst"), F.col("hop").alias("_b")), "dst").where(F.col("_f") + F.col("_b") < hops)
-    out = out.select(*edges.columns)
-    if len(out.limit(most + 1).select("src").collect()) > most:
-        raise ValueError(f"over {most} edges within {hops} hops; take fewer hops")
-    return out
-
-
-def max_flow(edges: list[tuple], source, sink, target: int | None = None) -> tuple[int, dict[tuple, int]]:
-    """Shortest augmenting paths on a bounded edge list (src, dst, key, capacity): the value, and the flow of each edge."""
-    at: dict = {}
-    to, room, label = [], [], []
-    for s, d, k, c in edges:
-        for a, b, cap, name in ((s, d, int(c), (s, d, k)), (d, s, 0, None)):
-            at.setdefault(a, []).append(len(to))
-            to.append(b)
-            room.append(cap)
-            label.append(name)
-    value = 0
-    while target is None or value < target:
-        came, queue = {source: -1}, deque([source])
-        while queue and sink not in came:
-            for e in at.get(queue[0], ()):
-                if room[e] and to[e] not in came:
-                    came[to[e]] = e
-                    queue.append(to[e])
-            queue.popleft()
-        if sink not in came or source == sink:
-            break
-        path, node = [], sink
-        while node != source:
-            path.append(came[node])
-            node = to[came[node] ^ 1]
-        push = min([room[e] for e in path] + ([target - value] if target is not None else []))
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
-        value += push
-    return value, {label[e]: room[e ^ 1] for e in range(0, len(to), 2) if room[e ^ 1]}
-
-
-def paths(flow: dict[tuple, int], source, sink) -> list[tuple[list[tuple], int]]:
-    """Simple paths with amounts that add up to the flow."""
-    left = dict(flow)
-    out = []
-    while True:
-        path, node, seen = [], source, {source}
-        while node != sink:
-            step = next((e for e, v in left.items() if v > 0 and e[0] == node and e[1] not in seen), None)
-            if step is None:
-                break
-            path.append(step)
-            node = step[1]
-            seen.add(node)
-        if node != sink or not path:
-            return out
-        amount = min(left[e] for e in path)
-        for e in path:
-            left[e] -= amount
-        out.append((path, amount))
-
-
-def route(balances: DataFrame, trust: DataFrame, source, sink, target: int | None = None, hops: int = 4, most: int = 200_000) -> DataFrame:
-    """Transfers (src, dst, token, amount) of a largest flow of tokens along trust. The sub-graph is cut in Spark; only its bounded edges reach the solver."""
-    spark = balances.sparkSession
-    cut = between(capacity_edges(balances, trust), source, sink, hops, most)
-    rows = [tuple(r) for r in cut.select("src", "dst", "token", "capacity").collect()]
-    # a holder's balance of a token is shared by all who trust it
-    split = [((s, t), d, t, c) for s, d, t, c in rows] + [(s, (s, t), t, c) for s, t, c in {(s, t, c) for s, _, t, c in rows}]
-    _, flow = max_flow(split, source, sink, target)
-    kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
-    return spark.createDataFrame([(e[0][0], e[1], e[2], v) for e, v in flow.items() if isinstance(e[0], tuple)], f"src {kinds['src']}, dst {kinds['dst']}, token {kinds['token']}, amount long")
+    pools = held.select("token").distinct()
+    holders = held.select(F.lit("holder").alias("kind"), "account", "token", F.col("balance").alias("capacity"))
+    trusters = trust.select(F.col("src").alias("account"), F.col("dst").alias("token")).join(pools, "token", "left_semi")
+    return holders.unionByName(trusters.select(F.lit("truster").alias("kind"), "account", "token"), allowMissingColumns=True)
 
 
 def largest_flow(balances: DataFrame, trust: DataFrame, source: int, sink: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -53,13 +53,18 @@ def transfers(spark: SparkSession, sf: str) -> DataFrame:
 TRANSFERS = "(SELECT l_orderkey AS tx, -l_suppkey AS sender, o_custkey AS receiver, l_partkey AS token, CAST(l_quantity AS BIGINT) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
+def customers(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: the number of customers."""
+    return F.broadcast(table(spark, sf, "customer").agg(F.nullif(F.count("*"), F.lit(0)).alias("n")))
+
+
 def trust(spark: SparkSession, sf: str) -> DataFrame:
-    """A directed graph on customers: who ordered a part trusts the customer whose number is the part's, modulo the customers."""
-    t = transfers(spark, sf).select(F.col("receiver").alias("src"), (F.col("token") % 997 + 1).alias("dst"))
-    return t.where("src <> dst and src <= 997").distinct()
+    """A directed graph on all customers: who ordered a part trusts the customer whose number is the part's, modulo the customers."""
+    t = transfers(spark, sf).crossJoin(customers(spark, sf)).select(F.col("receiver").alias("src"), (F.col("token") % F.col("n")).alias("dst"))
+    return t.where("src <> dst").distinct()
 
 
-TRUST = f"(SELECT DISTINCT receiver AS src, token % 997 + 1 AS dst FROM {TRANSFERS} WHERE receiver <> token % 997 + 1 AND receiver <= 997)"
+TRUST = f"(SELECT DISTINCT receiver AS src, token % (SELECT COUNT(*) FROM customer) AS dst FROM {TRANSFERS} WHERE receiver <> token % (SELECT COUNT(*) FROM customer))"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -74,19 +79,6 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def whole_trust(spark: SparkSession, sf: str) -> DataFrame:
-    """The graph of trust() on all customers: no id is left out, and parts are numbered modulo the customers."""
-    t = transfers(spark, sf).crossJoin(F.broadcast(customers(spark, sf))).select(F.col("receiver").alias("src"), (F.col("token") % F.col("n")).alias("dst"))
-    return t.where("src <> dst").distinct()
-
-
-def customers(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").agg(F.nullif(F.count("*"), F.lit(0)).alias("n"))
-
-
-WHOLE_TRUST = f"(SELECT DISTINCT receiver AS src, token % (SELECT COUNT(*) FROM customer) AS dst FROM {TRANSFERS} WHERE receiver <> token % (SELECT COUNT(*) FROM customer))"
-
-
 # state views
 
 
@@ -158,7 +150,7 @@ def v_stats(spark, sf):
 @query(
     f"WITH t AS {TRUST}, d AS (SELECT node, CAST(SUM(o) AS BIGINT) AS out_degree, CAST(SUM(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM t UNION ALL SELECT dst, 0, 1 FROM t) GROUP BY node), m AS (SELECT a.src AS node, COUNT(*) AS m FROM t a JOIN t b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src), s AS (SELECT d.node, in_degree, least(40, in_degree * 2) + least(35, 7 * coalesce(m, 0)) + least(25, out_degree) AS raw FROM d LEFT JOIN m USING (node)) SELECT node, CAST(least(100, raw) AS BIGINT) AS score, CASE WHEN raw >= 60 THEN 'high' WHEN raw >= 30 THEN 'medium' ELSE 'low' END AS level FROM s"
 )
-def v_trust_scores(spark, sf, trust=trust):
+def v_trust_scores(spark, sf):
     t = trust(spark, sf)
     both = graph.mutual(t).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("m"))
     s = graph.degrees(t).join(both, "node", "left")
@@ -264,9 +256,9 @@ def u_intersect(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_custkey").alias("id")).intersect(table(spark, sf, "events").select("user_id"))
 
 
-@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def u_except(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).distinct().join(table(spark, sf, "orders"), F.col("id") == F.col("o_custkey"), "left_anti")
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).distinct().join(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'"), F.col("id") == F.col("o_custkey"), "left_anti")
 
 
 @query("SELECT c_nationkey AS id FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -371,67 +363,58 @@ def f_prefix_search(spark, sf):
     return table(spark, sf, "documents").where(ledger.prefix_match(F.col("text"), "that sh")).select("doc_id")
 
 
-@query("SELECT p_partkey, upper(p_brand) AS brand FROM part WHERE p_type LIKE '%STEEL%' OR p_name ILIKE 'A%'")
+@query("SELECT p_partkey, upper(p_brand) AS brand FROM part WHERE p_type LIKE '%MALL' OR p_name ILIKE 'BL%'")
 def f_like(spark, sf):
-    return table(spark, sf, "part").where(F.col("p_type").like("%STEEL%") | F.col("p_name").ilike("A%")).select("p_partkey", F.upper("p_brand").alias("brand"))
+    return table(spark, sf, "part").where(F.col("p_type").like("%MALL") | F.col("p_name").ilike("BL%")).select("p_partkey", F.upper("p_brand").alias("brand"))
 
 
 # graph
 
 
 @query(f"SELECT node, CAST(SUM(o) AS BIGINT) AS out_degree, CAST(SUM(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM {TRUST} UNION ALL SELECT dst, 0, 1 FROM {TRUST}) GROUP BY node")
-def g_degrees(spark, sf, trust=trust):
+def g_degrees(spark, sf):
     return graph.degrees(trust(spark, sf))
 
 
 @query(f"WITH t AS {TRUST} SELECT COUNT(*) AS edges, COUNT(b.src) AS mutual, round(COUNT(b.src) / CAST(COUNT(*) AS DOUBLE), 9) AS reciprocity FROM t a LEFT JOIN t b ON a.src = b.dst AND a.dst = b.src")
-def g_reciprocity(spark, sf, trust=trust):
+def g_reciprocity(spark, sf):
     return graph.reciprocity(trust(spark, sf)).withColumn("reciprocity", F.round("reciprocity", 9))
 
 
 @query(f"WITH t AS {TRUST}, n AS (SELECT COUNT(*) AS nodes FROM (SELECT src FROM t UNION SELECT dst FROM t)) SELECT COUNT(*) AS edges, MAX(nodes) AS nodes, round(COUNT(*) / CAST(MAX(nodes) * (MAX(nodes) - 1) AS DOUBLE), 9) AS density FROM t, n")
-def g_density(spark, sf, trust=trust):
+def g_density(spark, sf):
     return graph.density(trust(spark, sf)).withColumn("density", F.round("density", 9))
 
 
 @query(f"WITH t AS {TRUST} SELECT b.dst, COUNT(*) AS ways FROM t a JOIN t b ON a.dst = b.src WHERE a.src = 1 AND b.dst <> 1 AND b.dst NOT IN (SELECT dst FROM t WHERE src = 1) GROUP BY b.dst")
-def g_two_hop(spark, sf, trust=trust):
+def g_two_hop(spark, sf):
     return graph.two_hop(trust(spark, sf), 1)
 
 
 @query(f"WITH t AS {TRUST} SELECT dst FROM t WHERE src = 1 INTERSECT SELECT dst FROM t WHERE src = 2")
-def g_common_trust(spark, sf, trust=trust):
+def g_common_trust(spark, sf):
     return graph.common_targets(trust(spark, sf), 1, 2)
 
 
-@query(f"WITH t AS {TRUST}, h AS (SELECT receiver AS account, token % 997 + 1 AS token, CAST(SUM(value) AS BIGINT) AS balance FROM {TRANSFERS} WHERE receiver <= 997 GROUP BY 1, 2) SELECT h.account AS src, t.src AS dst, h.token, h.balance AS capacity FROM h JOIN t ON h.token = t.dst WHERE h.account <> t.src AND h.account % 10 = 1")
-def g_capacity_edges(spark, sf):
-    return graph.capacity_edges(holdings(spark, sf).where("account % 10 = 1"), trust(spark, sf))
-
-
-def whole_holdings(spark, sf):
-    """What each customer got of each customer's parts, no id left out; summed before it is joined."""
-    t = transfers(spark, sf).crossJoin(F.broadcast(customers(spark, sf)))
+def holdings(spark, sf):
+    """What each customer got of each customer's parts, summed before it is joined."""
+    t = transfers(spark, sf).crossJoin(customers(spark, sf))
     return t.groupBy(F.col("receiver").alias("account"), (F.col("token") % F.col("n")).alias("token")).agg(F.sum("value").alias("balance"))
 
 
-WHOLE_HOLDINGS = f"(SELECT receiver AS account, token % (SELECT COUNT(*) FROM customer) AS token, CAST(SUM(value) AS BIGINT) AS balance FROM {TRANSFERS} GROUP BY 1, 2)"
-
+HOLDINGS = f"(SELECT receiver AS account, token % (SELECT COUNT(*) FROM customer) AS token, CAST(SUM(value) AS BIGINT) AS balance FROM {TRANSFERS} GROUP BY 1, 2)"
 
-def holdings(spark, sf):
-    return transfers(spark, sf).where("receiver <= 997").groupBy(F.col("receiver").alias("account"), (F.col("token") % 997 + 1).alias("token")).agg(F.sum("value").alias("balance"))
 
-
-@query(f"WITH t AS {WHOLE_TRUST}, h AS {WHOLE_HOLDINGS} SELECT h.account AS src, t.src AS dst, h.token, h.balance AS capacity FROM h JOIN t ON h.token = t.dst WHERE h.account <> t.src")
-def g_capacity_edges_whole(spark, sf):
-    """g_capacity_edges on all customers and all holders."""
-    return graph.capacity_edges(whole_holdings(spark, sf), whole_trust(spark, sf))
+@query(f"WITH t AS {TRUST}, h AS {HOLDINGS} SELECT 'holder' AS kind, account AS account, token, balance AS capacity FROM h WHERE balance > 0 UNION ALL SELECT 'truster', src, dst, NULL FROM t WHERE dst IN (SELECT token FROM h WHERE balance > 0)")
+def g_capacity_edges(spark, sf):
+    """All capacity edges: holders to the pool of their token, the pool to whoever trusts it."""
+    return graph.capacity_edges(holdings(spark, sf), trust(spark, sf))
 
 
 @query()
 def g_max_flow(spark, sf):
     """Transfers of a largest flow between two accounts, over any number of hops; checked by value and conservation in tests."""
-    return graph.largest_flow(whole_holdings(spark, sf), whole_trust(spark, sf), 1, 2, kept)
+    return graph.largest_flow(holdings(spark, sf), trust(spark, sf), 1, 2, kept)
 
 
 @query(f"SELECT tx, low, high, CAST(SUM(v) AS BIGINT) AS net, COUNT(*) AS transfers FROM (SELECT tx, least(sender, receiver) AS low, greatest(sender, receiver) AS high, CASE WHEN sender <= receiver THEN value ELSE -value END AS v FROM {TRANSFERS} WHERE sender <> receiver) GROUP BY 1, 2, 3 HAVING SUM(v) <> 0")
@@ -461,14 +444,16 @@ def i_affected_recompute(spark, sf):
     return core.affected_recompute(snapshot, core.latest_by(e.join(changed, "user_id", "left_semi"), ["user_id"], ["event_id"]), changed, ["user_id"])
 
 
-@query(f"SELECT user_id, COUNT(*) AS n, MAX(event_id) AS last FROM {EVENTS} WHERE event_id <= 500 GROUP BY user_id")
+@query(f"SELECT user_id, COUNT(*) AS n, MAX(event_id) AS last FROM {EVENTS} WHERE event_id <= (SELECT CAST(floor(max(event_id) * 0.7) AS BIGINT) FROM events) GROUP BY user_id")
 def i_pinned_at(spark, sf):
-    return events(spark, sf).where("event_id <= 500").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    """The view as of a block: seven tenths of the way."""
+    block = events(spark, sf).agg(F.expr("cast(floor(max(event_id) * 0.7) as bigint)")).first()[0] or 0
+    return events(spark, sf).where(F.col("event_id") <= block).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
-@query("SELECT first_missing, last_missing FROM (SELECT o_custkey + 1 AS first_missing, lead(o_custkey) OVER (ORDER BY o_custkey) - 1 AS last_missing FROM (SELECT DISTINCT o_custkey FROM orders)) WHERE last_missing >= first_missing")
+@query("SELECT first_missing, last_missing FROM (SELECT o_custkey + 1 AS first_missing, lead(o_custkey) OVER (ORDER BY o_custkey) - 1 AS last_missing FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')) WHERE last_missing >= first_missing")
 def i_gaps(spark, sf):
-    return core.gaps(table(spark, sf, "orders").select("o_custkey"), "o_custkey")
+    return core.gaps(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"), "o_custkey")
 
 
 # the query language
@@ -498,9 +483,9 @@ def d_distinct(spark, sf):
     return dsl.compile_query(_tables(spark, sf), q, ["o_orderkey"])[0]
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 0 AND c_custkey <= 900 ORDER BY c_custkey LIMIT 101")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 5000 ORDER BY c_custkey LIMIT 101")
 def d_default_limit(spark, sf):
-    q = {"namespace": "Ledger", "table": "Customers", "columns": ["c_custkey", "c_name"], "filter": [{"type": "FilterPredicate", "filterType": "LessThan", "column": "c_acctbal", "value": 0}, {"type": "FilterPredicate", "filterType": "LessThanOrEquals", "column": "c_custkey", "value": "900"}, {"type": "Conjunction", "conjunctionType": "And", "predicates": []}]}
+    q = {"namespace": "Ledger", "table": "Customers", "columns": ["c_custkey", "c_name"], "filter": [{"type": "FilterPredicate", "filterType": "LessThan", "column": "c_acctbal", "value": "5000"}, {"type": "Conjunction", "conjunctionType": "And", "predicates": []}]}
     return dsl.compile_query(_tables(spark, sf), q, ["c_custkey"])[0]
 
 
@@ -519,7 +504,7 @@ def q_token_balances(spark, sf):
 
 
 @query(f"WITH t AS {TRUST} SELECT other, CASE WHEN COUNT(DISTINCT d) = 2 THEN 'mutual' WHEN MIN(d) = 'out' THEN 'trusts' ELSE 'trusted by' END AS relation FROM (SELECT dst AS other, 'out' AS d FROM t WHERE src = 5 UNION ALL SELECT src, 'in' FROM t WHERE dst = 5) GROUP BY other")
-def q_aggregated_trust(spark, sf, trust=trust):
+def q_aggregated_trust(spark, sf):
     t = trust(spark, sf).where("src = 5 or dst = 5")
     legs = t.select(F.when(F.col("src") == 5, F.col("dst")).otherwise(F.col("src")).alias("other"), (F.col("src") == 5).alias("out"))
     both = legs.groupBy("other").agg(F.bool_or("out").alias("o"), F.bool_or(~F.col("out")).alias("i"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import compat
 from ledgerloom.operators import graph, stats
 from ledgerloom.plans.catalogue import AS_OF, EVENTS, TRANSFERS, TRUST, events, query, table, transfers, trust
+from ledgerloom.plans.chain import view
+from ledgerloom.plans.views import c_v1_trust_relations
 
 WEEK = f"day > DATE '{AS_OF}' - INTERVAL 7 DAY"
 MONTH = f"day > DATE '{AS_OF}' - INTERVAL 30 DAY"
@@ -76,23 +78,24 @@ def k_supply_share_by_type(spark, sf):
     return per.crossJoin(F.broadcast(per.agg(F.sum("v").alias("all")))).select("kind", F.round(compat.safe_ratio(F.col("v"), F.col("all")), 9).alias("share"))
 
 
-@query("SELECT c_mktsegment AS segment, COUNT(*) AS accounts FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1")
+@query("SELECT c_mktsegment AS segment, COUNT(*) AS accounts FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') GROUP BY 1")
 def k_accounts_without_activity(spark, sf):
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").select("o_custkey")
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("accounts"))
 
 
-@query(f"WITH t AS {TRUST} SELECT DISTINCT src FROM t WHERE src NOT IN (SELECT dst FROM t)")
-def k_no_incoming_trust(spark, sf, trust=trust):
-    t = trust(spark, sf)
-    return t.select("src").distinct().join(t.select(F.col("dst").alias("src")), "src", "left_anti")
+@view("SELECT DISTINCT can_send_to FROM c_v1_trust_relations WHERE can_send_to NOT IN (SELECT user_ FROM c_v1_trust_relations)")
+def k_no_incoming_trust(t):
+    """Who trusts someone and is trusted by nobody, in version 1."""
+    r = c_v1_trust_relations(t)
+    return r.select("can_send_to").distinct().join(r.select(F.col("user_").alias("can_send_to")), "can_send_to", "left_anti")
 
 
-@query(f"WITH t AS {TRUST} SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM t WHERE src = c_custkey) AND NOT EXISTS (SELECT 1 FROM t WHERE dst = c_custkey)")
-def k_isolated(spark, sf, trust=trust):
-    t = trust(spark, sf)
-    seen = t.select(F.col("src").alias("c_custkey")).union(t.select("dst")).distinct()
-    return table(spark, sf, "customer").select("c_custkey").join(seen, "c_custkey", "left_anti")
+@view("SELECT user_ FROM v1_signup s WHERE NOT EXISTS (SELECT 1 FROM c_v1_trust_relations r WHERE r.user_ = s.user_) AND NOT EXISTS (SELECT 1 FROM c_v1_trust_relations r WHERE r.can_send_to = s.user_)")
+def k_isolated(t):
+    """Sign-ups without any trust."""
+    r = c_v1_trust_relations(t)
+    return t["v1_signup"].select("user_").join(r.select("user_").union(r.select("can_send_to")), "user_", "left_anti")
 
 
 @query(f"SELECT hour, COUNT(*) AS n FROM {EVENTS} WHERE event_type = 'signup' GROUP BY hour HAVING COUNT(*) >= 2")
@@ -109,12 +112,12 @@ def k_gain_and_drain(spark, sf):
 
 
 @query(f"SELECT src, COUNT(*) AS invited FROM {TRUST} GROUP BY src HAVING COUNT(*) > 20")
-def k_high_volume_inviters(spark, sf, trust=trust):
+def k_high_volume_inviters(spark, sf):
     return trust(spark, sf).groupBy("src").agg(F.count("*").alias("invited")).where("invited > 20")
 
 
 @query(f"WITH d AS (SELECT dst AS node, COUNT(*) AS n FROM {TRUST} GROUP BY 1) SELECT CAST(least(n // 5, 10) AS BIGINT) AS bucket, COUNT(*) AS nodes FROM d GROUP BY 1")
-def k_trust_buckets(spark, sf, trust=trust):
+def k_trust_buckets(spark, sf):
     d = graph.degrees(trust(spark, sf)).where("in_degree > 0")
     return d.groupBy(F.least(F.floor(F.col("in_degree") / 5), F.lit(10)).cast("long").alias("bucket")).agg(F.count("*").alias("nodes"))
 

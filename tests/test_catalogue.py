@@ -1,7 +1,7 @@
 import pytest
 from oracle import actual, expected
 
-from ledgerloom.plans import kpis  # noqa: F401  adds its queries
+from ledgerloom.plans import flows, kpis, named, views  # noqa: F401  add their queries
 from ledgerloom.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -11,4 +11,6 @@ SF = "/root/testdata/sf0.001"
 def test_query(spark, name):
     got = actual(QUERIES[name](spark, SF))
     if name in ORACLE_SQL:
-        assert got == expected(SF, ORACLE_SQL[name])
+        want = expected(SF, ORACLE_SQL[name])
+        assert got == want
+        assert want[1], "no rows show nothing"
