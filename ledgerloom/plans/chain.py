@@ -36,7 +36,7 @@ _LINE = _head("l_orderkey", "l_linenumber", "l_partkey")
 _OWNER = f"CASE WHEN l_partkey % 4 = 0 THEN {made('b', '1 + l_partkey % 10')} ELSE {made('a', '1 + l_partkey % 200')} END"
 _FROM = f"CASE WHEN l_suppkey % 6 = 0 THEN '{ZERO}' ELSE {made('a', '1 + l_suppkey % 97')} END"
 _TO = f"CASE WHEN l_suppkey % 6 = 1 THEN '{ZERO}' WHEN l_suppkey % 6 = 2 THEN {made('c', '1 + l_suppkey % 10')} ELSE {made('a', 'o_custkey')} END"
-_VALUE = "CAST(l_quantity AS BIGINT) * 1000000000"
+_VALUE = "CAST(l_quantity AS BIGINT) * 1000000"
 _MEMBER = made("a", "greatest(1, o_custkey + o_orderkey % 7 - 3)")
 _MOVE = {"from_": _FROM, "to_": _TO, "id": _OWNER, "token_address": _OWNER, "value": _VALUE}
 _LOCK = {"grp": made("b", "1 + l_partkey % 10"), "id": made("a", "1 + l_partkey % 200"), "value": _VALUE}

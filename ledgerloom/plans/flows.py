@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ _MOVES_2 = "SELECT block_number, log_index, 'move' AS what, from_, to_, token_ad
 
 
 @view(
-    f"WITH e AS ({_MOVES_2}), s AS (SELECT *, max(CASE WHEN what = 'start' THEN log_index END) OVER w AS started, max(CASE WHEN what = 'done' THEN log_index END) OVER w AS done FROM e WINDOW w AS (PARTITION BY block_number ORDER BY log_index RANGE UNBOUNDED PRECEDING)), k AS (SELECT s.*, what = 'done' AS stream FROM s WHERE what IN ('done', 'wrapper') OR what = 'move' AND (started IS NULL OR coalesce(done, -1) >= started)) SELECT k.block_number, stream, from_, to_, round(CAST(sum(CASE WHEN d.circles_type = 1 AND what = 'wrapper' THEN amount * power({DECAY}, greatest(0, floor((k.timestamp - 1602720000) / 86400))) ELSE amount END) AS DOUBLE), 3) AS amount, count(DISTINCT token) AS tokens, count(*) AS transfers FROM k LEFT JOIN wrapper_deployed d ON d.wrapper = k.token GROUP BY 1, 2, 3, 4"
+    f"WITH e AS ({_MOVES_2}), s AS (SELECT *, max(CASE WHEN what = 'start' THEN log_index END) OVER w AS started, max(CASE WHEN what = 'done' THEN log_index END) OVER w AS done FROM e WINDOW w AS (PARTITION BY block_number ORDER BY log_index RANGE UNBOUNDED PRECEDING)), k AS (SELECT s.*, what = 'done' AS stream FROM s WHERE what IN ('done', 'wrapper') OR what = 'move' AND (started IS NULL OR coalesce(done, -1) >= started)) SELECT k.block_number, stream, from_, to_, round(CAST(sum(CASE WHEN d.circles_type = 1 AND what = 'wrapper' THEN amount * power({DECAY}, greatest(0, floor((k.timestamp - 1602720000) / 86400))) ELSE amount END) AS DOUBLE), 0) AS amount, count(DISTINCT token) AS tokens, count(*) AS transfers FROM k LEFT JOIN wrapper_deployed d ON d.wrapper = k.token GROUP BY 1, 2, 3, 4"
 )
 def c_transfer_summary(t):
     """Per transaction, inside or outside a stream, and sender and receiver: amount, tokens and transfers.
@@ -42,7 +42,7 @@ def c_transfer_summary(t):
     static = t["wrapper_deployed"].where("circles_type = 1").select(F.col("wrapper").alias("token"), F.lit(True).alias("static"))
     e = e.join(static, "token", "left")
     amount = F.when(F.col("static") & (F.col("what") == "wrapper"), ledger.decayed(F.col("amount"), ledger.day_index(F.col("timestamp")))).otherwise(F.col("amount").cast("double"))
-    out = e.groupBy("block_number", "stream", "from_", "to_").agg(F.round(F.sum(amount), 3).alias("amount"), F.count_distinct("token").alias("tokens"), F.count("*").alias("transfers"))
+    out = e.groupBy("block_number", "stream", "from_", "to_").agg(F.round(F.sum(amount), 0).alias("amount"), F.count_distinct("token").alias("tokens"), F.count("*").alias("transfers"))
     return out
 
 
@@ -91,21 +91,27 @@ def used_edges(hubs: list[tuple[str, str]], edges: list[tuple[str, str]]) -> tup
     return found, steps >= MOST_STEPS
 
 
-def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    hubs, moves_ = (rows[rows["hub"] == flag].reset_index(drop=True) for flag in (True, False))
-    found, cut = used_edges(list(zip(hubs["from_"], hubs["to_"], strict=True)), list(zip(moves_["from_"], moves_["to_"], strict=True)))
-    out = [(int(h.block_number), "hub", h.from_, h.to_, int(h.amount), len(used), cut) for h, used in zip(hubs.itertuples(), found, strict=True)]
-    free = set(range(len(moves_))) - set().union(*found)
-    out += [(int(m.block_number), "standalone", m.from_, m.to_, int(m.amount), 1, cut) for k, m in enumerate(moves_.itertuples()) if k in free]
-    return pd.DataFrame(out, columns=["block_number", "kind", "from_", "to_", "amount", "transfers", "cut"])
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["block_number", "kind", "from_", "to_", "amount", "transfers", "cut"]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+    for b in batches:
+        out: list[tuple] = []
+        for block, events in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            hubs, own = ([e for e in events if e["hub"] == flag] for flag in (True, False))
+            found, cut = used_edges([(e["from_"], e["to_"]) for e in hubs], [(e["from_"], e["to_"]) for e in own])
+            out += [(block, "hub", h["from_"], h["to_"], h["amount"], len(used), cut) for h, used in zip(hubs, found, strict=True)]
+            used = set().union(*found)
+            out += [(block, "standalone", m["from_"], m["to_"], m["amount"], 1, cut) for k, m in enumerate(own) if k not in used]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
 
 @view()
 def c_v1_transfer_summary(t):
     """Each hub transfer with the number of the transaction's transfers on its paths, and transfers on none; a transaction is a group of its own, ``cut`` tells that its search gave up."""
-    own = ["block_number", "from_", "to_", "amount"]
-    rows = t["v1_hub_transfer"].select(*own, F.lit(True).alias("hub")).union(t["v1_transfer"].select(*own, F.lit(False).alias("hub")))
-    return rows.groupBy("block_number").applyInPandas(_summed, "block_number long, kind string, from_ string, to_ string, amount long, transfers long, cut boolean")
+    own = ["from_", "to_", "amount"]
+    rows = t["v1_hub_transfer"].select("block_number", *own, F.lit(True).alias("hub")).union(t["v1_transfer"].select("block_number", *own, F.lit(False).alias("hub")))
+    grouped = rows.groupBy("block_number").agg(F.array_sort(F.collect_list(F.struct(*own, "hub"))).alias("events"))
+    return grouped.mapInArrow(_summed, "block_number long, kind string, from_ string, to_ string, amount long, transfers long, cut boolean")
 
 
 @view()
@@ -133,17 +139,17 @@ _WRAPPED = f"(SELECT account, token, kind, CAST(sum(d) AS BIGINT) AS balance, ma
 
 
 @view(
-    f"SELECT account, token, false AS wrapped, CAST(floor(round(balance * power({DECAY}, {age('last_activity', NOW)}) * {MARGIN} / 1000000, 6)) AS BIGINT) AS units FROM c_v2_balances UNION ALL SELECT account, token, true, CAST(floor(round(balance * power({DECAY}, CASE kind WHEN 1 THEN greatest(0, floor(({NOW} - 1602720000) / 86400)) ELSE {age('last_activity', NOW)} END) * {MARGIN} / 1000000, 6)) AS BIGINT) FROM {_WRAPPED} WHERE balance > 0"
+    f"SELECT account, token, false AS wrapped, CAST(floor(round(balance * power({DECAY}, {age('last_activity', NOW)}) * {MARGIN} / 1000, 6)) AS BIGINT) AS units FROM c_v2_balances UNION ALL SELECT account, token, true, CAST(floor(round(balance * power({DECAY}, CASE kind WHEN 1 THEN greatest(0, floor(({NOW} - 1602720000) / 86400)) ELSE {age('last_activity', NOW)} END) * {MARGIN} / 1000, 6)) AS BIGINT) FROM {_WRAPPED} WHERE balance > 0"
 )
 def c_balance_graph(t):
-    """(account, token, wrapped, units): native and wrapped balances above 0, decayed to now, less the safety margin, cut to millionths. Static wrappers decay from the ledger's first day."""
+    """(account, token, wrapped, units): native and wrapped balances above 0, decayed to now, less the safety margin, cut to thousandths. Static wrappers decay from the ledger's first day."""
     native = c_v2_balances(t).crossJoin(now(t)).select("account", "token", F.lit(False).alias("wrapped"), decayed("balance", "last_activity").alias("v"))
     kinds = t["wrapper_deployed"].select(F.col("wrapper").alias("token"), F.col("circles_type").alias("kind"))
     legs = core.double_entry(t["wrapper_transfer"].withColumnRenamed("token_address", "token").join(kinds, "token"), "from_", "to_", "amount", ["token", "kind", "timestamp"])
     held = core.balances(legs, ["token", "kind"], "timestamp").where(f"balance > 0 and account <> '{ZERO}'").crossJoin(now(t))
     wrapped = F.when(F.col("kind") == 1, ledger.decayed(F.col("balance"), ledger.day_index(F.col("now")))).otherwise(decayed("balance", "last_activity"))
     out = native.union(held.select("account", "token", F.lit(True).alias("wrapped"), wrapped.alias("v")))
-    return out.select("account", "token", "wrapped", F.floor(F.round(F.col("v") * MARGIN / 1_000_000, 6)).alias("units"))
+    return out.select("account", "token", "wrapped", F.floor(F.round(F.col("v") * MARGIN / 1_000, 6)).alias("units"))
 
 
 @view("SELECT g.grp, g.treasury, s.emitter AS policy, m.member FROM register_group g JOIN (SELECT * FROM " + newest("score_group_initialized", "grp") + ") s ON s.grp = g.grp JOIN c_group_memberships m ON m.grp = g.grp WHERE g.mint = s.emitter")
