@@ -56,18 +56,30 @@ def features(s: Slice) -> Iterator[np.ndarray]:
         yield own[last[own] == place]
 
 
+def _sums(values: np.ndarray, at: np.ndarray, starts: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """The sums of values[at] over runs that begin at starts, about ``block`` occurrences at a time."""
+    out, k = np.empty(len(starts)), 0
+    while k < len(starts):
+        to = max(k + 1, int(np.searchsorted(starts, starts[k] + block, "right")) - 1)
+        to = len(starts) if starts[k] + block >= len(at) else to
+        end = starts[to] if to < len(starts) else len(at)
+        out[k:to] = np.add.reduceat(values[at[starts[k] : end]], starts[k:to] - starts[k])
+        k = to
+    return out
+
+
 def fit(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 4.0, steps: int = 120) -> tuple[np.ndarray, float]:
-    """(weights, bias) of the scaled classifier, the scaling folded into the weights."""
+    """(weights, bias) of the scaled classifier, the scaling folded into the weights. The list of rows is used up."""
     n, pos = len(rows), int(toxic.sum())
     size = 1 << BITS
     if not n or pos in (0, n):
         return np.zeros(size, np.float32), 20.0 if n and pos == n else -20.0
-    sizes = np.array([len(r) for r in rows])
-    idx = np.concatenate(rows)
+    # rows are taken one by one and sums in blocks, so that beside the features of all texts (4 bytes each) and their transpose little is held
     y = toxic.astype(float)
-    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    p = np.bincount(idx[toxic[owner] == 1], minlength=size) + 1.0
-    q = np.bincount(idx[toxic[owner] == 0], minlength=size) + 1.0
+    counts = np.ones((2, size))
+    for row, label in zip(rows, toxic, strict=True):
+        counts[1 if label else 0, row] += 1  # a row's features are distinct
+    q, p = counts
     df = p + q - 2
     ratio = np.where(df >= 3, np.log(p / (pos + 2)) - np.log(q / (n - pos + 2)), 0.0)
     # features of no weight drop out, the frequent ones come first, and weights and gradients are scaled rather than occurrences
@@ -75,11 +87,17 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 4.0, steps: int =
     common = common[ratio[common] != 0]
     place = np.full(size, -1, np.int32)
     place[common] = np.arange(len(common))
-    at = place[idx]
-    owner, at = owner[at >= 0], at[at >= 0]
-    rows_at, starts = np.unique(owner, return_index=True)
-    by_feature = owner[np.argsort(at, kind="stable")].astype(np.int32)
+    kept = []
+    for k in range(n):
+        own = place[rows[k]]
+        kept.append(own[own >= 0])
+        rows[k] = None
+    sizes = np.array([len(x) for x in kept])
+    at = np.concatenate(kept)
+    del kept
+    rows_at, starts = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
     firsts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(common)))))[:-1]
+    by_feature = np.repeat(np.arange(n, dtype=np.int32), sizes)[np.argsort(at, kind="stable")]
     r = ratio[common]
     w, b = np.zeros(len(common)), float(np.log(pos / (n - pos)))
     m = (np.zeros(len(common)), 0.0)
@@ -87,9 +105,9 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 4.0, steps: int =
     for k in range(1, steps + 1):
         z = np.full(n, b)
         if len(at):
-            z[rows_at] += np.add.reduceat((w * r)[at], starts)
+            z[rows_at] += _sums(w * r, at, starts)
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        sums = np.add.reduceat(err[by_feature], firsts) if len(at) else np.zeros(0)
+        sums = _sums(err, by_feature, firsts) if len(at) else np.zeros(0)
         grad = (r * sums + l2 * w / n, err.sum())
         m = tuple(0.9 * x + 0.1 * g for x, g in zip(m, grad, strict=True))
         v = tuple(0.99 * x + 0.01 * g * g for x, g in zip(v, grad, strict=True))
@@ -126,8 +144,8 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     rows = rows.join(F.broadcast(sizes.where(F.col("total") <= most).select("at")), "at")
 
     def run(table: pa.Table) -> pa.Table:
-        found = table["found"].combine_chunks()
-        w, b = fit([np.asarray(x) for x in (found[i].values for i in range(len(found)))], np.asarray(table["label"]))
+        rows = [np.asarray(x.values) for x in table["found"]]
+        w, b = fit(rows, np.asarray(table["label"]))
         return pa.table({"weights": [w.tobytes()], "bias": [b]})
 
     got = rows.groupBy(F.lit("all").alias("all")).applyInArrow(run, "weights binary, bias double").collect()
