@@ -210,11 +210,11 @@ def j_semi(spark, sf):
     return table(spark, sf, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_nationkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def j_anti_chain(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer").select("c_custkey")
     on = F.col("c_custkey") == F.col("o_custkey")
-    return c.join(o.where("o_orderstatus = 'P'"), on, "left_anti").join(o.where("o_totalprice > 300000"), on, "left_anti")
+    return c.join(o.where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'"), on, "left_anti").join(o.where("o_totalprice > 450000"), on, "left_anti")
 
 
 @query("SELECT coalesce(a.k, b.k) AS k, a.n AS orders, b.n AS events FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT user_id AS k, COUNT(*) AS n FROM events GROUP BY 1) b ON a.k = b.k")
@@ -391,9 +391,9 @@ def g_two_hop(spark, sf):
     return graph.two_hop(trust(spark, sf), 1)
 
 
-@query(f"WITH t AS {TRUST} SELECT dst FROM t WHERE src = 1 INTERSECT SELECT dst FROM t WHERE src = 2")
+@query(f"WITH t AS {TRUST} SELECT dst FROM t WHERE src = 1 INTERSECT SELECT dst FROM t WHERE src = 20")
 def g_common_trust(spark, sf):
-    return graph.common_targets(trust(spark, sf), 1, 2)
+    return graph.common_targets(trust(spark, sf), 1, 20)
 
 
 def holdings(spark, sf):
