@@ -62,7 +62,7 @@ TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
     "trust": ("orders", "o_orderkey % 5 <> 0", {**_ORDER, "truster": f"CASE WHEN o_orderkey % 3 = 0 THEN {made('b', '1 + o_orderkey % 10')} ELSE {made('a', 'o_custkey')} END", "trustee": f"CASE WHEN o_orderkey % 3 = 0 THEN {made('a', 'o_custkey')} ELSE {_MEMBER} END", "expiry_time": f"CASE o_orderkey % 8 WHEN 0 THEN CAST({EPOCH} + o_orderkey * 600 - 1 AS BIGINT) WHEN 1 THEN CAST({EPOCH} + o_orderkey * 600 + 864000 AS BIGINT) ELSE 9223372036854775807 END"}),
     "transfer_single": ("lines", "l_linenumber % 2 = 0", {**_LINE, **_MOVE}),
     "transfer_batch": ("lines", "l_linenumber % 2 = 1", {**_LINE, "batch_index": "CAST(l_linenumber % 3 AS BIGINT)", **_MOVE}),
-    "wrapper_deployed": ("customer", "c_custkey % 4 = 0 OR c_custkey % 4 = 3", {**_CUSTOMER, "avatar": f"CASE WHEN c_custkey % 12 < 9 THEN {made('a', 'c_custkey')} ELSE {made('b', '1 + c_custkey % 10')} END", "wrapper": f"CASE WHEN c_custkey % 4 = 3 THEN {made('f', 'c_custkey')} ELSE {made('e', 'c_custkey')} END", "circles_type": "CAST(CASE WHEN c_custkey % 4 = 3 THEN 0 ELSE 1 END AS BIGINT)"}),
+    "wrapper_deployed": ("customer", "c_custkey % 4 = 0 OR c_custkey % 4 = 3", {**_CUSTOMER, "avatar": f"CASE WHEN c_custkey % 12 < 9 THEN {made('a', 'c_custkey')} ELSE {made('b', '1 + c_custkey % 10')} END", "wrapper": f"CASE WHEN c_custkey % 4 = 3 THEN {made('f', 'c_custkey')} ELSE {made('e', 'c_custkey')} END", "wrapper_kind": "CAST(CASE WHEN c_custkey % 4 = 3 THEN 0 ELSE 1 END AS BIGINT)"}),
     "wrapper_transfer": ("lines", "l_linenumber = 3", {**_LINE, "token_address": _WRAPPER, "from_": _FROM, "to_": _TO, "amount": _VALUE}),
     "v1_transfer": ("lines", "l_linenumber = 1", {**_LINE, "token_address": made("d", "1 + l_partkey % 300"), "from_": _FROM, "to_": _TO, "amount": _VALUE}),
     "v1_hub_transfer": ("lines", "l_linenumber = 2", {**_LINE, "from_": _FROM, "to_": _TO, "amount": _VALUE}),

@@ -22,7 +22,7 @@ _MOVES_2 = "SELECT block_number, log_index, 'move' AS what, from_, to_, token_ad
 
 
 @view(
-    f"WITH e AS ({_MOVES_2}), s AS (SELECT *, max(CASE WHEN what = 'start' THEN log_index END) OVER w AS started, max(CASE WHEN what = 'done' THEN log_index END) OVER w AS done FROM e WINDOW w AS (PARTITION BY block_number ORDER BY log_index RANGE UNBOUNDED PRECEDING)), k AS (SELECT s.*, what = 'done' AS stream FROM s WHERE what IN ('done', 'wrapper') OR what = 'move' AND (started IS NULL OR coalesce(done, -1) >= started)) SELECT k.block_number, stream, from_, to_, round(CAST(sum(CASE WHEN d.circles_type = 1 AND what = 'wrapper' THEN amount * power({DECAY}, greatest(0, floor((k.timestamp - 1602720000) / 86400))) ELSE amount END) AS DOUBLE), 0) AS amount, count(DISTINCT token) AS tokens, count(*) AS transfers FROM k LEFT JOIN wrapper_deployed d ON d.wrapper = k.token GROUP BY 1, 2, 3, 4"
+    f"WITH e AS ({_MOVES_2}), s AS (SELECT *, max(CASE WHEN what = 'start' THEN log_index END) OVER w AS started, max(CASE WHEN what = 'done' THEN log_index END) OVER w AS done FROM e WINDOW w AS (PARTITION BY block_number ORDER BY log_index RANGE UNBOUNDED PRECEDING)), k AS (SELECT s.*, what = 'done' AS stream FROM s WHERE what IN ('done', 'wrapper') OR what = 'move' AND (started IS NULL OR coalesce(done, -1) >= started)) SELECT k.block_number, stream, from_, to_, round(CAST(sum(CASE WHEN d.wrapper_kind = 1 AND what = 'wrapper' THEN amount * power({DECAY}, greatest(0, floor((k.timestamp - 1602720000) / 86400))) ELSE amount END) AS DOUBLE), 0) AS amount, count(DISTINCT token) AS tokens, count(*) AS transfers FROM k LEFT JOIN wrapper_deployed d ON d.wrapper = k.token GROUP BY 1, 2, 3, 4"
 )
 def c_transfer_summary(t):
     """Per transaction, inside or outside a stream, and sender and receiver: amount, tokens and transfers.
@@ -39,7 +39,7 @@ def c_transfer_summary(t):
     e = e.withColumns({n: F.max(F.when(F.col("what") == n, F.col("log_index"))).over(w) for n in ("start", "done")})
     outside = F.col("start").isNull() | (F.coalesce("done", F.lit(-1)) >= F.col("start"))
     e = e.where(F.col("what").isin("done", "wrapper") | ((F.col("what") == "move") & outside)).withColumn("stream", F.col("what") == "done")
-    static = t["wrapper_deployed"].where("circles_type = 1").select(F.col("wrapper").alias("token"), F.lit(True).alias("static"))
+    static = t["wrapper_deployed"].where("wrapper_kind = 1").select(F.col("wrapper").alias("token"), F.lit(True).alias("static"))
     e = e.join(static, "token", "left")
     amount = F.when(F.col("static") & (F.col("what") == "wrapper"), ledger.decayed(F.col("amount"), ledger.day_index(F.col("timestamp")))).otherwise(F.col("amount").cast("double"))
     out = e.groupBy("block_number", "stream", "from_", "to_").agg(F.round(F.sum(amount), 0).alias("amount"), F.count_distinct("token").alias("tokens"), F.count("*").alias("transfers"))
@@ -135,7 +135,7 @@ def c_trust_graph(t):
     return own.select("truster", F.col("trustee").alias("token")).union(wrapped).distinct()
 
 
-_WRAPPED = f"(SELECT account, token, kind, CAST(sum(d) AS BIGINT) AS balance, max(timestamp) AS last_activity FROM (SELECT x.from_ AS account, x.token_address AS token, d.circles_type AS kind, -x.amount AS d, x.timestamp FROM wrapper_transfer x JOIN wrapper_deployed d ON d.wrapper = x.token_address UNION ALL SELECT x.to_, x.token_address, d.circles_type, x.amount, x.timestamp FROM wrapper_transfer x JOIN wrapper_deployed d ON d.wrapper = x.token_address) WHERE account <> '{ZERO}' GROUP BY 1, 2, 3)"
+_WRAPPED = f"(SELECT account, token, kind, CAST(sum(d) AS BIGINT) AS balance, max(timestamp) AS last_activity FROM (SELECT x.from_ AS account, x.token_address AS token, d.wrapper_kind AS kind, -x.amount AS d, x.timestamp FROM wrapper_transfer x JOIN wrapper_deployed d ON d.wrapper = x.token_address UNION ALL SELECT x.to_, x.token_address, d.wrapper_kind, x.amount, x.timestamp FROM wrapper_transfer x JOIN wrapper_deployed d ON d.wrapper = x.token_address) WHERE account <> '{ZERO}' GROUP BY 1, 2, 3)"
 
 
 @view(
@@ -144,7 +144,7 @@ _WRAPPED = f"(SELECT account, token, kind, CAST(sum(d) AS BIGINT) AS balance, ma
 def c_balance_graph(t):
     """(account, token, wrapped, units): native and wrapped balances above 0, decayed to now, less the safety margin, cut to thousandths. Static wrappers decay from the ledger's first day."""
     native = c_v2_balances(t).crossJoin(now(t)).select("account", "token", F.lit(False).alias("wrapped"), decayed("balance", "last_activity").alias("v"))
-    kinds = t["wrapper_deployed"].select(F.col("wrapper").alias("token"), F.col("circles_type").alias("kind"))
+    kinds = t["wrapper_deployed"].select(F.col("wrapper").alias("token"), F.col("wrapper_kind").alias("kind"))
     legs = core.double_entry(t["wrapper_transfer"].withColumnRenamed("token_address", "token").join(kinds, "token"), "from_", "to_", "amount", ["token", "kind", "timestamp"])
     held = core.balances(legs, ["token", "kind"], "timestamp").where(f"balance > 0 and account <> '{ZERO}'").crossJoin(now(t))
     wrapped = F.when(F.col("kind") == 1, ledger.decayed(F.col("balance"), ledger.day_index(F.col("now")))).otherwise(decayed("balance", "last_activity"))
@@ -244,7 +244,7 @@ def c_mint_limits(t):
 CHECKS = {
     "trust": "truster <> trustee AND expiry_time > timestamp",
     "transfer_single": f"value > 0 AND from_ <> to_ AND NOT (from_ = '{ZERO}' AND to_ = '{ZERO}')",
-    "wrapper_deployed": "circles_type IN (0, 1) AND avatar IS NOT NULL",
+    "wrapper_deployed": "wrapper_kind IN (0, 1) AND avatar IS NOT NULL",
     "update_metadata_digest": "digest IS NOT NULL AND length(digest) > 8",
     "approval": "account <> operator",
 }

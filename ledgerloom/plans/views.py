@@ -53,10 +53,10 @@ def c_avatars(t):
     return union(c_v2_avatars(t).select(F.lit(2).alias("version"), "avatar", "kind", "token", "name", "digest"), c_v1_avatars(t).withColumn("version", F.lit(1)))
 
 
-@view("SELECT version, token, avatar AS owner, kind FROM c_avatars WHERE token IS NOT NULL UNION ALL SELECT 2, wrapper, avatar, CASE WHEN circles_type = 1 THEN 'static wrapper' ELSE 'demurraged wrapper' END FROM wrapper_deployed")
+@view("SELECT version, token, avatar AS owner, kind FROM c_avatars WHERE token IS NOT NULL UNION ALL SELECT 2, wrapper, avatar, CASE WHEN wrapper_kind = 1 THEN 'static wrapper' ELSE 'demurraged wrapper' END FROM wrapper_deployed")
 def c_tokens(t):
     own = c_avatars(t).where("token is not null").select("version", "token", F.col("avatar").alias("owner"), "kind")
-    wrapped = t["wrapper_deployed"].select(F.lit(2).alias("version"), F.col("wrapper").alias("token"), F.col("avatar").alias("owner"), F.when(F.col("circles_type") == 1, "static wrapper").otherwise("demurraged wrapper").alias("kind"))
+    wrapped = t["wrapper_deployed"].select(F.lit(2).alias("version"), F.col("wrapper").alias("token"), F.col("avatar").alias("owner"), F.when(F.col("wrapper_kind") == 1, "static wrapper").otherwise("demurraged wrapper").alias("kind"))
     return own.union(wrapped)
 
 
@@ -171,7 +171,7 @@ _LATEST = {"owner": "group_owner_updated", "service": "group_service_updated", "
 
 
 @view(
-    f"SELECT g.grp, CASE WHEN cm.proxy IS NOT NULL THEN 'cm group' WHEN b.grp IS NOT NULL THEN 'base group' ELSE 'group' END AS kind, coalesce(cm.owner, o.owner) AS owner, g.mint, coalesce(cm.mint_handler, b.mint_handler) AS mint_handler, g.treasury, s.service, f.fee_collection, coalesce(m.members, 0) AS members, g.name, g.symbol, d.digest, w0.wrapper AS demurraged, w1.wrapper AS static FROM register_group g LEFT JOIN {newest('group_owner_updated', 'emitter')} o ON o.emitter = g.grp LEFT JOIN {newest('group_service_updated', 'emitter')} s ON s.emitter = g.grp LEFT JOIN {newest('group_fee_updated', 'emitter')} f ON f.emitter = g.grp LEFT JOIN (SELECT grp, count(*) AS members FROM c_group_memberships GROUP BY grp) m ON m.grp = g.grp LEFT JOIN {DIGESTS} d ON d.of_ = g.grp LEFT JOIN (SELECT avatar, max(wrapper) AS wrapper FROM wrapper_deployed WHERE circles_type = 0 GROUP BY avatar) w0 ON w0.avatar = g.grp LEFT JOIN (SELECT avatar, max(wrapper) AS wrapper FROM wrapper_deployed WHERE circles_type = 1 GROUP BY avatar) w1 ON w1.avatar = g.grp LEFT JOIN cm_group_created cm ON cm.proxy = g.grp LEFT JOIN base_group_created b ON b.grp = g.grp"
+    f"SELECT g.grp, CASE WHEN cm.proxy IS NOT NULL THEN 'cm group' WHEN b.grp IS NOT NULL THEN 'base group' ELSE 'group' END AS kind, coalesce(cm.owner, o.owner) AS owner, g.mint, coalesce(cm.mint_handler, b.mint_handler) AS mint_handler, g.treasury, s.service, f.fee_collection, coalesce(m.members, 0) AS members, g.name, g.symbol, d.digest, w0.wrapper AS demurraged, w1.wrapper AS static FROM register_group g LEFT JOIN {newest('group_owner_updated', 'emitter')} o ON o.emitter = g.grp LEFT JOIN {newest('group_service_updated', 'emitter')} s ON s.emitter = g.grp LEFT JOIN {newest('group_fee_updated', 'emitter')} f ON f.emitter = g.grp LEFT JOIN (SELECT grp, count(*) AS members FROM c_group_memberships GROUP BY grp) m ON m.grp = g.grp LEFT JOIN {DIGESTS} d ON d.of_ = g.grp LEFT JOIN (SELECT avatar, max(wrapper) AS wrapper FROM wrapper_deployed WHERE wrapper_kind = 0 GROUP BY avatar) w0 ON w0.avatar = g.grp LEFT JOIN (SELECT avatar, max(wrapper) AS wrapper FROM wrapper_deployed WHERE wrapper_kind = 1 GROUP BY avatar) w1 ON w1.avatar = g.grp LEFT JOIN cm_group_created cm ON cm.proxy = g.grp LEFT JOIN base_group_created b ON b.grp = g.grp"
 )
 def c_groups(t):
     """Every group with the latest of its settings, its members and wrappers. Of several wrappers of a kind the last by address stands."""
@@ -179,7 +179,7 @@ def c_groups(t):
     for column, name in _LATEST.items():
         out = out.join(latest(t[name].select(F.col("emitter").alias("grp"), column, *KEY), "grp").select("grp", column), "grp", "left")
     out = out.join(c_group_memberships(t).groupBy("grp").agg(F.count("*").alias("members")), "grp", "left").join(digests(t).withColumnRenamed("avatar", "grp"), "grp", "left")
-    wrappers = t["wrapper_deployed"].groupBy(F.col("avatar").alias("grp")).agg(*[F.max(F.when(F.col("circles_type") == k, F.col("wrapper"))).alias(n) for k, n in enumerate(("demurraged", "static"))])
+    wrappers = t["wrapper_deployed"].groupBy(F.col("avatar").alias("grp")).agg(*[F.max(F.when(F.col("wrapper_kind") == k, F.col("wrapper"))).alias(n) for k, n in enumerate(("demurraged", "static"))])
     cm = t["cm_group_created"].select(F.col("proxy").alias("grp"), F.col("owner").alias("_owner"), F.col("mint_handler").alias("_handler"), F.lit(True).alias("_cm"))
     base = t["base_group_created"].select("grp", "mint_handler", F.lit(True).alias("_base"))
     out = out.join(wrappers, "grp", "left").join(cm, "grp", "left").join(base, "grp", "left")
@@ -392,12 +392,12 @@ def _supply(t, step: int, grp: str | None = None) -> DataFrame:
 
 def _wraps_sql(step: int, grp: str | None = None) -> str:
     who = f"d.avatar = '{grp}'" if grp else "d.avatar IN (SELECT grp FROM register_group)"
-    sums = f"(SELECT d.avatar AS grp, w.token_address AS token, CASE WHEN d.circles_type = 0 THEN 'Demurrage' ELSE 'Inflation' END AS kind, w.timestamp - w.timestamp % {step} AS bucket, CAST(sum(CASE WHEN w.from_ = '{ZERO}' THEN w.amount ELSE 0 END) AS BIGINT) AS wrapped, CAST(sum(CASE WHEN w.to_ = '{ZERO}' THEN -w.amount ELSE 0 END) AS BIGINT) AS unwrapped FROM wrapper_transfer w JOIN wrapper_deployed d ON d.wrapper = w.token_address WHERE {who} GROUP BY 1, 2, 3, 4)"
+    sums = f"(SELECT d.avatar AS grp, w.token_address AS token, CASE WHEN d.wrapper_kind = 0 THEN 'Demurrage' ELSE 'Inflation' END AS kind, w.timestamp - w.timestamp % {step} AS bucket, CAST(sum(CASE WHEN w.from_ = '{ZERO}' THEN w.amount ELSE 0 END) AS BIGINT) AS wrapped, CAST(sum(CASE WHEN w.to_ = '{ZERO}' THEN -w.amount ELSE 0 END) AS BIGINT) AS unwrapped FROM wrapper_transfer w JOIN wrapper_deployed d ON d.wrapper = w.token_address WHERE {who} GROUP BY 1, 2, 3, 4)"
     return f"SELECT *, CAST(sum(wrapped + unwrapped) OVER (PARTITION BY grp, token ORDER BY bucket) AS BIGINT) AS supply FROM {sums}"
 
 
 def _wraps(t, step: int, grp: str | None = None) -> DataFrame:
-    wrappers = t["wrapper_deployed"].select(F.col("avatar").alias("grp"), F.col("wrapper").alias("token"), F.when(F.col("circles_type") == 0, "Demurrage").otherwise("Inflation").alias("kind"))
+    wrappers = t["wrapper_deployed"].select(F.col("avatar").alias("grp"), F.col("wrapper").alias("token"), F.when(F.col("wrapper_kind") == 0, "Demurrage").otherwise("Inflation").alias("kind"))
     wrappers = wrappers.where(F.col("grp") == grp) if grp else wrappers.join(t["register_group"].select("grp"), "grp", "left_semi")
     own = t["wrapper_transfer"].withColumnRenamed("token_address", "token").join(wrappers, "token")
     flow = [F.sum(F.when(F.col(side) == ZERO, sign * F.col("amount")).otherwise(0)).alias(n) for n, side, sign in (("wrapped", "from_", 1), ("unwrapped", "to_", -1))]

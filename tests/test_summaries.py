@@ -49,7 +49,7 @@ def test_version_2_summary(spark):
         "transfer_single": single,
         "transfer_batch": single.limit(0),
         "wrapper_transfer": spark.createDataFrame([(1, 0, 5, 0, "w", "a", "d", 9)], f"{KEY}, token_address string, from_ string, to_ string, amount long"),
-        "wrapper_deployed": spark.createDataFrame([("w", 0)], "wrapper string, circles_type long"),
+        "wrapper_deployed": spark.createDataFrame([("w", 0)], "wrapper string, wrapper_kind long"),
         "flow_scope_started": spark.createDataFrame([(1, 0, 3, 0)], KEY),
         "stream_completed": spark.createDataFrame([(1, 0, 7, 0, "a", "c", "t", 42)], f"{KEY}, from_ string, to_ string, id string, amount long"),
     }
