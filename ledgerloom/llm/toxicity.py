@@ -24,6 +24,9 @@ SAMPLE = 6_000  # labelled texts that are fitted at most, the first by a hash of
 MOST = 24_000_000  # features of all fitted texts together at most, which bounds the fitting task's memory (about 1 GB)
 
 
+SLICE = 1 << 20  # bytes of text whose n-grams are hashed together
+
+
 def features(s: Slice) -> Iterator[np.ndarray]:
     """The distinct hashed n-grams of each text of the slice."""
     data = np.frombuffer(s.data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4")
@@ -68,6 +71,19 @@ def _sums(values: np.ndarray, at: np.ndarray, starts: np.ndarray, block: int = 1
     return out
 
 
+def _transposed(at: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, block: int = 1 << 21) -> np.ndarray:
+    """The row of each occurrence in order of features, rows in order within a feature; features that have about ``block`` occurrences together are sorted at a time."""
+    out, ends, k = np.empty(len(at), np.int32), np.cumsum(sizes), 0
+    while k < len(firsts):
+        to = max(k + 1, int(np.searchsorted(firsts, firsts[k] + block, "right")) - 1)
+        to = len(firsts) if firsts[k] + block >= len(at) else to
+        place = np.flatnonzero((at >= k) & (at < to))
+        place = place[np.argsort(at[place], kind="stable")]
+        out[firsts[k] : firsts[k] + len(place)] = np.searchsorted(ends, place, "right")
+        k = to
+    return out
+
+
 def fit(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 4.0, steps: int = 120) -> tuple[np.ndarray, float]:
     """(weights, bias) of the scaled classifier, the scaling folded into the weights. The list of rows is used up."""
     n, pos = len(rows), int(toxic.sum())
@@ -97,7 +113,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 4.0, steps: int =
     del kept
     rows_at, starts = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
     firsts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(common)))))[:-1]
-    by_feature = np.repeat(np.arange(n, dtype=np.int32), sizes)[np.argsort(at, kind="stable")]
+    by_feature = _transposed(at, sizes, firsts)
     r = ratio[common]
     w, b = np.zeros(len(common)), float(np.log(pos / (n - pos)))
     m = (np.zeros(len(common)), 0.0)
@@ -121,7 +137,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 4.0, steps: int =
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at = 0
-        for s in slices(b.column(1)):
+        for s in slices(b.column(1), SLICE):
             rows = list(features(s))
             sizes = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(s)), b.column(2).slice(at, len(s)), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(rows)))], ["label", "at", "found"])
@@ -167,7 +183,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = sent.value
         for b in batches:
-            z = [float(w[f].sum(dtype=np.float64)) + bias for s in slices(b.column(at)) for f in features(s)]
+            z = [float(w[f].sum(dtype=np.float64)) + bias for s in slices(b.column(at), SLICE) for f in features(s)]
             p = 1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, score_col])
 
