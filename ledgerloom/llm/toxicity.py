@@ -21,7 +21,7 @@ from ledgerloom.llm.textops import Slice, lower_table, mix, slices, space_table,
 BITS = 18
 ORDERS = (3, 4, 5)
 SAMPLE = 6_000  # labelled texts that are fitted at most, the first by a hash of their id
-MOST = 24_000_000  # features of all fitted texts together at most, which bounds the fitting task's memory (about 1 GB)
+MOST = 24_000_000  # features of all fitted texts together at most, which bounds the fitting task's memory (about 0.3 GB)
 
 
 SLICE = 1 << 20  # bytes of text whose n-grams are hashed together
@@ -59,42 +59,17 @@ def features(s: Slice) -> Iterator[np.ndarray]:
         yield own[last[own] == place]
 
 
-def _sums(values: np.ndarray, at: np.ndarray, starts: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """The sums of values[at] over runs that begin at starts, about ``block`` occurrences at a time."""
-    out, k = np.empty(len(starts)), 0
-    while k < len(starts):
-        to = max(k + 1, int(np.searchsorted(starts, starts[k] + block, "right")) - 1)
-        to = len(starts) if starts[k] + block >= len(at) else to
-        end = starts[to] if to < len(starts) else len(at)
-        out[k:to] = np.add.reduceat(values[at[starts[k] : end]], starts[k:to] - starts[k])
-        k = to
-    return out
-
-
-def _transposed(at: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, block: int = 1 << 21) -> np.ndarray:
-    """The row of each occurrence in order of features, rows in order within a feature; features that have about ``block`` occurrences together are sorted at a time."""
-    out, ends, k = np.empty(len(at), np.int32), np.cumsum(sizes), 0
-    while k < len(firsts):
-        to = max(k + 1, int(np.searchsorted(firsts, firsts[k] + block, "right")) - 1)
-        to = len(firsts) if firsts[k] + block >= len(at) else to
-        place = np.flatnonzero((at >= k) & (at < to))
-        place = place[np.argsort(at[place], kind="stable")]
-        out[firsts[k] : firsts[k] + len(place)] = np.searchsorted(ends, place, "right")
-        k = to
-    return out
-
-
-def fit(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 4.0, steps: int = 120) -> tuple[np.ndarray, float]:
-    """(weights, bias) of the scaled classifier, the scaling folded into the weights. The list of rows is used up."""
-    n, pos = len(rows), int(toxic.sum())
+def fit(at: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, l2: float = 4.0, steps: int = 120) -> tuple[np.ndarray, float]:
+    """(weights, bias) of the scaled classifier, the scaling folded into the weights. at: the features of all texts, one text after the other; sizes: how many each has. Both are changed."""
+    n, pos = len(sizes), int(toxic.sum())
     size = 1 << BITS
     if not n or pos in (0, n):
         return np.zeros(size, np.float32), 20.0 if n and pos == n else -20.0
-    # rows are taken one by one and sums in blocks, so that beside the features of all texts (4 bytes each) and their transpose little is held
+    # beside the features of all texts (4 bytes each) only blocks of them are held
     y = toxic.astype(float)
-    counts = np.ones((2, size))
-    for row, label in zip(rows, toxic, strict=True):
-        counts[1 if label else 0, row] += 1  # a row's features are distinct
+    counts, ends = np.ones((2, size)), np.cumsum(sizes)
+    for k, end in enumerate(ends.tolist()):
+        counts[1 if toxic[k] else 0, at[end - sizes[k] : end]] += 1  # a row's features are distinct
     q, p = counts
     df = p + q - 2
     ratio = np.where(df >= 3, np.log(p / (pos + 2)) - np.log(q / (n - pos + 2)), 0.0)
@@ -103,27 +78,30 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 4.0, steps: int =
     common = common[ratio[common] != 0]
     place = np.full(size, -1, np.int32)
     place[common] = np.arange(len(common))
-    kept = []
-    for k in range(n):
-        own = place[rows[k]]
-        kept.append(own[own >= 0])
-        rows[k] = None
-    sizes = np.array([len(x) for x in kept])
-    at = np.concatenate(kept)
-    del kept
+    to = 0
+    for k, end in enumerate(ends.tolist()):
+        own = place[at[end - sizes[k] : end]]
+        own = own[own >= 0]
+        at[to : to + len(own)] = own  # never beyond what has been read
+        sizes[k] = len(own)
+        to += len(own)
+    at = at[:to]
     rows_at, starts = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
-    firsts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(common)))))[:-1]
-    by_feature = _transposed(at, sizes, firsts)
+    blocks = _blocks(starts, len(at))
     r = ratio[common]
     w, b = np.zeros(len(common)), float(np.log(pos / (n - pos)))
     m = (np.zeros(len(common)), 0.0)
     v = (np.zeros(len(common)), 0.0)
     for k in range(1, steps + 1):
         z = np.full(n, b)
-        if len(at):
-            z[rows_at] += _sums(w * r, at, starts)
+        scaled = w * r
+        for first, last, begin, end in blocks:
+            z[rows_at[first:last]] += np.add.reduceat(scaled[at[begin:end]], starts[first:last] - begin)
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        sums = _sums(err, by_feature, firsts) if len(at) else np.zeros(0)
+        sums = np.zeros(len(common))
+        for first, last, begin, end in blocks:
+            own = rows_at[first:last]
+            sums += np.bincount(at[begin:end], np.repeat(err[own], sizes[own]), len(common))
         grad = (r * sums + l2 * w / n, err.sum())
         m = tuple(0.9 * x + 0.1 * g for x, g in zip(m, grad, strict=True))
         v = tuple(0.99 * x + 0.01 * g * g for x, g in zip(v, grad, strict=True))
@@ -134,6 +112,34 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, l2: float = 4.0, steps: int =
     return weights, b
 
 
+def _blocks(starts: np.ndarray, total: int, block: int = 1 << 17) -> list[tuple[int, int, int, int]]:
+    """(first row, row after the last, its first feature, the one after its last) of runs of rows with about ``block`` features."""
+    out, k = [], 0
+    while k < len(starts):
+        to = max(k + 1, int(np.searchsorted(starts, starts[k] + block, "right")) - 1) if starts[k] + block < total else len(starts)
+        out.append((k, to, int(starts[k]), int(starts[to]) if to < len(starts) else total))
+        k = to
+    return out
+
+
+def _fitted(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sizes, labels = np.empty(most, np.int32), [], []
+        to = 0
+        for b in batches:
+            found = b.column(1)
+            values, offsets = np.asarray(found.values), np.asarray(found.offsets)
+            at[to : to + offsets[-1] - offsets[0]] = values[offsets[0] : offsets[-1]]
+            to += int(offsets[-1] - offsets[0])
+            sizes.append(np.diff(offsets).astype(np.int64))
+            labels.append(np.asarray(b.column(0)))
+        if labels:
+            w, bias = fit(at[:to], np.concatenate(sizes), np.concatenate(labels))
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([bias])], ["weights", "bias"])
+
+    return run
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at = 0
@@ -159,12 +165,8 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     sizes = rows.groupBy("at").agg(F.sum(F.size("found")).alias("size")).withColumn("total", F.sum("size").over(Window.orderBy("at")))
     rows = rows.join(F.broadcast(sizes.where(F.col("total") <= most).select("at")), "at")
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = [np.asarray(x.values) for x in table["found"]]
-        w, b = fit(rows, np.asarray(table["label"]))
-        return pa.table({"weights": [w.tobytes()], "bias": [b]})
-
-    got = rows.groupBy(F.lit("all").alias("all")).applyInArrow(run, "weights binary, bias double").collect()
+    # the sample bounds what comes together here; batches stream, so the task holds their features once
+    got = rows.select("label", "found").repartition(1).mapInArrow(_fitted(most), "weights binary, bias double").collect()
     return (np.frombuffer(bytes(got[0].weights), np.float32), got[0].bias) if got else (np.zeros(1 << BITS, np.float32), -20.0)
 
 
