@@ -24,6 +24,7 @@ from ledgerloom.llm.textops import lower_table, slices
 UNIT = 1_000_000_000  # shares are parts of it, and 1 more
 LEAST = 3  # documents of a language that a kept term is in
 TOP = 200
+SLICE = 16 << 20  # bytes of text whose terms are counted together
 
 
 def term_table() -> np.ndarray:
@@ -51,7 +52,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = term_table()
     for b in batches:
         lang, source = (b.column(k).cast(pa.large_string()) for k in (0, 1))
-        for s in slices(b.column(2)):
+        for s in slices(b.column(2), SLICE):
             n, data = len(s), table[s.data]
             texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.ascontiguousarray(s.offsets, np.int64)), pa.py_buffer(data))
             lists = pc.ascii_split_whitespace(texts)
@@ -80,16 +81,16 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
 
 def shares(counts: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(groups, postings). groups: lang, source, terms (kept ones that occur), v (all kept ones of the language), p0 (the share of a term that doesn't occur; null if v = 0). postings: lang, source, term, n, p, p0, q for each kept term that occurs in a group."""
-    kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total")).where(F.col("docs") >= least).select("lang", "term", "total")
-    kept = written(kept, "kept_terms")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all"))
-    kept = kept.join(langs, "lang").select("lang", "term", "v", share("total + 1", "all + v").alias("q"))
-    found = written(counts.where("term is not null").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "v", "q"), "found_terms")
+    own = Window.partitionBy("lang", "term")
+    found = counts.where("term is not null").select("lang", "source", "term", "n", F.sum("docs").over(own).alias("in_docs"), F.sum("n").over(own).alias("total"), F.row_number().over(own.orderBy("source")).alias("place"))
+    found = written(found.where(F.col("in_docs") >= least).drop("in_docs"), "found_terms")
+    langs = written(found.where("place = 1").groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all")), "langs")
     sums = found.groupBy("lang", "source").agg(F.count("*").alias("terms"), F.sum("n").alias("size"))
     groups = counts.where("term is null").select("lang", "source").join(langs.select("lang", "v"), "lang", "left").join(sums, ["lang", "source"], "left")
     groups = groups.na.fill(0, ["v", "terms", "size"]).withColumn("p0", F.when(F.col("v") > 0, share("1", "size + v")))
     groups = written(groups, "groups")
-    postings = found.join(groups.select("lang", "source", "size", "p0"), ["lang", "source"]).select("lang", "source", "term", "n", share("n + 1", "size + v").alias("p"), "p0", "q")
+    sized = groups.join(langs.select("lang", "all"), "lang").select("lang", "source", "size", "v", "p0", "all")
+    postings = found.join(sized, ["lang", "source"]).select("lang", "source", "term", "n", share("n + 1", "size + v").alias("p"), "p0", share("total + 1", "all + v").alias("q"))
     return groups, written(postings, "postings")
 
 
