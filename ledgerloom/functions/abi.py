@@ -8,7 +8,6 @@ text; an array is an array of such texts, anything else an array of one.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -133,24 +132,24 @@ def value(kind_: Column, word: Column, data: Column) -> Column:
 # writing
 
 
-def written_number(x: Column) -> Column:
+def written_number(x: Column | int) -> Column:
     """A number (long, decimal or its text, below 10^38) or hex text (0x...) as a word."""
-    text = x.cast("string")
-    parts, left = [], F.when(~text.startswith("0x"), text).cast("decimal(38,0)")
-    step = F.lit(16**_PART).cast("decimal(38,0)")
-    for _ in range(3):
-        parts.append(F.lpad(F.conv((left % step).cast("decimal(20,0)").cast("string"), 10, 16), _PART, "0"))
-        left = F.floor((left - left % step) / F.lit(16**_PART).cast("decimal(19,0)")).cast("decimal(38,0)")
-    digits = F.when(text.startswith("0x"), F.substr(text, F.lit(3))).otherwise(reduce(lambda a, b: F.concat(b, a), parts))
-    return F.unhex(F.lpad(digits, 64, "0"))
+    if isinstance(x, int):
+        return F.lit(x.to_bytes(WORD, "big"))
+    step, whole = F.lit(16**_PART).cast("decimal(38,0)"), F.lit(16**_PART).cast("decimal(19,0)")
+    hexed = lambda n: F.lpad(F.conv((n % step).cast("decimal(20,0)").cast("string"), 10, 16), _PART, "0")
+    rest = lambda n: F.floor((n - n % step) / whole).cast("decimal(38,0)")
+    decimal = lambda n: named(rest(n), lambda m: F.concat(hexed(rest(m)), hexed(m), hexed(n)))
+    digits = lambda t: F.when(F.startswith(t, F.lit("0x")), F.substr(t, F.lit(3))).otherwise(named(t.cast("decimal(38,0)"), decimal))
+    return F.unhex(F.lpad(named(x.cast("string"), digits), 64, "0"))
 
 
 def written_bytes(b: Column) -> Column:
     """The tail of bytes: their length, and they filled up to whole words."""
-    return F.concat(written_number(F.length(b)), b, F.unhex(F.repeat(F.lit("00"), F.pmod(-F.length(b), F.lit(WORD)))))
+    return named(b, lambda x: F.concat(written_number(F.length(x)), x, F.unhex(F.repeat(F.lit("00"), F.pmod(-F.length(x), F.lit(WORD))))))
 
 
-def written_value(solidity: str, x: Column) -> Column:
+def written_value(solidity: str, x: Column | int) -> Column:
     """The word of a static value, or the tail of a dynamic one."""
     k = kind(solidity)
     if k == "bool":
@@ -159,18 +158,18 @@ def written_value(solidity: str, x: Column) -> Column:
         return written_bytes(x.cast("binary") if k == "string" else x)
     if k.endswith("[]"):
         return F.concat(written_number(F.size(x)), F.aggregate(F.transform(x, written_number), F.lit(b""), lambda a, w: F.concat(a, w)))
-    if k == "word":
-        return x
-    return written_number(x)
+    return x if k == "word" else written_number(x)
 
 
-def written_head_and_tail(values: list[tuple[str, Column]]) -> Column:
+def written_head_and_tail(values: list[tuple[str, Column | int]]) -> Column:
     """Values by type: heads in order, then the tails of the dynamic ones."""
-    heads, tails, at = [], [], F.lit(WORD * len(values))
-    for solidity, x in values:
-        out = written_value(solidity, x)
-        heads.append(written_number(at) if dynamic(solidity) else out)
-        if dynamic(solidity):
-            tails.append(out)
-            at = at + F.length(out)
-    return F.concat(F.lit(b""), *heads, *tails)
+    own = [k for k, (t, _) in enumerate(values) if dynamic(t)]
+
+    def read(tails: Column) -> Column:
+        heads, at = [], F.lit(WORD * len(values))
+        for k, (solidity, x) in enumerate(values):
+            heads.append(written_number(at) if k in own else written_value(solidity, x))
+            at = at + F.length(F.get(tails, F.lit(own.index(k)))) if k in own else at
+        return F.concat(F.lit(b""), *heads, *[F.get(tails, F.lit(k)) for k in range(len(own))])
+
+    return named(F.array(*[written_value(*values[k]) for k in own]), read) if own else read(F.array())

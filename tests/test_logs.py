@@ -130,3 +130,82 @@ def test_written_logs_come_back(spark, tmp_path):
     assert sorted(map(tuple, read(SINGLE).withColumn("id", F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(F.col("id").cast("long"))), 40, "0"))).collect())) == sorted(map(tuple, single.collect()))
     assert sorted((r.block_number, r.batch_index, r.ids, r["values"]) for r in read(BATCH).collect()) == sorted((h[0], k, k, 7 * k) for h in head for k in range(h[0] % 4))
     assert sorted(map(tuple, read(GROUP).collect())) == sorted(map(tuple, group.collect()))
+
+
+# nested calls
+
+
+def head_and_tail(*values):
+    heads, tails = b"", b""
+    for v in values:
+        if isinstance(v, bytes):
+            heads += word(32 * len(values) + len(tails))
+            tails += tail(v)
+        else:
+            heads += word(v)
+    return heads + tails
+
+
+def transfer(a, b, data):
+    return bytes.fromhex("f242432a") + head_and_tail(a, b, 1, 2, data)
+
+
+def batch_transfer(a, b, data):
+    return bytes.fromhex("2eb2c2d6") + word(a) + word(b) + word(160) + word(192) + word(224) + word(0) + word(0) + tail(data)
+
+
+def exec_(call):
+    return bytes.fromhex("6a761202") + head_and_tail(A, 0, call, *[0] * 7)
+
+
+def user_op(call):
+    return bytes.fromhex("541d63c8") + head_and_tail(A, 0, call, 0)
+
+
+def multi(*own, extra=b""):
+    return bytes.fromhex("8d80ff0a") + head_and_tail(b"".join(b"\0" + b"\1" * 20 + word(0) + word(len(c)) + c for c in own) + extra)
+
+
+def handle(*own, n=None):
+    structs = [head_and_tail(A, 0, b"", c, 0, 0, 0, b"", b"") for c in own]
+    at, places = 32 * len(own), []
+    for s in structs:
+        places.append(at)
+        at += len(s)
+    return bytes.fromhex("765e827f") + word(64) + word(0) + word(len(own) if n is None else n) + b"".join(map(word, places)) + b"".join(structs)
+
+
+def flow(vertices, edges, *streams):
+    """streams: (source, first edge, data)"""
+    packed = b"".join(b"\0\0" + a.to_bytes(2, "big") + b.to_bytes(2, "big") for a, b in edges)
+    v = word(len(vertices)) + b"".join(map(word, vertices))
+    own = [word(s) + word(96) + word(96 + 32 + 32 * len(e)) + word(len(e)) + b"".join(map(word, e)) + tail(d) for s, e, d in streams]
+    at, places = 32 * len(own), []
+    for x in own:
+        places.append(at)
+        at += len(x)
+    s = word(len(own)) + b"".join(map(word, places)) + b"".join(own)
+    return bytes.fromhex("0d22d9b5") + word(128) + word(128 + len(v)) + word(160 + len(v)) + word(160 + len(v) + len(s)) + v + word(0) + s + tail(packed)
+
+
+def test_nested_calls(spark):
+    from ledgerloom.sources import calls
+
+    one, two, deep = transfer(A, B, b"x"), batch_transfer(B, C, b"yy" * 40), transfer(A, B, b"z")
+    for _ in range(5):
+        deep = exec_(deep)
+    cut = multi(one, two)
+    given = {
+        "plain": (one, [(A, B, b"x")]), "batch": (two, [(B, C, b"yy" * 40)]), "no data": (transfer(A, B, b""), []), "none": (None, []), "short": (b"\xf2", []), "unknown": (b"\1\2\3\4" + one, []),
+        "exec": (exec_(one), [(A, B, b"x")]), "user": (user_op(two), [(B, C, b"yy" * 40)]), "many": (multi(one, b"", two, one), [(A, B, b"x"), (B, C, b"yy" * 40), (A, B, b"x")]),
+        "all": (handle(exec_(multi(one, user_op(two))), b"", exec_(one)), [(A, B, b"x"), (B, C, b"yy" * 40), (A, B, b"x")]), "deep": (deep, [(A, B, b"z")]), "too deep": (exec_(deep), []), "in itself": (exec_(exec_(exec_(b"\x6a\x76\x12\x02" * 90))), []),
+        "cut off": (exec_(one)[:-40], []), "packed cut": (cut[:4] + word(32) + word(200) + cut[68:], []), "packed rest": (multi(one, extra=b"\0" * 84), [(A, B, b"x")]), "packed length": (multi(one, extra=b"\0" * 53 + word(2**200) + b"\0" * 9), [(A, B, b"x")]),
+        "operations": (handle(one, n=101), []), "operations missing": (handle(one, n=0), []), "far offset": (one[:132] + word(2**40) + one[164:], []),
+        "flow": (flow([A, B, C], [(0, 1), (1, 2)], (0, [1], b"q"), (2, [0, 1], b"r"), (1, [], b"s"), (0, [0], b""), (9, [0], b"t"), (0, [7], b"u")), [(A, C, b"q"), (C, B, b"r")]), "flow in many": (multi(flow([A, B], [(0, 1)], (0, [0], b"v"))), [(A, B, b"v")]), "flow short": (flow([A], [])[:120], []),
+    }
+    rows = spark.createDataFrame([(k, None if c is None else bytearray(c)) for k, (c, _) in given.items()], "k string, input binary")
+    got = {k: [] for k in given}
+    for r in calls.transfer_data(rows).orderBy("k", "place").collect():
+        got[r.k].append((r.from_, r.to_, bytes(r.data)))
+    assert got == {k: want for k, (_, want) in given.items()}
+    assert calls.transfer_data(rows.limit(0)).collect() == []
