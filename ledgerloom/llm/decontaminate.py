@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.minhash import _digests, _lists
 from ledgerloom.llm.scratch import written
-from ledgerloom.llm.textops import Slice, distinct, mix, slices, u64, windows
+from ledgerloom.llm.textops import Slice, distinct, lean, mix, slices, u64, windows
 
 SHINGLE = 5
 PER_CENT = 75
@@ -117,7 +117,7 @@ def _item_sets(shingle: int):
 
 def distinct_items(items: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(k, width, size, hashes) of the distinct items, and (item, k) of all: an item that repeats is searched once."""
-    each = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(_item_sets(shingle), "item long, width long, size long, digest binary, hashes array<long>")
+    each = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_item_sets(shingle)), "item long, width long, size long, digest binary, hashes array<long>")
     own = written(each.drop("item").dropDuplicates(["digest", "width"]).withColumn("k", F.monotonically_increasing_id()), "items")
     return own, each.select("item", "digest", "width").join(own.select("digest", "width", "k"), ["digest", "width"]).select("item", "k")
 
@@ -163,7 +163,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                     at += len(s)
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc", "k", "n_shared", "n_item"])
 
-        found = texts.mapInArrow(run, schema)
+        found = texts.mapInArrow(lean(run), schema)
         out = found if out is None else out.union(found)
     out = spark.createDataFrame([], schema) if out is None else out
     return out.join(every, "k").select("doc", "item", "n_shared", "n_item").toDF(*names)
@@ -184,5 +184,5 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                         clean[s.first + d] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.scratch import written
-from ledgerloom.llm.textops import distinct, mix, slices, u64, windows
+from ledgerloom.llm.textops import distinct, lean, mix, slices, u64, windows
 
 SHINGLE = 5
 BANDS, ROWS = 36, 5  # a pair at 0.75 shares no band with a chance of 6e-5
@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = written(docs.mapInArrow(_sketched(shingle, bands, rows), "id long, n long, cls binary, bands array<long>").withColumnRenamed("cls", "digest"), "sketches")
+    sig = written(docs.mapInArrow(lean(_sketched(shingle, bands, rows)), "id long, n long, cls binary, bands array<long>").withColumnRenamed("cls", "digest"), "sketches")
     classes = sig.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.expr("id is null"), "id", "n", "bands")).alias("s"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), "digest", "s.id", "s.n", "s.bands"), "classes")
     spread = classes.select("cls", "n", F.explode("bands").alias("bucket"))
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.where("id is not null").join(named.hint("merge"), "id", "left_semi")
     if wanted.where("id is null").limit(1).count():
         texts = texts.union(docs.where("id is null"))
-    sets = texts.select("id", "text").mapInArrow(_sets(shingle), "digest binary, hashes array<long>").join(wanted.select("cls", "digest"), "digest").drop("digest")
+    sets = texts.select("id", "text").mapInArrow(lean(_sets(shingle)), "digest binary, hashes array<long>").join(wanted.select("cls", "digest"), "digest").drop("digest")
     sets = written(sets.dropDuplicates(["cls"]), "sets")
 
     links = docs.sparkSession.createDataFrame([], "u long, v long")

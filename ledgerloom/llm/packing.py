@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.scratch import fresh, written
-from ledgerloom.llm.textops import Slice, slices
+from ledgerloom.llm.textops import Slice, lean, slices
 
 CAPACITY = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -202,7 +202,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         return pa.RecordBatch.from_arrays(cols, ["id", *names])
 
     schema = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(run), schema)
 
 
 def lower_bound(counts: list[int], capacity: int) -> int:

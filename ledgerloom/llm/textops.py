@@ -9,7 +9,9 @@ whatever the batch size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +122,21 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
         at = to
 
 
+def lean(run: Callable) -> Callable:
+    """run, a function from batches to batches, after which the worker gives back what it no longer uses: workers stay for later tasks, and what idle ones hold counts with their executor's memory."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return go
+
+
 _WINDOW = [u64(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64)) for k in range(64)]
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.scratch import with_columns, written
-from ledgerloom.llm.textops import Slice, lower_table, mix, slices, space_table, u64
+from ledgerloom.llm.textops import Slice, lean, lower_table, mix, slices, space_table, u64
 
 BITS = 18
 ORDERS = (3, 4, 5)
@@ -124,30 +124,41 @@ def _blocks(starts: np.ndarray, total: int, block: int = 1 << 17) -> list[tuple[
 
 def _fitted(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sizes, labels = np.empty(most, np.int32), [], []
-        to = 0
+        at, sizes, labels, to = np.empty(most, np.int32), [], [], 0
         for b in batches:
-            found = b.column(1)
-            values, offsets = np.asarray(found.values), np.asarray(found.offsets)
-            at[to : to + offsets[-1] - offsets[0]] = values[offsets[0] : offsets[-1]]
-            to += int(offsets[-1] - offsets[0])
-            sizes.append(np.diff(offsets).astype(np.int64))
-            labels.append(np.asarray(b.column(0)))
+            for label, found in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = features_of(found.as_buffer())
+                at[to : to + len(own)] = own
+                to += len(own)
+                sizes.append(len(own))
+                labels.append(label)
+            del b
         if labels:
-            w, bias = fit(at[:to], np.concatenate(sizes), np.concatenate(labels))
+            w, bias = fit(at[:to], np.array(sizes), np.array(labels))
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([bias])], ["weights", "bias"])
 
     return run
 
 
+def steps_of(found: np.ndarray) -> bytes:
+    """Distinct features as steps from one to the next, in order, about a byte each: 255 adds to the step that goes on."""
+    more, last = np.divmod(np.diff(np.sort(found), prepend=-1), 255)
+    out = np.full(int(more.sum()) + len(last), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = last
+    return out.tobytes()
+
+
+def features_of(steps: bytes) -> np.ndarray:
+    out = np.frombuffer(steps, np.uint8)
+    return np.cumsum(out, dtype=np.int32)[out < 255] - 1
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        at = 0
         for s in slices(b.column(1), SLICE):
             rows = list(features(s))
-            sizes = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(s)), b.column(2).slice(at, len(s)), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(rows)))], ["label", "at", "found"])
-            at += len(s)
+            label, at = (b.column(k).slice(s.first, len(s)) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([label, at, pa.array([len(r) for r in rows], pa.int64()), pa.array(map(steps_of, rows), pa.binary())], ["label", "at", "size", "found"])
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most: int = MOST) -> tuple[np.ndarray, float]:
@@ -160,13 +171,13 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(F.broadcast(picked), "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(sample)
-    rows = written(texts.select("label", "text", F.xxhash64("id").alias("at")).mapInArrow(_features, "label int, at long, found array<int>"), "examples")
+    rows = written(texts.select("label", "text", F.xxhash64("id").alias("at")).mapInArrow(lean(_features), "label int, at long, size long, found binary"), "examples")
     # the sample bounds the rows of this window
-    sizes = rows.groupBy("at").agg(F.sum(F.size("found")).alias("size")).withColumn("total", F.sum("size").over(Window.orderBy("at")))
+    sizes = rows.groupBy("at").agg(F.sum("size").alias("size")).withColumn("total", F.sum("size").over(Window.orderBy("at")))
     rows = rows.join(F.broadcast(sizes.where(F.col("total") <= most).select("at")), "at")
 
-    # the sample bounds what comes together here; batches stream, so the task holds their features once
-    got = rows.select("label", "found").repartition(1).mapInArrow(_fitted(most), "weights binary, bias double").collect()
+    # the sample bounds what comes together here; examples come as steps and are held once
+    got = rows.select("label", "found").repartition(1).mapInArrow(lean(_fitted(most)), "weights binary, bias double").collect()
     return (np.frombuffer(bytes(got[0].weights), np.float32), got[0].bias) if got else (np.zeros(1 << BITS, np.float32), -20.0)
 
 
@@ -189,4 +200,4 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
             p = 1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, score_col])
 
-    return docs.mapInArrow(run, with_columns(docs, **{score_col: "double"}))
+    return docs.mapInArrow(lean(run), with_columns(docs, **{score_col: "double"}))

@@ -231,6 +231,15 @@ def test_toxicity_features_are_characters():
     assert got == [len({(n, t[i : i + n]) for n in (3, 4, 5) for i in range(len(t) - n + 1)}) for t in plain]
 
 
+def test_toxicity_steps_come_back():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 50, 5000):
+        own = rng.choice(1 << toxicity.BITS, n, replace=False).astype(np.int32)
+        assert np.array_equal(toxicity.features_of(toxicity.steps_of(own)), np.sort(own))
+    for own in ([0], [254], [255], [(1 << 18) - 1], [0, 255, 510], [253, 508]):
+        assert toxicity.features_of(toxicity.steps_of(np.array(own, np.int32))).tolist() == own
+
+
 def test_toxicity_fit_of_awkward_labels(spark):
     docs_ = spark.createDataFrame([(k, f"you are {'awful trash' if k % 2 else 'kind and fair'} number {k}") for k in range(60)] + [(None, "x"), (3, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1), (5, None), (4, 0)], "doc_id long, toxic int")
