@@ -68,10 +68,13 @@ TRUST = f"(SELECT DISTINCT receiver AS src, token % (SELECT COUNT(*) FROM custom
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written once to a folder of its own in spark.checkpoint.dir, a temporary one where that is unset, and read back."""
+    """Written once to a folder of its own in spark.checkpoint.dir, and read back. Where that is unset a temporary one is used if all runs on one machine; else it is an error."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
         at = spark.sparkContext.getCheckpointDir()
     path = f"{at.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"

@@ -65,13 +65,13 @@ TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
     "wrapper_deployed": ("customer", "c_custkey % 4 = 0 OR c_custkey % 4 = 3", {**_CUSTOMER, "avatar": f"CASE WHEN c_custkey % 12 < 9 THEN {made('a', 'c_custkey')} ELSE {made('b', '1 + c_custkey % 10')} END", "wrapper": f"CASE WHEN c_custkey % 4 = 3 THEN {made('f', 'c_custkey')} ELSE {made('e', 'c_custkey')} END", "wrapper_kind": "CAST(CASE WHEN c_custkey % 4 = 3 THEN 0 ELSE 1 END AS BIGINT)"}),
     "wrapper_transfer": ("lines", "l_linenumber = 3", {**_LINE, "token_address": _WRAPPER, "from_": _FROM, "to_": _TO, "amount": _VALUE}),
     "v1_transfer": ("lines", "l_linenumber = 1", {**_LINE, "token_address": made("d", "1 + l_partkey % 300"), "from_": _FROM, "to_": _TO, "amount": _VALUE}),
-    "v1_hub_transfer": ("lines", "l_linenumber = 2", {**_LINE, "from_": _FROM, "to_": _TO, "amount": _VALUE}),
+    "v1_hub_transfer": ("lines", "l_linenumber = 2", {**_head("l_orderkey", "1", "l_partkey"), "from_": _FROM, "to_": _TO, "amount": _VALUE}),
     "collateral_locked_single": ("lines", "l_suppkey % 9 = 0", {**_LINE, **_LOCK}),
     "collateral_locked_batch": ("lines", "l_suppkey % 9 = 3", {**_LINE, **_LOCK}),
     "redeem_return": ("lines", "l_suppkey % 9 = 1 AND l_linenumber < 4", {**_LINE, **_LOCK}),
     "redeem_burn": ("lines", "l_suppkey % 27 = 2", {**_LINE, **_LOCK}),
-    "flow_scope_started": ("orders", "o_orderkey % 4 = 0", {**_head("o_orderkey", "0", "500")}),
-    "stream_completed": ("orders", "o_orderkey % 4 = 0", {**_head("o_orderkey", "0", "1200"), "from_": made("a", "o_custkey"), "to_": made("a", "o_custkey + 1"), "id": made("a", "1 + o_orderkey % 200"), "amount": "CAST(o_orderkey % 100 AS BIGINT)"}),
+    "flow_scope_started": ("orders", "o_orderkey % 4 = 0", {**_head("o_orderkey", "1 + o_orderkey % 3", "500")}),
+    "stream_completed": ("orders", "o_orderkey % 4 = 0", {**_head("o_orderkey", "1 + o_orderkey % 3", "1200"), "from_": made("a", "o_custkey"), "to_": made("a", "o_custkey + 1"), "id": made("a", "1 + o_orderkey % 200"), "amount": "CAST(o_orderkey % 100 AS BIGINT)"}),
     "affiliate_changed": ("events", "true", {**_EVENT, "human": made("a", "user_id"), "old_group": f"CASE WHEN event_id % 3 = 0 THEN '{ZERO}' ELSE {made('b', '1 + event_id % 9')} END", "new_group": made("b", "1 + (event_id + user_id) % 10")}),
     "affiliate_event": ("events", "event_type <> 'view'", {**_EVENT, "grp": made("b", "1 + event_id % 6"), "avatar": made("a", "user_id"), "is_add": "event_type <> 'error'", "is_seed": "event_type = 'signup'"}),
     "advanced_flag": ("events", "event_type = 'click'", {**_EVENT, "avatar": made("a", "user_id"), "flag": "CAST(event_id % 2 AS BIGINT)"}),

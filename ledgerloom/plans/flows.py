@@ -13,36 +13,37 @@ from ledgerloom.operators import core
 from ledgerloom.plans.chain import DECAY, KEY, NOW, ZERO, age, newest, now, view
 from ledgerloom.plans.views import c_group_memberships, c_v2_avatars, c_v2_balances, c_v2_trust_relations, decayed, latest, union
 
+TRANSACTION = ["block_number", "transaction_index"]
 MARGIN = 0.999999  # Fixed value: what the routing graph takes of a balance
 
 
 # transfer summaries
 
-_MOVES_2 = "SELECT block_number, log_index, 'move' AS what, from_, to_, token_address AS token, value AS amount, timestamp FROM transfer_single UNION ALL SELECT block_number, log_index, 'move', from_, to_, token_address, value, timestamp FROM transfer_batch UNION ALL SELECT block_number, log_index, 'wrapper', from_, to_, token_address, amount, timestamp FROM wrapper_transfer UNION ALL SELECT block_number, log_index, 'start', NULL, NULL, NULL, NULL, timestamp FROM flow_scope_started UNION ALL SELECT block_number, log_index, 'done', from_, to_, id, amount, timestamp FROM stream_completed"
+_MOVES_2 = "SELECT block_number, transaction_index, log_index, 'move' AS what, from_, to_, token_address AS token, value AS amount, timestamp FROM transfer_single UNION ALL SELECT block_number, transaction_index, log_index, 'move', from_, to_, token_address, value, timestamp FROM transfer_batch UNION ALL SELECT block_number, transaction_index, log_index, 'wrapper', from_, to_, token_address, amount, timestamp FROM wrapper_transfer UNION ALL SELECT block_number, transaction_index, log_index, 'start', NULL, NULL, NULL, NULL, timestamp FROM flow_scope_started UNION ALL SELECT block_number, transaction_index, log_index, 'done', from_, to_, id, amount, timestamp FROM stream_completed"
 
 
 @view(
-    f"WITH e AS ({_MOVES_2}), s AS (SELECT *, max(CASE WHEN what = 'start' THEN log_index END) OVER w AS started, max(CASE WHEN what = 'done' THEN log_index END) OVER w AS done FROM e WINDOW w AS (PARTITION BY block_number ORDER BY log_index RANGE UNBOUNDED PRECEDING)), k AS (SELECT s.*, what = 'done' AS stream FROM s WHERE what IN ('done', 'wrapper') OR what = 'move' AND (started IS NULL OR coalesce(done, -1) >= started)) SELECT k.block_number, stream, from_, to_, round(CAST(sum(CASE WHEN d.wrapper_kind = 1 AND what = 'wrapper' THEN amount * power({DECAY}, greatest(0, floor((k.timestamp - 1602720000) / 86400))) ELSE amount END) AS DOUBLE), 0) AS amount, count(DISTINCT token) AS tokens, count(*) AS transfers FROM k LEFT JOIN wrapper_deployed d ON d.wrapper = k.token GROUP BY 1, 2, 3, 4"
+    f"WITH e AS ({_MOVES_2}), s AS (SELECT *, max(CASE WHEN what = 'start' THEN log_index END) OVER w AS started, max(CASE WHEN what = 'done' THEN log_index END) OVER w AS done FROM e WINDOW w AS (PARTITION BY block_number, transaction_index ORDER BY log_index RANGE UNBOUNDED PRECEDING)), k AS (SELECT s.*, what = 'done' AS stream FROM s WHERE what IN ('done', 'wrapper') OR what = 'move' AND (started IS NULL OR coalesce(done, -1) >= started)) SELECT k.block_number, k.transaction_index, stream, from_, to_, round(CAST(sum(CASE WHEN d.wrapper_kind = 1 AND what = 'wrapper' THEN amount * power({DECAY}, greatest(0, floor((k.timestamp - 1602720000) / 86400))) ELSE amount END) AS DOUBLE), 0) AS amount, count(DISTINCT token) AS tokens, string_agg(DISTINCT token, ',' ORDER BY token) AS token_set, count(*) AS transfers FROM k LEFT JOIN wrapper_deployed d ON d.wrapper = k.token GROUP BY 1, 2, 3, 4, 5"
 )
 def c_transfer_summary(t):
-    """Per transaction, inside or outside a stream, and sender and receiver: amount, tokens and transfers.
+    """Per transaction, inside or outside a stream, and sender and receiver: amount, tokens (their number and names) and transfers.
 
     A stream starts with a scope marker and ends with its completion, whose own
     rows stand for the transfers inside. Wrapper transfers inside a stream are
     counted outside, as completions don't show them. Static wrapper amounts are
     decayed to the block's day. Events of one log index are peers.
     """
-    own = ["block_number", "log_index", "timestamp", "from_", "to_"]
+    own = [*TRANSACTION, "log_index", "timestamp", "from_", "to_"]
     parts = [t[n].select(*own, F.lit(what).alias("what"), F.col(token).alias("token"), F.col(amount).alias("amount")) for n, what, token, amount in (("transfer_single", "move", "token_address", "value"), ("transfer_batch", "move", "token_address", "value"), ("wrapper_transfer", "wrapper", "token_address", "amount"), ("stream_completed", "done", "id", "amount"))]
-    e = union(*parts, t["flow_scope_started"].select("block_number", "log_index", "timestamp", F.lit("start").alias("what")))
-    w = Window.partitionBy("block_number").orderBy("log_index").rangeBetween(Window.unboundedPreceding, 0)
+    e = union(*parts, t["flow_scope_started"].select(*TRANSACTION, "log_index", "timestamp", F.lit("start").alias("what")))
+    w = Window.partitionBy(*TRANSACTION).orderBy("log_index").rangeBetween(Window.unboundedPreceding, 0)
     e = e.withColumns({n: F.max(F.when(F.col("what") == n, F.col("log_index"))).over(w) for n in ("start", "done")})
     outside = F.col("start").isNull() | (F.coalesce("done", F.lit(-1)) >= F.col("start"))
     e = e.where(F.col("what").isin("done", "wrapper") | ((F.col("what") == "move") & outside)).withColumn("stream", F.col("what") == "done")
     static = t["wrapper_deployed"].where("wrapper_kind = 1").select(F.col("wrapper").alias("token"), F.lit(True).alias("static"))
     e = e.join(static, "token", "left")
     amount = F.when(F.col("static") & (F.col("what") == "wrapper"), ledger.decayed(F.col("amount"), ledger.day_index(F.col("timestamp")))).otherwise(F.col("amount").cast("double"))
-    out = e.groupBy("block_number", "stream", "from_", "to_").agg(F.round(F.sum(amount), 0).alias("amount"), F.count_distinct("token").alias("tokens"), F.count("*").alias("transfers"))
+    out = e.groupBy(*TRANSACTION, "stream", "from_", "to_").agg(F.round(F.sum(amount), 0).alias("amount"), F.count_distinct("token").alias("tokens"), F.array_join(F.array_sort(F.collect_set("token")), ",").alias("token_set"), F.count("*").alias("transfers"))
     return out
 
 
@@ -92,33 +93,33 @@ def used_edges(hubs: list[tuple[str, str]], edges: list[tuple[str, str]]) -> tup
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["block_number", "kind", "from_", "to_", "amount", "transfers", "cut"]
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+    names = [*TRANSACTION, "kind", "from_", "to_", "amount", "transfers", "cut"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.decimal128(38, 0), pa.int64(), pa.bool_())
     for b in batches:
         out: list[tuple] = []
-        for block, events in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for block, transaction, events in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             hubs, own = ([e for e in events if e["hub"] == flag] for flag in (True, False))
             found, cut = used_edges([(e["from_"], e["to_"]) for e in hubs], [(e["from_"], e["to_"]) for e in own])
-            out += [(block, "hub", h["from_"], h["to_"], h["amount"], len(used), cut) for h, used in zip(hubs, found, strict=True)]
+            out += [(block, transaction, "hub", h["from_"], h["to_"], h["amount"], len(used), cut) for h, used in zip(hubs, found, strict=True)]
             used = set().union(*found)
-            out += [(block, "standalone", m["from_"], m["to_"], m["amount"], 1, cut) for k, m in enumerate(own) if k not in used]
+            out += [(block, transaction, "standalone", m["from_"], m["to_"], m["amount"], 1, cut) for k, m in enumerate(own) if k not in used]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
 
 @view()
 def c_v1_transfer_summary(t):
-    """Each hub transfer with the number of the transaction's transfers on its paths, and transfers on none; a transaction is a group of its own, ``cut`` tells that its search gave up."""
-    own = ["from_", "to_", "amount"]
-    rows = t["v1_hub_transfer"].select("block_number", *own, F.lit(True).alias("hub")).union(t["v1_transfer"].select("block_number", *own, F.lit(False).alias("hub")))
-    grouped = rows.groupBy("block_number").agg(F.array_sort(F.collect_list(F.struct(*own, "hub"))).alias("events"))
-    return grouped.mapInArrow(_summed, "block_number long, kind string, from_ string, to_ string, amount long, transfers long, cut boolean")
+    """Each hub transfer with the number of the transaction's transfers on its paths, and transfers on none; transactions are searched one by one, ``cut`` tells that its search gave up."""
+    own = ["from_", "to_", F.col("amount").cast("decimal(38,0)").alias("amount")]
+    rows = t["v1_hub_transfer"].select(*TRANSACTION, *own, F.lit(True).alias("hub")).union(t["v1_transfer"].select(*TRANSACTION, *own, F.lit(False).alias("hub")))
+    grouped = rows.groupBy(*TRANSACTION).agg(F.array_sort(F.collect_list(F.struct("from_", "to_", "amount", "hub"))).alias("events"))
+    return grouped.mapInArrow(_summed, "block_number long, transaction_index long, kind string, from_ string, to_ string, amount decimal(38,0), transfers long, cut boolean")
 
 
 @view()
 def c_transfer_summaries(t):
     """The summaries of both versions."""
-    second = c_transfer_summary(t).select(F.lit(2).alias("version"), "block_number", F.when(F.col("stream"), "stream").otherwise("transfer").alias("kind"), "from_", "to_", "amount")
-    first = c_v1_transfer_summary(t).select(F.lit(1).alias("version"), "block_number", "kind", "from_", "to_", F.col("amount").cast("double").alias("amount"))
+    second = c_transfer_summary(t).select(F.lit(2).alias("version"), *TRANSACTION, F.when(F.col("stream"), "stream").otherwise("transfer").alias("kind"), "from_", "to_", "amount")
+    first = c_v1_transfer_summary(t).select(F.lit(1).alias("version"), *TRANSACTION, "kind", "from_", "to_", F.col("amount").cast("double").alias("amount"))
     return second.unionByName(first)
 
 
@@ -139,19 +140,28 @@ _WRAPPED = f"(SELECT account, token, kind, CAST(sum(d) AS BIGINT) AS balance, ma
 
 
 @view(
-    f"SELECT account, token, false AS wrapped, CAST(floor(round(balance * power({DECAY}, {age('last_activity', NOW)}) * {MARGIN} / 1000, 6)) AS BIGINT) AS units FROM c_v2_balances UNION ALL SELECT account, token, true, CAST(floor(round(balance * power({DECAY}, CASE kind WHEN 1 THEN greatest(0, floor(({NOW} - 1602720000) / 86400)) ELSE {age('last_activity', NOW)} END) * {MARGIN} / 1000, 6)) AS BIGINT) FROM {_WRAPPED} WHERE balance > 0"
+    f"SELECT account, token, false AS wrapped, CAST(floor(round(balance * power({DECAY}, {age('last_activity', NOW)}) * {MARGIN} / 1000, 6)) AS BIGINT) AS units FROM c_v2_balances WHERE account IN (SELECT avatar FROM c_v2_avatars) AND token IN (SELECT avatar FROM c_v2_avatars) UNION ALL SELECT account, token, true, CAST(floor(round(balance * power({DECAY}, CASE kind WHEN 1 THEN greatest(0, floor(({NOW} - 1602720000) / 86400)) ELSE {age('last_activity', NOW)} END) * {MARGIN} / 1000, 6)) AS BIGINT) FROM {_WRAPPED} WHERE balance > 0 AND account IN (SELECT avatar FROM c_v2_avatars) AND token IN (SELECT wrapper FROM wrapper_deployed WHERE avatar IN (SELECT avatar FROM c_v2_avatars))"
 )
 def c_balance_graph(t):
-    """(account, token, wrapped, units): native and wrapped balances above 0, decayed to now, less the safety margin, cut to thousandths. Static wrappers decay from the ledger's first day."""
-    native = c_v2_balances(t).crossJoin(now(t)).select("account", "token", F.lit(False).alias("wrapped"), decayed("balance", "last_activity").alias("v"))
-    kinds = t["wrapper_deployed"].select(F.col("wrapper").alias("token"), F.col("wrapper_kind").alias("kind"))
-    legs = core.double_entry(t["wrapper_transfer"].withColumnRenamed("token_address", "token").join(kinds, "token"), "from_", "to_", "amount", ["token", "kind", "timestamp"])
-    held = core.balances(legs, ["token", "kind"], "timestamp").where(f"balance > 0 and account <> '{ZERO}'").crossJoin(now(t))
+    """(account, token, wrapped, units): native and wrapped balances above 0 of registered accounts in registered avatars' tokens, decayed to now, less the safety margin, cut to thousandths. Static wrappers decay from the ledger's first day."""
+    avatars = c_v2_avatars(t).select("avatar").distinct()
+    accounts, tokens = (avatars.withColumnRenamed("avatar", c) for c in ("account", "token"))
+    native = c_v2_balances(t).join(accounts, "account", "left_semi").join(tokens, "token", "left_semi")
+    native = native.crossJoin(now(t)).select("account", "token", F.lit(False).alias("wrapped"), decayed("balance", "last_activity").alias("v"))
+    known = t["wrapper_deployed"].join(avatars, "avatar", "left_semi")
+    held = wrapped_balances(t, t["wrapper_transfer"], known).join(accounts, "account", "left_semi").crossJoin(now(t))
     wrapped = F.when(F.col("kind") == 1, ledger.decayed(F.col("balance"), ledger.day_index(F.col("now")))).otherwise(decayed("balance", "last_activity"))
     out = native.union(held.select("account", "token", F.lit(True).alias("wrapped"), wrapped.alias("v")))
     return out.select("account", "token", "wrapped", F.floor(F.round(F.col("v") * MARGIN / 1_000, 6)).alias("units"))
 
 
+def wrapped_balances(t, moved: DataFrame, deployed: DataFrame) -> DataFrame:
+    """(account, token, kind, balance, last_activity) above 0 of the given wrappers' transfers."""
+    kinds = deployed.select(F.col("wrapper").alias("token"), F.col("wrapper_kind").alias("kind"))
+    legs = core.double_entry(moved.withColumnRenamed("token_address", "token").join(kinds, "token"), "from_", "to_", "amount", ["token", "kind", "timestamp"])
+    return core.balances(legs, ["token", "kind"], "timestamp").where(f"balance > 0 and account <> '{ZERO}'")
+
+
 @view("SELECT g.grp, g.treasury, s.emitter AS policy, m.member FROM register_group g JOIN (SELECT * FROM " + newest("score_group_initialized", "grp") + ") s ON s.grp = g.grp JOIN c_group_memberships m ON m.grp = g.grp WHERE g.mint = s.emitter")
 def c_group_trusts(t):
     """Members of the groups whose mint policy is the latest one initialised for them."""

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import ledger
 from ledgerloom.operators import core
 from ledgerloom.plans.chain import KEY, NOW, TABLES, ZERO, now, view
-from ledgerloom.plans.flows import _WRAPPED, c_balance_graph, c_receive_count
-from ledgerloom.plans.views import c_affiliate_members, c_avatars, c_group_memberships, c_groups, c_tokens, c_transfers, c_v1_balances, c_v1_trust_relations, c_v2_avatars, c_v2_balances, c_v2_trust_relations, union
+from ledgerloom.plans.flows import _WRAPPED, c_receive_count, wrapped_balances
+from ledgerloom.plans.views import c_affiliate_members, c_avatars, c_group_memberships, c_groups, c_tokens, c_transfers, c_v1_balances, c_v1_trust_relations, c_v2_avatars, c_v2_balances, c_v2_trust_relations, moves, union
 
 
 def _a(k: int) -> str:
@@ -26,11 +26,28 @@ ME = _a(7)
 # balances and tokens
 
 
-@view(f"SELECT 1 AS version, CAST(coalesce(sum(balance), 0) AS BIGINT) AS units FROM c_v1_balances WHERE account = '{ME}' UNION ALL SELECT 2, CAST(coalesce(sum(units), 0) AS BIGINT) FROM c_balance_graph WHERE account = '{ME}' AND units > 0")
+_HELD = f"(SELECT account, balance FROM c_v2_balances UNION ALL SELECT account, balance FROM {_WRAPPED} WHERE balance > 0)"
+
+
+def held_in(t, native: DataFrame, wrapped: DataFrame) -> DataFrame:
+    """(account, balance): what native and wrapped transfers leave above 0, as it was moved: no decay, no margin."""
+    own = core.balances(core.double_entry(native, "from_", "to_", "value", ["token"]), ["token"]).where(f"balance > 0 and account <> '{ZERO}'")
+    return own.select("account", "balance").union(wrapped_balances(t, wrapped, t["wrapper_deployed"]).select("account", "balance"))
+
+
+def held_by(t, accounts: DataFrame) -> DataFrame:
+    """The balances of distinct accounts (account). Only their transfers become two legs."""
+    sides = [accounts.select(F.col("account").alias(c), F.lit(True).alias(f"_{c}")) for c in ("from_", "to_")]
+    own = lambda df: df.join(sides[0], "from_", "left").join(sides[1], "to_", "left").where("_from_ or _to_").drop("_from_", "_to_")
+    return held_in(t, own(moves(t)), own(t["wrapper_transfer"])).join(accounts, "account", "left_semi")
+
+
+@view(f"SELECT 1 AS version, CAST(coalesce(sum(balance), 0) AS BIGINT) AS units FROM c_v1_balances WHERE account = '{ME}' UNION ALL SELECT 2, CAST(coalesce(sum(balance), 0) AS BIGINT) FROM {_HELD} WHERE account = '{ME}'")
 def c_q_total_balance(t, account: str = ME):
-    """One row for each version: the sum of an account's balances above 0; version 2 counts wrapped tokens too, decayed to now."""
+    """One row for each version: the sum of an account's balances above 0, wrapped tokens too in version 2. These are the user's: the routing graph's margin and decay don't apply."""
+    mine = (F.col("from_") == account) | (F.col("to_") == account)
     first = c_v1_balances(t).where(F.col("account") == account).agg(F.coalesce(F.sum("balance"), F.lit(0)).alias("units"))
-    second = c_balance_graph(t).where((F.col("account") == account) & (F.col("units") > 0)).agg(F.coalesce(F.sum("units"), F.lit(0)).alias("units"))
+    second = held_in(t, moves(t).where(mine), t["wrapper_transfer"].where(mine)).where(F.col("account") == account).agg(F.coalesce(F.sum("balance"), F.lit(0)).alias("units"))
     return first.select(F.lit(1).alias("version"), "units").union(second.select(F.lit(2).alias("version"), "units"))
 
 
@@ -251,11 +268,11 @@ def c_q_all_invitations(t):
     return union(trust, escrow, scale).groupBy("address").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count("*").alias("n"))
 
 
-@view(f"SELECT x.truster AS inviter, b.units FROM (SELECT truster FROM c_v2_trust_relations WHERE trustee = '{ME}' AND truster > '{_a(1)}') x JOIN (SELECT account, CAST(sum(units) AS BIGINT) AS units FROM c_balance_graph WHERE units > 0 GROUP BY account HAVING sum(units) >= 1000) b ON b.account = x.truster ORDER BY inviter LIMIT 21")
-def c_q_valid_inviters(t, account: str = ME, least: int = 1000, after: str = _a(1), size: int = 20):
+@view(f"SELECT x.truster AS inviter, b.units FROM (SELECT truster FROM c_v2_trust_relations WHERE trustee = '{ME}' AND truster > '{_a(1)}') x JOIN (SELECT account, CAST(sum(balance) AS BIGINT) AS units FROM {_HELD} GROUP BY account HAVING sum(balance) >= 1000000) b ON b.account = x.truster ORDER BY inviter LIMIT 21")
+def c_q_valid_inviters(t, account: str = ME, least: int = 1_000_000, after: str = _a(1), size: int = 20):
     """Who trusts an account and holds at least so much, by address after a cursor."""
     who = c_v2_trust_relations(t).where(F.col("trustee") == account).select(F.col("truster").alias("inviter"))
-    held = c_balance_graph(t).where("units > 0").withColumnRenamed("account", "inviter").join(who, "inviter", "left_semi").groupBy("inviter").agg(F.sum("units").alias("units"))
+    held = held_by(t, who.select(F.col("inviter").alias("account"))).groupBy(F.col("account").alias("inviter")).agg(F.sum("balance").alias("units"))
     return core.keyset_page(held.where(F.col("units") >= least), ["inviter"], size, [after])
 
 

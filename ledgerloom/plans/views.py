@@ -135,13 +135,13 @@ def decayed(amount: str, since: str) -> F.Column:
 
 
 @view(
-    f"SELECT account, token, balance, last_activity, round(balance * power({DECAY}, {age('last_activity', NOW)}), 0) AS decayed FROM (SELECT account, token, CAST(sum(d) AS BIGINT) AS balance, max(timestamp) AS last_activity FROM (SELECT from_ AS account, token, -value AS d, timestamp FROM {MOVES} UNION ALL SELECT to_, token, value, timestamp FROM {MOVES}) GROUP BY 1, 2) WHERE balance > 0 AND account <> '{ZERO}'"
+    f"SELECT account, token, balance, last_activity, CAST(floor(balance * power({DECAY}, {age('last_activity', NOW)})) AS BIGINT) AS decayed FROM (SELECT account, token, CAST(sum(d) AS BIGINT) AS balance, max(timestamp) AS last_activity FROM (SELECT from_ AS account, token, -value AS d, timestamp FROM {MOVES} UNION ALL SELECT to_, token, value, timestamp FROM {MOVES}) GROUP BY 1, 2) WHERE balance > 0 AND account <> '{ZERO}'"
 )
 def c_v2_balances(t):
     """Balances above 0 and what decay since the last activity leaves of them now."""
     legs = core.double_entry(moves(t), "from_", "to_", "value", ["token", "timestamp"])
     held = core.balances(legs, ["token"], "timestamp").where(f"balance > 0 and account <> '{ZERO}'")
-    return held.crossJoin(now(t)).withColumn("decayed", F.round(decayed("balance", "last_activity"), 0)).drop("now")
+    return held.crossJoin(now(t)).withColumn("decayed", F.floor(decayed("balance", "last_activity"))).drop("now")
 
 
 @view(f"SELECT 1 AS version, token_address AS token, CAST(sum(CASE WHEN from_ = '{ZERO}' THEN amount ELSE 0 END) - sum(CASE WHEN to_ = '{ZERO}' THEN amount ELSE 0 END) AS BIGINT) AS supply FROM v1_transfer GROUP BY token_address UNION ALL SELECT 2, token, CAST(sum(CASE WHEN from_ = '{ZERO}' THEN value ELSE 0 END) - sum(CASE WHEN to_ = '{ZERO}' THEN value ELSE 0 END) AS BIGINT) FROM {MOVES} GROUP BY token")
@@ -205,12 +205,12 @@ def c_group_collateral_diff(t):
 
 
 @view(
-    f"SELECT grp, id, locked, decayed, round(coalesce(CAST(locked AS DOUBLE) / nullif(sum(locked) OVER (PARTITION BY grp), 0), 0), 9) AS fraction FROM (SELECT grp, id, CAST(sum(locked) AS BIGINT) AS locked, round(sum(locked * power({DECAY}, {age('timestamp', NOW)})), 0) AS decayed FROM c_group_collateral_diff GROUP BY grp, id) WHERE locked > 0"
+    f"SELECT grp, id, locked, decayed, round(coalesce(CAST(locked AS DOUBLE) / nullif(sum(locked) OVER (PARTITION BY grp), 0), 0), 9) AS fraction FROM (SELECT grp, id, CAST(sum(locked) AS BIGINT) AS locked, CAST(floor(sum(locked * power({DECAY}, {age('timestamp', NOW)}))) AS BIGINT) AS decayed FROM c_group_collateral_diff GROUP BY grp, id) WHERE locked > 0"
 )
 def c_group_collateral(t):
     """What each group has locked, every lock decayed from its own time."""
     each = c_group_collateral_diff(t).crossJoin(now(t)).withColumn("d", decayed("locked", "timestamp"))
-    held = each.groupBy("grp", "id").agg(F.sum("locked").alias("locked"), F.round(F.sum("d"), 0).alias("decayed")).where("locked > 0")
+    held = each.groupBy("grp", "id").agg(F.sum("locked").alias("locked"), F.floor(F.sum("d")).alias("decayed")).where("locked > 0")
     return core.share_of_partition(held, ["grp"], "locked").withColumn("fraction", F.round(F.coalesce("fraction", F.lit(0.0)), 9))
 
 
@@ -222,11 +222,11 @@ def vault_flows(t) -> DataFrame:
 VAULT_FLOWS = "(SELECT v.vault, x.grp, x.id, x.timestamp, x.amount FROM (SELECT grp, id, timestamp, value AS amount FROM collateral_locked_single UNION ALL SELECT grp, id, timestamp, value FROM collateral_locked_batch UNION ALL SELECT grp, id, timestamp, -value FROM redeem_return UNION ALL SELECT grp, id, timestamp, -value FROM redeem_burn) x JOIN create_vault v ON v.grp = x.grp)"
 
 
-@view(f"SELECT vault, id, balance, round(balance * power({DECAY}, {age('last_activity', NOW)}), 0) AS decayed FROM (SELECT vault, id, CAST(sum(amount) AS BIGINT) AS balance, max(timestamp) AS last_activity FROM {VAULT_FLOWS} GROUP BY 1, 2)")
+@view(f"SELECT vault, id, balance, CAST(floor(balance * power({DECAY}, {age('last_activity', NOW)})) AS BIGINT) AS decayed FROM (SELECT vault, id, CAST(sum(amount) AS BIGINT) AS balance, max(timestamp) AS last_activity FROM {VAULT_FLOWS} GROUP BY 1, 2)")
 def c_group_vault_balances(t):
     """What each vault holds, decayed from its last activity."""
     held = vault_flows(t).groupBy("vault", "id").agg(F.sum("amount").alias("balance"), F.max("timestamp").alias("last_activity"))
-    return held.crossJoin(now(t)).select("vault", "id", "balance", F.round(decayed("balance", "last_activity"), 0).alias("decayed"))
+    return held.crossJoin(now(t)).select("vault", "id", "balance", F.floor(decayed("balance", "last_activity")).alias("decayed"))
 
 
 # sets, counts and scores
@@ -377,7 +377,7 @@ def _supply_sql(step: int, grp: str | None = None) -> str:
     known = f"token = '{grp}'" if grp else "token IN (SELECT avatar FROM c_avatars)"
     sums = f"(SELECT token AS grp, timestamp - timestamp % {step} AS bucket, CAST(sum(CASE WHEN from_ = '{ZERO}' THEN value ELSE 0 END) AS BIGINT) AS minted, CAST(-sum(CASE WHEN to_ = '{ZERO}' THEN value ELSE 0 END) AS BIGINT) AS burned FROM {MOVES} WHERE (from_ = '{ZERO}' OR to_ = '{ZERO}') AND {known} GROUP BY 1, 2)"
     total = f"(SELECT *, CAST(sum(minted + burned) OVER (PARTITION BY grp ORDER BY bucket) AS BIGINT) AS supply FROM {sums})"
-    return f"SELECT grp, bucket, minted, burned, supply, {', '.join(f'round({c} * power({DECAY}, {age("bucket", NOW)}), 0) AS {c}_decayed' for c in ('minted', 'burned', 'supply'))} FROM {total}"
+    return f"SELECT grp, bucket, minted, burned, supply, {', '.join(f'CAST(floor({c} * power({DECAY}, {age("bucket", NOW)})) AS BIGINT) AS {c}_decayed' for c in ('minted', 'burned', 'supply'))} FROM {total}"
 
 
 def _supply(t, step: int, grp: str | None = None) -> DataFrame:
@@ -387,7 +387,7 @@ def _supply(t, step: int, grp: str | None = None) -> DataFrame:
     flow = [F.sum(F.when(F.col(side) == ZERO, sign * F.col("value")).otherwise(0)).alias(n) for n, side, sign in (("minted", "from_", 1), ("burned", "to_", -1))]
     sums = own.groupBy(F.col("token").alias("grp"), bucket("timestamp", step)).agg(*flow)
     out = sums.withColumn("supply", F.sum(F.expr("minted + burned")).over(running(["grp"], ["bucket"]))).crossJoin(now(t))
-    return out.select("grp", "bucket", "minted", "burned", "supply", *[F.round(decayed(c, "bucket"), 0).alias(f"{c}_decayed") for c in ("minted", "burned", "supply")])
+    return out.select("grp", "bucket", "minted", "burned", "supply", *[F.floor(decayed(c, "bucket")).alias(f"{c}_decayed") for c in ("minted", "burned", "supply")])
 
 
 def _wraps_sql(step: int, grp: str | None = None) -> str:
