@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.minhash import _digests, _lists
+from ledgerloom.llm.minhash import SLICE, _digests, _lists
 from ledgerloom.llm.scratch import written
 from ledgerloom.llm.textops import Slice, distinct, lean, mix, slices, u64, windows
 
@@ -158,7 +158,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
             held = sent.value
             for b in batches:
                 at, rows = 0, []
-                for s in slices(b.column(1)):
+                for s in slices(b.column(1), SLICE):
                     rows += [(b.column(0)[at + d].as_py(), held.ids[i], shared, len(held.sets[i])) for d, i, shared in held.found(s)]
                     at += len(s)
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc", "k", "n_shared", "n_item"])
@@ -179,7 +179,7 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
             own = sent.value
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
-                for s in slices(b.column(at_text)):
+                for s in slices(b.column(at_text), SLICE):
                     for d, _, _ in own.found(s):
                         clean[s.first + d] = False
                 yield b.filter(pa.array(clean))

@@ -21,6 +21,7 @@ from ledgerloom.llm.scratch import written
 from ledgerloom.llm.textops import distinct, lean, mix, slices, u64, windows
 
 SHINGLE = 5
+SLICE = 1 << 20  # bytes of text whose shingles are hashed together
 BANDS, ROWS = 36, 5  # a pair at 0.75 shares no band with a chance of 6e-5
 PER_CENT = 75
 HUB_TURNS = 3  # then the pairs that are left are compared one by one
@@ -60,7 +61,7 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per slice: number of texts, then (text, hash) of distinct shingles and their count per text."""
-    for s in slices(column):
+    for s in slices(column, SLICE):
         doc, h = windows(s.words(), k, short=True)
         yield len(s), *distinct(doc, h, len(s))
 
