@@ -33,7 +33,7 @@ EXTRA = 500
 SETS, SET_PIECES, SET_NODES = 16, 200, 800  # sets of wasteful sequences searched again, their pieces and nodes
 WIDTH = 12  # lengths that a filling, and its end of three pieces, is tried with as the largest
 BRANCHES = 4  # fillings that a node branches on, the fullest
-TEXTS = 5 << 20  # bytes of text encoded together
+TEXTS = 2 << 20  # bytes of text encoded together
 PART = 256  # bytes of distinct chunks joined for the tokenizer
 
 
