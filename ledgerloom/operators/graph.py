@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,48 +49,54 @@ def capacity_edges(balances: DataFrame, trust: DataFrame) -> DataFrame:
     return holders.unionByName(trusters.select(F.lit("truster").alias("kind"), "account", "token"), allowMissingColumns=True)
 
 
-def largest_flow(balances: DataFrame, trust: DataFrame, source: int, sink: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """Transfers (src, dst, token, amount) of a largest flow over any number of hops, found in Spark; ids are long.
+BLOCKS = 256  # a node's arcs are summed in so many blocks, so that a hot node is no hot task
 
-    Holders and tokens are nodes: a holder sends a token up to its balance to the
-    token's node, and that passes all of it on to whoever trusts the token. So a
-    balance is shared by all who trust it and capacity edges are never made. Each
-    round finds the nodes' distances to the sink by frontier joins, with what each
-    can pass on at most, pushes along shortest paths from the source, and takes
-    back what got stuck. A round that doesn't reach the source ends the search; each
-    other one adds to the flow. ``keep`` writes a table and reads it back.
+
+def before(df: DataFrame, key: str, order: str, value: str, block: Column | None = None) -> DataFrame:
+    """df with ``before``: the sum of value over the key's rows ahead of each, in the order of (block, order).
+
+    Blocks are summed apart and offset by the sums of the blocks ahead, so no task
+    holds a whole key. Without a block of its own a row's is a hash of its order.
     """
-    spark = balances.sparkSession
-    held = balances.where("balance > 0").groupBy(F.col("account").cast("long").alias("a"), F.col("token").cast("long").alias("t")).agg(F.sum("balance").cast("long").alias("cap"))
-    most = held.where(F.col("a") == source).agg(F.sum("cap")).first()[0] or 0
-    if source == sink or not most:
-        return spark.createDataFrame([], "src long, dst long, token long, amount long")
-    takes = trust.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("t")).distinct().withColumn("back", F.lit(most).cast("long"))
-    # net: what goes from a to t less what comes back; accounts are the even nodes
-    pairs = keep(held.join(takes, ["a", "t"], "full").na.fill(0, ["cap", "back"]).withColumn("net", F.lit(0).cast("long")), "pairs")
-    start, end = source * 2, sink * 2
-    while True:
-        p = pairs.select(F.shiftleft("a", 1).alias("a"), (F.shiftleft("t", 1) + 1).alias("t"), "cap", "back", "net")
-        arcs = p.select(F.col("a").alias("u"), F.col("t").alias("v"), (F.col("cap") - F.col("net")).alias("room")).union(p.select("t", "a", F.col("back") + F.col("net"))).where("room > 0")
+    rows = df.withColumn("_block", F.pmod(F.xxhash64(order), F.lit(BLOCKS)) if block is None else block)
+    ahead = rows.groupBy(key, "_block").agg(F.sum(value).alias("_sum"))
+    ahead = ahead.withColumn("_ahead", F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    own = F.sum(value).over(Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return rows.withColumn("_own", own).join(ahead, [key, "_block"]).withColumn("before", F.col("_own") + F.col("_ahead")).drop("_block", "_own", "_ahead")
+
+
+def saturated(pairs: DataFrame, source, sink, most: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Pairs (u, v, cap, back) with net: what goes from u to v less what comes back, in a largest flow of at most ``most``.
+
+    Each pair of nodes is one row; cap is its room from u to v, back that from v to
+    u. Each round finds the nodes' distances to the sink by frontier joins, with
+    what each can pass on at most, pushes along shortest paths from the source, and
+    takes back what got stuck. A round that doesn't reach the source ends the
+    search; each other one adds to the flow. A level costs two jobs, one that
+    writes it and one that looks whether it has the source.
+    """
+    spark, kind = pairs.sparkSession, pairs.schema["u"].dataType.simpleString()
+    pairs, left = keep(pairs.withColumn("net", F.lit(0).cast("long")), "pairs"), most
+    while left > 0:
+        arcs = pairs.select("u", "v", (F.col("cap") - F.col("net")).alias("room")).union(pairs.select("v", "u", F.col("back") + F.col("net"))).where("room > 0")
 
         # levels by distance to the sink, with the most that a node can pass on
-        levels = [spark.createDataFrame([(end, most)], "v long, most long")]
-        seen = levels[0].select("v")
-        while True:
-            grown = arcs.join(levels[-1], "v").groupBy("u").agg(F.least(F.sum(F.least("room", "most")), F.lit(most)).alias("most")).withColumnRenamed("u", "v").join(seen, "v", "left_anti")
+        levels = [spark.createDataFrame([(sink, left)], f"v {kind}, most long")]
+        seen, found, reached = levels[0].select("v"), 1, None
+        while found and reached is None:
+            onward = F.sum(F.least("room", "most").cast("decimal(38,0)"))
+            grown = arcs.join(levels[-1], "v").groupBy("u").agg(F.least(onward, F.lit(left)).cast("long").alias("most")).withColumnRenamed("u", "v").join(seen, "v", "left_anti")
             levels.append(keep(grown, "level"))
-            if levels[-1].isEmpty() or not levels[-1].where(F.col("v") == start).isEmpty():
-                break
+            found, reached = levels[-1].agg(F.count("*"), F.max(F.when(F.col("v") == F.lit(source), F.col("most")))).first()
             seen = seen.union(levels[-1].select("v"))
-        if levels[-1].isEmpty():
+        if reached is None:
             break
 
         # away from the source, a level at a time
-        has, pushed = levels[-1].where(F.col("v") == start).select(F.col("v").alias("u"), F.col("most").alias("has")), []
+        has, pushed = spark.createDataFrame([(source, reached)], f"u {kind}, has long"), []
         for level in levels[-2::-1]:
-            out = arcs.join(has, "u").join(level, "v").select("u", "v", "has", F.least("room", "most").alias("x"))
-            before = F.sum("x").over(Window.partitionBy("u").orderBy("v")) - F.col("x")
-            out = out.withColumn("x", F.least(F.col("x"), F.col("has") - before)).where("x > 0").select("u", "v", "x")
+            out = before(arcs.join(has, "u").join(level, "v").select("u", "v", "has", F.least("room", "most").alias("x")), "u", "v", "x")
+            out = out.withColumn("x", F.least(F.col("x"), F.col("has") - F.col("before"))).where("x > 0").select("u", "v", "x")
             pushed.append(keep(out, "pushed"))
             has = pushed[-1].groupBy(F.col("v").alias("u")).agg(F.sum("x").alias("has"))
 
@@ -98,20 +104,83 @@ def largest_flow(balances: DataFrame, trust: DataFrame, source: int, sink: int,
         kept = [pushed[-1]]
         for step in pushed[-2::-1]:
             passed = kept[-1].groupBy(F.col("u").alias("v")).agg(F.sum("x").alias("passed"))
-            into = step.join(passed, "v")
-            before = F.sum("x").over(Window.partitionBy("v").orderBy("u")) - F.col("x")
-            kept.append(keep(into.withColumn("x", F.least(F.col("x"), F.col("passed") - before)).where("x > 0").select("u", "v", "x"), "kept"))
+            into = before(step.join(passed, "v"), "v", "u", "x")
+            kept.append(keep(into.withColumn("x", F.least(F.col("x"), F.col("passed") - F.col("before"))).where("x > 0").select("u", "v", "x"), "kept"))
+        left -= kept[-1].agg(F.sum("x")).first()[0]
         moved = kept[0]
         for step in kept[1:]:
             moved = moved.union(step)
-        sends = F.col("u") % 2 == 0
-        moved = moved.groupBy(F.shiftright(F.when(sends, F.col("u")).otherwise(F.col("v")), 1).alias("a"), F.shiftright(F.when(sends, F.col("v")).otherwise(F.col("u")), 1).alias("t")).agg(F.sum(F.when(sends, F.col("x")).otherwise(-F.col("x"))).alias("d"))
-        pairs = keep(pairs.join(moved, ["a", "t"], "left").select("a", "t", "cap", "back", (F.col("net") + F.coalesce("d", F.lit(0))).alias("net")), "pairs")
+        moved = moved.union(moved.select("v", "u", -F.col("x"))).groupBy("u", "v").agg(F.sum("x").alias("d"))
+        pairs = keep(pairs.join(moved, ["u", "v"], "left").select("u", "v", "cap", "back", (F.col("net") + F.coalesce("d", F.lit(0))).alias("net")), "pairs")
+    return pairs
+
+
+def arc_flow(arcs: DataFrame, source, sink, keep: Callable[[DataFrame, str], DataFrame], target: int | None = None) -> DataFrame:
+    """(src, dst, flow) above 0 of a largest flow, or of one of ``target`` if as much can pass, on arcs (src, dst, capacity).
+
+    No capacity is no bound; parallel arcs add up; loops, null ends and capacities
+    of 0 or less carry nothing. From a node to itself, from a node without arcs and
+    for a target of 0 or less there is no flow. A source with an unbounded arc
+    needs a target, else it is an error.
+    """
+    spark = arcs.sparkSession
+    kind = arcs.schema["src"].dataType.simpleString()
+    arcs = arcs.where("src <> dst and (capacity is null or capacity > 0)")
+    n, bounded, out = arcs.where(F.col("src") == F.lit(source)).agg(F.count("*"), F.count("capacity"), F.sum(F.col("capacity").cast("decimal(38,0)"))).first()
+    if source == sink or not n or (target is not None and target <= 0):
+        return spark.createDataFrame([], f"src {kind}, dst {kind}, flow long")
+    if target is None and bounded < n:
+        raise ValueError("a source with an unbounded arc needs a target")
+    most = min(x for x in (target, int(out) if bounded == n else None) if x is not None)
+    room = F.least(F.coalesce(F.col("capacity").cast("decimal(38,0)"), F.lit(most)), F.lit(most))  # no arc carries more than all
+    forth = F.col("src") < F.col("dst")
+
+    def total(side: Column) -> Column:
+        return F.least(F.coalesce(F.sum(F.when(side, room)), F.lit(0)), F.lit(most)).cast("long")
+
+    pairs = arcs.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(total(forth).alias("cap"), total(~forth).alias("back"))
+    net = saturated(pairs, source, sink, most, keep).where("net <> 0")
+    ahead = F.col("net") > 0
+    return net.select(F.when(ahead, F.col("u")).otherwise(F.col("v")).alias("src"), F.when(ahead, F.col("v")).otherwise(F.col("u")).alias("dst"), F.abs("net").alias("flow"))
+
+
+def dealt(sent: DataFrame, got: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Transfers (src, dst, token, amount): what a token's givers send is dealt to its takers in order. sent and got are (t, a, x) with equal sums by token.
+
+    H givers and T takers make at most H + T transfers and are never joined with
+    each other: where either side's running sum ends, a transfer ends, and the
+    number of ends before it names its giver and its taker.
+    """
+
+    def placed(rows: DataFrame, name: str) -> DataFrame:
+        sums = before(rows.withColumn("_one", F.lit(1)), "t", "a", "x").withColumnRenamed("before", "lo")
+        places = before(sums, "t", "a", "_one").withColumnRenamed("before", "place")
+        return keep(places.select("t", F.col("a").alias(name), F.col("lo").alias(f"{name}_lo"), (F.col("lo") + F.col("x")).alias("hi"), F.col("place").alias(f"{name}_place")), name)
+
+    givers, takers = placed(sent, "src"), placed(got, "dst")
+    ends = givers.select("t", "hi", F.lit(1).alias("s"), F.lit(0).alias("g")).union(takers.select("t", "hi", F.lit(0), F.lit(1))).groupBy("t", "hi").agg(F.sum("s").alias("s"), F.sum("g").alias("g"))
+    ends = keep(ends.repartitionByRange("t", "hi").withColumn("part", F.spark_partition_id()), "ends")
+    ends = before(ends, "t", "hi", "s", F.col("part")).withColumnRenamed("before", "src_place")
+    ends = before(ends, "t", "hi", "g", F.col("part")).withColumnRenamed("before", "dst_place")
+    out = ends.join(givers.drop("hi"), ["t", "src_place"]).join(takers.drop("hi"), ["t", "dst_place"])
+    return out.select("src", "dst", F.col("t").alias("token"), (F.col("hi") - F.greatest("src_lo", "dst_lo")).alias("amount"))
 
-    # what a token's holders send is dealt to its takers in order
-    def dealt(rows: DataFrame, name: str) -> DataFrame:
-        return rows.withColumn("hi", F.sum("x").over(Window.partitionBy("t").orderBy("a"))).select("t", F.col("a").alias(name), F.col("hi").alias(f"{name}_hi"), (F.col("hi") - F.col("x")).alias(f"{name}_lo"))
 
-    sent = dealt(pairs.where("net > 0").select("a", "t", F.col("net").alias("x")), "src")
-    got = dealt(pairs.where("net < 0").select("a", "t", (-F.col("net")).alias("x")), "dst")
-    return sent.join(got, "t").where("src_lo < dst_hi and dst_lo < src_hi").select("src", "dst", F.col("t").alias("token"), (F.least("src_hi", "dst_hi") - F.greatest("src_lo", "dst_lo")).alias("amount"))
+def largest_flow(balances: DataFrame, trust: DataFrame, source: int, sink: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Transfers (src, dst, token, amount) of a largest flow over any number of hops, found in Spark; ids are long.
+
+    Holders and tokens are nodes: a holder sends a token up to its balance to the
+    token's node, and that passes all of it on to whoever trusts the token. So a
+    balance is shared by all who trust it and capacity edges are never made.
+    ``keep`` writes a table and reads it back.
+    """
+    spark = balances.sparkSession
+    held = balances.where("balance > 0").groupBy(F.col("account").cast("long").alias("a"), F.col("token").cast("long").alias("t")).agg(F.sum("balance").cast("long").alias("cap"))
+    most = held.where(F.col("a") == source).agg(F.sum("cap")).first()[0] or 0
+    if source == sink or not most:
+        return spark.createDataFrame([], "src long, dst long, token long, amount long")
+    takes = trust.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("t")).distinct().withColumn("back", F.lit(most).cast("long"))
+    # accounts are the even nodes, tokens the odd ones
+    pairs = held.join(takes, ["a", "t"], "full").na.fill(0, ["cap", "back"]).select(F.shiftleft("a", 1).alias("u"), (F.shiftleft("t", 1) + 1).alias("v"), "cap", "back")
+    net = saturated(pairs, source * 2, sink * 2, most, keep).select(F.shiftright("u", 1).alias("a"), F.shiftright("v", 1).alias("t"), "net")
+    return dealt(net.where("net > 0").select("t", "a", F.col("net").alias("x")), net.where("net < 0").select("t", "a", (-F.col("net")).alias("x")), keep)

@@ -59,7 +59,7 @@ TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
     "v1_organization_signup": ("customer", "c_custkey % 7 = 0", {**_CUSTOMER, "organization": made("a", "c_custkey")}),
     "update_metadata_digest": ("events", "event_type IN ('view', 'signup')", {**_EVENT, "avatar": f"CASE WHEN event_type = 'view' THEN {made('a', 'user_id')} ELSE {made('b', '1 + user_id % 10')} END", "digest": "concat('digest-', CAST(event_id AS STRING))"}),
     "v1_trust": ("orders", "o_orderkey % 5 = 0", {**_ORDER, "user_": made("a", "o_custkey"), "can_send_to": _MEMBER, "limit_": "CAST(o_orderkey % 4 * 25 AS BIGINT)"}),
-    "trust": ("orders", "o_orderkey % 5 <> 0", {**_ORDER, "truster": f"CASE WHEN o_orderkey % 3 = 0 THEN {made('b', '1 + o_orderkey % 10')} ELSE {made('a', 'o_custkey')} END", "trustee": f"CASE WHEN o_orderkey % 3 = 0 THEN {made('a', 'o_custkey')} ELSE {_MEMBER} END", "expiry_time": f"CASE o_orderkey % 8 WHEN 0 THEN CAST({EPOCH} + o_orderkey * 600 - 1 AS BIGINT) WHEN 1 THEN CAST({EPOCH} + o_orderkey * 600 + 864000 AS BIGINT) ELSE 9223372036854775807 END"}),
+    "trust": ("orders", "o_orderkey % 5 <> 0", {**_ORDER, "truster": f"CASE WHEN o_orderkey % 3 = 0 THEN {made('b', '1 + o_orderkey % 10')} ELSE {made('a', 'o_custkey')} END", "trustee": f"CASE WHEN o_orderkey % 3 = 0 THEN {made('a', 'o_custkey')} WHEN o_orderkey % 7 = 0 THEN {made('b', '1 + o_orderkey % 10')} ELSE {_MEMBER} END", "expiry_time": f"CASE o_orderkey % 8 WHEN 0 THEN CAST({EPOCH} + o_orderkey * 600 - 1 AS BIGINT) WHEN 1 THEN CAST({EPOCH} + o_orderkey * 600 + 864000 AS BIGINT) ELSE 9223372036854775807 END"}),
     "transfer_single": ("lines", "l_linenumber % 2 = 0", {**_LINE, **_MOVE}),
     "transfer_batch": ("lines", "l_linenumber % 2 = 1", {**_LINE, "batch_index": "CAST(l_linenumber % 3 AS BIGINT)", **_MOVE}),
     "wrapper_deployed": ("customer", "c_custkey % 4 = 0 OR c_custkey % 4 = 3", {**_CUSTOMER, "avatar": f"CASE WHEN c_custkey % 12 < 9 THEN {made('a', 'c_custkey')} ELSE {made('b', '1 + c_custkey % 10')} END", "wrapper": f"CASE WHEN c_custkey % 4 = 3 THEN {made('f', 'c_custkey')} ELSE {made('e', 'c_custkey')} END", "wrapper_kind": "CAST(CASE WHEN c_custkey % 4 = 3 THEN 0 ELSE 1 END AS BIGINT)"}),
@@ -75,7 +75,7 @@ TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
     "affiliate_changed": ("events", "true", {**_EVENT, "human": made("a", "user_id"), "old_group": f"CASE WHEN event_id % 3 = 0 THEN '{ZERO}' ELSE {made('b', '1 + event_id % 9')} END", "new_group": made("b", "1 + (event_id + user_id) % 10")}),
     "affiliate_event": ("events", "event_type <> 'view'", {**_EVENT, "grp": made("b", "1 + event_id % 6"), "avatar": made("a", "user_id"), "is_add": "event_type <> 'error'", "is_seed": "event_type = 'signup'"}),
     "advanced_flag": ("events", "event_type = 'click'", {**_EVENT, "avatar": made("a", "user_id"), "flag": "CAST(event_id % 2 AS BIGINT)"}),
-    "approval": ("events", "event_type IN ('click', 'view')", {**_EVENT, "account": made("a", "user_id"), "operator": made("a", "1 + event_id % 5"), "approved": "event_id % 3 <> 0"}),
+    "approval": ("events", "event_type IN ('click', 'view')", {**_EVENT, "account": f"CASE WHEN event_id % 4 = 0 THEN {made('b', '1 + user_id % 10')} ELSE {made('a', 'user_id')} END", "operator": made("a", "1 + event_id % 5"), "approved": "event_id % 3 <> 0"}),
     "stopped": ("customer", "c_custkey % 50 = 1", {**_CUSTOMER, "avatar": made("a", "c_custkey")}),
     "safe_setup": ("customer", "c_custkey % 6 = 0", {**_CUSTOMER, "safe": made("a", "c_custkey % 90"), "owner": made("a", "c_custkey % 13")}),
     "safe_added": ("events", "event_type = 'purchase'", {**_head("100000 + event_id"), "safe": made("a", "user_id % 90"), "owner": made("a", "event_id % 13")}),
@@ -83,7 +83,7 @@ TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
     "at_scale_register": ("customer", "c_custkey % 11 = 0", {**_CUSTOMER, "human": made("a", "c_custkey"), "origin_inviter": f"CASE WHEN c_custkey % 22 = 0 THEN '{ZERO}' ELSE {made('a', 'c_custkey % 50')} END", "proxy_inviter": made("a", "c_custkey % 51")}),
     "escrow_redeemed": ("customer", "c_custkey % 13 = 0", {**_CUSTOMER, "inviter": made("a", "c_custkey % 52"), "invitee": made("a", "c_custkey"), "amount": "CAST(c_custkey * 10 AS BIGINT)"}),
     "escrowed": ("customer", "c_custkey % 9 = 0", {**_CUSTOMER, "inviter": made("a", "c_custkey % 52"), "invitee": made("a", "c_custkey + 7"), "amount": "CAST(c_custkey * 10 AS BIGINT)"}),
-    "score_group_initialized": ("supplier", "s_suppkey % 2 = 0", {**_SUPPLIER, "grp": made("b", "s_suppkey"), "emitter": made("a", "s_suppkey % 7")}),
+    "score_group_initialized": ("supplier", "s_suppkey % 2 = 0", {**_SUPPLIER, "grp": made("b", "s_suppkey"), "emitter": made("a", "s_suppkey % 7"), "path_mint_router": made("b", "1 + s_suppkey % 9")}),
     "historical_supply": ("lines", "l_suppkey % 4 = 1", {**_LINE, "grp": made("b", "1 + l_partkey % 10"), "token": made("a", "o_custkey"), "amount": _VALUE}),
     "personal_minted": ("lines", "l_suppkey % 4 = 2", {**_LINE, "grp": made("b", "1 + l_partkey % 10"), "token": made("a", "o_custkey"), "amount": _VALUE}),
     "profile": ("events", "event_type IN ('view', 'signup')", {"digest": "concat('digest-', CAST(event_id AS STRING))", "name": "concat(event_type, ' person ', CAST(user_id AS STRING))", "description": "concat('member since block ', CAST(event_id AS STRING))"}),

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import ledger
-from ledgerloom.operators import core
+from ledgerloom.operators import core, graph
+from ledgerloom.plans.catalogue import kept
 from ledgerloom.plans.chain import DECAY, KEY, NOW, ZERO, age, newest, now, view
-from ledgerloom.plans.views import c_group_memberships, c_v2_avatars, c_v2_balances, c_v2_trust_relations, decayed, latest, union
+from ledgerloom.plans.views import c_v2_avatars, c_v2_balances, c_v2_trust_relations, decayed, latest, union
 
 TRANSACTION = ["block_number", "transaction_index"]
 MARGIN = 0.999999  # Fixed value: what the routing graph takes of a balance
@@ -162,12 +163,45 @@ def wrapped_balances(t, moved: DataFrame, deployed: DataFrame) -> DataFrame:
     return core.balances(legs, ["token", "kind"], "timestamp").where(f"balance > 0 and account <> '{ZERO}'")
 
 
-@view("SELECT g.grp, g.treasury, s.emitter AS policy, m.member FROM register_group g JOIN (SELECT * FROM " + newest("score_group_initialized", "grp") + ") s ON s.grp = g.grp JOIN c_group_memberships m ON m.grp = g.grp WHERE g.mint = s.emitter")
+def _made(kind: str, *numbers: int) -> tuple[str, ...]:
+    return tuple(f"0x{kind}{n:039d}" for n in numbers)
+
+
+# Parameters of the given tables' ledger: the mint policy of base groups and their router, and the policies of score groups
+BASE_POLICY, SCORE_POLICIES, ROUTER = _made("a", 1)[0], _made("a", 2, 4, 6), _made("b", 10)[0]
+
+
+@view(
+    f"SELECT g.grp, g.treasury, g.mint AS policy, coalesce(s.path_mint_router, '{ROUTER}') AS router, coalesce(s.path_mint_router <> '{ROUTER}', false) AS score FROM register_group g LEFT JOIN (SELECT * FROM {newest(f'(SELECT * FROM score_group_initialized WHERE emitter IN {SCORE_POLICIES})', 'grp')}) s ON s.grp = g.grp WHERE g.mint = '{BASE_POLICY}' OR (g.mint IN {SCORE_POLICIES} AND s.path_mint_router IS NOT NULL)"
+)
+def c_supported_groups(t):
+    """(grp, treasury, policy, router, score): groups of the base policy, and those of a score policy that was initialised for them with a router. A group without a router of its own takes the standard one; score groups have one of their own."""
+    score = t["score_group_initialized"].where(F.col("emitter").isin(*SCORE_POLICIES))
+    score = latest(score.select("grp", F.col("path_mint_router").alias("own"), *KEY), "grp").select("grp", "own")
+    groups = t["register_group"].join(score, "grp", "left").where((F.col("mint") == BASE_POLICY) | (F.col("mint").isin(*SCORE_POLICIES) & F.col("own").isNotNull()))
+    return groups.select("grp", "treasury", F.col("mint").alias("policy"), F.coalesce("own", F.lit(ROUTER)).alias("router"), F.coalesce(F.col("own") != ROUTER, F.lit(False)).alias("score"))
+
+
+@view("SELECT DISTINCT g.grp, g.treasury, g.policy, g.router, g.score, r.trustee AS member FROM c_supported_groups g JOIN c_v2_trust_relations r ON r.truster = g.grp WHERE r.trustee IN (SELECT avatar FROM c_v2_avatars)")
 def c_group_trusts(t):
-    """Members of the groups whose mint policy is the latest one initialised for them."""
-    policy = latest(t["score_group_initialized"].select("grp", F.col("emitter").alias("policy"), *KEY), "grp").select("grp", "policy")
-    groups = t["register_group"].join(policy, "grp").where("mint = policy").select("grp", "treasury", "policy")
-    return groups.join(c_group_memberships(t).select("grp", "member"), "grp")
+    """The registered avatars whose tokens a supported group trusts."""
+    members = c_v2_trust_relations(t).select(F.col("truster").alias("grp"), F.col("trustee").alias("member"))
+    members = members.join(c_v2_avatars(t).select(F.col("avatar").alias("member")).distinct(), "member", "left_semi")
+    return c_supported_groups(t).join(members, "grp").select("grp", "treasury", "policy", "router", "score", "member").distinct()
+
+
+@view(
+    f"WITH h AS (SELECT grp, token, CAST(sum(amount) AS BIGINT) AS supply FROM historical_supply GROUP BY 1, 2), p AS (SELECT grp, token, CAST(sum(amount) AS BIGINT) AS minted FROM personal_minted GROUP BY 1, 2) SELECT g.grp, g.member AS token, coalesce(h.supply, 0) AS supply, coalesce(p.minted, 0) AS minted, coalesce(b.balance, 0) AS held, round(greatest(0, coalesce(h.supply, 0) + coalesce(p.minted, 0) - coalesce(b.balance, 0)) * {MARGIN}, 3) AS available FROM c_group_trusts g LEFT JOIN h ON h.grp = g.grp AND h.token = g.member LEFT JOIN p ON p.grp = g.grp AND p.token = g.member LEFT JOIN c_v2_balances b ON b.account = g.treasury AND b.token = g.member WHERE g.score"
+)
+def c_mint_limits(t):
+    """What a score group may still mint for each trusted token: supply and own mints, less what its treasury holds, never below 0, with the margin."""
+    sums = [t[n].groupBy("grp", F.col("token").alias("member")).agg(F.sum("amount").alias(c)) for n, c in (("historical_supply", "supply"), ("personal_minted", "minted"))]
+    held = c_v2_balances(t).select(F.col("account").alias("treasury"), F.col("token").alias("member"), F.col("balance").alias("held"))
+    out = c_group_trusts(t).where("score")
+    for s in sums:
+        out = out.join(s, ["grp", "member"], "left")
+    out = out.join(held, ["treasury", "member"], "left").fillna(0, ["supply", "minted", "held"])
+    return out.select("grp", F.col("member").alias("token"), "supply", "minted", "held", F.round(F.greatest(F.lit(0), F.expr("supply + minted - held")) * MARGIN, 3).alias("available"))
 
 
 @view(
@@ -181,18 +215,58 @@ def c_flags(t):
     return rows.groupBy("avatar").agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("flag", "stopped", "organization", "operators")])
 
 
-_EDGES = "SELECT account AS src, token AS pool, 'holder' AS kind, units AS capacity FROM c_balance_graph WHERE units > 0 UNION ALL SELECT token, truster, 'truster', NULL FROM c_trust_graph WHERE token IN (SELECT token FROM c_balance_graph WHERE units > 0) UNION ALL SELECT member, grp, 'mint', NULL FROM c_group_trusts"
+_POOLS = "(SELECT DISTINCT token FROM c_balance_graph WHERE units > 0 AND token NOT IN (SELECT grp FROM c_supported_groups WHERE score))"
+_LINKS = "(SELECT DISTINCT truster, trustee FROM c_v2_trust_relations)"
+_EDGES = f"SELECT account AS src, token AS dst, 'holder' AS kind, units AS capacity FROM c_balance_graph WHERE units > 0 AND token IN {_POOLS} UNION ALL SELECT token, truster, 'truster', NULL FROM c_trust_graph WHERE token IN {_POOLS}"
 
 
-@view(f"SELECT src, pool AS dst, kind, capacity FROM ({_EDGES})")
-def c_capacity_edges(t):
-    """(src, dst, kind, capacity): holders to a token's pool up to the balance, pools to who trusts the token, members to the groups they mint. H holders and T trusters of a token are H + T edges; no capacity is no bound."""
-    held = c_balance_graph(t).where("units > 0")
+def _edges_sql(source: str = "", sink: str = "") -> str:
+    approved = f"(SELECT account FROM {newest('approval', 'account, operator')} WHERE approved AND operator = '{source}')"
+    return f"{_EDGES} UNION ALL SELECT g.member, g.grp, 'collateral', CASE WHEN g.score THEN CAST(floor(l.available / 1000) AS BIGINT) END FROM c_group_trusts g JOIN {_LINKS} r ON r.truster = g.router AND r.trustee = g.member LEFT JOIN c_mint_limits l ON l.grp = g.grp AND l.token = g.member WHERE g.member IN {_POOLS} AND (NOT g.score OR (g.router IN {approved} AND l.available >= 1000)) UNION ALL SELECT g.grp, a.truster, 'mint', NULL FROM c_supported_groups g JOIN c_trust_graph a ON a.token = g.grp WHERE NOT g.score OR a.truster = '{sink}'"
+
+
+def capacity_edges(t, source: str | None = None, sink: str | None = None) -> DataFrame:
+    """(src, dst, kind, capacity) for a request, or without one the edges that all requests share.
+
+    Holders send to a token's pool up to the balance; pools send to who trusts the
+    token, and as collateral to groups that take it if the group's router trusts it
+    too; groups send their own token to who trusts it. H holders and T trusters of a
+    token are H + T edges; no capacity is no bound. Score groups' tokens have no
+    pool; their collateral passes up to the mint limit, and only if the source is an
+    operator that their router approves; they mint for the sink alone.
+    """
+    groups = c_supported_groups(t)
+    held = c_balance_graph(t).where("units > 0").join(groups.where("score").select(F.col("grp").alias("token")), "token", "left_anti")
     holders = held.select(F.col("account").alias("src"), F.col("token").alias("dst"), F.lit("holder").alias("kind"), F.col("units").alias("capacity"))
     pools = held.select("token").distinct()
-    trusters = c_trust_graph(t).join(pools, "token", "left_semi").select(F.col("token").alias("src"), F.col("truster").alias("dst"), F.lit("truster").alias("kind"))
-    mints = c_group_trusts(t).select(F.col("member").alias("src"), F.col("grp").alias("dst"), F.lit("mint").alias("kind"))
-    return union(holders, trusters, mints)
+    trust = c_trust_graph(t)
+    trusters = trust.join(pools, "token", "left_semi").select(F.col("token").alias("src"), F.col("truster").alias("dst"), F.lit("truster").alias("kind"))
+    routed = c_v2_trust_relations(t).select(F.col("truster").alias("router"), F.col("trustee").alias("member"))
+    taken = c_group_trusts(t).join(routed, ["router", "member"], "left_semi").join(pools.withColumnRenamed("token", "member"), "member", "left_semi")
+    minted = groups.join(trust.select(F.col("token").alias("grp"), "truster"), "grp")
+    base = taken.where("not score").select(F.col("member").alias("src"), F.col("grp").alias("dst"), F.lit("collateral").alias("kind"))
+    mints = minted.where(~F.col("score") | (F.col("truster") == sink) if sink else ~F.col("score"))
+    parts = [holders, trusters, base, mints.select(F.col("grp").alias("src"), F.col("truster").alias("dst"), F.lit("mint").alias("kind"))]
+    if source:
+        approved = latest(t["approval"].select("account", "operator", "approved", *KEY), "account", "operator").where((F.col("operator") == source) & F.col("approved"))
+        limits = c_mint_limits(t).where("available >= 1000").select("grp", F.col("token").alias("member"), F.floor(F.col("available") / 1000).alias("capacity"))
+        scored = taken.where("score").join(approved.select(F.col("account").alias("router")), "router", "left_semi").join(limits, ["grp", "member"])
+        parts.append(scored.select(F.col("member").alias("src"), F.col("grp").alias("dst"), F.lit("collateral").alias("kind"), "capacity"))
+    return union(*parts)
+
+
+@view(f"SELECT src, dst, kind, capacity FROM ({_edges_sql()})")
+def c_capacity_edges(t):
+    return capacity_edges(t)
+
+
+_PAYER, _PAYEE = _made("a", 1, 4)
+
+
+@view(f"SELECT src, dst, kind, capacity FROM ({_edges_sql(_PAYER, _PAYEE)})")
+def c_capacity_request(t):
+    """The edges of one request, score groups among them."""
+    return capacity_edges(t, _PAYER, _PAYEE)
 
 
 def filtered_edges(edges: DataFrame, wrapped: DataFrame, source: str, sink: str, from_tokens=None, to_tokens=None, excluded=(), with_wrap: bool = False) -> DataFrame:
@@ -202,22 +276,24 @@ def filtered_edges(edges: DataFrame, wrapped: DataFrame, source: str, sink: str,
     given; excluded tokens have no pool; wrapped tokens are sent by the source
     alone, and only with_wrap.
     """
-    holder, truster = F.col("kind") == "holder", F.col("kind") == "truster"
-    pool = F.when(holder, F.col("dst")).when(truster, F.col("src"))
+    holder, received = F.col("kind") == "holder", F.col("kind").isin("truster", "mint")
+    pool = F.when(holder, F.col("dst")).when(F.col("kind") != "mint", F.col("src"))
     out = edges.where(pool.isNull() | ~pool.isin(*excluded)) if excluded else edges
     if from_tokens is not None:
         out = out.where(~holder | (F.col("src") != source) | F.col("dst").isin(*from_tokens))
     if to_tokens is not None:
-        out = out.where(~truster | (F.col("dst") != sink) | F.col("src").isin(*to_tokens))
+        out = out.where(~received | (F.col("dst") != sink) | F.col("src").isin(*to_tokens))
     flagged = out.join(wrapped.select(F.col("wrapper").alias("dst"), F.lit(True).alias("_w")).distinct(), "dst", "left")
     keep = ~holder | F.col("_w").isNull()
     return flagged.where(keep | (F.col("src") == source) if with_wrap else keep).select(*edges.columns)
 
 
-def with_virtual_sink(edges: DataFrame, source: str, to_tokens, name: str = "virtual") -> DataFrame:
-    """For a request from an account to itself: the wanted tokens' pools lead to a sink of their own, those that have an inbound edge."""
+def with_virtual_sink(edges: DataFrame, source: str, to_tokens, groups: DataFrame, name: str = "virtual") -> DataFrame:
+    """For a request from an account to itself: the wanted tokens' pools lead to a sink of their own, those that have an inbound edge; a wanted group's token without a pool is minted for it."""
     pools = edges.where((F.col("kind") == "holder") & F.col("dst").isin(*to_tokens)).select(F.col("dst").alias("src")).distinct()
-    return union(edges.where((F.col("kind") != "truster") | (F.col("dst") != source)), pools.select("src", F.lit(name).alias("dst"), F.lit("truster").alias("kind")))
+    minting = groups.where(F.col("grp").isin(*to_tokens)).select(F.col("grp").alias("src")).distinct().join(pools, "src", "left_anti")
+    kept = edges.where(~F.col("kind").isin("truster", "mint") | (F.col("dst") != source))
+    return union(kept, *[d.select("src", F.lit(name).alias("dst"), F.lit(kind).alias("kind")) for d, kind in ((pools, "truster"), (minting, "mint"))])
 
 
 _SOURCE, _SINK = ("0xa" + str(k).zfill(39) for k in (7, 11))
@@ -225,29 +301,43 @@ _PAID, _TAKEN, _OUT = ([("0xa" if k % 4 else "0xb") + str(k).zfill(39) for k in
 
 
 @view(
-    f"SELECT src, dst, kind, capacity FROM c_capacity_edges WHERE NOT (CASE kind WHEN 'holder' THEN dst IN {tuple(_OUT)} WHEN 'truster' THEN src IN {tuple(_OUT)} ELSE false END) AND NOT (kind = 'holder' AND src = '{_SOURCE}' AND dst NOT IN {tuple(_PAID)}) AND NOT (kind = 'truster' AND dst = '{_SINK}' AND src NOT IN {tuple(_TAKEN)}) AND NOT (kind = 'holder' AND src <> '{_SOURCE}' AND dst IN (SELECT wrapper FROM wrapper_deployed))"
+    f"SELECT src, dst, kind, capacity FROM c_capacity_edges WHERE NOT (CASE kind WHEN 'holder' THEN dst IN {tuple(_OUT)} WHEN 'mint' THEN false ELSE src IN {tuple(_OUT)} END) AND NOT (kind = 'holder' AND src = '{_SOURCE}' AND dst NOT IN {tuple(_PAID)}) AND NOT (kind IN ('truster', 'mint') AND dst = '{_SINK}' AND src NOT IN {tuple(_TAKEN)}) AND NOT (kind = 'holder' AND src <> '{_SOURCE}' AND dst IN (SELECT wrapper FROM wrapper_deployed))"
 )
 def c_capacity_filtered(t):
     return filtered_edges(c_capacity_edges(t), t["wrapper_deployed"], _SOURCE, _SINK, _PAID, _TAKEN, _OUT, True)
 
 
-@view(f"SELECT src, dst, kind, capacity FROM c_capacity_edges WHERE kind <> 'truster' OR dst <> '{_SOURCE}' UNION ALL SELECT DISTINCT dst, 'virtual', 'truster', NULL FROM c_capacity_edges WHERE kind = 'holder' AND dst IN {tuple(_PAID)}")
-def c_virtual_sink(t):
-    return with_virtual_sink(c_capacity_edges(t), _SOURCE, _PAID)
+_WANTED = (*_PAID, *_made("b", *range(1, 11)))
 
 
 @view(
-    f"WITH h AS (SELECT grp, token, CAST(sum(amount) AS BIGINT) AS supply FROM historical_supply GROUP BY 1, 2), p AS (SELECT grp, token, CAST(sum(amount) AS BIGINT) AS minted FROM personal_minted GROUP BY 1, 2) SELECT g.grp, g.member AS token, coalesce(h.supply, 0) AS supply, coalesce(p.minted, 0) AS minted, coalesce(b.balance, 0) AS held, round(greatest(0, coalesce(h.supply, 0) + coalesce(p.minted, 0) - coalesce(b.balance, 0)) * {MARGIN}, 3) AS available FROM c_group_trusts g LEFT JOIN h ON h.grp = g.grp AND h.token = g.member LEFT JOIN p ON p.grp = g.grp AND p.token = g.member LEFT JOIN c_v2_balances b ON b.account = g.treasury AND b.token = g.member"
+    f"SELECT src, dst, kind, capacity FROM c_capacity_edges WHERE kind NOT IN ('truster', 'mint') OR dst <> '{_SOURCE}' UNION ALL SELECT DISTINCT dst, 'virtual', 'truster', NULL FROM c_capacity_edges WHERE kind = 'holder' AND dst IN {_WANTED} UNION ALL SELECT DISTINCT grp, 'virtual', 'mint', NULL FROM c_supported_groups WHERE grp IN {_WANTED} AND grp NOT IN (SELECT dst FROM c_capacity_edges WHERE kind = 'holder')"
 )
-def c_mint_limits(t):
-    """What a group may still mint for each trusted token: supply and own mints, less what its treasury holds, never below 0, with the margin."""
-    sums = [t[n].groupBy("grp", F.col("token").alias("member")).agg(F.sum("amount").alias(c)) for n, c in (("historical_supply", "supply"), ("personal_minted", "minted"))]
-    held = c_v2_balances(t).select(F.col("account").alias("treasury"), F.col("token").alias("member"), F.col("balance").alias("held"))
-    out = c_group_trusts(t)
-    for s in sums:
-        out = out.join(s, ["grp", "member"], "left")
-    out = out.join(held, ["treasury", "member"], "left").fillna(0, ["supply", "minted", "held"])
-    return out.select("grp", F.col("member").alias("token"), "supply", "minted", "held", F.round(F.greatest(F.lit(0), F.expr("supply + minted - held")) * MARGIN, 3).alias("available"))
+def c_virtual_sink(t):
+    return with_virtual_sink(c_capacity_edges(t), _SOURCE, _WANTED, c_supported_groups(t))
+
+
+POOL = "pool "  # before a token's name: its pool's node, apart from the account of that name
+
+
+def find_path(edges: DataFrame, source: str, sink: str, target: int | None, keep) -> DataFrame:
+    """Transfers (src, dst, token, amount) of a largest flow, or of one of target units if as much can pass, over capacity edges; holders' tokens are dealt to their takers, groups send what they mint."""
+    kind = F.col("kind")
+    src = F.when(kind.isin("truster", "collateral"), F.concat(F.lit(POOL), "src")).otherwise(F.col("src"))
+    dst = F.when(kind == "holder", F.concat(F.lit(POOL), "dst")).otherwise(F.col("dst"))
+    flow = graph.arc_flow(keep(edges.select(src.alias("src"), dst.alias("dst"), "capacity"), "arcs"), source, sink, keep, target)
+    into, out = F.col("dst").startswith(POOL), F.col("src").startswith(POOL)
+    token = F.substring(F.when(into, F.col("dst")).otherwise(F.col("src")), len(POOL) + 1, 1 << 20)
+    sent, got = (flow.where(side).select(token.alias("t"), F.col(end).alias("a"), F.col("flow").alias("x")) for side, end in ((into, "src"), (out, "dst")))
+    minted = flow.where(~into & ~out).select("src", "dst", F.col("src").alias("token"), F.col("flow").alias("amount"))
+    return graph.dealt(sent, got, keep).unionByName(minted)
+
+
+@view()
+def c_find_path(t):
+    """A largest flow between two accounts over the given tables' capacity edges, unwrapped tokens alone."""
+    edges = filtered_edges(capacity_edges(t, _PAYER, _PAYEE), t["wrapper_deployed"], _PAYER, _PAYEE)
+    return find_path(edges, _PAYER, _PAYEE, None, kept)
 
 
 #: Domain checks by name: a condition on a row, the same for batch and stream.

@@ -4,6 +4,7 @@ from collections import Counter, deque
 import pytest
 
 from ledgerloom.operators import graph
+from ledgerloom.plans import flows
 from ledgerloom.plans.catalogue import QUERIES, holdings, kept, trust
 
 
@@ -89,3 +90,82 @@ def test_query(spark):
     held = [tuple(r) for r in holdings(spark, sf).collect()]
     trusts = [tuple(r) for r in trust(spark, sf).collect()]
     plain(held, trusts, 1, 2, [tuple(r) for r in QUERIES["g_max_flow"](spark, sf).collect()])
+
+
+EDGES = "src string, dst string, kind string, capacity long"
+
+
+def nodes(src, dst, kind):
+    return (("pool", src) if kind in ("truster", "collateral") else src), (("pool", dst) if kind == "holder" else dst)
+
+
+def check_path(spark, edges, source, sink, target=None):
+    """Balances, trust, mint limits and conservation hold, and the value is a plain solver's."""
+    rows = [tuple(r) for r in flows.find_path(spark.createDataFrame(edges, EDGES), source, sink, target, kept).collect()]
+    cap = {(s, d, k): 10**9 if c is None else c for s, d, k, c in edges}
+    groups = {d for _, d, k in cap if k == "collateral"}
+    sent, into, net = Counter(), Counter(), Counter()
+    for s, d, t, v in rows:
+        assert v > 0 and s != d
+        if s in groups and s == t:
+            assert (s, d, "mint") in cap
+        else:
+            sent[s, t] += v
+            into[t, d] += v
+        net[s] -= v
+        net[d] += v
+    assert all(v <= cap[a, t, "holder"] for (a, t), v in sent.items())
+    assert all(v <= cap[t, a, "collateral" if a in groups else "truster"] for (t, a), v in into.items())
+    assert all(v == 0 for a, v in net.items() if a not in (source, sink)) and net[source] == -net[sink]
+    plain_edges = [(*nodes(s, d, k), k, c) for (s, d, k), c in cap.items()]
+    assert net[sink] == max_flow(plain_edges, source, sink, target)[0]
+    return rows
+
+
+def test_path_through_a_group(spark):
+    """A group passes collateral on as its own token, up to the limit; an account and its token's pool are apart; a target is kept."""
+    edges = [("a", "a", "holder", 50), ("a", "m", "holder", 40), ("a", "g", "collateral", 7), ("m", "g", "collateral", None), ("g", "z", "mint", None), ("m", "z", "truster", None), ("a", "b", "truster", None), ("b", "b", "holder", 3), ("b", "z", "truster", None)]
+    assert sum(v for _, d, _, v in check_path(spark, edges, "a", "z") if d == "z") == 50
+    assert sum(v for _, d, _, v in check_path(spark, edges, "a", "z", 9) if d == "z") == 9
+    for source, sink, target in (("a", "a", None), ("z", "a", None), ("none", "z", None), ("a", "z", 0)):
+        assert check_path(spark, edges, source, sink, target) == []
+
+
+def test_random_paths(spark):
+    rng = random.Random(7)
+    people, groups = [f"p{k}" for k in range(10)], ["g0", "g1", "g2"]
+    edges = {(a, t, "holder"): rng.randint(1, 20) for a, t in ((rng.choice(people), rng.choice(people + groups)) for _ in range(24))}
+    edges |= {(rng.choice(people), rng.choice(people), "truster"): None for _ in range(9)}
+    edges |= {(rng.choice(people), g, "collateral"): rng.choice([None, 2, 5]) for g in groups for _ in range(3)}
+    edges |= {(g, rng.choice(people), "mint"): None for g in groups for _ in range(2)}
+    check_path(spark, [(*k, c) for k, c in edges.items()], "p0", "p1")
+
+
+def test_arcs(spark):
+    """Parallel arcs add up, arcs go both ways, loops, nulls and empty arcs carry nothing; no bound at all needs a target."""
+    rows = [("s", "a", 4), ("s", "a", 3), ("a", "s", 9), ("a", "t", None), ("a", "a", 5), (None, "t", 5), ("s", "t", 0), ("s", "t", -2)]
+    arcs = spark.createDataFrame(rows, "src string, dst string, capacity long")
+    assert sorted(map(tuple, graph.arc_flow(arcs, "s", "t", kept).collect())) == [("a", "t", 7), ("s", "a", 7)]
+    assert graph.arc_flow(arcs.limit(0), "s", "t", kept).collect() == []
+    free = spark.createDataFrame([("s", "t", None), ("s", "t", 2**62)], "src string, dst string, capacity long")
+    with pytest.raises(ValueError):
+        graph.arc_flow(free, "s", "t", kept)
+    assert [tuple(r) for r in graph.arc_flow(free, "s", "t", kept, 2**62).collect()] == [("s", "t", 2**62)]
+
+
+def test_dealing(spark):
+    """A hot token's givers and takers make at most as many transfers as they are; both sides' sums come out."""
+    rng = random.Random(3)
+    sent = {("h", f"a{k}"): rng.randint(1, 50) for k in range(300)} | {("c", "a1"): 4}
+    got, left = {("c", "b1"): 1, ("c", "b2"): 3}, sum(v for (t, _), v in sent.items() if t == "h")
+    while left:
+        got["h", f"b{len(got)}"] = x = min(left, rng.randint(1, 90))
+        left -= x
+    sides = (spark.createDataFrame([(*k, x) for k, x in side.items()], "t string, a string, x long") for side in (sent, got))
+    rows = [tuple(r) for r in graph.dealt(*sides, kept).collect()]
+    out, into = Counter(), Counter()
+    for s, d, t, v in rows:
+        assert v > 0
+        out[t, s] += v
+        into[t, d] += v
+    assert out == sent and into == got and len(rows) <= len(sent) + len(got)
