@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.scratch import written
-from ledgerloom.llm.textops import lower_table, slices
+from ledgerloom.llm.textops import lower_table, lean, slices
 
 UNIT = 1_000_000_000  # shares are parts of it, and 1 more
 LEAST = 3  # documents of a language that a kept term is in
 TOP = 200
-SLICE = 16 << 20  # bytes of text whose terms are counted together
+SLICE = 8 << 20  # bytes of text whose terms are counted together
 
 
 def term_table() -> np.ndarray:
@@ -76,7 +76,7 @@ _SCHEMA = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa
 def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): how often a term occurs in a group and in how many of its documents; each group has a row without a term besides. Nulls are empty strings; each row is a document."""
     own = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(x) for c, x in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    return own.mapInArrow(_occurrences, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return own.mapInArrow(lean(_occurrences), "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def shares(counts: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
