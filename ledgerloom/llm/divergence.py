@@ -56,16 +56,24 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, data = len(s), table[s.data]
             texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.ascontiguousarray(s.offsets, np.int64)), pa.py_buffer(data))
             lists = pc.ascii_split_whitespace(texts)
-            found = pa.table({"row": pc.list_parent_indices(lists), "term": pc.list_flatten(lists)})
-            found = found.filter(pc.not_equal(found["term"], "")).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
-            own = {"lang": lang.slice(s.first, n), "source": source.slice(s.first, n)}
-            groups = pa.table(own).group_by(["lang", "source"], use_threads=False).aggregate([])
-            found = pa.table({"lang": pc.take(own["lang"], found["row"]), "source": pc.take(own["source"], found["row"]), "term": found["term"], "n": found["count_all"]})
-            found = found.group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("n", "count")])
+            rows, terms = pc.list_parent_indices(lists), pc.list_flatten(lists)
+            some = pc.not_equal(terms, "")
+            coded = terms.filter(some).dictionary_encode()  # terms and groups are grouped by their numbers
+            found = pa.table({"row": rows.filter(some), "term": coded.indices}).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
+            langs, sources = (c.slice(s.first, n).dictionary_encode() for c in (lang, source))
+            width = max(1, len(sources.dictionary))
+            group = langs.indices.to_numpy().astype(np.int64) * width + sources.indices.to_numpy()
+            found = pa.table({"group": group[found["row"].to_numpy()], "term": found["term"], "n": found["count_all"]})
+            found = found.group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("n", "count")])
+
+            def named(of: np.ndarray) -> tuple[pa.Array, pa.Array]:
+                return langs.dictionary.take(pa.array(of // width)), sources.dictionary.take(pa.array(of % width))
+
+            groups = np.unique(group)
             none = pa.nulls(len(groups), pa.large_string()), pa.array(np.zeros(len(groups), np.int64))
             out = pa.concat_tables([
-                pa.table([found["lang"], found["source"], found["term"], found["n_sum"], found["n_count"]], _SCHEMA.names),
-                pa.table([groups["lang"], groups["source"], none[0], none[1], none[1]], _SCHEMA.names),
+                pa.table([*named(found["group"].to_numpy()), coded.dictionary.take(found["term"].combine_chunks()), found["n_sum"], found["n_count"]], _SCHEMA.names),
+                pa.table([*named(groups), none[0], none[1], none[1]], _SCHEMA.names),
             ])
             yield from out.cast(_SCHEMA).to_batches()
 
