@@ -42,6 +42,7 @@ _MOVE = {"from_": _FROM, "to_": _TO, "id": _OWNER, "token_address": _OWNER, "val
 _LOCK = {"grp": made("b", "1 + l_partkey % 10"), "id": made("a", "1 + l_partkey % 200"), "value": _VALUE}
 _EMITTED = {**_EVENT, "emitter": made("b", "1 + user_id % 10")}
 _WRAPPER = f"CASE WHEN l_partkey % 4 = 3 THEN {made('f', 'l_partkey % 200')} ELSE {made('e', 'l_partkey % 200')} END"
+_LIMITED = {"emitter": made("a", "(1 + l_partkey % 10) % 7"), "grp": made("b", "1 + l_partkey % 10"), "token": made("a", "o_custkey"), "day": f"CAST(floor(l_orderkey * 600 / {DAY}) AS BIGINT)"}
 
 #: name: (given table, condition, columns)
 TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
@@ -84,8 +85,8 @@ TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
     "escrow_redeemed": ("customer", "c_custkey % 13 = 0", {**_CUSTOMER, "inviter": made("a", "c_custkey % 52"), "invitee": made("a", "c_custkey"), "amount": "CAST(c_custkey * 10 AS BIGINT)"}),
     "escrowed": ("customer", "c_custkey % 9 = 0", {**_CUSTOMER, "inviter": made("a", "c_custkey % 52"), "invitee": made("a", "c_custkey + 7"), "amount": "CAST(c_custkey * 10 AS BIGINT)"}),
     "score_group_initialized": ("supplier", "s_suppkey % 2 = 0", {**_SUPPLIER, "grp": made("b", "s_suppkey"), "emitter": made("a", "s_suppkey % 7"), "path_mint_router": made("b", "1 + s_suppkey % 9")}),
-    "historical_supply": ("lines", "l_suppkey % 4 = 1", {**_LINE, "grp": made("b", "1 + l_partkey % 10"), "token": made("a", "o_custkey"), "amount": _VALUE}),
-    "personal_minted": ("lines", "l_suppkey % 4 = 2", {**_LINE, "grp": made("b", "1 + l_partkey % 10"), "token": made("a", "o_custkey"), "amount": _VALUE}),
+    "historical_supply": ("lines", "l_suppkey % 4 = 1", {**_LINE, **_LIMITED, "supply": _VALUE}),
+    "personal_minted": ("lines", "l_suppkey % 4 = 2", {**_LINE, **_LIMITED, "minted": _VALUE}),
     "profile": ("events", "event_type IN ('view', 'signup')", {"digest": "concat('digest-', CAST(event_id AS STRING))", "name": "concat(event_type, ' person ', CAST(user_id AS STRING))", "description": "concat('member since block ', CAST(event_id AS STRING))"}),
     "content_queue": ("events", "event_id % 5 = 0", {"digest": "concat('digest-', CAST(event_id AS STRING))"}),
     "content_file": ("events", "event_id % 7 = 0", {"digest": "concat('digest-', CAST(event_id AS STRING))"}),
@@ -121,6 +122,29 @@ class Chain(Mapping):
         return len(TABLES)
 
 
+class Pinned(Mapping):
+    """Tables as they were at a block: only rows up to it, where a table has blocks. The number is known before the plan, so it reaches the scans."""
+
+    def __init__(self, tables: Mapping[str, DataFrame], block: int):
+        self.tables, self.block = tables, block
+
+    def __getitem__(self, name: str) -> DataFrame:
+        df = self.tables[name]
+        return df.where(F.col("block_number") <= self.block) if "block_number" in df.columns else df
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.tables)
+
+    def __len__(self) -> int:
+        return len(self.tables)
+
+
+def back(t: Mapping[str, DataFrame], blocks: int) -> Pinned:
+    """The tables so many blocks before the last; nothing at all without blocks."""
+    last = t["system_block"].agg(F.max("block_number")).first()[0]
+    return Pinned(t, -1 if last is None else last - blocks)
+
+
 VIEW_SQL: dict[str, str] = {}
 
 
@@ -129,21 +153,32 @@ def newest(name: str, keys: str) -> str:
     return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {NEWEST}) AS rn_ FROM {name}) WHERE rn_ = 1)"
 
 
+def _columns(columns: Mapping[str, str]) -> str:
+    return ", ".join(f"{x} AS {c}" for c, x in columns.items())
+
+
 def with_tables(sql: str) -> str:
-    """The SQL after the definitions of all event tables and views that it names, in order."""
+    """The SQL after the definitions of all event tables and views that it names, in order. A name with __Nago is that table or view N blocks before the last."""
     seen: dict[str, str] = {}
 
     def add(text: str) -> None:
         for name in sorted(set(re.findall(r"\b[a-z][a-z0-9_]*\b", text))):
+            base, _, blocks = name.removesuffix("ago").partition("__") if re.search(r"__\d+ago$", name) else (name, "", "")
             if name in seen:
                 continue
-            if name in VIEW_SQL:
-                add(VIEW_SQL[name])
-                seen[name] = VIEW_SQL[name]
-            elif name in TABLES and re.search(rf"\b(?:FROM|JOIN) {name}\b", text):
-                source, condition, columns = TABLES[name]
-                own = "lineitem JOIN orders ON l_orderkey = o_orderkey" if source == "lines" else source
-                seen[name] = f"SELECT {', '.join(f'{x} AS {c}' for c, x in columns.items())} FROM {own} WHERE {condition}"
+            if base in VIEW_SQL:
+                own = VIEW_SQL[base]
+                if blocks:
+                    own = re.sub(r"\b([a-z][a-z0-9_]*)\b", lambda m: f"{m[1]}__{blocks}ago" if m[1] in VIEW_SQL else m[1], own)
+                    own = re.sub(r"\b(FROM|JOIN) ([a-z][a-z0-9_]*)\b", lambda m: f"{m[1]} {m[2]}__{blocks}ago" if m[2] in TABLES else m[0], own)
+                add(own)
+                seen[name] = own
+            elif base in TABLES and re.search(rf"\b(?:FROM|JOIN) {name}\b", text):
+                source, condition, columns = TABLES[base]
+                origin = "lineitem JOIN orders ON l_orderkey = o_orderkey" if source == "lines" else source
+                if blocks and "block_number" in columns:
+                    condition = f"({condition}) AND {columns['block_number']} <= (SELECT max(o_orderkey) - {blocks} FROM orders)"
+                seen[name] = f"SELECT {_columns(columns)} FROM {origin} WHERE {condition}"
 
     add(sql)
     return f"WITH {', '.join(f'{k} AS ({v})' for k, v in seen.items())} SELECT * FROM ({sql})" if seen else sql

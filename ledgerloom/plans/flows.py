@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import ledger
+from ledgerloom.functions.ledger import DAY, EPOCH
 from ledgerloom.operators import core, graph
 from ledgerloom.plans.catalogue import kept
-from ledgerloom.plans.chain import DECAY, KEY, NOW, ZERO, age, newest, now, view
+from ledgerloom.plans.chain import DECAY, KEY, NOW, ZERO, age, back, newest, now, view
 from ledgerloom.plans.views import c_v2_avatars, c_v2_balances, c_v2_trust_relations, decayed, latest, union
 
 TRANSACTION = ["block_number", "transaction_index"]
@@ -190,18 +191,75 @@ def c_group_trusts(t):
     return c_supported_groups(t).join(members, "grp").select("grp", "treasury", "policy", "router", "score", "member").distinct()
 
 
-@view(
-    f"WITH h AS (SELECT grp, token, CAST(sum(amount) AS BIGINT) AS supply FROM historical_supply GROUP BY 1, 2), p AS (SELECT grp, token, CAST(sum(amount) AS BIGINT) AS minted FROM personal_minted GROUP BY 1, 2) SELECT g.grp, g.member AS token, coalesce(h.supply, 0) AS supply, coalesce(p.minted, 0) AS minted, coalesce(b.balance, 0) AS held, round(greatest(0, coalesce(h.supply, 0) + coalesce(p.minted, 0) - coalesce(b.balance, 0)) * {MARGIN}, 3) AS available FROM c_group_trusts g LEFT JOIN h ON h.grp = g.grp AND h.token = g.member LEFT JOIN p ON p.grp = g.grp AND p.token = g.member LEFT JOIN c_v2_balances b ON b.account = g.treasury AND b.token = g.member WHERE g.score"
-)
+#: Parameters of the given tables' ledger: treasuries that pass on what they get, and to whom
+SUB_TREASURIES = {_made("c", 4)[0]: _made("c", 4, 1, 8), _made("c", 6)[0]: _made("c", 3)}
+
+_OVERRIDES = " ".join(f"WHEN '{k}' THEN [{', '.join(map(repr, v))}]" for k, v in SUB_TREASURIES.items())
+
+
+def _left(amount: str, day: str, now_sql: str) -> str:
+    """SQL: what the days from a stored day to now leave of an amount, cut to whole units; a later day leaves all."""
+    return f"CAST(floor({amount} * power({DECAY}, greatest(0, floor(({now_sql} - {EPOCH}) / {DAY}) - {day}))) AS BIGINT)"
+
+
+def _limits_sql(ago: str = "", margin: float = MARGIN) -> str:
+    time = f"(SELECT coalesce(max(timestamp), 0) FROM system_block{ago})"
+    one = lambda n, c: f"(SELECT emitter, grp, token, {_left(c, 'day', time)} AS amount FROM {newest(f'{n}{ago}', 'emitter, grp, token')})"
+    groups = f"SELECT g.grp, s.emitter AS policy, CASE g.treasury {_OVERRIDES} ELSE [g.treasury] END AS treasuries FROM register_group{ago} g JOIN {newest(f'(SELECT * FROM score_group_initialized{ago} WHERE emitter IN {SCORE_POLICIES})', 'grp')} s ON s.grp = g.grp WHERE g.mint IN {SCORE_POLICIES}"
+    return (
+        f"WITH k AS (SELECT DISTINCT g.grp, g.policy, g.treasuries, r.trustee AS token FROM ({groups}) g JOIN c_v2_trust_relations r ON r.truster = g.grp WHERE r.trustee IN (SELECT avatar FROM c_v2_avatars)), u AS (SELECT DISTINCT grp, token, unnest(treasuries) AS account FROM k), "
+        f"b AS (SELECT account, token, decayed FROM c_v2_balances{ago}), held AS (SELECT u.grp, u.token, sum(b.decayed) AS held FROM u JOIN b USING (account, token) GROUP BY 1, 2), now_ AS (SELECT token, sum(decayed) AS amount FROM b GROUP BY token), "
+        f"x AS (SELECT k.grp, k.token, k.policy, CAST(coalesce(h.amount, n.amount, 0) AS BIGINT) AS supply, coalesce(p.amount, 0) AS minted, CAST(coalesce(held.held, 0) AS BIGINT) AS held FROM k LEFT JOIN {one('historical_supply', 'supply')} h ON h.emitter = k.policy AND h.grp = k.grp AND h.token = k.token LEFT JOIN {one('personal_minted', 'minted')} p ON p.emitter = k.policy AND p.grp = k.grp AND p.token = k.token LEFT JOIN now_ n ON n.token = k.token LEFT JOIN held ON held.grp = k.grp AND held.token = k.token) "
+        f"SELECT grp, token, policy, supply, minted, held, CAST(trunc(CAST(greatest(0, supply + minted - held) AS DOUBLE) * {margin}) AS BIGINT) AS available FROM x"
+    )
+
+
+def mint_limits(t, then=None, margin: float = MARGIN, treasuries=SUB_TREASURIES) -> DataFrame:
+    """(grp, token, policy, supply, minted, held, available): what a score group may still mint for each registered token that it trusts.
+
+    Groups are those with a mint of a score policy that such a policy initialised;
+    their policy is the latest one's. Supply is the policy's latest report for group
+    and token, less the decay since its day; without a report what all accounts hold
+    of the token now. Minted is the latest report of own mints, decayed alike, else 0.
+    Held is what the treasuries hold now: a treasury in `treasuries` counts as those
+    it passes on to. Available is supply + minted - held, never below 0, with the
+    margin, in whole units. `then` are tables pinned at a block, for the past:
+    groups, reports and balances are read from them, trusts and avatars as of now.
+    """
+    then = then if then is not None else t
+    scored = F.col("emitter").isin(*SCORE_POLICIES)
+    policy = latest(then["score_group_initialized"].where(scored).select("grp", "emitter", *KEY), "grp").select("grp", F.col("emitter").alias("policy"))
+    groups = then["register_group"].where(F.col("mint").isin(*SCORE_POLICIES)).join(policy, "grp").select("grp", "policy", "treasury")
+    trusts = c_v2_trust_relations(t).select(F.col("truster").alias("grp"), F.col("trustee").alias("token")).join(groups.select("grp"), "grp", "left_semi")
+    known = c_v2_avatars(t).select(F.col("avatar").alias("token"))
+    out = groups.join(trusts.distinct().join(known, "token", "left_semi"), "grp")
+
+    balances = c_v2_balances(then).select("account", "token", "decayed").join(out.select("token").distinct(), "token", "left_semi")
+    own = F.array("treasury")
+    for one, subs in treasuries.items():
+        own = F.when(F.col("treasury") == one, F.array(*map(F.lit, subs))).otherwise(own)
+    of = out.select("grp", "token", F.explode(F.array_distinct(own)).alias("account"))
+    held = of.join(balances, ["account", "token"]).groupBy("grp", "token").agg(F.sum("decayed").alias("held"))
+    current = balances.groupBy("token").agg(F.sum("decayed").alias("current"))
+    for name, column in (("historical_supply", "supply"), ("personal_minted", "minted")):
+        reports = latest(then[name].where(scored).select(F.col("emitter").alias("policy"), "grp", "token", "day", column, *KEY), "policy", "grp", "token").crossJoin(now(then))
+        days = F.greatest(F.lit(0), ledger.day_index(F.col("now")) - F.col("day"))
+        out = out.join(reports.select("policy", "grp", "token", F.floor(ledger.decayed(F.col(column), days)).alias(column)), ["policy", "grp", "token"], "left")
+    out = out.join(current, "token", "left").join(held, ["grp", "token"], "left")
+    out = out.withColumn("supply", F.coalesce("supply", "current", F.lit(0))).fillna(0, ["minted", "held"])
+    available = (F.greatest(F.lit(0), F.expr("supply + minted - held")).cast("double") * margin).cast("long")
+    return out.select("grp", "token", "policy", "supply", "minted", "held", available.alias("available"))
+
+
+@view(_limits_sql())
 def c_mint_limits(t):
-    """What a score group may still mint for each trusted token: supply and own mints, less what its treasury holds, never below 0, with the margin."""
-    sums = [t[n].groupBy("grp", F.col("token").alias("member")).agg(F.sum("amount").alias(c)) for n, c in (("historical_supply", "supply"), ("personal_minted", "minted"))]
-    held = c_v2_balances(t).select(F.col("account").alias("treasury"), F.col("token").alias("member"), F.col("balance").alias("held"))
-    out = c_group_trusts(t).where("score")
-    for s in sums:
-        out = out.join(s, ["grp", "member"], "left")
-    out = out.join(held, ["treasury", "member"], "left").fillna(0, ["supply", "minted", "held"])
-    return out.select("grp", F.col("member").alias("token"), "supply", "minted", "held", F.round(F.greatest(F.lit(0), F.expr("supply + minted - held")) * MARGIN, 3).alias("available"))
+    return mint_limits(t)
+
+
+@view(_limits_sql("__1440ago", 1.0))
+def c_mint_limits_then(t, blocks: int = 1440):
+    """The limits of ten days ago, without a margin."""
+    return mint_limits(t, back(t, blocks), 1.0)
 
 
 @view(
