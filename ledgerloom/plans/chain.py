@@ -97,6 +97,9 @@ TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
     "blacklist": ("customer", "c_custkey % 23 = 0", {"address": made("a", "c_custkey")}),
 }
 
+#: The columns of each table that hold addresses: those that an address is made for
+ADDRESSES = {name: [c for c, x in columns.items() if "'0x" in x] for name, (_, _, columns) in TABLES.items()}
+
 
 class Chain(Mapping):
     """The event tables by name, read when asked for."""
@@ -110,7 +113,8 @@ class Chain(Mapping):
             df = table(self.spark, self.sf, "lineitem").join(table(self.spark, self.sf, "orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey"))
         else:
             df = table(self.spark, self.sf, source)
-        return df.where(condition).selectExpr(*[f"{x} AS {c}" for c, x in columns.items()])
+        own = [F.expr(x).alias(c, metadata={"kind": "Address"}) if c in ADDRESSES[name] else F.expr(x).alias(c) for c, x in columns.items()]
+        return df.where(condition).select(*own)
 
     def columns(self, name: str) -> list[str]:
         return list(TABLES[name][2])

@@ -1,7 +1,7 @@
 import pytest
 from oracle import actual, expected
 
-from ledgerloom.plans import flows, ingest, kpis, named, views  # noqa: F401  add their queries
+from ledgerloom.plans import flows, ingest, kpis, named, search, views  # noqa: F401  add their queries
 from ledgerloom.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
