@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import ledger
 from ledgerloom.functions.ledger import DAY, EPOCH
-from ledgerloom.operators import core, graph
+from ledgerloom.operators import core, graph, paths
 from ledgerloom.plans.catalogue import kept
 from ledgerloom.plans.chain import DECAY, KEY, NOW, ZERO, age, back, newest, now, view
 from ledgerloom.plans.views import c_v2_avatars, c_v2_balances, c_v2_trust_relations, decayed, latest, union
@@ -398,6 +398,70 @@ def c_find_path(t):
     return find_path(edges, _PAYER, _PAYEE, None, kept)
 
 
+_HUB_MOVES = "(SELECT * FROM transfer_single UNION ALL SELECT block_number, transaction_index, log_index, timestamp, from_, to_, id, token_address, value FROM transfer_batch)"
+_IS = {
+    "router": "(SELECT router FROM c_supported_groups)",
+    "score": "(SELECT router FROM c_supported_groups WHERE score)",
+    "group": "(SELECT grp FROM register_group)",
+    "flag": f"(SELECT avatar FROM {newest('advanced_flag', 'avatar')} WHERE flag = 1)",
+}
+_LINKED = "(SELECT truster, trustee FROM c_v2_trust_relations)"
+_STEPS = (
+    f"WITH m AS (SELECT block_number AS path, row_number() OVER (PARTITION BY block_number ORDER BY transaction_index, log_index) AS step, from_, to_, token_address AS token, value FROM {_HUB_MOVES}), e AS (SELECT path, arg_min(from_, step) AS source, arg_max(to_, step) AS sink FROM m GROUP BY path), "
+    f"s AS (SELECT m.*, source, sink, coalesce(w.avatar, token) AS owner, {', '.join(f'{c}_ IN {of} AS {c}_{k}' for c in ('from', 'to') for k, of in _IS.items())}, token IN {_IS['router']} AS token_router FROM m JOIN e USING (path) LEFT JOIN (SELECT wrapper, min(avatar) AS avatar FROM wrapper_deployed GROUP BY wrapper) w ON w.wrapper = token WHERE NOT (from_ = sink AND to_ = sink)), "
+    f"f AS (SELECT s.*, owner IN (SELECT avatar FROM c_v2_avatars) AS known, (to_, owner) IN {_LINKED} AS trusted, (from_, to_) IN {_LINKED} AS follows, (to_, source) IN (SELECT account, operator FROM {newest('approval', 'account, operator')} WHERE approved) AS approved FROM s), "
+    f"g AS (SELECT path, step, CASE WHEN from_router AND to_group THEN to_ ELSE from_ END AS grp, from_router AND to_group AS inward, value FROM f WHERE value > 0 AND ((from_router AND to_group) OR (from_group AND NOT from_router AND NOT to_router AND NOT to_group))), "
+    "o AS (SELECT *, sum(CASE WHEN inward THEN value ELSE 0 END) OVER w AS came, sum(CASE WHEN inward THEN 0 ELSE value END) OVER w AS gone FROM g WINDOW w AS (PARTITION BY path, grp ORDER BY step ROWS UNBOUNDED PRECEDING)), "
+    "l AS (SELECT f.path, f.to_, f.token, sum(f.value) AS spent, any_value(k.available) AS room FROM f LEFT JOIN c_mint_limits k ON k.grp = f.to_ AND k.token = f.token WHERE from_score AND to_group AND f.value > 0 GROUP BY 1, 2, 3), "
+    "h AS (SELECT f.path, f.from_, f.token, sum(f.value) AS spent, any_value(b.balance) AS held FROM f LEFT JOIN c_v2_balances b ON b.account = f.from_ AND b.token = f.token WHERE NOT from_group AND NOT from_router AND f.value > 0 GROUP BY 1, 2, 3), "
+    "v AS (SELECT DISTINCT path, unnest([source, sink, from_, to_]) AS a FROM f), n AS (SELECT path, source, sink, a, sum(d) AS net FROM (SELECT path, source, sink, from_ AS a, -value AS d FROM f WHERE value > 0 UNION ALL SELECT path, source, sink, to_, value FROM f WHERE value > 0) GROUP BY 1, 2, 3, 4)"
+)
+_BROKEN = {
+    "NoZeroFlow": "SELECT path FROM f WHERE value = 0",
+    "AddressFormat": "SELECT path FROM (SELECT path, unnest([from_, to_, token]) AS a FROM f) WHERE NOT regexp_matches(a, '^0x[0-9a-fA-F]{40}$')",
+    "VertexOrdering": "SELECT path FROM f WHERE false",
+    "AvatarRegistration": f"SELECT path FROM v WHERE a NOT IN {_IS['router']} AND a NOT IN (SELECT avatar FROM c_v2_avatars)",
+    "GroupRegistration": "SELECT DISTINCT path, from_ FROM f WHERE token = from_ AND NOT from_router AND NOT from_group AND (path, from_) IN (SELECT path, to_ FROM f WHERE from_router AND token <> to_)",
+    "TokenIdValidity": "SELECT DISTINCT path, token FROM f WHERE NOT token_router AND NOT known",
+    "IsPermittedFlow": "SELECT path FROM f, range(2) r(k) WHERE NOT (from_router AND to_group) AND CASE WHEN to_router THEN (k = 0 AND NOT trusted) OR (k = 1 AND from_flag) WHEN NOT from_flag THEN k = 0 AND NOT trusted ELSE (k = 0 AND NOT follows) OR (k = 1 AND NOT to_flag) END",
+    "ApproveCRCRequired": "SELECT path FROM f WHERE NOT (from_router AND to_group) AND to_score AND NOT approved",
+    "FlowConservation": "SELECT path FROM n WHERE net <> 0 AND a <> source AND a <> sink",
+    "CollateralBeforeMint": "SELECT path FROM o WHERE (inward AND gone > 0) OR (NOT inward AND came < gone)",
+    "NoDuplicateEdges": "SELECT path FROM (SELECT path, row_number() OVER (PARTITION BY path, from_, to_, token ORDER BY step) AS k FROM f) WHERE k > 1",
+    "NoSelfTransfers": "SELECT path FROM f WHERE from_ = to_",
+    "ScoreGroupMintLimitsHonored": "SELECT path FROM l WHERE room IS NULL OR spent > room",
+    "HolderBalanceAvailable": "SELECT path FROM h WHERE held IS NULL OR spent > held",
+}
+
+
+@view(_STEPS + " " + " UNION ALL ".join(f"SELECT '{rule}' AS rule, '{paths.RULES[rule]}' AS severity, count(*) AS broken, count(DISTINCT path) AS paths FROM ({sql})" for rule, sql in _BROKEN.items()))
+def c_path_rules(t):
+    """The native transfers of each block as one path, from its first sender to its last receiver, against all rules: how often each is broken, and by how many paths."""
+    own = ["transaction_index", "log_index", F.col("block_number").alias("path"), "from_", "to_", F.col("token_address").alias("token"), "value"]
+    moved = t["transfer_single"].select(*own).union(t["transfer_batch"].select(*own))
+    each = Window.partitionBy("path").orderBy("transaction_index", "log_index")
+    steps = moved.withColumn("step", F.row_number().over(each))
+    steps = steps.withColumn("source", F.first("from_").over(each)).withColumn("sink", F.last("to_").over(each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return paths.report(steps, paths.violations(steps, ledger_state(t), kept))
+
+
+def ledger_state(t) -> dict[str, DataFrame]:
+    """What paths are checked against, of a ledger as it is now."""
+    routers = c_supported_groups(t)
+    return {
+        "registered": c_v2_avatars(t).select("avatar"),
+        "groups": t["register_group"].select("grp"),
+        "routers": routers.select("router"),
+        "score_routers": routers.where("score").select("router"),
+        "wrappers": t["wrapper_deployed"].groupBy("wrapper").agg(F.min("avatar").alias("avatar")),
+        "flags": latest(t["advanced_flag"].select("avatar", "flag", *KEY), "avatar").where("flag = 1").select("avatar"),
+        "trusts": c_v2_trust_relations(t).select("truster", "trustee"),
+        "approvals": latest(t["approval"].select("account", "operator", "approved", *KEY), "account", "operator").where("approved").select("account", "operator"),
+        "limits": c_mint_limits(t).select("grp", "token", F.col("available").alias("value")),
+        "balances": c_v2_balances(t).select("account", "token", F.col("balance").alias("value")),
+    }
+
+
 #: Domain checks by name: a condition on a row, the same for batch and stream.
 CHECKS = {
     "trust": "truster <> trustee AND expiry_time > timestamp",
