@@ -67,9 +67,8 @@ def trust(spark: SparkSession, sf: str) -> DataFrame:
 TRUST = f"(SELECT DISTINCT receiver AS src, token % (SELECT COUNT(*) FROM customer) AS dst FROM {TRANSFERS} WHERE receiver <> token % (SELECT COUNT(*) FROM customer))"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written once to a folder of its own in spark.checkpoint.dir, and read back. Where that is unset a temporary one is used if all runs on one machine; else it is an error."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir. Where that is unset a temporary one is used if all runs on one machine; else it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         master = spark.sparkContext.master
@@ -77,9 +76,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
         at = spark.sparkContext.getCheckpointDir()
-    path = f"{at.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{at.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written once to a folder of its own, and read back."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # state views

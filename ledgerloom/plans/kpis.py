@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import compat
 from ledgerloom.operators import graph, stats
-from ledgerloom.plans.catalogue import AS_OF, EVENTS, TRANSFERS, TRUST, events, query, table, transfers, trust
-from ledgerloom.plans.chain import view
-from ledgerloom.plans.views import c_v1_trust_relations
+from ledgerloom.plans.catalogue import AS_OF, EVENTS, TRANSFERS, TRUST, events, folder, kept, query, table, transfers, trust
+from ledgerloom.plans.chain import back, view
+from ledgerloom.plans.views import c_trust_scores, c_v1_trust_relations, union
+from ledgerloom.sources.history import DAY, History, changes
 
 WEEK = f"day > DATE '{AS_OF}' - INTERVAL 7 DAY"
 MONTH = f"day > DATE '{AS_OF}' - INTERVAL 30 DAY"
@@ -147,3 +148,23 @@ def k_against_baseline(spark, sf):
     last = F.date_sub(F.lit(AS_OF).cast("date"), 1)
     e = events(spark, sf).where((F.col("day") >= F.date_sub(last, 7)) & (F.col("day") <= last))
     return e.groupBy("event_type").agg(F.sum(F.when(F.col("day") == last, F.col("cents")).otherwise(0)).alias("latest"), F.round(F.sum(F.when(F.col("day") < last, F.col("cents")).otherwise(0)) / 7.0, 6).alias("baseline"))
+
+
+_AGO = {"1d": (DAY, 216), "7d": (7 * DAY, 1152)}  # a window, and how many blocks before the last its snapshot was taken
+
+
+@view(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS period, count(*) AS compared, count(*) FILTER (WHERE w.score - c.score > 20) AS drops, count(*) FILTER (WHERE c.score - w.score > 30) AS spikes, count(*) FILTER (WHERE c.score < w.score) AS fell, count(*) FILTER (WHERE c.score > w.score) AS rose FROM c_trust_scores c JOIN c_trust_scores__{blocks}ago w USING (avatar)"
+        for name, (_, blocks) in _AGO.items()
+    )
+)
+def c_score_changes(t):
+    """Trust scores against dated snapshots of them, taken as of blocks before the last."""
+    at = t["system_block"].agg(F.max("timestamp")).first()[0] or 0
+    own = History(t.spark, folder(t.spark, "scores"))
+    for _, blocks in sorted(_AGO.values(), reverse=True):
+        own.add(c_trust_scores(back(t, blocks)), at - blocks * 600)
+    own.expire(at)
+    current = kept(c_trust_scores(t), "scores")
+    return union(*[changes(own, current, "avatar", "score", at, window).select(F.lit(name).alias("period"), "*") for name, (window, _) in _AGO.items()])
