@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import ledger
 from ledgerloom.operators import core
-from ledgerloom.plans.chain import KEY, NOW, TABLES, ZERO, now, view
+from ledgerloom.plans.chain import DECAY, KEY, NOW, TABLES, ZERO, age, now, view
 from ledgerloom.plans.flows import _WRAPPED, c_receive_count, wrapped_balances
-from ledgerloom.plans.views import c_affiliate_members, c_avatars, c_group_memberships, c_groups, c_tokens, c_transfers, c_v1_balances, c_v1_trust_relations, c_v2_avatars, c_v2_balances, c_v2_trust_relations, moves, union
+from ledgerloom.plans.views import c_affiliate_members, c_avatars, c_group_memberships, c_groups, c_tokens, c_transfers, c_v1_balances, c_v1_trust_relations, c_v2_avatars, c_v2_balances, c_v2_trust_relations, decayed, moves, union
 
 
 def _a(k: int) -> str:
@@ -26,13 +26,15 @@ ME = _a(7)
 # balances and tokens
 
 
-_HELD = f"(SELECT account, balance FROM c_v2_balances UNION ALL SELECT account, balance FROM {_WRAPPED} WHERE balance > 0)"
+_HELD = f"(SELECT account, balance, decayed FROM c_v2_balances UNION ALL SELECT account, balance, CAST(floor(balance * power({DECAY}, CASE kind WHEN 1 THEN greatest(0, floor(({NOW} - 1602720000) / 86400)) ELSE {age('last_activity', NOW)} END)) AS BIGINT) FROM {_WRAPPED} WHERE balance > 0)"
 
 
 def held_in(t, native: DataFrame, wrapped: DataFrame) -> DataFrame:
-    """(account, balance): what native and wrapped transfers leave above 0, as it was moved: no decay, no margin."""
-    own = core.balances(core.double_entry(native, "from_", "to_", "value", ["token"]), ["token"]).where(f"balance > 0 and account <> '{ZERO}'")
-    return own.select("account", "balance").union(wrapped_balances(t, wrapped, t["wrapper_deployed"]).select("account", "balance"))
+    """(account, balance, decayed): what native and wrapped transfers leave above 0, as it was moved, and what decay leaves of it now; no margin. Static wrappers decay from the ledger's first day."""
+    own = core.balances(core.double_entry(native, "from_", "to_", "value", ["token", "timestamp"]), ["token"], "timestamp").where(f"balance > 0 and account <> '{ZERO}'")
+    rows = own.withColumn("kind", F.lit(0)).select("account", "kind", "balance", "last_activity").union(wrapped_balances(t, wrapped, t["wrapper_deployed"]).select("account", "kind", "balance", "last_activity"))
+    now_left = F.when(F.col("kind") == 1, ledger.decayed(F.col("balance"), ledger.day_index(F.col("now")))).otherwise(decayed("balance", "last_activity"))
+    return rows.crossJoin(now(t)).select("account", "balance", F.floor(now_left).alias("decayed"))
 
 
 def held_by(t, accounts: DataFrame) -> DataFrame:
@@ -42,13 +44,13 @@ def held_by(t, accounts: DataFrame) -> DataFrame:
     return held_in(t, own(moves(t)), own(t["wrapper_transfer"])).join(accounts, "account", "left_semi")
 
 
-@view(f"SELECT 1 AS version, CAST(coalesce(sum(balance), 0) AS BIGINT) AS units FROM c_v1_balances WHERE account = '{ME}' UNION ALL SELECT 2, CAST(coalesce(sum(balance), 0) AS BIGINT) FROM {_HELD} WHERE account = '{ME}'")
+@view(f"SELECT 1 AS version, CAST(coalesce(sum(balance), 0) AS BIGINT) AS units, CAST(NULL AS BIGINT) AS decayed FROM c_v1_balances WHERE account = '{ME}' UNION ALL SELECT 2, CAST(coalesce(sum(balance), 0) AS BIGINT), CAST(coalesce(sum(decayed), 0) AS BIGINT) FROM {_HELD} WHERE account = '{ME}'")
 def c_q_total_balance(t, account: str = ME):
-    """One row for each version: the sum of an account's balances above 0, wrapped tokens too in version 2. These are the user's: the routing graph's margin and decay don't apply."""
+    """One row for each version: the sum of an account's balances above 0, wrapped tokens too in version 2: as moved, and in version 2 as decayed to now. These are the user's: the routing graph's margin doesn't apply."""
     mine = (F.col("from_") == account) | (F.col("to_") == account)
     first = c_v1_balances(t).where(F.col("account") == account).agg(F.coalesce(F.sum("balance"), F.lit(0)).alias("units"))
-    second = held_in(t, moves(t).where(mine), t["wrapper_transfer"].where(mine)).where(F.col("account") == account).agg(F.coalesce(F.sum("balance"), F.lit(0)).alias("units"))
-    return first.select(F.lit(1).alias("version"), "units").union(second.select(F.lit(2).alias("version"), "units"))
+    second = held_in(t, moves(t).where(mine), t["wrapper_transfer"].where(mine)).where(F.col("account") == account).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("balance", "units"), ("decayed", "decayed"))])
+    return first.select(F.lit(1).alias("version"), "units", F.lit(None).cast("long").alias("decayed")).union(second.select(F.lit(2).alias("version"), "units", "decayed"))
 
 
 @view(
@@ -117,11 +119,11 @@ def c_q_search_by_address_or_name(t, prefix: str = _PREFIX, word: str = "signup"
     return core.keyset_page(found.select("avatar", "kind", "name"), ["avatar"], size, [after])
 
 
-@view(f"SELECT a.avatar, p.name, CAST((SELECT sum(units) FROM c_q_total_balance WHERE version = 2) AS BIGINT) AS units, (SELECT count(*) FROM c_v2_trust_relations WHERE truster = a.avatar) AS trusts, (SELECT count(*) FROM c_v2_trust_relations WHERE trustee = a.avatar) AS trusted_by FROM c_v2_avatars a LEFT JOIN profile p ON p.digest = a.digest WHERE a.avatar = '{ME}'")
+@view(f"SELECT a.avatar, p.name, CAST((SELECT sum(units) FROM c_q_total_balance WHERE version = 2) AS BIGINT) AS units, CAST((SELECT sum(decayed) FROM c_q_total_balance WHERE version = 2) AS BIGINT) AS decayed, (SELECT count(*) FROM c_v2_trust_relations WHERE truster = a.avatar) AS trusts, (SELECT count(*) FROM c_v2_trust_relations WHERE trustee = a.avatar) AS trusted_by FROM c_v2_avatars a LEFT JOIN profile p ON p.digest = a.digest WHERE a.avatar = '{ME}'")
 def c_q_profile_view(t, account: str = ME):
     own = c_v2_avatars(t).where(F.col("avatar") == account).select("avatar", "digest").join(t["profile"].select("digest", "name"), "digest", "left")
     sides = c_v2_trust_relations(t).where((F.col("truster") == account) | (F.col("trustee") == account)).agg(F.count_if(F.col("truster") == account).alias("trusts"), F.count_if(F.col("trustee") == account).alias("trusted_by"))
-    total = c_q_total_balance(t, account).where("version = 2").select("units")
+    total = c_q_total_balance(t, account).where("version = 2").select("units", "decayed")
     return own.select("avatar", "name").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(sides))
 
 
@@ -268,11 +270,11 @@ def c_q_all_invitations(t):
     return union(trust, escrow, scale).groupBy("address").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count("*").alias("n"))
 
 
-@view(f"SELECT x.truster AS inviter, b.units FROM (SELECT truster FROM c_v2_trust_relations WHERE trustee = '{ME}' AND truster > '{_a(1)}') x JOIN (SELECT account, CAST(sum(balance) AS BIGINT) AS units FROM {_HELD} GROUP BY account HAVING sum(balance) >= 1000000) b ON b.account = x.truster ORDER BY inviter LIMIT 21")
+@view(f"SELECT x.truster AS inviter, b.units, b.decayed FROM (SELECT truster FROM c_v2_trust_relations WHERE trustee = '{ME}' AND truster > '{_a(1)}') x JOIN (SELECT account, CAST(sum(balance) AS BIGINT) AS units, CAST(sum(decayed) AS BIGINT) AS decayed FROM {_HELD} GROUP BY account HAVING sum(balance) >= 1000000) b ON b.account = x.truster ORDER BY inviter LIMIT 21")
 def c_q_valid_inviters(t, account: str = ME, least: int = 1_000_000, after: str = _a(1), size: int = 20):
     """Who trusts an account and holds at least so much, by address after a cursor."""
     who = c_v2_trust_relations(t).where(F.col("trustee") == account).select(F.col("truster").alias("inviter"))
-    held = held_by(t, who.select(F.col("inviter").alias("account"))).groupBy(F.col("account").alias("inviter")).agg(F.sum("balance").alias("units"))
+    held = held_by(t, who.select(F.col("inviter").alias("account"))).groupBy(F.col("account").alias("inviter")).agg(F.sum("balance").alias("units"), F.sum("decayed").alias("decayed"))
     return core.keyset_page(held.where(F.col("units") >= least), ["inviter"], size, [after])
 
 
