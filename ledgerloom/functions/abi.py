@@ -8,6 +8,7 @@ text; an array is an array of such texts, anything else an array of one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = 32
 MOST = 2_147_483_647  # offsets and lengths beyond it are broken
 _PART = 15  # hex digits that conv() takes without an end of its range
-_LIMB = 1_000_000_000
+_GROUP = 10**18  # decimal digits that a long holds in any case
 
 
 def piece(data: Column, at: Column, n: Column | int) -> Column:
@@ -43,21 +44,21 @@ def size(word: Column) -> Column:
 
 
 def unsigned(word: Column) -> Column:
-    """A word as decimal text: decimals up to 120 bits, beyond them limbs of nine digits."""
+    """A word as decimal text: decimals up to 120 bits. Beyond them each limb of 60 bits is multiplied by the groups of 18 digits of its place's power, and the sums of groups are carried on once."""
+    whole = F.lit(_GROUP).cast("decimal(19,0)")
 
-    def shifted(acc: Column, limb: Column) -> Column:
-        start = F.struct(limb.alias("carry"), F.array().cast("array<long>").alias("out"))
+    def sums(limbs: Column) -> Column:
+        each = lambda g: [F.get(limbs, F.lit(k)) * F.lit(16 ** (_PART * k) // _GROUP**g % _GROUP).cast("decimal(18,0)") for k in range(5)]
+        return F.array(*[reduce(lambda a, b: a + b, each(g)).cast("decimal(38,0)") for g in range(5)])
 
-        def step(s: Column, x: Column) -> Column:
-            return named(s["carry"] + x * F.lit(1 << 32), lambda t: F.struct(F.call_function("div", t, F.lit(_LIMB).cast("long")).alias("carry"), F.concat(s["out"], F.array(t % _LIMB)).alias("out")))
-
-        return F.aggregate(acc, start, step)["out"]
+    def step(s: Column, x: Column) -> Column:
+        return named((x + s["carry"]).cast("decimal(38,0)"), lambda t: F.struct(F.call_function("div", t, whole).alias("carry"), F.concat(F.lpad((t % whole).cast("string"), 18, "0"), s["out"]).alias("out")))
 
     def read(h: Column) -> Column:
         few = (number(F.substr(h, F.lit(65 - 2 * _PART), F.lit(_PART))) * F.lit(16**_PART).cast("decimal(20,0)") + number(F.right(h, F.lit(_PART)))).cast("string")
-        limbs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: number(F.substr(h, 8 * k + 1, F.lit(8))).cast("long"))
-        nine = F.aggregate(limbs, F.array(*[F.lit(0).cast("long")] * 9), shifted)
-        many = F.ltrim(F.array_join(F.transform(F.reverse(nine), lambda x: F.lpad(x.cast("string"), 9, "0")), ""), F.lit("0"))
+        limbs = F.array(*[number(F.substr(h, F.lit(65 - _PART * k), F.lit(_PART))) for k in range(1, 5)], number(F.left(h, F.lit(64 - 4 * _PART))))
+        begin = F.struct(F.lit(0).cast("long").alias("carry"), F.lit("").alias("out"))
+        many = F.ltrim(F.aggregate(named(limbs, sums), begin, step)["out"], F.lit("0"))
         return F.when(F.startswith(h, F.lit("0" * (64 - 2 * _PART))), few).otherwise(many)
 
     return named(F.hex(word), read)
