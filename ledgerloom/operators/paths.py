@@ -33,10 +33,17 @@ RULES = {
 NUMBER = "decimal(38,0)"
 
 
-def _marked(df: DataFrame, column: str, accounts: DataFrame, name: str) -> DataFrame:
-    """df with a flag: the column's value is among the accounts (first column)."""
-    own = accounts.select(F.lower(F.col(accounts.columns[0])).alias(column), F.lit(True).alias(name)).distinct()
-    return df.join(own, column, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+def _facts(state: Mapping[str, DataFrame]) -> DataFrame:
+    """(address, known, group, router, score, flag): what the state tells of an address, a row for each."""
+    kinds = {"known": ["registered"], "group": ["groups"], "router": ["routers", "score_routers"], "score": ["score_routers"], "flag": ["flags"]}
+    rows = reduce(DataFrame.union, [state[n].select(F.lower(F.col(state[n].columns[0])).alias("address"), F.lit(k).alias("kind")) for k, names in kinds.items() for n in names])
+    return rows.where("address is not null").groupBy("address").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in kinds])
+
+
+def _told(df: DataFrame, column: str, facts: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """df with facts of a column's address under other names, false where there are none. The steps aren't sorted: the facts are hashed."""
+    own = facts.select(F.col("address").alias(column), *[F.col(k).alias(n) for k, n in names.items()])
+    return df.join(own.hint("shuffle_hash"), column, "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in names.values()})
 
 
 def _paired(df: DataFrame, a: str, b: str, pairs: DataFrame, name: str) -> DataFrame:
@@ -63,22 +70,22 @@ def violations(steps: DataFrame, state: Mapping[str, DataFrame], keep: Callable[
     rules read, so that the joins run once.
     """
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c)
-    s = steps.select("path", "step", low("source"), low("sink"), low("from_"), low("to_"), low("token"), F.col("value").cast("string").alias("text"), F.array("from_", "to_", "token").alias("given"))
+    text, given = F.col("value").cast("string"), F.array("from_", "to_", "token")
+    malformed = F.filter(given, lambda x: x.isNull() | ~x.rlike(ADDRESS))
+    s = steps.select("path", "step", low("source"), low("sink"), low("from_"), low("to_"), low("token"), F.expr(f"try_cast(cast(value as string) AS {NUMBER})").alias("value"), (text.isNull() | text.isin("", "0")).alias("blank"), malformed.alias("malformed"))
     s = s.where(~((F.col("from_") == F.col("sink")) & (F.col("to_") == F.col("sink"))))
-    s = s.withColumn("value", F.expr(f"try_cast(text AS {NUMBER})"))
-    wrappers = state["wrappers"].select(F.lower("wrapper").alias("token"), F.lower("avatar").alias("_owner")).dropDuplicates(["token"])
-    s = s.join(wrappers, "token", "left").withColumn("owner", F.coalesce("_owner", "token")).drop("_owner")
-    routers = state["routers"].select("router").union(state["score_routers"].select("router"))
-    for column in ("from_", "to_", "token"):
-        s = _marked(s, column, routers, f"{column.rstrip('_')}_router")
+    # what needs no state comes first, while a path's steps are together
+    each = Window.partitionBy("path", "from_", "to_", "token").orderBy("step")
+    s = s.withColumn("nth", F.row_number().over(each)).withColumn("first", F.row_number().over(Window.partitionBy("path", "source", "sink").orderBy("step")) == 1)
+
+    facts = _facts(state)
+    wrappers = state["wrappers"].select(F.lower("wrapper").alias("token"), F.lower("avatar").alias("owner")).where("owner is not null").dropDuplicates(["token"])
+    wrappers = wrappers.join(facts.select(F.col("address").alias("owner"), F.col("known").alias("owner_known")), "owner", "left")
+    tokens = facts.select(F.col("address").alias("token"), F.col("router").alias("token_router"), F.col("known").alias("token_known")).join(wrappers, "token", "full")
+    tokens = tokens.select("token", "owner", "token_router", F.when(F.col("owner").isNull(), F.col("token_known")).otherwise(F.col("owner_known")).alias("known"))
+    s = s.join(tokens.hint("shuffle_hash"), "token", "left").withColumns({"owner": F.coalesce("owner", "token"), **{n: F.coalesce(n, F.lit(False)) for n in ("token_router", "known")}})
     for column in ("from_", "to_"):
-        s = _marked(s, column, state["score_routers"], f"{column.rstrip('_')}_score")
-        s = _marked(s, column, state["groups"], f"{column.rstrip('_')}_group")
-        s = _marked(s, column, state["flags"], f"{column.rstrip('_')}_flag")
-    s = _marked(s, "owner", state["registered"], "known")
-    s = _paired(s, "to_", "owner", state["trusts"], "trusted")
-    s = _paired(s, "from_", "to_", state["trusts"], "follows")
-    s = _paired(s, "to_", "source", state["approvals"], "approved")
+        s = _told(s, column, facts, {k: f"{column.rstrip('_')}_{k}" for k in ("known", "group", "router", "score", "flag")})
     s = keep(s, "steps")
 
     def broken(rule: str, df: DataFrame, condition: Column | str, about: str = "token", step: bool = True) -> DataFrame:
@@ -86,41 +93,45 @@ def violations(steps: DataFrame, state: Mapping[str, DataFrame], keep: Callable[
         return df.where(condition).select("path", F.lit(rule).alias("rule"), F.lit(RULES[rule]).alias("severity"), at.cast("int").alias("step"), F.col(about).cast("string").alias("about"))
 
     flowing = s.where("value > 0")
-    each = Window.partitionBy("path", "from_", "to_", "token").orderBy("step")
-    ends = s.select("path", "step", F.explode("given").alias("address"))
     out = [
-        broken("NoZeroFlow", s, "text is null or text in ('', '0')"),
-        broken("AddressFormat", ends, F.col("address").isNull() | ~F.col("address").rlike(ADDRESS), "address"),
-        broken("TokenIdValidity", s.where(F.col("token").rlike(ADDRESS) & ~F.col("token_router")).groupBy("path", "token").agg(F.min("step").alias("step"), F.min("known").alias("known")), "not known"),
-        broken("NoDuplicateEdges", s.withColumn("_n", F.row_number().over(each)), "_n > 1"),
+        broken("NoZeroFlow", s, "blank"),
+        broken("AddressFormat", s.where("size(malformed) > 0").select("path", "step", F.explode("malformed").alias("address")), F.lit(True), "address"),
+        broken("TokenIdValidity", s.where(F.col("token").rlike(ADDRESS)).where("not token_router and not known").groupBy("path", "token").agg(F.min("step").alias("step")), F.lit(True)),
+        broken("NoDuplicateEdges", s, "nth > 1"),
         broken("NoSelfTransfers", s, "from_ = to_", "from_"),
     ]
 
-    accounts = s.select("path", F.explode(F.array("source", "sink", "from_", "to_")).alias("vertex")).where(F.col("vertex").rlike("^0x.{40}$")).distinct()
-    accounts = _marked(_marked(accounts, "vertex", routers, "router"), "vertex", state["registered"], "known")
-    out.append(broken("AvatarRegistration", accounts, "not router and not known", "vertex", False))
+    # of a step's accounts its joins tell already; the ends are looked up once a path
+    ends = s.where("first").select("path", F.explode(F.array("source", "sink")).alias("vertex"))
+    ends = _told(ends, "vertex", facts, {"router": "router", "known": "known"})
+    own = s.select("path", F.explode(F.array(*[F.struct(F.col(c).alias("vertex"), F.col(f"{n}_router").alias("router"), F.col(f"{n}_known").alias("known")) for c, n in (("from_", "from"), ("to_", "to"))])).alias("v")).select("path", "v.*")
+    strange = ends.select("path", "vertex", "router", "known").union(own).where("not router and not known").where(F.col("vertex").rlike("^0x.{40}$")).select("path", "vertex").distinct()
+    out.append(broken("AvatarRegistration", strange, F.lit(True), "vertex", False))
 
     fed = s.where("from_router and token <> to_").select("path", F.col("to_").alias("vertex")).distinct()
     minting = s.where("token = from_ and not from_router").select("path", F.col("from_").alias("vertex"), "from_group").distinct()
     out.append(broken("GroupRegistration", minting.join(fed, ["path", "vertex"], "left_semi"), "not from_group", "vertex", False))
 
     # who may send to whom: routers feed groups freely, all others by trust, or by consent on both sides
+    # each step is looked up only among the pairs that its case asks for
     asked = s.where("not (from_router and to_group)")
     to_router = asked.where("to_router")
-    plain = asked.where("not to_router and not from_flag")
+    by_trust = _paired(asked.where("to_router or not from_flag").select("path", "step", "token", "to_", "owner"), "to_", "owner", state["trusts"], "trusted")
+    approving = _paired(to_router.where("to_score").select("path", "step", "to_", "source"), "to_", "source", state["approvals"], "approved")
     consent = asked.where("not to_router and from_flag")
+    follows = _paired(consent.select("path", "step", "from_", "to_"), "from_", "to_", state["trusts"], "follows")
     out += [
-        broken("IsPermittedFlow", to_router, "not trusted"),
+        broken("IsPermittedFlow", by_trust, "not trusted"),
         broken("IsPermittedFlow", to_router, "from_flag", "from_"),
-        broken("ApproveCRCRequired", to_router, "to_score and not approved", "to_"),
-        broken("IsPermittedFlow", plain, "not trusted"),
-        broken("IsPermittedFlow", consent, "not follows", "to_"),
+        broken("ApproveCRCRequired", approving, "not approved", "to_"),
+        broken("IsPermittedFlow", follows, "not follows", "to_"),
         broken("IsPermittedFlow", consent, "not to_flag", "to_"),
     ]
 
     legs = flowing.select("path", "source", "sink", F.explode(F.array(F.struct(F.col("from_").alias("vertex"), (-F.col("value")).alias("d")), F.struct(F.col("to_").alias("vertex"), F.col("value").alias("d")))).alias("leg"))
-    net = legs.groupBy("path", "source", "sink", F.col("leg.vertex").alias("vertex")).agg(F.sum("leg.d").alias("net"))
-    out.append(broken("FlowConservation", net, "net <> 0 and vertex <> source and vertex <> sink", "vertex", False))
+    legs = legs.select("path", "source", "sink", "leg.*").where("vertex <> source and vertex <> sink")
+    net = legs.groupBy("path", "source", "sink", "vertex").agg(F.sum("d").alias("net"))
+    out.append(broken("FlowConservation", net, "net <> 0", "vertex", False))
 
     # a group's collateral and mints in order: what came in before a mint covers all mints up to it, and nothing comes in after
     collateral, mint = F.expr("from_router and to_group"), F.expr("from_group and not from_router and not to_router and not to_group")
