@@ -38,7 +38,7 @@ def size(word: Column) -> Column:
     """A word as an offset or a length; null beyond MOST and for less than a word."""
 
     def read(h: Column) -> Column:
-        return F.when((F.length(h) == 64) & F.startswith(h, F.lit("0" * 56)), number(F.right(h, F.lit(8))).cast("long"))
+        return F.when((F.length(h) == 64) & F.startswith(h, F.lit("0" * 56)), F.conv(F.right(h, F.lit(8)), 16, 10).cast("long"))
 
     return named(named(F.hex(word), read), lambda n: F.when(n <= MOST, n))
 
@@ -141,13 +141,19 @@ def written_number(x: Column | int) -> Column:
     hexed = lambda n: F.lpad(F.conv((n % step).cast("decimal(20,0)").cast("string"), 10, 16), _PART, "0")
     rest = lambda n: F.floor((n - n % step) / whole).cast("decimal(38,0)")
     decimal = lambda n: named(rest(n), lambda m: F.concat(hexed(rest(m)), hexed(m), hexed(n)))
-    digits = lambda t: F.when(F.startswith(t, F.lit("0x")), F.substr(t, F.lit(3))).otherwise(named(t.cast("decimal(38,0)"), decimal))
+    short = lambda t: named(t.try_cast("long"), lambda n: F.when(n >= 0, F.hex(n)).otherwise(named(t.cast("decimal(38,0)"), decimal)))
+    digits = lambda t: F.when(F.startswith(t, F.lit("0x")), F.substr(t, F.lit(3))).otherwise(short(t))
     return F.unhex(F.lpad(named(x.cast("string"), digits), 64, "0"))
 
 
+def written_length(n: Column) -> Column:
+    """A length or a place (int) as a word."""
+    return F.unhex(F.lpad(F.hex(n), 2 * WORD, "0"))
+
+
 def written_bytes(b: Column) -> Column:
     """The tail of bytes: their length, and they filled up to whole words."""
-    return named(b, lambda x: F.concat(written_number(F.length(x)), x, F.unhex(F.repeat(F.lit("00"), F.pmod(-F.length(x), F.lit(WORD))))))
+    return named(b, lambda x: F.concat(written_length(F.length(x)), x, F.unhex(F.repeat(F.lit("00"), F.pmod(-F.length(x), F.lit(WORD))))))
 
 
 def written_value(solidity: str, x: Column | int) -> Column:
@@ -158,7 +164,7 @@ def written_value(solidity: str, x: Column | int) -> Column:
     if k in ("string", "bytes"):
         return written_bytes(x.cast("binary") if k == "string" else x)
     if k.endswith("[]"):
-        return F.concat(written_number(F.size(x)), F.aggregate(F.transform(x, written_number), F.lit(b""), lambda a, w: F.concat(a, w)))
+        return F.concat(written_length(F.size(x)), F.aggregate(F.transform(x, written_number), F.lit(b""), lambda a, w: F.concat(a, w)))
     return x if k == "word" else written_number(x)
 
 
@@ -169,7 +175,7 @@ def written_head_and_tail(values: list[tuple[str, Column | int]]) -> Column:
     def read(tails: Column) -> Column:
         heads, at = [], F.lit(WORD * len(values))
         for k, (solidity, x) in enumerate(values):
-            heads.append(written_number(at) if k in own else written_value(solidity, x))
+            heads.append(written_length(at) if k in own else written_value(solidity, x))
             at = at + F.length(F.get(tails, F.lit(own.index(k)))) if k in own else at
         return F.concat(F.lit(b""), *heads, *[F.get(tails, F.lit(k)) for k in range(len(own))])
 

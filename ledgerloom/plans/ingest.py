@@ -52,12 +52,16 @@ def raw_transactions(t):
     packed = F.concat(F.lit(b"\0"), F.unhex(F.lit(HUB[2:])), abi.written_number(0), abi.written_number(F.length("call")), F.col("call"))
     rows = own.groupBy("block_number").agg(F.array_sort(F.collect_list(packed)).alias("packed"))
     many = F.concat(F.lit(bytes.fromhex(calls.MULTI_SEND)), abi.written_head_and_tail([("bytes", F.aggregate("packed", F.lit(b""), lambda a, x: F.concat(a, x)))]))
-    rows = rows.select("block_number", many.alias("many"))
-    wrap = lambda name, n: F.concat(F.lit(bytes.fromhex(name)), abi.written_head_and_tail([("address", F.lit(HUB)), ("uint256", 0), ("bytes", F.col("many")), *[("uint256", 0)] * (n - 3)]))
-    rows = rows.select("block_number", "many", wrap(calls.EXEC, 10).alias("exec"), wrap(calls.USER_OP, 4).alias("user"))
-    operation = abi.written_head_and_tail([("address", F.lit(HUB)), ("uint256", 0), ("bytes", F.lit(b"")), ("bytes", F.col("exec")), *[("uint256", 0)] * 3, ("bytes", F.lit(b"")), ("bytes", F.lit(b""))])
-    ops = F.concat(F.lit(bytes.fromhex(calls.HANDLE_OPS)), *[abi.written_number(k) for k in (64, 0, 1, 32)], operation)
-    return rows.select("block_number", F.when(F.col("block_number") % 4 == 0, F.col("many")).when(F.col("block_number") % 4 == 1, F.col("exec")).when(F.col("block_number") % 4 == 2, F.col("user")).otherwise(ops).alias("input"))
+    wrap = lambda name, n, inner: F.concat(F.lit(bytes.fromhex(name)), abi.written_head_and_tail([("address", F.lit(HUB)), ("uint256", 0), ("bytes", inner), *[("uint256", 0)] * (n - 3)]))
+    operation = lambda inner: abi.written_head_and_tail([("address", F.lit(HUB)), ("uint256", 0), ("bytes", F.lit(b"")), ("bytes", inner), *[("uint256", 0)] * 3, ("bytes", F.lit(b"")), ("bytes", F.lit(b""))])
+    ops = lambda inner: F.concat(F.lit(bytes.fromhex(calls.HANDLE_OPS)), *[abi.written_number(k) for k in (64, 0, 1, 32)], operation(inner))
+    kind = F.col("block_number") % 4
+
+    def wrapped(m):
+        """In the wrappers of the transaction's kind; the others aren't written."""
+        return F.when(kind == 0, m).when(kind == 2, wrap(calls.USER_OP, 4, m)).otherwise(abi.named(wrap(calls.EXEC, 10, m), lambda x: F.when(kind == 1, x).otherwise(ops(x))))
+
+    return rows.select("block_number", abi.named(many, wrapped).alias("input"))
 
 
 @view("SELECT block_number, from_, to_, concat(CAST(transaction_index AS VARCHAR), ':', CAST(log_index AS VARCHAR)) AS data FROM transfer_single")

@@ -120,4 +120,6 @@ def transfer_data(transactions: DataFrame, input_col: str = "input") -> DataFram
     for _ in range(LEVELS):
         df = df.withColumn("_calls", F.flatten(F.transform("_calls", opened)))
     df = df.withColumn("_moves", F.flatten(F.transform("_calls", moves)))
-    return df.select(*transactions.columns, F.posexplode("_moves").alias("place", "_m")).select(*transactions.columns, "place", "_m.from_", "_m.to_", "_m.data")
+    # of an inner explode Spark infers that its array has elements, and reads all calls twice more to test that
+    rows = df.select(*transactions.columns, F.posexplode_outer("_moves").alias("place", "_m")).where("place is not null")
+    return rows.select(*transactions.columns, "place", "_m.from_", "_m.to_", "_m.data")
