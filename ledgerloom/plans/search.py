@@ -67,6 +67,9 @@ def events(
     taken. Rows of equal key are ordered by table and payload, and the cursor holds
     all five, so equal keys at the end of a page lose nothing; a row
     that is equal in all of them comes once.
+
+    A first job takes the page's keys alone and finds the last; only rows up to it
+    get a payload, and scans and joins see none beyond it.
     """
     within = [F.col("block_number") >= low] if low is not None else []
     within += [F.col("block_number") <= high] if high is not None else []
@@ -77,7 +80,7 @@ def events(
             df = df.where(c)
         return df
 
-    parts, transactions = [], None
+    searched, transactions = {}, None
     size = min(max(size, 1), MOST)
     for name in names if names else tables:
         df = tables[name]
@@ -99,10 +102,15 @@ def events(
                 own = own.where(p)
         if cursor:  # rows of an equal key may be left: the rest of the order is compared below
             own = own.where(after(KEY, _read(cursor)[: len(KEY)], not ascending) | _equal(_read(cursor)))
-        rows = own.select(*KEY, F.lit(name).alias("event"), payload(df).alias("payload"))
-        parts.append(core.keyset_page(rows, ORDER, size, _read(cursor) if cursor else None, not ascending))
-    if not parts:
+        searched[name] = own
+    if not searched:
         raise ValueError("no table to search")
+    last = _last_key(searched.values(), size, _read(cursor) if cursor else None, not ascending)
+    parts = []
+    for name, own in searched.items():
+        own = own if last is None else own.where(_up_to(last, not ascending))
+        rows = own.select(*KEY, F.lit(name).alias("event"), payload(own).alias("payload"))
+        parts.append(core.keyset_page(rows, ORDER, size, _read(cursor) if cursor else None, not ascending))
     return core.keyset_page(union(*parts), ORDER, size, None, not ascending)
 
 
@@ -110,6 +118,21 @@ def _equal(at: Sequence) -> F.Column:
     return (F.col(KEY[0]) == at[0]) & (F.col(KEY[1]) == at[1]) & (F.col(KEY[2]) == at[2])
 
 
+def _last_key(tables: Collection[DataFrame], size: int, cursor: Sequence | None, descending: bool) -> list | None:
+    """The key of the page's last row; none if no more rows are there, or if it has nulls. Rows of the cursor's own key don't count, as some were on the page before."""
+    parts = [core.keyset_page(df.select(*KEY), KEY, size, cursor and cursor[: len(KEY)], descending) for df in tables]
+    rows = core.keyset_page(union(*parts), KEY, size, None, descending).collect()
+    last = list(rows[-1]) if len(rows) > size else [None]
+    return None if None in last else last
+
+
+def _up_to(at: Sequence, descending: bool) -> F.Column:
+    """Rows with the key or before it in the order. Those whose keys have nulls stay; the block is compared apart too, as scans know it."""
+    first = F.col(KEY[0]) >= at[0] if descending else F.col(KEY[0]) <= at[0]
+    absent = F.col(KEY[0]).isNull() | F.col(KEY[1]).isNull() | F.col(KEY[2]).isNull()
+    return (first | F.col(KEY[0]).isNull()) & (after(KEY, list(at), not descending) | _equal(at) | absent)
+
+
 def cursor_of(row) -> str:
     return base64.b64encode(json.dumps([row[c] for c in ORDER]).encode()).decode()
 
