@@ -65,30 +65,57 @@ def before(df: DataFrame, key: str, order: str, value: str, block: Column | None
     return rows.withColumn("_own", own).join(ahead, [key, "_block"]).withColumn("before", F.col("_own") + F.col("_ahead")).drop("_block", "_own", "_ahead")
 
 
-def saturated(pairs: DataFrame, source, sink, most: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """Pairs (u, v, cap, back) with net: what goes from u to v less what comes back, in a largest flow of at most ``most``.
-
-    Each pair of nodes is one row; cap is its room from u to v, back that from v to
-    u. Each round finds the nodes' distances to the sink by frontier joins, with
+def touching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs with an end in a new node of ``nodes`` (v, new) and none in another of them: those that come in with the new nodes."""
+    marks = nodes.groupBy("v").agg(F.bool_and("new").alias("new"))
+    own = pairs.join(marks.select(F.col("v").alias("u"), F.col("new").alias("_u")), "u", "left").join(marks.select("v", F.col("new").alias("_v")), "v", "left")
+    return own.where("coalesce(_u, _v) is not null and coalesce(_u, true) and coalesce(_v, true)").select("u", "v", "cap", "back")
+
+
+def saturated(whole: DataFrame, source, sink, most: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Pairs (u, v, cap, back, net) of the nodes that the search met; net is what goes from u to v less what comes back, in a largest flow of at most ``most``. All other pairs carry nothing.
+
+    ``whole`` is a written table, as it is read again. Each pair of nodes is one
+    row; cap is its room from u to v, back that from v to u. The search works on
+    the pairs near both ends: it takes up the pairs of all nodes that the source's
+    side leads to and of those that lead to the sink's, a step on both sides, when
+    no path of as many steps as are taken up is left. So a step reads the whole
+    table once, and a round only what is near. No path is lost: where a side leads
+    nowhere new, all that the source can reach, or that can reach the sink, is
+    taken up, and paths of any length are looked for.
+
+    Each round finds the nodes' distances to the sink by frontier joins, with
     what each can pass on at most, pushes along shortest paths from the source, and
-    takes back what got stuck. A round that doesn't reach the source ends the
-    search; each other one adds to the flow. A level costs two jobs, one that
-    writes it and one that looks whether it has the source.
+    takes back what got stuck. A level costs two jobs, one that writes it and one
+    that looks whether it has the source.
     """
-    spark, kind = pairs.sparkSession, pairs.schema["u"].dataType.simpleString()
-    pairs, left = keep(pairs.withColumn("net", F.lit(0).cast("long")), "pairs"), most
+    spark, kind = whole.sparkSession, whole.schema["u"].dataType.simpleString()
+    whole, left = whole.select("u", "v", "cap", "back"), most
+    nodes = spark.createDataFrame([(source, True, True), (sink, False, True)], f"v {kind}, ahead boolean, new boolean")
+    pairs, steps, closed = keep(touching(whole, nodes).withColumn("net", F.lit(0).cast("long")), "pairs"), 2, False
     while left > 0:
         arcs = pairs.select("u", "v", (F.col("cap") - F.col("net")).alias("room")).union(pairs.select("v", "u", F.col("back") + F.col("net"))).where("room > 0")
 
         # levels by distance to the sink, with the most that a node can pass on
         levels = [spark.createDataFrame([(sink, left)], f"v {kind}, most long")]
         seen, found, reached = levels[0].select("v"), 1, None
-        while found and reached is None:
+        while found and reached is None and (closed or len(levels) <= steps):
             onward = F.sum(F.least("room", "most").cast("decimal(38,0)"))
             grown = arcs.join(levels[-1], "v").groupBy("u").agg(F.least(onward, F.lit(left)).cast("long").alias("most")).withColumnRenamed("u", "v").join(seen, "v", "left_anti")
             levels.append(keep(grown, "level"))
             found, reached = levels[-1].agg(F.count("*"), F.max(F.when(F.col("v") == F.lit(source), F.col("most")))).first()
             seen = seen.union(levels[-1].select("v"))
+        if reached is None and not closed:
+            sides = nodes.select("v", "ahead").distinct()
+            on = arcs.select(F.col("u").alias("v"), F.col("v").alias("u")).join(sides.where("ahead"), "v").union(arcs.select("v", "u").join(sides.where("not ahead"), "v"))
+            more = keep(on.select(F.col("u").alias("v"), "ahead").distinct().join(sides, ["v", "ahead"], "left_anti").withColumn("new", F.lit(True)), "nodes")
+            closed = more.agg(F.count_distinct("ahead")).first()[0] < 2
+            if closed and not found:
+                break
+            if not closed:
+                nodes = keep(sides.withColumn("new", F.lit(False)).union(more), "nodes")
+                pairs, steps = keep(pairs.union(touching(whole, nodes).withColumn("net", F.lit(0).cast("long"))), "pairs"), steps + 2
+            continue
         if reached is None:
             break
 
@@ -138,7 +165,7 @@ def arc_flow(arcs: DataFrame, source, sink, keep: Callable[[DataFrame, str], Dat
     def total(side: Column) -> Column:
         return F.least(F.coalesce(F.sum(F.when(side, room)), F.lit(0)), F.lit(most)).cast("long")
 
-    pairs = arcs.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(total(forth).alias("cap"), total(~forth).alias("back"))
+    pairs = keep(arcs.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(total(forth).alias("cap"), total(~forth).alias("back")), "whole")
     net = saturated(pairs, source, sink, most, keep).where("net <> 0")
     ahead = F.col("net") > 0
     return net.select(F.when(ahead, F.col("u")).otherwise(F.col("v")).alias("src"), F.when(ahead, F.col("v")).otherwise(F.col("u")).alias("dst"), F.abs("net").alias("flow"))
@@ -169,18 +196,26 @@ def dealt(sent: DataFrame, got: DataFrame, keep: Callable[[DataFrame, str], Data
 def largest_flow(balances: DataFrame, trust: DataFrame, source: int, sink: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Transfers (src, dst, token, amount) of a largest flow over any number of hops, found in Spark; ids are long.
 
+    ``keep`` writes a table and reads it back.
+    """
+    held = balances.where("balance > 0").select(F.col("account").cast("long").alias("a"), F.col("token").cast("long").alias("t"), F.col("balance"), F.lit(False).alias("takes"))
+    takes = trust.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("t"), F.lit(0).alias("balance"), F.lit(True).alias("takes"))
+    own = held.union(takes).groupBy("a", "t").agg(F.sum("balance").cast("long").alias("cap"), F.bool_or("takes").alias("takes"))
+    return token_flow(keep(own, "own"), source, sink, keep)
+
+
+def token_flow(own: DataFrame, source: int, sink: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """largest_flow on a written table (a, t, cap, takes), a row each: what an account holds of a token, and whether it trusts it. Rows without either carry nothing.
+
     Holders and tokens are nodes: a holder sends a token up to its balance to the
     token's node, and that passes all of it on to whoever trusts the token. So a
     balance is shared by all who trust it and capacity edges are never made.
-    ``keep`` writes a table and reads it back.
     """
-    spark = balances.sparkSession
-    held = balances.where("balance > 0").groupBy(F.col("account").cast("long").alias("a"), F.col("token").cast("long").alias("t")).agg(F.sum("balance").cast("long").alias("cap"))
-    most = held.where(F.col("a") == source).agg(F.sum("cap")).first()[0] or 0
+    own = own.where("a is not null and t is not null and (cap > 0 or takes)")
+    most = own.where((F.col("a") == source) & (F.col("cap") > 0)).agg(F.sum("cap")).first()[0] or 0
     if source == sink or not most:
-        return spark.createDataFrame([], "src long, dst long, token long, amount long")
-    takes = trust.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("t")).distinct().withColumn("back", F.lit(most).cast("long"))
+        return own.sparkSession.createDataFrame([], "src long, dst long, token long, amount long")
     # accounts are the even nodes, tokens the odd ones
-    pairs = held.join(takes, ["a", "t"], "full").na.fill(0, ["cap", "back"]).select(F.shiftleft("a", 1).alias("u"), (F.shiftleft("t", 1) + 1).alias("v"), "cap", "back")
+    pairs = own.select(F.shiftleft("a", 1).alias("u"), (F.shiftleft("t", 1) + 1).alias("v"), F.greatest("cap", F.lit(0)).alias("cap"), F.when(F.col("takes"), F.lit(most)).otherwise(0).cast("long").alias("back"))
     net = saturated(pairs, source * 2, sink * 2, most, keep).select(F.shiftright("u", 1).alias("a"), F.shiftright("v", 1).alias("t"), "net")
     return dealt(net.where("net > 0").select("t", "a", F.col("net").alias("x")), net.where("net < 0").select("t", "a", (-F.col("net")).alias("x")), keep)
