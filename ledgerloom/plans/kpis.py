@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import compat
 from ledgerloom.operators import graph, stats
 from ledgerloom.plans.catalogue import AS_OF, EVENTS, TRANSFERS, TRUST, events, folder, kept, query, table, transfers, trust
-from ledgerloom.plans.chain import back, view
-from ledgerloom.plans.views import c_trust_scores, c_v1_trust_relations, union
+from ledgerloom.plans.chain import view
+from ledgerloom.plans.views import c_v1_trust_relations, scores, standings, union
 from ledgerloom.sources.history import DAY, History, changes
 
 WEEK = f"day > DATE '{AS_OF}' - INTERVAL 7 DAY"
@@ -160,11 +160,14 @@ _AGO = {"1d": (DAY, 216), "7d": (7 * DAY, 1152)}  # a window, and how many block
     )
 )
 def c_score_changes(t):
-    """Trust scores against dated snapshots of them, taken as of blocks before the last."""
-    at = t["system_block"].agg(F.max("timestamp")).first()[0] or 0
+    """Trust scores against dated snapshots of them, taken as of blocks before the last; the events are read once for all of them."""
+    last, at = t["system_block"].agg(F.max("block_number"), F.max("timestamp")).first()
+    at = at or 0
     own = History(t.spark, folder(t.spark, "scores"))
-    for _, blocks in sorted(_AGO.values(), reverse=True):
-        own.add(c_trust_scores(back(t, blocks)), at - blocks * 600)
+    ago = sorted((blocks for _, blocks in _AGO.values()), reverse=True)
+    known = kept(standings(t, [-1 if last is None else last - blocks for blocks in ago] + [None]), "standings")
+    for k, blocks in enumerate(ago):
+        own.add(scores(known, k), at - blocks * 600)
     own.expire(at)
-    current = kept(c_trust_scores(t), "scores")
+    current = scores(known, len(ago))
     return union(*[changes(own, current, "avatar", "score", at, window).select(F.lit(name).alias("period"), "*") for name, (window, _) in _AGO.items()])
