@@ -6,7 +6,7 @@ paths are checked by a few groupings and one window over (path, group).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +31,8 @@ RULES = {
     "HolderBalanceAvailable": "warning",
 }
 NUMBER = "decimal(38,0)"
+#: So many different addresses of a column are few: what is known of them goes to the steps, not the steps to it
+FEW = 1_000
 
 
 def _facts(state: Mapping[str, DataFrame]) -> DataFrame:
@@ -40,10 +42,22 @@ def _facts(state: Mapping[str, DataFrame]) -> DataFrame:
     return rows.where("address is not null").groupBy("address").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in kinds])
 
 
-def _told(df: DataFrame, column: str, facts: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """df with facts of a column's address under other names, false where there are none. The steps aren't sorted: the facts are hashed."""
+def _few(steps: DataFrame, columns: Sequence[str], few: int) -> dict[str, list[str]]:
+    """The addresses of the columns that have few of them; a pass for sketches comes first, so that long lists are never made."""
+    about = steps.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    found = {c: [r[0] for r in steps.select(c).distinct().limit(few + 1).collect()] for c in columns if about[c] <= few}
+    return {c: own for c, own in found.items() if len(own) <= few}
+
+
+def _hinted(facts: DataFrame, column: str, few: Mapping[str, list[str]]) -> DataFrame:
+    """Facts of a column's addresses for a join in which the steps aren't sorted, and not moved either where there are few of them."""
+    return F.broadcast(facts.where(F.col(column).isin(few[column]))) if column in few else facts.hint("shuffle_hash")
+
+
+def _told(df: DataFrame, column: str, facts: DataFrame, names: Mapping[str, str], few: Mapping[str, list[str]] = {}) -> DataFrame:  # noqa: B006
+    """df with facts of a column's address under other names, false where there are none."""
     own = facts.select(F.col("address").alias(column), *[F.col(k).alias(n) for k, n in names.items()])
-    return df.join(own.hint("shuffle_hash"), column, "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in names.values()})
+    return df.join(_hinted(own, column, few), column, "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in names.values()})
 
 
 def _paired(df: DataFrame, a: str, b: str, pairs: DataFrame, name: str) -> DataFrame:
@@ -53,7 +67,7 @@ def _paired(df: DataFrame, a: str, b: str, pairs: DataFrame, name: str) -> DataF
     return df.join(own, [a, b], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def violations(steps: DataFrame, state: Mapping[str, DataFrame], keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+def violations(steps: DataFrame, state: Mapping[str, DataFrame], keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, few: int = FEW) -> DataFrame:
     """(path, rule, severity, step, about): each break of a rule.
 
     steps: path, step (its place), source, sink, from_, to_, token, value (text or a
@@ -66,26 +80,35 @@ def violations(steps: DataFrame, state: Mapping[str, DataFrame], keep: Callable[
     null; other rules leave it out, but mint limits refuse it. A step of a rule on
     whole paths is null. VertexOrdering (two addresses of one number) can't break, as
     lower-case addresses of equal numbers are equal. No steps, no rows; a repeated step is a duplicate edge.
-    keep(rows, name) may write the steps with what the state tells of them, which all
-    rules read, so that the joins run once.
+    keep(rows, name) may write the steps, first with what their paths tell of them, then
+    with what the state tells too, which all rules read, so that the joins run once. A
+    column of up to ``few`` different addresses takes the state's facts by a broadcast.
     """
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c)
     text, given = F.col("value").cast("string"), F.array("from_", "to_", "token")
     malformed = F.filter(given, lambda x: x.isNull() | ~x.rlike(ADDRESS))
     s = steps.select("path", "step", low("source"), low("sink"), low("from_"), low("to_"), low("token"), F.expr(f"try_cast(cast(value as string) AS {NUMBER})").alias("value"), (text.isNull() | text.isin("", "0")).alias("blank"), malformed.alias("malformed"))
     s = s.where(~((F.col("from_") == F.col("sink")) & (F.col("to_") == F.col("sink"))))
-    # what needs no state comes first, while a path's steps are together
-    each = Window.partitionBy("path", "from_", "to_", "token").orderBy("step")
-    s = s.withColumn("nth", F.row_number().over(each)).withColumn("first", F.row_number().over(Window.partitionBy("path", "source", "sink").orderBy("step")) == 1)
+    # what needs no state comes first, while a path's steps are together: two sorts serve it, as all windows of one share their keys
+    each, ends = Window.partitionBy("path", "from_", "token").orderBy("to_", "step"), Window.partitionBy("path").orderBy("source", "sink", "step")
+    whole = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spent = F.when(F.row_number().over(each) == 1, F.sum(F.when(F.col("value") > 0, F.col("value"))).over(whole))
+    same = [F.lag(c).over(ends).eqNullSafe(F.col(c)) for c in ("source", "sink")]
+    s = s.withColumn("first", ~(same[0] & same[1])).withColumn("way", F.count_if("first").over(ends.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    s = s.withColumns({"again": F.lag("to_").over(each).eqNullSafe(F.col("to_")), "spent": spent})
+    s = s.withColumns({f"{c}end": F.col(c).isin(F.col("source"), F.col("sink")) for c in ("from_", "to_")})
+    moves = keep(s.withColumn("sink", F.when(F.col("first"), F.col("sink"))), "moves")
+    known = _few(moves, ["token", "from_", "to_"], few)
 
     facts = _facts(state)
     wrappers = state["wrappers"].select(F.lower("wrapper").alias("token"), F.lower("avatar").alias("owner")).where("owner is not null").dropDuplicates(["token"])
     wrappers = wrappers.join(facts.select(F.col("address").alias("owner"), F.col("known").alias("owner_known")), "owner", "left")
     tokens = facts.select(F.col("address").alias("token"), F.col("router").alias("token_router"), F.col("known").alias("token_known")).join(wrappers, "token", "full")
     tokens = tokens.select("token", "owner", "token_router", F.when(F.col("owner").isNull(), F.col("token_known")).otherwise(F.col("owner_known")).alias("known"))
-    s = s.join(tokens.hint("shuffle_hash"), "token", "left").withColumns({"owner": F.coalesce("owner", "token"), **{n: F.coalesce(n, F.lit(False)) for n in ("token_router", "known")}})
-    for column in ("from_", "to_"):
-        s = _told(s, column, facts, {k: f"{column.rstrip('_')}_{k}" for k in ("known", "group", "router", "score", "flag")})
+    s = moves.select("path", "step", "source", "from_", "to_", "token", "value")  # no more than what rules on the state read
+    for column in ("to_", "from_"):
+        s = _told(s, column, facts, {k: f"{column.rstrip('_')}_{k}" for k in ("known", "group", "router", "score", "flag")}, known)
+    s = s.join(_hinted(tokens, "token", known), "token", "left").withColumns({"owner": F.coalesce("owner", "token"), **{n: F.coalesce(n, F.lit(False)) for n in ("token_router", "known")}})
     s = keep(s, "steps")
 
     def broken(rule: str, df: DataFrame, condition: Column | str, about: str = "token", step: bool = True) -> DataFrame:
@@ -94,15 +117,15 @@ def violations(steps: DataFrame, state: Mapping[str, DataFrame], keep: Callable[
 
     flowing = s.where("value > 0")
     out = [
-        broken("NoZeroFlow", s, "blank"),
-        broken("AddressFormat", s.where("size(malformed) > 0").select("path", "step", F.explode("malformed").alias("address")), F.lit(True), "address"),
+        broken("NoZeroFlow", moves, "blank"),
+        broken("AddressFormat", moves.where("size(malformed) > 0").select("path", "step", F.explode("malformed").alias("address")), F.lit(True), "address"),
         broken("TokenIdValidity", s.where(F.col("token").rlike(ADDRESS)).where("not token_router and not known").groupBy("path", "token").agg(F.min("step").alias("step")), F.lit(True)),
-        broken("NoDuplicateEdges", s, "nth > 1"),
-        broken("NoSelfTransfers", s, "from_ = to_", "from_"),
+        broken("NoDuplicateEdges", moves, "again"),
+        broken("NoSelfTransfers", moves, "from_ = to_", "from_"),
     ]
 
     # of a step's accounts its joins tell already; the ends are looked up once a path
-    ends = s.where("first").select("path", F.explode(F.array("source", "sink")).alias("vertex"))
+    ends = moves.where("first").select("path", F.explode(F.array("source", "sink")).alias("vertex"))
     ends = _told(ends, "vertex", facts, {"router": "router", "known": "known"})
     own = s.select("path", F.explode(F.array(*[F.struct(F.col(c).alias("vertex"), F.col(f"{n}_router").alias("router"), F.col(f"{n}_known").alias("known")) for c, n in (("from_", "from"), ("to_", "to"))])).alias("v")).select("path", "v.*")
     strange = ends.select("path", "vertex", "router", "known").union(own).where("not router and not known").where(F.col("vertex").rlike("^0x.{40}$")).select("path", "vertex").distinct()
@@ -128,17 +151,16 @@ def violations(steps: DataFrame, state: Mapping[str, DataFrame], keep: Callable[
         broken("IsPermittedFlow", consent, "not to_flag", "to_"),
     ]
 
-    legs = flowing.select("path", "source", "sink", F.explode(F.array(F.struct(F.col("from_").alias("vertex"), (-F.col("value")).alias("d")), F.struct(F.col("to_").alias("vertex"), F.col("value").alias("d")))).alias("leg"))
-    legs = legs.select("path", "source", "sink", "leg.*").where("vertex <> source and vertex <> sink")
-    net = legs.groupBy("path", "source", "sink", "vertex").agg(F.sum("d").alias("net"))
+    legs = moves.where("value > 0").select("path", "way", F.explode(F.array(F.struct(F.col("from_").alias("vertex"), F.col("from_end").alias("end"), (-F.col("value")).alias("d")), F.struct(F.col("to_").alias("vertex"), F.col("to_end").alias("end"), F.col("value").alias("d")))).alias("leg"))
+    net = legs.select("path", "way", "leg.*").where("not end").groupBy("path", "way", "vertex").agg(F.sum("d").alias("net"))
     out.append(broken("FlowConservation", net, "net <> 0", "vertex", False))
 
     # a group's collateral and mints in order: what came in before a mint covers all mints up to it, and nothing comes in after
     collateral, mint = F.expr("from_router and to_group"), F.expr("from_group and not from_router and not to_router and not to_group")
-    moves = flowing.where(collateral | mint).select("path", "step", F.when(collateral, F.col("to_")).otherwise(F.col("from_")).alias("grp"), collateral.alias("inward"), "value")
+    minted = flowing.where(collateral | mint).select("path", "step", F.when(collateral, F.col("to_")).otherwise(F.col("from_")).alias("grp"), collateral.alias("inward"), "value")
     upto = Window.partitionBy("path", "grp").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    moves = moves.withColumn("came", F.sum(F.when(F.col("inward"), F.col("value")).otherwise(0)).over(upto)).withColumn("left", F.sum(F.when(~F.col("inward"), F.col("value")).otherwise(0)).over(upto))
-    out.append(broken("CollateralBeforeMint", moves, "(inward and left > 0) or (not inward and came < left)", "grp"))
+    minted = minted.withColumn("came", F.sum(F.when(F.col("inward"), F.col("value")).otherwise(0)).over(upto)).withColumn("left", F.sum(F.when(~F.col("inward"), F.col("value")).otherwise(0)).over(upto))
+    out.append(broken("CollateralBeforeMint", minted, "(inward and left > 0) or (not inward and came < left)", "grp"))
 
     # mints through a score router, added up in order by group and collateral: the first step over the limit
     scored = s.where("from_score and to_group")
@@ -151,7 +173,8 @@ def violations(steps: DataFrame, state: Mapping[str, DataFrame], keep: Callable[
     holders = s.where("not from_group and not from_router")
     out.append(broken("HolderBalanceAvailable", holders, "value is null"))
     held = state["balances"].select(F.lower("account").alias("from_"), F.lower("token").alias("token"), F.col("value").cast(NUMBER).alias("held"))
-    spent = holders.where("value > 0").groupBy("path", "from_", "token").agg(F.sum("value").alias("spent")).join(held, ["from_", "token"], "left")
+    spent = _told(moves.where("spent is not null").select("path", "from_", "token", "spent"), "from_", facts, {"group": "from_group", "router": "from_router"}, known)
+    spent = spent.where("not from_group and not from_router").join(held, ["from_", "token"], "left")
     out.append(broken("HolderBalanceAvailable", spent, "held is null or spent > held", "from_", False))
     return reduce(DataFrame.unionByName, out)
 
